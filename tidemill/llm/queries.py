@@ -12,11 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import bpe, decontam, minhash, sharding, substring, token_count
+from . import bpe, decontam, minhash, quality, sharding, substring, token_count, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(C.table(spark, sf_dir, "documents"))
 
@@ -114,8 +122,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_quality": op2_quality,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_counts": op5_token_counts,
+    "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
