@@ -12,11 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import bpe, decontam, minhash, quality, sharding, substring, token_count, toxicity
+from . import bpe, chroma, decontam, minhash, quality, sharding, substring, token_count, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(C.table(spark, sf_dir, "pages"))
+
+
+def op3_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = chroma.fingerprints(C.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", chroma.tune).checkpoint()
+    return chroma.align(prints, prints.where("id % 50 = 0")).withColumnRenamed("id", "vec_id")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
 
@@ -122,7 +131,9 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_url_filter": op1_url_filter,
     "op2_quality": op2_quality,
+    "op3_chroma_fingerprints": op3_chroma_fingerprints,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
