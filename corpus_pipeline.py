@@ -1,15 +1,55 @@
-"""The corpus pipeline; see STAGES."""
+"""The corpus pipeline: five operators in a row, from raw documents to token ids.
+
+Each stage takes what its predecessor kept, with the columns of `documents`, and its decisions
+take effect: the quality classifier and decontamination drop documents, near-duplicate
+detection keeps one document of each group, substring dedup shortens texts (n_chars follows),
+and the last stage returns token ids with proof of the round trip.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemill.llm import bpe, common, decontam, minhash, quality, substring
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, common.table(spark, sf_dir, "labels"))
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.drop_near_duplicates(docs)
+
+
+def cut_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short = substring.drop_repeats(docs)
+    return short.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else short
+
+
+def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_dedup", keep_one_of_near_copies),
+    ("substring_dedup", cut_repeated_spans),
+    ("decontamination", drop_benchmark_copies),
+    ("byte_bpe", encode_tokens),
+]
 
-STAGES: list = []
+#: The quality classifier is learned, which SQL can't express; tests compare every stage with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = common.table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

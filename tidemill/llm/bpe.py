@@ -335,20 +335,23 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens and the token ids of every text."""
+    """doc_id, n_tokens, the token ids of every text, and whether they decode to the same text."""
     C.prepare(docs.sparkSession)
 
     def run(batches):
-        encoder, _ = coders(path, pattern)
+        encoder, decoder = coders(path, pattern)
         for batch in C.slices(batches, 1, 2 << 20):
-            flat, counts = [], []
+            flat, counts, same = [], [], []
             for body in batch.column(1):
-                ids = np.array(encoder.encode(body.as_py().decode()).split(), dtype=np.int32)
-                flat.append(ids)
-                counts.append(len(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), C.list_array(np.concatenate(flat), np.array(counts), pa.int32())], names=["doc_id", "n_tokens", "ids"])
-
-    return C.arrow_map(docs.select(F.col(id_col).alias("doc_id"), C.text_bytes(text_col)), run, "doc_id long, n_tokens long, ids array<int>")
+                text = body.as_py().decode()
+                tokens = encoder.encode(text).split()
+                same.append(decoder.decode(tokens) == text)
+                flat.append(np.array(tokens, dtype=np.int32))
+                counts.append(len(tokens))
+            columns = [pa.array(counts, pa.int64()), C.list_array(np.concatenate(flat), np.array(counts), pa.int32()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], names=["doc_id", "n_tokens", "ids", "round_trip"])
+
+    return C.arrow_map(docs.select(F.col(id_col).alias("doc_id"), C.text_bytes(text_col)), run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -18,13 +18,13 @@ may repeat.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from . import common as C
 
@@ -165,12 +165,19 @@ def blocks(batches, phrases: Phrases):
 
 def scan(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    item_id: str = "item_id", item_text: str = "text", window: int = WINDOW,
+    item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, carry: bool = False,
 ) -> DataFrame:
-    """doc_id, n_words, n_hit and the sorted ids of the items that occur, for every document row."""
+    """doc_id, n_words, n_hit and the sorted ids of the items that occur, for every document row.
+
+    With carry=True the columns of `docs` come along, as c0, c1 and so on.
+    """
     spark = docs.sparkSession
     C.prepare(spark)
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("body"), F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"))
+    carried = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)] if carry else []
+    fields = [StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)] if carry else []
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("body"), F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"), *carried)
+    result = StructType([StructField("doc_id", LongType()), StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("items", ArrayType(StringType())), *fields])
+    extra = len(carried)
     slices = list(phrase_slices(items, id_col=item_id, text_col=item_text, window=window))
     for number, phrases in enumerate(slices):
         shared = spark.sparkContext.broadcast(phrases)
@@ -205,13 +212,15 @@ def scan(
                         n_hit.append(int(mine.sum()))
                         owners.append(sorted(names))
                         packed.append(b"" if last else np.packbits(mine).tobytes())
+                more = [batch.column(4 + i) for i in range(extra)]
+                names = [f"c{i}" for i in range(extra)]
                 if last:
                     columns = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(owners, pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], names=["doc_id", "n_words", "n_hit", "items"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns, *more], names=["doc_id", "n_words", "n_hit", "items", *names])
                 else:
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), pa.array(owners, pa.list_(pa.string()))], names=["doc_id", "body", "hit", "items"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), pa.array(owners, pa.list_(pa.string())), *more], names=["doc_id", "body", "hit", "items", *names])
 
-        out = C.arrow_map(out, run, "doc_id long, n_words long, n_hit long, items array<string>" if last else out.schema)
+        out = C.arrow_map(out, run, result if last else out.schema)
     return out
 
 
@@ -220,6 +229,12 @@ def contaminated():
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
+    """The rows of `docs` that are not contaminated, with their columns."""
+    found = scan(docs, items, carry=True, **names)
+    return found.where(~contaminated()).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def matches(docs: DataFrame, items: DataFrame, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """Every match as a row: doc_id, item_id, kind (exact, or proximity within `slop` extra words), start, length."""
     spark = docs.sparkSession
@@ -250,7 +265,3 @@ def matches(docs: DataFrame, items: DataFrame, slop: int = 0, id_col: str = "doc
         one = C.arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body")), run, "doc_id long, item_id string, kind string, start long, length long")
         out = one if out is None else out.union(one)
     return out
-
-
-def items_digest(names: list[str]) -> str:
-    return hashlib.sha256(",".join(names).encode()).hexdigest()
