@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .labels import least
+
 SAMPLE_ROWS = 20_000
 SUFFIX_BUCKETS = 1024
 TREES, DEPTH, RATE, BINS, LEAST = 40, 3, 0.3, 32, 10
@@ -132,10 +134,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
         ((F.coalesce(F.sum(blocked), F.lit(0.0)) + 1) / (F.sum(known) + 2)).alias("f_suffix_block"), F.log1p(F.count("*")).alias("f_suffix_count"),
     )
     full = base.join(F.broadcast(suffix), "suffix_bucket", "left")
-    sample = (
-        full.where("ruled is not null").withColumn("y", (F.col("ruled") == "block").cast("int"))
-        .orderBy(F.xxhash64("url"), "url", "page_id").limit(rows).select("y", *FEATURES).collect()
-    )
+    labelled = full.where("ruled is not null").withColumn("y", (F.col("ruled") == "block").cast("int"))
+    sample = least(labelled, rows, "url", "page_id").select("y", *FEATURES).collect()
     y = np.array([r.y for r in sample], dtype=float)
     if len(set(y.tolist())) == 2:
         score = F.expr(Boosted(np.array([[r[f] for f in FEATURES] for r in sample], dtype=float), y).sql())
