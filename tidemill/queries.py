@@ -103,7 +103,7 @@ def cleanse_strings(spark, sf):
 
 
 @query(r"""
-SELECT p_partkey, array_to_string(list_transform(string_split(lower(p_type), ' '), x -> array_to_string(list_transform(string_split(x, '-'), y -> upper(left(y, 1)) || y[2:]), '-')), ' ') AS title
+SELECT p_partkey, array_to_string(list_transform(string_split(lower(p_type), ' '), lambda x: array_to_string(list_transform(string_split(x, '-'), lambda y: upper(left(y, 1)) || y[2:]), '-')), ' ') AS title
 FROM (SELECT p_partkey, p_type || '-' || p_name AS p_type FROM part)""")
 def title_case(spark, sf):
     return read_table(spark, sf, "part").select("p_partkey", strings.to_title_case(F.concat("p_type", F.lit("-"), "p_name")).alias("title"))
@@ -140,7 +140,7 @@ def cleanse_dates(spark, sf):
 
 @query("""
 SELECT vec_id, CAST(len(list_distinct(r)) AS INTEGER) AS n_distinct, list_sort(r)[1] AS least, r[64] AS last, CAST(len(r[1:5]) AS INTEGER) AS taken, r[11] AS after_skip, CAST(64 AS INTEGER) AS n_full
-FROM (SELECT vec_id, list_transform(embedding, x -> CAST(floor(x * 10) AS INTEGER)) AS r FROM embeddings)""")
+FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(x * 10) AS INTEGER)) AS r FROM embeddings)""")
 def cleanse_arrays(spark, sf):
     e = read_table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x * 10).cast("int")).alias("r"))
     return e.select(
@@ -217,10 +217,10 @@ def validate_dates(spark, sf):
 
 
 @query("""
-WITH t AS (SELECT vec_id, list_transform(embedding[1:8], x -> CAST(floor(x * 10) AS INTEGER)) AS r FROM embeddings)
-SELECT vec_id, len(r) >= 8 AS enough, len(r) <= 7 AS few, len(r) BETWEEN 1 AND 8 AS between_, len(list_filter(r, x -> x < 4)) = len(r) AS all_small, len(list_filter(r, x -> x > 2)) > 0 AS any_large,
-       len(list_filter(r, x -> x > 2)) = 0 AS none_large, list_contains(r, 0) AS has_zero, NOT list_contains(r, 0) AS no_zero, len(list_distinct(r)) = len(r) AS unique_,
-       len(list_filter(r, x -> x NOT IN (-2, -1, 0, 1))) = 0 AS subset FROM t""")
+WITH t AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: CAST(floor(x * 10) AS INTEGER)) AS r FROM embeddings)
+SELECT vec_id, len(r) >= 8 AS enough, len(r) <= 7 AS few, len(r) BETWEEN 1 AND 8 AS between_, len(list_filter(r, lambda x: x < 4)) = len(r) AS all_small, len(list_filter(r, lambda x: x > 2)) > 0 AS any_large,
+       len(list_filter(r, lambda x: x > 2)) = 0 AS none_large, list_contains(r, 0) AS has_zero, NOT list_contains(r, 0) AS no_zero, len(list_distinct(r)) = len(r) AS unique_,
+       len(list_filter(r, lambda x: x NOT IN (-2, -1, 0, 1))) = 0 AS subset FROM t""")
 def validate_arrays(spark, sf):
     e = read_table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: F.floor(x * 10).cast("int")).alias("r"))
     return e.select(
@@ -396,7 +396,7 @@ def named_aggregates(spark, sf):
 
 
 @query("""
-SELECT user_id, list_reduce(list_prepend(CAST(7 AS BIGINT), list(k ORDER BY event_id)), (a, x) -> (a * 31 + x) % 1000003) AS result
+SELECT user_id, list_reduce(list_prepend(CAST(7 AS BIGINT), list(k ORDER BY event_id)), lambda a, x: (a * 31 + x) % 1000003) AS result
 FROM (SELECT user_id, event_id, CAST(value AS BIGINT) AS k FROM events) GROUP BY 1""")
 def ordered_fold(spark, sf):
     e = read_table(spark, sf, "events").withColumn("k", F.expr("CAST(rint(value) AS BIGINT)"))
@@ -404,7 +404,7 @@ def ordered_fold(spark, sf):
 
 
 @query("""
-SELECT o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n,
+SELECT o_orderkey, CAST(rank() OVER w AS INTEGER) AS r, CAST(dense_rank() OVER w AS INTEGER) AS d, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS n,
        lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS o_orderkey_lag, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS o_orderkey_lead,
        count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS so_far
 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority)""")
@@ -422,20 +422,23 @@ def top_orders(spark, sf):
 
 # --- late data, routing, merging, batching ----------------------------------------------------------
 
+#: The tables are in time order; this arrival is not.
+ARRIVAL = lambda: F.expr("(event_id * 7919) % 10007").alias("arrival")
+
 
 @query("""
-WITH m AS (SELECT event_id, ts, max(ts) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM events)
+WITH m AS (SELECT event_id, ts, max(ts) OVER (ORDER BY (event_id * 7919) % 10007, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM events)
 SELECT event_id FROM m WHERE top IS NULL OR ts >= top - INTERVAL '5 days'""")
 def late_filter(spark, sf):
-    e = ordering.late_marks(read_table(spark, sf, "events").select("event_id", "ts"), "ts", ["event_id"], 5 * 86_400_000_000)
+    e = ordering.late_marks(read_table(spark, sf, "events").select("event_id", "ts", ARRIVAL()), "ts", ["arrival", "event_id"], 5 * 86_400_000_000)
     return e.where("not late").select("event_id")
 
 
 @query("""
-WITH m AS (SELECT event_id, ts, max(ts) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM events)
+WITH m AS (SELECT event_id, ts, max(ts) OVER (PARTITION BY user_id ORDER BY (event_id * 7919) % 10007, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM events)
 SELECT event_id FROM m WHERE top IS NULL OR ts >= top - INTERVAL '1 day'""")
 def late_filter_by_user(spark, sf):
-    e = ordering.late_marks(read_table(spark, sf, "events").select("event_id", "ts", "user_id"), "ts", ["event_id"], 86_400_000_000, ["user_id"])
+    e = ordering.late_marks(read_table(spark, sf, "events").select("event_id", "ts", "user_id", ARRIVAL()), "ts", ["arrival", "event_id"], 86_400_000_000, ["user_id"])
     return e.where("not late").select("event_id")
 
 
