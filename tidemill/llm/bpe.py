@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Bounds of what one Python process remembers: about 250 MB of states and 100 MB of pieces.
+#: Bounds of what one Python process remembers: about 150 MB of states and 60 MB of pieces.
 MAX_STATES = 250_000
-MAX_PIECES = 300_000
+MAX_PIECES = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -67,7 +67,11 @@ class _State(dict):
 
 
 class Transducer:
-    """The encoder of one pre-token. Guesses are (previous token, trie node, tokens not emitted yet)."""
+    """The encoder of one pre-token.
+
+    A guess is (previous token, trie node, tokens not emitted yet); a state's guesses are kept
+    in one flat tuple, and strings and token tuples are shared between states, to save memory.
+    """
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks, self.max_states = ranks, max_states
@@ -82,7 +86,7 @@ class Transducer:
                     self.token.append(-1)
             self.token[node] = r
         self.bytes = {r: w for w, r in ranks.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.max_pairs = 400_000
         self.states: dict[tuple, _State] = {}
         self._reset()
@@ -92,18 +96,22 @@ class Transducer:
             state.clear()
             state.machine = None
         self.states: dict[tuple, _State] = {}
-        self.start = self._state(((-1, 0, ()),))
+        self.shared: dict = {}
+        self.start = self._state((-1, 0, ()))
 
     def _state(self, guesses: tuple) -> _State:
         found = self.states.get(guesses)
         if found is None:
             found = _State()
             found.machine, found.guesses = self, guesses
-            last = [rest for prev, node, rest in guesses if node == 0]
-            found.rest = "".join(f" {t}" for t in last[0])
+            found.rest = self._ids(guesses[-1])  # the guess that stands at a token's end comes last
             self.states[guesses] = found
         return found
 
+    def _ids(self, tokens: tuple[int, ...]) -> str:
+        text = "".join([f" {t}" for t in tokens])
+        return self.shared.setdefault(text, text)
+
     def _follows(self, prev: int, token: int) -> bool:
         """Whether `token` may stand after `prev` (-1: at the start)."""
         b = self.bytes[token]
@@ -114,35 +122,41 @@ class Transducer:
         else:
             a = self.bytes[prev]
             ok = merge(a + b, self.ranks) == [a, b]
-        self.pairs[prev, token] = ok
+        self.pairs[(prev + 1) << 32 | token] = ok
         return ok
 
     def _step(self, guesses: tuple, byte: int):
         trie, tokens, known = self.trie, self.token, self.pairs.get
-        after, done = [], None
-        for guess in guesses:
-            prev, node, rest = guess
-            to = trie[node].get(byte)
+        prevs, nodes, rests, done = [], [], [], -1
+        for i in range(0, len(guesses), 3):
+            prev, rest = guesses[i], guesses[i + 2]
+            to = trie[guesses[i + 1]].get(byte)
             if to is None:
                 continue
             if trie[to]:
-                after.append((prev, to, rest))
-            if done is None and (token := tokens[to]) >= 0:
-                ok = known((prev, token))
+                prevs.append(prev)
+                nodes.append(to)
+                rests.append(rest)
+            if done < 0 and (token := tokens[to]) >= 0:
+                ok = known((prev + 1) << 32 | token)
                 if ok or (ok is None and self._follows(prev, token)):
-                    done = (token, 0, (*rest, token))
-        after.append(done)
+                    done, last = token, (*rest, token)
+        prevs.append(done)
+        nodes.append(0)
+        rests.append(last)
         # Tokens that all live guesses agree on go out: the common start of the least and the greatest.
-        rests = [g[2] for g in after]
         low, high = min(rests), max(rests)
         shared = 0
         for x, y in zip(low, high):
             if x != y:
                 break
             shared += 1
-        if not shared:
-            return self._state(tuple(after)), ""
-        return self._state(tuple([(p, n, r[shared:]) for p, n, r in after])), "".join([f" {t}" for t in low[:shared]])
+        same = self.shared.setdefault
+        out = []
+        for prev, node, rest in zip(prevs, nodes, rests):
+            rest = rest[shared:]
+            out += (prev, node, same(rest, rest))
+        return self._state(tuple(out)), self._ids(low[:shared])
 
     def encode(self, piece: bytes) -> str:
         """The ids of one pre-token, each with a space before it."""
@@ -303,15 +317,14 @@ class Decoder:
         return "".join(text) + ("�" if pending else "")
 
 
-_made: dict = {}
-
-
 def coders(path: str, pattern: str) -> tuple[Encoder, Decoder]:
     """The coders of one rank file, one pair per Python process."""
-    if (path, pattern) not in _made:
+
+    def make():
         ranks = read_ranks(path)
-        _made[path, pattern] = Encoder(ranks, pattern), Decoder(ranks)
-    return _made[path, pattern]
+        return Encoder(ranks, pattern), Decoder(ranks)
+
+    return C.resident(("coders", path, pattern), make)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ package to executors, Arrow glue, and vectorised word hashing over raw UTF-8 byt
 
 from __future__ import annotations
 
+import ctypes
 import io
 import os
 import tempfile
@@ -51,6 +52,9 @@ def ship(spark: SparkSession) -> None:
     sc._tidemill_shipped = True
 
 
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def prepare(spark: SparkSession) -> None:
     """Ship the package and name a checkpoint folder (the session's, else a local one for tests)."""
     ship(spark)
@@ -58,6 +62,8 @@ def prepare(spark: SparkSession) -> None:
     if sc.getCheckpointDir() is None:
         d = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(d or tempfile.mkdtemp(prefix="tidemill-checkpoint-"))
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:  # texts are long: smaller Arrow batches, unless the session has its own
+        spark.conf.set(_BATCH, "16m")
 
 
 def parts(spark: SparkSession) -> int:
@@ -91,8 +97,40 @@ def slices(batches: Iterator[pa.RecordBatch], size_of: int, limit: int = 4 << 20
         yield batch.slice(start, n - start)
 
 
+_resident: dict = {}
+
+
+def resident(key: tuple, make: Callable):
+    """An object that a Python worker keeps between tasks, such as a tokenizer with what it remembers.
+
+    Workers live on from stage to stage, so only the latest object is kept: another operator's
+    stage frees the memory of the one before.
+    """
+    if key not in _resident:
+        _resident.clear()
+        trim()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def trim() -> None:
+    """Give freed memory back to the machine: the executor's limit counts what workers hold."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+    """mapInArrow, with the memory of each task given back at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(run, schema)
 
 
 def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:

@@ -173,7 +173,9 @@ def scan(
     """
     spark = docs.sparkSession
     C.prepare(spark)
-    carried = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)] if carry else []
+    others = [c for c in docs.columns if c != text_col]
+    at_text = docs.columns.index(text_col)
+    carried = [F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(others)] if carry else []
     fields = [StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)] if carry else []
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("body"), F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"), *carried)
     result = StructType([StructField("doc_id", LongType()), StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("items", ArrayType(StringType())), *fields])
@@ -213,7 +215,10 @@ def scan(
                         owners.append(sorted(names))
                         packed.append(b"" if last else np.packbits(mine).tobytes())
                 more = [batch.column(4 + i) for i in range(extra)]
-                names = [f"c{i}" for i in range(extra)]
+                names = [f"o{i}" for i in range(extra)]
+                if last and carry:
+                    more.insert(at_text, batch.column(1).cast(pa.string()))
+                    names = [f"c{i}" for i in range(extra + 1)]
                 if last:
                     columns = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(owners, pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns, *more], names=["doc_id", "n_words", "n_hit", "items", *names])

@@ -83,13 +83,8 @@ class Sketcher:
         return C.mix64((s * self.band_factors).sum(axis=2, dtype=np.uint64) * self.band_salt + self.band_salt)
 
 
-_made: dict = {}
-
-
 def _sketcher(*args) -> Sketcher:
-    if args not in _made:
-        _made[args] = Sketcher(*args)
-    return _made[args]
+    return C.resident(("sketcher", *args), lambda: Sketcher(*args))
 
 
 def set_key(shingles: np.ndarray) -> bytes:

@@ -165,7 +165,8 @@ def score(docs: DataFrame, model: Bag | None, id_col: str = "doc_id", text_col:
     """doc_id and score of every row; with keep=True all columns of `docs` and `_score`."""
     C.prepare(docs.sparkSession)
     name = "_score" if keep else "score"
-    own = docs.columns if keep else []
+    own = [c for c in docs.columns if c != text_col] if keep else []
+    at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in C.slices(batches, 1):
@@ -174,9 +175,11 @@ def score(docs: DataFrame, model: Bag | None, id_col: str = "doc_id", text_col:
             else:
                 scores = model.score(*passages([t or b"" for t in batch.column(1).to_pylist()], _hasher()))
             columns = [batch.column(i + 2) for i in range(len(own))] if keep else [batch.column(0).cast(pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[*(f"c{i}" for i in range(len(own))), name] if keep else ["doc_id", name])
+            if keep:
+                columns.insert(at, batch.column(1).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[*(f"c{i}" for i in range(len(columns))), name] if keep else ["doc_id", name])
 
-    picked = docs.select(F.col(id_col).alias("doc_id"), C.text_bytes(text_col), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)])
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("body"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)])
     if not keep:
         return C.arrow_map(picked, run, "doc_id long, score double")
     from pyspark.sql.types import DoubleType, StructField, StructType

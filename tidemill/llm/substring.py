@@ -75,13 +75,8 @@ class Windows:
                 yield (n, edges[a : b - self.k + 1], names[a : b - self.k + 1]) if n >= self.k else (n, none, none)
 
 
-_made: dict = {}
-
-
 def _windows(window: int, run: int) -> Windows:
-    if (window, run) not in _made:
-        _made[window, run] = Windows(window, run)
-    return _made[window, run]
+    return C.resident(("windows", window, run), lambda: Windows(window, run))
 
 
 def _groups(sorted_keys: np.ndarray) -> np.ndarray:
@@ -191,6 +186,24 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
+def _trimmed(f):
+    def run(table: pa.Table) -> pa.Table:
+        out = f(table)
+        C.trim()
+        return out
+
+    return run
+
+
+def _trimmed2(f):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = f(left, right)
+        C.trim()
+        return out
+
+    return run
+
+
 def _bodies(table: pa.Table) -> list[bytes]:
     return [x or b"" for x in table["body"].to_pylist()]
 
@@ -289,11 +302,13 @@ def drop_repeats(
         columns.insert(at_text, pa.array([None if x else t.decode() for x, t in zip(null, kept)], pa.string()))
         return pa.table(columns, names=[f"c{i}" for i in range(len(columns))])
 
-    by_part = lambda df, f: df.groupBy("part").applyInArrow(f, _ANSWER)
-    first = by_part(dealt.groupBy("block").applyInArrow(report, _REPORT), lambda t: _meet(t, True)).repartition(parts, "block")
-    asked = dealt.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(resolve, _REPORT)
-    second = by_part(asked, lambda t: _meet(t, False)).repartition(parts, "block")
-    done = dealt.groupBy("block").cogroup(first.union(second).groupBy("block")).applyInArrow(finish, schema)
+    def meet(reports: DataFrame, pieces_: bool) -> DataFrame:
+        return reports.groupBy("part").applyInArrow(_trimmed(lambda t: _meet(t, pieces_)), _ANSWER).repartition(parts, "block")
+
+    first = meet(dealt.groupBy("block").applyInArrow(_trimmed(report), _REPORT), True)
+    asked = dealt.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_trimmed2(resolve), _REPORT)
+    second = meet(asked, False)
+    done = dealt.groupBy("block").cogroup(first.union(second).groupBy("block")).applyInArrow(_trimmed2(finish), schema)
     if digest:
         return done
     return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -198,10 +198,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     shared = spark.sparkContext.broadcast(_made[path])
 
     def run(batches):
-        key = ("counter", path)
-        if key not in _made:
-            _made[key] = Counter(*shared.value)
-        counter = _made[key]
+        counter = C.resident(("counter", path), lambda: Counter(*shared.value))
         for batch in C.slices(batches, 1):
             bodies = [x.as_py() for x in batch.column(1)]
             n = [counter.count(b.decode()) for b in bodies]
