@@ -21,11 +21,15 @@ def json_value(c: Column | str, path: str, kind: str = "string", ignore_case: bo
     at = _c(c)
     for part in path.split("."):
         entries = F.from_json(at, "map<string,string>")
-        names = F.filter(F.map_keys(entries), lambda k, p=part: F.lower(k) == p.lower())
+        names = F.filter(F.map_keys(entries), _named(part))
         at = F.when(F.size(names) > 0, F.try_element_at(entries, F.get(names, F.lit(0))))
     return at.try_cast(kind)
 
 
+def _named(part: str):
+    return lambda k: F.lower(k) == part.lower()
+
+
 def has_path(c: Column | str, path: str) -> Column:
     """Whether the path exists, a JSON null included."""
     *parents, last = path.split(".")

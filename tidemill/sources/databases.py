@@ -120,9 +120,9 @@ def read_duckdb(spark: SparkSession, query: str, database: str = ":memory:", chu
     import pyarrow as pa
 
     with duckdb.connect(database, read_only=database != ":memory:") as c:
-        batches = list(c.execute(query).fetch_record_batch(chunk))
-        schema = batches[0].schema if batches else c.execute(query).fetch_arrow_table().schema
-    return spark.createDataFrame(pa.Table.from_batches(batches, schema))
+        reader = c.sql(query).to_arrow_reader(chunk)
+        found = pa.Table.from_batches(list(reader), reader.schema)
+    return spark.createDataFrame(found)
 
 
 def write_duckdb(df: DataFrame, database: str, table: str, folder: str, mode: str = "create") -> None:

@@ -12,6 +12,7 @@ import json
 import secrets
 from collections.abc import Sequence
 from datetime import datetime, timezone
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,14 +29,17 @@ def snake_case(name: str) -> str:
 
 
 def partition_text(c: str, kind: str, enum: bool = False) -> Column:
-    """A partition value as it stands in a path: null, dates, times, lower-case enumerations, else escaped text."""
+    """A partition value as text: null, dates, times, lower-case enumerations, else the text itself.
+
+    Spark escapes what a path cannot hold; the manifest has the value in URI form.
+    """
     col = F.col(c)
     if kind == "date":
         text = F.date_format(col, "yyyy-MM-dd")
     elif kind.startswith("timestamp"):
         text = F.date_format(col, "yyyy-MM-dd-HH-mm-ss")
     elif kind == "string":
-        text = F.lower(col) if enum else F.replace(F.url_encode(col), F.lit("+"), F.lit("%20"))
+        text = F.lower(col) if enum else col
     else:
         text = F.lower(col.cast("string"))
     return F.coalesce(text, F.lit("null"))
@@ -75,10 +79,12 @@ class LakeTable:
             out = out.repartition(*names.values())
         w = out.write.options(maxRecordsPerFile=max_rows_per_file, compression=compression)
         (w.partitionBy(*names.values()) if names else w).parquet(folder)
-        files = self.spark.read.parquet(folder).select("_metadata.file_path", "_metadata.file_size", *names.values()) if out.columns else None
+        kinds = {n: F.col(n).cast("string").alias(n) for n in names.values()}
+        reader = self.spark.read.schema(", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{n}` string" for n in names.values())]))
+        files = reader.parquet(folder).select("_metadata.file_path", "_metadata.file_size", *kinds.values())
         rows = files.groupBy("file_path", "file_size", *names.values()).agg(F.count("*").alias("n")).collect()
         entries = [
-            {"path": r.file_path, "row_count": r.n, "written_at": now.isoformat(timespec="microseconds"), "file_size_bytes": r.file_size, "partition_values": {snake_case(c): str(r[n]) for c, n in names.items()},
+            {"path": unquote(r.file_path), "row_count": r.n, "written_at": now.isoformat(timespec="microseconds"), "file_size_bytes": r.file_size, "partition_values": {snake_case(c): quote(str(r[n]), safe="") for c, n in names.items()},
              "snapshot_id": snapshot, "format_version": 1, "file_format": "parquet", "compression": compression, "replaces": list(replaces)}
             for r in sorted(rows, key=lambda r: r.file_path)
         ]
