@@ -7,16 +7,19 @@ doubles are taken as decimals, which do not depend on order.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import arrays, checks, convert, dates, json_access, numbers, strings
-from .operators import aggregates, enrich, joins, ordering, routing, rules, transforms, windows
+from .operators import aggregates, ai, enrich, joins, ordering, routing, rules, transforms, windows
 from .plans import lineage
 from .plans.pipeline import Context, Pipeline
-from .session import read_table
+from .session import read_table, shared_folder
+from .sources import checkpoints, files
+from .sources.lake import LakeTable
+from .streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -519,3 +522,110 @@ def graph_pipeline(spark, sf):
 def property_steps(spark, sf):
     c = read_table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
     return transforms.composite(c, lambda df: transforms.set_properties(df, [("c_name", strings.trim), ("c_name", strings.to_upper), ("c_acctbal", lambda x: numbers.at_least(x, 0.0))]))
+
+
+@query("SELECT CAST(event_id AS BIGINT) AS event_id, 'len ' || length(event_type) AS note FROM events WHERE length(event_type) > 4")
+def ai_route_events(spark, sf):
+    """The model is a stand-in that needs no network."""
+    model = lambda prompts: [{"note": f"len {len(p)}", "size": len(p)} for p in prompts]
+    router = routing.Router(routing.FIRST_MATCH).when("long", F.col("size") > 4)
+    return ai.ai_route(read_table(spark, sf, "events").select("event_id", "event_type"), "event_type", model, "note string, size int", router)["long"].select("event_id", "note")
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey < 5 UNION ALL SELECT s_suppkey, s_acctbal FROM supplier")
+def interleave_merge(spark, sf):
+    c = read_table(spark, sf, "customer").where("c_nationkey < 5").select("c_custkey", "c_acctbal")
+    return routing.interleave(c, read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_acctbal").alias("c_acctbal")))
+
+
+@query("SELECT mine AS bucket, count(*) AS n FROM (SELECT unnest([o_orderkey % 7, 100 + o_orderkey % 3]) AS mine FROM orders) GROUP BY 1")
+def custom_windows(spark, sf):
+    """A window assigner of one's own: each row names its windows."""
+    o = read_table(spark, sf, "orders").select(F.explode(F.array(F.col("o_orderkey") % 7, 100 + F.col("o_orderkey") % 3)).alias("bucket"))
+    return aggregates.aggregate(o, ["bucket"], n=F.count("*"))
+
+
+@query("SELECT count(*) AS rows, CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) AS total FROM orders")
+def tap_totals(spark, sf):
+    tapped, seen = transforms.tap(read_table(spark, sf, "orders"), "orders", rows=F.count(F.lit(1)), total=aggregates.exact_sum("o_totalprice"))
+    tapped.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["rows"], seen.get["total"])], "rows long, total double")
+
+
+# --- sources and sinks --------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def csv_round_trip(spark, sf):
+    at = shared_folder(spark)
+    files.write_csv(read_table(spark, sf, "customer"), f"{at}/csv", "overwrite")
+    return files.read_csv(spark, f"{at}/csv", "C_MKTSEGMENT string, c_custkey long, c_name string, c_acctbal double").withColumnRenamed("C_MKTSEGMENT", "c_mktsegment")
+
+
+@query("SELECT event_id AS eventId, user_id AS userId, value FROM events")
+def json_round_trip(spark, sf):
+    at = shared_folder(spark)
+    files.write_json(read_table(spark, sf, "events").select("event_id", "user_id", "value"), f"{at}/json", "overwrite", naming="camel")
+    return files.read_json(spark, f"{at}/json", "eventId long, userId long, value double", lines=True)
+
+
+def _lake(spark, sf) -> tuple[LakeTable, list[str]]:
+    """Orders by status in two snapshots an hour apart."""
+    table = LakeTable(spark, f"{shared_folder(spark)}/orders", ["o_orderstatus"])
+    orders = read_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    at = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    return table, [table.append(orders.where(f"o_orderkey % 3 {test} 0"), now=at + i * HOUR) for i, test in enumerate(("=", "<>"))]
+
+
+@query("SELECT 'all' AS state, o_orderkey FROM orders UNION ALL SELECT 'before', o_orderkey FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'second', o_orderkey FROM orders WHERE o_orderkey % 3 <> 0")
+def lake_time_travel(spark, sf):
+    table, (_, second) = _lake(spark, sf)
+    states = {"all": table.read(), "before": table.read(as_of=datetime(2024, 1, 1, 0, 30)), "second": table.read(snapshot=second)}
+    return routing.concatenate(*[df.select(F.lit(n).alias("state"), "o_orderkey") for n, df in states.items()])
+
+
+@query("SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE o_totalprice END AS o_totalprice FROM orders")
+def lake_upsert_and_compact(spark, sf):
+    table, _ = _lake(spark, sf)
+    changed = read_table(spark, sf, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", "o_orderstatus", F.lit(0.0).alias("o_totalprice"))
+    table.upsert(changed, ["o_orderkey"], "o_orderkey")
+    table.compact(at_least=1)
+    return table.read().select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey > 100")
+def resume_from_checkpoint(spark, sf):
+    saved = checkpoints.Checkpoints(spark, shared_folder(spark))
+    orders = read_table(spark, sf, "orders").select("o_orderkey")
+    _, top = checkpoints.read_new(orders.where("o_orderkey <= 100"), "o_orderkey", saved, "orders")
+    saved.save("orders", top)
+    return checkpoints.read_new(orders, "o_orderkey", saved, "orders")[0]
+
+
+# --- streams ------------------------------------------------------------------------------------------
+
+
+def _stream(spark, sf, make) -> tuple[DataFrame, str]:
+    """The events as a stream of files, and a folder for its checkpoint."""
+    at = shared_folder(spark)
+    events = read_table(spark, sf, "events")
+    events.repartition(3, "user_id").write.parquet(f"{at}/in")
+    return make(streams.read_files(spark, f"{at}/in", events.schema)), at
+
+
+@query(f"SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, {_SUM} AS total FROM events GROUP BY 1, 2")
+def stream_hourly_totals(spark, sf):
+    measures = {"n": F.count("*"), "total": aggregates.exact_sum("value")}
+    out, at = _stream(spark, sf, lambda s: streams.windowed_aggregate(s, "ts", HOUR, ["event_type"], measures, delay=60 * DAY))
+    write = lambda df, i: df.write.mode("overwrite").parquet(f"{at}/out")
+    streams.write_batches(out, write, f"{at}/checkpoint", mode="complete").awaitTermination()
+    return spark.read.parquet(f"{at}/out").select(clock("window_start").alias("window_start"), "event_type", "n", "total")
+
+
+@query("SELECT event_id, value > 5 AS kept FROM events")
+def stream_dead_letters(spark, sf):
+    source, at = _stream(spark, sf, lambda s: s)
+    save = lambda name: lambda df, i: df.select("event_id").write.mode("append").parquet(f"{at}/{name}")
+    sink = streams.with_dead_letters([rules.Rule("value", F.col("value") > 5, "value")], rules.TO_DEAD_LETTERS, save("good"), save("dead"))
+    streams.write_batches(source, sink, f"{at}/checkpoint").awaitTermination()
+    return routing.concatenate(*[spark.read.parquet(f"{at}/{n}").withColumn("kept", F.lit(n == "good")) for n in ("good", "dead")])

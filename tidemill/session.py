@@ -29,3 +29,12 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table; timestamps without a zone become UTC instants, which watermarks and windows need."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"}) if any(t == "timestamp_ntz" for _, t in df.dtypes) else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one where that is unset."""
+    import tempfile
+    import uuid
+
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return f"{top.rstrip('/')}/tidemill-{uuid.uuid4().hex}" if top else tempfile.mkdtemp(prefix="tidemill-")
