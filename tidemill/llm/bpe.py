@@ -179,9 +179,9 @@ _LOOSE = re.compile(r" (?:\s|\Z)")
 class Encoder:
     """Whole texts: split by the pattern, encode each pre-token, remember what recurs."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = MAX_PIECES):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES):
         self.split = regex.compile(pattern).findall
-        self.machine = Transducer(ranks)
+        self.machine = Transducer(ranks, max_states)
         self.max_pieces = max_pieces
         self.pieces: dict[str, str] = {}
         self.spaced: dict[str, str] = {}
@@ -317,14 +317,14 @@ class Decoder:
         return "".join(text) + ("�" if pending else "")
 
 
-def coders(path: str, pattern: str) -> tuple[Encoder, Decoder]:
+def coders(path: str, pattern: str, max_states: int = MAX_STATES) -> tuple[Encoder, Decoder]:
     """The coders of one rank file, one pair per Python process."""
 
     def make():
         ranks = read_ranks(path)
-        return Encoder(ranks, pattern), Decoder(ranks)
+        return Encoder(ranks, pattern, max_states), Decoder(ranks)
 
-    return C.resident(("coders", path, pattern), make)
+    return C.resident(("coders", path, pattern, max_states), make)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -347,12 +347,15 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     return C.arrow_map(docs.select(F.col(id_col).alias("doc_id"), C.text_bytes(text_col)), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, the token ids of every text, and whether they decode to the same text."""
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_states: int = MAX_STATES) -> DataFrame:
+    """doc_id, n_tokens, the token ids of every text, and whether they decode to the same text.
+
+    max_states: how much a worker remembers; fewer states take less memory and more time.
+    """
     C.prepare(docs.sparkSession)
 
     def run(batches):
-        encoder, decoder = coders(path, pattern)
+        encoder, decoder = coders(path, pattern, max_states)
         for batch in C.slices(batches, 1, 2 << 20):
             flat, counts, same = [], [], []
             for body in batch.column(1):

@@ -98,21 +98,25 @@ def slices(batches: Iterator[pa.RecordBatch], size_of: int, limit: int = 4 << 20
 
 
 _resident: dict = {}
+_owner: list = [None]
 
 
 def resident(key: tuple, make: Callable):
-    """An object that a Python worker keeps between tasks, such as a tokenizer with what it remembers.
-
-    Workers live on from stage to stage, so only the latest object is kept: another operator's
-    stage frees the memory of the one before.
-    """
+    """An object that a Python worker keeps between tasks, such as a tokenizer with what it remembers."""
     if key not in _resident:
         _resident.clear()
-        trim()
         _resident[key] = make()
     return _resident[key]
 
 
+def claim(owner: str) -> None:
+    """Workers live on from stage to stage: the first task of another operator frees what the one before kept."""
+    if _owner[0] != owner:
+        _resident.clear()
+        _owner[0] = owner
+        trim()
+
+
 def trim() -> None:
     """Give freed memory back to the machine: the executor's limit counts what workers hold."""
     pa.default_memory_pool().release_unused()
@@ -123,8 +127,10 @@ def trim() -> None:
 
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow, with the memory of each task given back at its end."""
+    owner = f.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(owner)
         try:
             yield from f(batches)
         finally:
@@ -133,6 +139,28 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(run, schema)
 
 
+def arrow_groups(f: Callable, owner: str) -> Callable[[pa.Table], pa.Table]:
+    """A function for applyInArrow over groups, with the same care."""
+
+    def run(table: pa.Table) -> pa.Table:
+        claim(owner)
+        out = f(table)
+        trim()
+        return out
+
+    return run
+
+
+def arrow_cogroups(f: Callable, owner: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        claim(owner)
+        out = f(left, right)
+        trim()
+        return out
+
+    return run
+
+
 def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column from flat values and the number of values of each row."""
     offsets = np.zeros(len(counts) + 1, dtype=np.int32)

@@ -13,9 +13,9 @@ as it has windows, and equal windows always meet under equal names.
    begins or ends inside the piece) and the block is asked for that piece's windows.
 3. Windows of branching pieces are joined the same way, one by one.
 4. Blocks join the answers with their texts: a window is a repeat if the answer names a
-   smaller document; its coordinates in the text mark the words that go. Piece and window
-   names are compared together with an independent fingerprint of the same span, which is
-   the check of the repeated span at both its coordinates.
+   smaller document; its coordinates in the text mark the words that go. A repeat counts only
+   if two independent 64-bit hashes, of the same span at the coordinates in both documents,
+   agree: name and fingerprint for pieces, two hashes for windows.
 
 A name that a third of all documents share is reported once by each block, so no task gets a
 row for each document. Words are the runs of non-white-space bytes, unchanged.
@@ -49,7 +49,7 @@ class Windows:
     def __init__(self, window: int, run: int):
         self.k, self.m = window, run
         self.hasher = C.WordHasher(C.WHITE)
-        self.edge, self.name = C.odd_constants(window, 31), C.odd_constants(run, 37)
+        self.edge, self.name, self.twin = C.odd_constants(window, 31), C.odd_constants(run, 37), C.odd_constants(window, 41)
 
     def _hash(self, words: np.ndarray, factors: np.ndarray) -> np.ndarray:
         n = len(words) - len(factors) + 1
@@ -58,8 +58,16 @@ class Windows:
             out += words[j : j + n] * f
         return C.mix64(out)
 
+    def twins(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Independent second hashes of the windows at some starts."""
+        out = np.zeros(len(starts), dtype=np.uint64)
+        for j, f in enumerate(self.twin):
+            out += C.mix64(words[starts + j] ^ f)
+            out *= f
+        return C.mix64(out)
+
     def of(self, texts: list[bytes]):
-        """For each text: number of words, window hashes, and the piece name of each window."""
+        """For each text: word hashes, window hashes, and the piece name of each window."""
         none = np.zeros(0, dtype=np.uint64)
         for _, words, first in self.hasher.many(texts):
             if len(words) >= self.k:
@@ -71,8 +79,7 @@ class Windows:
                     names = np.minimum(names[:-step], names[step:])
                     width += step
             for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-                n = b - a
-                yield (n, edges[a : b - self.k + 1], names[a : b - self.k + 1]) if n >= self.k else (n, none, none)
+                yield (words[a:b], edges[a : b - self.k + 1], names[a : b - self.k + 1]) if b - a >= self.k else (words[a:b], none, none)
 
 
 def _windows(window: int, run: int) -> Windows:
@@ -92,24 +99,30 @@ def pieces(edges: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 #: One report: which block, to which part, and its columns as raw arrays.
 _REPORT = "part int, block int, keys binary, marks binary, docs binary, which binary, flags binary"
-_ANSWER = "block int, kind int, keys binary, docs binary"
+_ANSWER = "block int, kind int, keys binary, marks binary, docs binary"
 _NO_DOC = np.iinfo(np.int64).max
 
 
-def _report(block: int, parts: int, keys: np.ndarray, docs: np.ndarray, marks: np.ndarray | None):
+def _order(keys: np.ndarray, marks: np.ndarray, single: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sorting order, and the starts of groups in it: by key, for single windows by key and mark."""
+    if not single:
+        order = np.argsort(keys, kind="stable")
+        return order, _groups(keys[order])
+    order = np.lexsort((marks, keys))
+    k, m = keys[order], marks[order]
+    return order, np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (m[1:] != m[:-1]))))
+
+
+def _report(block: int, parts: int, keys: np.ndarray, docs: np.ndarray, marks: np.ndarray, single: bool):
     """Rows for _REPORT: every key of the block once, with its smallest document.
 
     flags: 1 if the block has it in several documents, 2 if with several marks.
     """
-    order = np.argsort(keys, kind="stable")
-    keys, docs = keys[order], docs[order]
-    at = _groups(keys)
+    order, at = _order(keys, marks, single)
+    keys, docs, marks = keys[order], docs[order], marks[order]
     low, high = np.minimum.reduceat(docs, at), np.maximum.reduceat(docs, at)
-    flags = (low != high).astype(np.uint8)
-    if marks is not None:
-        marks = marks[order]
-        least = np.minimum.reduceat(marks, at)
-        flags |= (least != np.maximum.reduceat(marks, at)).astype(np.uint8) << 1
+    least = np.minimum.reduceat(marks, at)
+    flags = (low != high).astype(np.uint8) | (least != np.maximum.reduceat(marks, at)).astype(np.uint8) << 1
     keys = keys[at]
     part = (keys >> np.uint64(32)) % np.uint64(parts)
     order = np.argsort(part, kind="stable")
@@ -118,7 +131,7 @@ def _report(block: int, parts: int, keys: np.ndarray, docs: np.ndarray, marks: n
         i = order[a:b]
         table, which = np.unique(low[i], return_inverse=True)
         yield (
-            int(part[i[0]]), block, keys[i].tobytes(), least[i].tobytes() if marks is not None else b"", table.tobytes(),
+            int(part[i[0]]), block, keys[i].tobytes(), least[i].tobytes(), table.tobytes(),
             which.astype(np.uint16 if len(table) < 1 << 16 else np.uint32).tobytes(), flags[i].tobytes(),
         )
 
@@ -129,10 +142,10 @@ def _table(rows, schema: list[tuple[str, pa.DataType]]) -> pa.Table:
 
 
 _REPORT_ARROW = [("part", pa.int32()), ("block", pa.int32())] + [(n, pa.binary()) for n in ("keys", "marks", "docs", "which", "flags")]
-_ANSWER_ARROW = [("block", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary())]
+_ANSWER_ARROW = [("block", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("marks", pa.binary()), ("docs", pa.binary())]
 
 
-def _meet(table: pa.Table, pieces_: bool) -> pa.Table:
+def _meet(table: pa.Table, single: bool) -> pa.Table:
     """All reports of one part: answers to the blocks that hold repeated keys.
 
     kind 0: the key's windows are repeated as a whole and `docs` has the smallest document;
@@ -146,36 +159,33 @@ def _meet(table: pa.Table, pieces_: bool) -> pa.Table:
         for t, w in zip(columns["docs"], columns["which"])
     ])
     blocks = np.repeat(np.array(columns["block"]), [len(x) // 8 for x in columns["keys"]])
-    order = np.argsort(keys, kind="stable")
-    keys, flags, docs, blocks = keys[order], flags[order], docs[order], blocks[order]
-    at = _groups(keys)
+    marks = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in columns["marks"]])
+    order, at = _order(keys, marks, single)
+    keys, marks, flags, docs, blocks = keys[order], marks[order], flags[order], docs[order], blocks[order]
     size = np.diff(np.append(at, len(keys)))
     low = np.minimum.reduceat(docs, at)
     either = np.bitwise_or.reduceat(flags, at)
     repeated = (low != np.maximum.reduceat(docs, at)) | (either & 1 > 0)
-    branch = np.zeros(len(at), dtype=bool)
-    if pieces_:
-        marks = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in columns["marks"]])[order]
-        branch = (either & 2 > 0) | (np.minimum.reduceat(marks, at) != np.maximum.reduceat(marks, at))
+    branch = (either & 2 > 0) | (np.minimum.reduceat(marks, at) != np.maximum.reduceat(marks, at))
     low, branch, repeated = np.repeat(low, size), np.repeat(branch, size), np.repeat(repeated, size)
     asked = repeated & (branch | (docs != low) | (flags & 1 > 0))
-    keys, docs, blocks, branch = keys[asked], low[asked], blocks[asked], branch[asked]
-    kind = branch.astype(np.int32) if pieces_ else np.full(len(keys), 2, dtype=np.int32)
+    keys, marks, docs, blocks, branch = keys[asked], marks[asked], low[asked], blocks[asked], branch[asked]
+    kind = np.full(len(keys), 2, dtype=np.int32) if single else branch.astype(np.int32)
     order = np.lexsort((keys, kind, blocks))
     group = _groups(blocks[order].astype(np.int64) * 4 + kind[order]) if len(order) else np.zeros(0, dtype=np.int64)
     bounds = np.append(group, len(order)).astype(np.int64)
     return _table(
-        ((int(blocks[i[0]]), int(kind[i[0]]), keys[i].tobytes(), docs[i].tobytes()) for a, b in zip(bounds[:-1], bounds[1:]) for i in (order[a:b],)),
+        ((int(blocks[i[0]]), int(kind[i[0]]), keys[i].tobytes(), marks[i].tobytes() if single else b"", docs[i].tobytes()) for a, b in zip(bounds[:-1], bounds[1:]) for i in (order[a:b],)),
         _ANSWER_ARROW,
     )
 
 
-def _answers(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = [(k, d) for t, k, d in zip(table["kind"].to_pylist(), table["keys"].to_pylist(), table["docs"].to_pylist()) if t == kind]
-    keys = np.frombuffer(b"".join(k for k, _ in rows), dtype=np.uint64)
-    docs = np.frombuffer(b"".join(d for _, d in rows), dtype=np.int64)
+def _answers(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, marks and smallest documents of one kind of answers, by key."""
+    rows = [r[1:] for r in zip(table["kind"].to_pylist(), *(table[c].to_pylist() for c in ("keys", "marks", "docs"))) if r[0] == kind]
+    keys, marks, docs = (np.frombuffer(b"".join(r[i] for r in rows), dtype=t) for i, t in enumerate((np.uint64, np.uint64, np.int64)))
     order = np.argsort(keys, kind="stable")
-    return keys[order], docs[order]
+    return keys[order], marks[order] if len(marks) else marks, docs[order]
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,24 +196,6 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
-def _trimmed(f):
-    def run(table: pa.Table) -> pa.Table:
-        out = f(table)
-        C.trim()
-        return out
-
-    return run
-
-
-def _trimmed2(f):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = f(left, right)
-        C.trim()
-        return out
-
-    return run
-
-
 def _bodies(table: pa.Table) -> list[bytes]:
     return [x or b"" for x in table["body"].to_pylist()]
 
@@ -248,40 +240,44 @@ def drop_repeats(
                 ids.append(np.full(len(starts), doc, dtype=np.int64))
         if not keys:
             return _table([], _REPORT_ARROW)
-        return _table(_report(table["block"][0].as_py(), parts, np.concatenate(keys), np.concatenate(ids), np.concatenate(marks)), _REPORT_ARROW)
+        return _table(_report(table["block"][0].as_py(), parts, np.concatenate(keys), np.concatenate(ids), np.concatenate(marks), False), _REPORT_ARROW)
 
     def resolve(table: pa.Table, answers: pa.Table) -> pa.Table:
         """Step 3: the windows of one block's branching pieces."""
-        branching, _ = _answers(answers, 1)
+        branching, _, _ = _answers(answers, 1)
         if not table.num_rows or not len(branching):
             return _table([], _REPORT_ARROW)
         w = _windows(window, run)
-        keys, ids = [], []
-        for doc, (_, edges, names_) in zip(table["doc"].to_pylist(), w.of(_bodies(table))):
+        keys, marks, ids = [], [], []
+        for doc, (words, edges, names_) in zip(table["doc"].to_pylist(), w.of(_bodies(table))):
             if len(edges) and doc != _NO_DOC:
-                _, hit = _find(branching, names_)
-                keys.append(edges[hit])
-                ids.append(np.full(int(hit.sum()), doc, dtype=np.int64))
-        keys, ids = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64), np.concatenate(ids) if ids else np.zeros(0, dtype=np.int64)
-        if not len(keys):
+                starts = np.flatnonzero(_find(branching, names_)[1])
+                keys.append(edges[starts])
+                marks.append(w.twins(words, starts))
+                ids.append(np.full(len(starts), doc, dtype=np.int64))
+        if not sum(map(len, keys)):
             return _table([], _REPORT_ARROW)
-        return _table(_report(table["block"][0].as_py(), parts, keys, ids, None), _REPORT_ARROW)
+        return _table(_report(table["block"][0].as_py(), parts, np.concatenate(keys), np.concatenate(ids), np.concatenate(marks), True), _REPORT_ARROW)
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         """Step 4: the texts of one block without their repeats."""
         w = _windows(window, run)
-        whole, whole_doc = _answers(answers, 0)
-        single, single_doc = _answers(answers, 2)
+        whole, _, whole_doc = _answers(answers, 0)
+        single, single_mark, single_doc = _answers(answers, 2)
+        both = C.mix64(single ^ C.mix64(single_mark))  # one name from both hashes of a window
+        order = np.argsort(both, kind="stable")
+        both, both_key, both_doc = both[order], single[order], single_doc[order]
         bodies = _bodies(table)
         counts, gone, kept = [], [], []
-        for doc, body, (n, edges, names_) in zip(table["doc"].to_pylist(), bodies, w.of(bodies)):
-            cover = None
+        for doc, body, (words, edges, names_) in zip(table["doc"].to_pylist(), bodies, w.of(bodies)):
+            cover, n = None, len(words)
             if len(edges) and doc != _NO_DOC:
                 at, hit = _find(whole, names_)
                 repeat = hit & (whole_doc[at] < doc) if len(whole) else hit
-                at, hit = _find(single, edges)
-                if len(single):
-                    repeat = repeat | (hit & (single_doc[at] < doc))
+                maybe = np.flatnonzero(_find(single, edges)[1])
+                if len(maybe):
+                    at, hit = _find(both, C.mix64(edges[maybe] ^ C.mix64(w.twins(words, maybe))))
+                    repeat[maybe] |= hit & (both_key[at] == edges[maybe]) & (both_doc[at] < doc)
                 if repeat.any():
                     starts = np.flatnonzero(repeat)
                     change = np.zeros(n + 1, dtype=np.int32)
@@ -302,13 +298,13 @@ def drop_repeats(
         columns.insert(at_text, pa.array([None if x else t.decode() for x, t in zip(null, kept)], pa.string()))
         return pa.table(columns, names=[f"c{i}" for i in range(len(columns))])
 
-    def meet(reports: DataFrame, pieces_: bool) -> DataFrame:
-        return reports.groupBy("part").applyInArrow(_trimmed(lambda t: _meet(t, pieces_)), _ANSWER).repartition(parts, "block")
+    def meet(reports: DataFrame, single: bool) -> DataFrame:
+        return reports.groupBy("part").applyInArrow(C.arrow_groups(lambda t: _meet(t, single), __name__), _ANSWER).repartition(parts, "block")
 
-    first = meet(dealt.groupBy("block").applyInArrow(_trimmed(report), _REPORT), True)
-    asked = dealt.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_trimmed2(resolve), _REPORT)
-    second = meet(asked, False)
-    done = dealt.groupBy("block").cogroup(first.union(second).groupBy("block")).applyInArrow(_trimmed2(finish), schema)
+    first = meet(dealt.groupBy("block").applyInArrow(C.arrow_groups(report, __name__), _REPORT), False)
+    asked = dealt.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(C.arrow_cogroups(resolve, __name__), _REPORT)
+    second = meet(asked, True)
+    done = dealt.groupBy("block").cogroup(first.union(second).groupBy("block")).applyInArrow(C.arrow_cogroups(finish, __name__), schema)
     if digest:
         return done
     return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
