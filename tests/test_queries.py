@@ -32,7 +32,7 @@ def rows(names, data):
     return sorted((tuple(plain(r[i]) for i in order) for r in data), key=repr)
 
 
-@pytest.mark.parametrize("name", list(queries.QUERIES))
+@pytest.mark.parametrize("name", list(queries.SQL))
 def test_query(spark, sf, duck, name):
     df = queries.QUERIES[name](spark, sf)
     sql = duck.sql(queries.SQL[name])
@@ -50,3 +50,9 @@ def test_pushdown(spark, sf):
     """A filter and a projection reach the scan."""
     plan = queries.QUERIES["filter_events"](spark, sf)._jdf.queryExecution().toString()
     assert "PushedFilters: [" in plan and "props" not in plan.split("ReadSchema")[-1].split("\n")[0]
+
+
+def test_lineage_sample(spark, sf):
+    a, b = ({r[0] for r in queries.QUERIES["lineage_sample"](spark, sf).collect()} for _ in range(2))
+    n = spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert a == b and 0.05 * n < len(a) < 0.2 * n

@@ -7,6 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import with_checkpoints
+
+
+def ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The rows dealt by range and sorted: _p is the range's number, _i the row's place in it from 1.
+
+    The bounds of ranges come from a sample and may differ when they are computed again, so
+    the result is checkpointed: every later use, also after a lost executor, sees one dealing.
+    """
+    spark = df.sparkSession
+    with_checkpoints(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The id counts rows inside each partition in its lower 33 bits.
+    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    return dealt.withColumns({"_p": F.shiftright("_m", 33), "_i": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1}).drop("_m").checkpoint()
+
 
 def numbered(df: DataFrame, order: Sequence[str], name: str = "row_number") -> DataFrame:
     """1, 2, 3 ... over the whole dataset in the given order.
@@ -15,13 +31,10 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "row_number") -> D
     row each, give every partition its offset. No task sees more than its range. The order
     must be total for reproducible numbers.
     """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
-    inside = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    counts = inside.groupBy("_p").agg(F.count("*").alias("_c"))  # one row for each partition
+    dealt = ranges(df, order)
+    counts = dealt.groupBy("_p").agg(F.count("*").alias("_c"))  # one row for each partition
     offsets = counts.withColumn("_o", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_o")
-    return inside.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_o") + F.col("_i")).drop("_p", "_i", "_o")
+    return dealt.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_o") + F.col("_i")).drop("_p", "_i", "_o")
 
 
 def batches(df: DataFrame, size: int, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -63,11 +76,10 @@ def late_marks(df: DataFrame, time: str, order: Sequence[str], delay_us: int, ke
     if keys:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(name, F.coalesce(micros < F.max(micros).over(w) - delay_us, F.lit(False)))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).withColumns({"_p": F.spark_partition_id(), "_t": micros})
-    inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = ranges(df, order).withColumn("_t", micros)
+    inside = Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
     marked = dealt.withColumn("_m", F.max("_t").over(inside))
     highest = dealt.groupBy("_p").agg(F.max("_t").alias("_h"))  # one row for each partition
     before = highest.withColumn("_b", F.max("_h").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", "_b")
     mark: Column = F.greatest("_m", "_b") - delay_us
-    return marked.join(F.broadcast(before), "_p").withColumn(name, F.coalesce(F.col("_t") < mark, F.lit(False))).drop("_p", "_t", "_m", "_b")
+    return marked.join(F.broadcast(before), "_p").withColumn(name, F.coalesce(F.col("_t") < mark, F.lit(False))).drop("_p", "_i", "_t", "_m", "_b")

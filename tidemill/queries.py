@@ -629,3 +629,10 @@ def stream_dead_letters(spark, sf):
     sink = streams.with_dead_letters([rules.Rule("value", F.col("value") > 5, "value")], rules.TO_DEAD_LETTERS, save("good"), save("dead"))
     streams.write_batches(source, sink, f"{at}/checkpoint").awaitTermination()
     return routing.concatenate(*[spark.read.parquet(f"{at}/{n}").withColumn("kept", F.lit(n == "good")) for n in ("good", "dead")])
+
+
+@query()
+def lineage_sample(spark, sf):
+    """About one in ten ids, always the same ones; the hash is Spark's own, so there is no SQL for it."""
+    o = lineage.start(read_table(spark, sf, "orders"), "orders", ["o_orderkey"])
+    return o.where(lineage.sampled(F.col(lineage.ID), 10)).select("o_orderkey", lineage.ID)

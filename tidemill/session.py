@@ -31,6 +31,24 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"}) if any(t == "timestamp_ntz" for _, t in df.dtypes) else df
 
 
+#: Settings for long-running bulk jobs, over SETTINGS: larger scans and shuffles per task, fewer files.
+HIGH_THROUGHPUT = {
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.shuffle.partitions": "2000",
+    "spark.sql.parquet.filterPushdown": "true",
+}
+
+
+def with_checkpoints(spark: SparkSession) -> None:
+    """Name a checkpoint folder: spark.checkpoint.dir, or a local one where that is unset."""
+    import tempfile
+
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemill-checkpoint-"))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one where that is unset."""
     import tempfile
