@@ -12,7 +12,8 @@ SAMPLE_PASSAGES passages (both parameters of fit()). Every document is scored ov
 passages; texts are read piece by piece, so memory is bounded for long ones.
 
 Defined cases: null and empty texts are a bag of one zero passage and get a score; without any
-labelled row every score is 0.5. Rows may repeat.
+labelled row every score is 0.5. Rows may repeat; a null doc_id
+is not held out.
 """
 
 from __future__ import annotations
@@ -191,7 +192,7 @@ def score(docs: DataFrame, model: Bag | None, id_col: str = "doc_id", text_col:
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document row."""
     scored = score(docs, fit(docs, labels))
-    return scored.select("doc_id", (C.fold_of("doc_id", MOD) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(C.fold_of("doc_id", MOD) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ that is as clear as its extensions, with their log-odds as weights, MAX_ENTRIES
 text is cut: each whole text is folded, in pieces if it is long.
 
 Defined cases: null and empty texts have no words and get the score of a text without hits;
-without labels of both classes every score is 0.5. Rows may repeat.
+without labels of both classes every score is 0.5. Rows may repeat; a null doc_id
+is not held out.
 """
 
 from __future__ import annotations
@@ -262,4 +263,4 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(score, pa.float64()), pa.array(total, pa.float64()), pa.array(words, pa.int64())], names=["doc_id", "score", "weight", "n_words"])
 
     scored = C.arrow_map(docs.select(F.col(id_col).alias("doc_id"), C.text_bytes(text_col)), run, "doc_id long, score double, weight double, n_words long")
-    return scored.select("doc_id", (C.fold_of("doc_id", MOD) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "weight", "n_words")
+    return scored.select("doc_id", F.coalesce(C.fold_of("doc_id", MOD) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "weight", "n_words")
