@@ -221,3 +221,26 @@ def test_lineage_and_metrics(spark):
     m = metrics.Metrics()
     m.timed("run", lambda: m.node("half", lambda d: d.where("i < 5"))(spark.range(10).toDF("i")).collect())
     assert m.report()["half"]["processed"] == 10 and m.report()["half"]["emitted"] == 5
+
+
+def test_per_item(spark):
+    df = spark.createDataFrame([(1,), (0,), (2,)], "x int")
+    inverse = lambda r: {"y": 1 / r["x"]}
+    assert sorted(r.y for r in transforms.per_item(df, inverse, "y double", on_error="skip").collect()) == [0.5, 1.0]
+    out = transforms.per_item(df, inverse, "y double", retries=1, on_error="dead_letter")
+    assert sorted((r.y or 0, r._item) for r in out.collect()) == [(0, '{"x": 0}'), (0.5, None), (1.0, None)]
+    assert "ZeroDivisionError" in transforms.dead_letters(out.where("_error is not null"))[0]["_error"]
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        transforms.per_item(df, inverse, "y double").collect()
+
+
+def test_testing_kit(spark):
+    from tidemill import testing
+
+    out = testing.Capture()
+    p = Pipeline().source("s", testing.memory_source([(1,), (2,)], "x int")).transform("t", lambda d: d.where("x > 1")).sink("o", out).connect("s", "t", "o")
+    testing.run(p, Context(spark))
+    assert out.rows == [(2,)]
+    testing.assert_rows(spark.range(2), [(1,), (0,)])
+    with pytest.raises(AssertionError):
+        testing.assert_rows(spark.range(2), [(1,), (1,)])

@@ -143,3 +143,12 @@ def test_stateful_streams(spark, tmp_path):
     streams.write_batches(streams.keyed_join(merged, "k", ["l"], ["r"]), lambda b, i: pairs.extend((r.k, r.l, r.r) for r in b.collect()), str(tmp_path / "c2")).awaitTermination()
     assert pairs == [(1, "a", "x")]
     assert os.path.exists(tmp_path / "c2")
+
+
+def test_skip_read(spark, tmp_path):
+    c = checkpoints.Checkpoints(spark, str(tmp_path), checkpoints.OFFSET)
+    rows, n = checkpoints.skip_read(spark.range(5).toDF("i"), ["i"], c, "s")
+    assert rows.count() == n == 5
+    c.save("s", n)
+    rows, n = checkpoints.skip_read(spark.range(8).toDF("i"), ["i"], c, "s")
+    assert sorted(r.i for r in rows.collect()) == [5, 6, 7] and n == 8

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def project(df: DataFrame, **columns: Column) -> DataFrame:
@@ -51,3 +53,41 @@ def fold(key: Sequence[str], order: str, value: str, start: Column, step: Callab
         return df.groupBy(*key).agg(F.aggregate(items, start, step, finish).alias("result"))
 
     return run
+
+
+def per_item(df: DataFrame, f: Callable[[dict], dict], schema: str, retries: int = 0, on_error: str = "fail") -> DataFrame:
+    """A Python function from row to row, for work such as calls to services.
+
+    A row that still fails after `retries` more tries stops the job (fail), is left out (skip),
+    or comes out with null columns, the error and the row as JSON (dead_letter): the result
+    then has the columns _error and _item, both null for good rows.
+    """
+    if on_error not in ("fail", "skip", "dead_letter"):
+        raise ValueError(f"unknown action {on_error}")
+    names = StructType.fromDDL(schema).names
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row in frame.to_dict("records"):
+                for attempt in range(retries + 1):
+                    try:
+                        got = f(row)
+                        out.append([*[got.get(n) for n in names], None, None])
+                        break
+                    except Exception as e:  # the policy decides about user code
+                        if attempt < retries:
+                            continue
+                        if on_error == "fail":
+                            raise
+                        if on_error == "dead_letter":
+                            out.append([*[None] * len(names), f"{type(e).__name__}: {e}", json.dumps(row, default=str)])
+            made = pd.DataFrame(out, columns=[*names, "_error", "_item"], dtype=object)
+            yield made if on_error == "dead_letter" else made[names]
+
+    return df.mapInPandas(run, f"{schema}, _error string, _item string" if on_error == "dead_letter" else schema)
+
+
+def dead_letters(rejected: DataFrame, most: int = 1000) -> list[dict]:
+    """The first rejected rows for a person to look at; write the frame itself to keep them all."""
+    return [r.asDict(recursive=True) for r in rejected.limit(most).collect()]

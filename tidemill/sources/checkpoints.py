@@ -8,6 +8,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import numbered
+
 NONE, OFFSET, KEY, CURSOR, MEMORY = "none", "offset", "key", "cursor", "memory"
 
 
@@ -47,3 +49,13 @@ def read_new(df: DataFrame, column: str, checkpoints: Checkpoints, source: str)
     new = df if last is None else df.where(F.col(column) > F.lit(last).cast(df.schema[column].dataType))
     top = new.agg(F.max(column).cast("string")).first()[0]
     return new, last if top is None else top
+
+
+def skip_read(df: DataFrame, order: list[str], checkpoints: Checkpoints, source: str) -> tuple[DataFrame, int]:
+    """The offset strategy: rows after the first N in a total order, N being what was read before, and the new N.
+
+    Prefer read_new() where a growing column exists: it filters at the source.
+    """
+    done = int(checkpoints.load(source) or 0)
+    rows = numbered(df, order, "_n").where(F.col("_n") > done).drop("_n")
+    return rows, done + rows.count()

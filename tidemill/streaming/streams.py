@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.rules import Policy, Rule, apply_rules
 from ..operators.windows import interval, spark_window
+from ..sources.brokers import kafka_options, kafka_sink_options
 
 #: Fixed value: how far rows may be out of order unless said otherwise.
 OUT_OF_ORDER = timedelta(minutes=5)
@@ -24,6 +25,16 @@ def read_files(spark: SparkSession, path: str, schema: StructType | str, kind: s
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(path)
 
 
+def read_kafka(spark: SparkSession, **options) -> DataFrame:
+    """Messages of a topic; options as for sources.brokers.kafka_options(). Needs Spark's Kafka package."""
+    return spark.readStream.format("kafka").options(**kafka_options(**options)).load()
+
+
+def write_kafka(df: DataFrame, checkpoint: str, **options) -> StreamingQuery:
+    """Rows with key and value columns to a topic; options as for sources.brokers.kafka_sink_options()."""
+    return df.writeStream.format("kafka").options(**kafka_sink_options(**options)).option("checkpointLocation", checkpoint).start()
+
+
 def with_watermark(df: DataFrame, time: str, delay: timedelta = OUT_OF_ORDER) -> DataFrame:
     return df.withWatermark(time, interval(delay) if delay else "0 seconds")
 
