@@ -180,10 +180,13 @@ def scan(
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("body"), F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"), *carried)
     result = StructType([StructField("doc_id", LongType()), StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("items", ArrayType(StringType())), *fields])
     extra = len(carried)
-    slices = list(phrase_slices(items, id_col=item_id, text_col=item_text, window=window))
-    for number, phrases in enumerate(slices):
+    # One slice at a time is held here; a broadcast one lives in Spark's storage.
+    slices = phrase_slices(items, item_id, item_text, window)
+    number, phrases = 0, next(slices)
+    while phrases is not None:
         shared = spark.sparkContext.broadcast(phrases)
-        last = number == len(slices) - 1
+        phrases = next(slices, None)
+        last = phrases is None
 
         def run(batches, shared=shared, first_pass=number == 0, last=last):
             phrases = shared.value
@@ -226,6 +229,7 @@ def scan(
                     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), pa.array(owners, pa.list_(pa.string())), *more], names=["doc_id", "body", "hit", "items", *names])
 
         out = C.arrow_map(out, run, result if last else out.schema)
+        number += 1
     return out
 
 
