@@ -9,7 +9,8 @@ logistic unit over the total, the density and the heaviest entry found gives the
 
 The lexicon is learned: of the word beginnings in a bounded sample of labelled documents
 (SAMPLE_ROWS, a parameter), those are kept that mark toxic documents clearly, the shortest one
-that is as clear as its extensions, with their log-odds as weights, MAX_ENTRIES at most. No
+that is as clear as its extensions, with their log-odds as weights, MAX_ENTRIES at most. A short
+list of common insults is in from the start, for small samples; labels may overrule it. No
 text is cut: each whole text is folded, in pieces if it is long.
 
 Defined cases: null and empty texts have no words and get the score of a text without hits;
@@ -49,6 +50,11 @@ ALIKE = {
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clownfish", "scum line", "pond scum")
 
 
+#: Fixed value: common English insults, entries with weight SEED_WEIGHT until labels say more.
+SEEDS = ("asshole", "bastard", "clown", "cretin", "disgusting", "dumbass", "filth", "garbage", "idiot", "imbecile", "jerk", "loser", "lowlife", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
+SEED_WEIGHT = 3.0
+
+
 class _Fold(dict):
     """A translation table filled as characters are met: letters folded, the rest to a space or to nothing.
 
@@ -219,6 +225,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
         shorter = max((kept[r.term[:k]] for k in range(SHORTEST - 1, len(r.term)) if r.term[:k] in kept), default=-1.0)
         if r.w > shorter + 0.7 and len(kept) < MAX_ENTRIES:
             kept[r.term] = float(r.w)
+    seen = {r.term: r for r in counted.where(F.col("term").isin([fold(w)[:LONGEST] for w in SEEDS])).withColumn("w", odds).collect()}
+    for word in map(fold, SEEDS):
+        got = seen.get(word[:LONGEST])
+        if word not in kept and (got is None or got.w > 1):  # labels may overrule a seed
+            kept[word] = SEED_WEIGHT if got is None else max(SEED_WEIGHT, float(got.w))
     lexicon = Lexicon(kept)
 
     def measures(batches):
