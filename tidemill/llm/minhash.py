@@ -35,6 +35,7 @@ SHINGLE = 5
 CIRCLE_BITS = 22
 BANDS, ROWS = 32, 6
 TILE_DOCS, TILE_SHINGLES = 1024, 500_000
+SALTS = 8
 _SIZE_CLASSES = 1.0
 
 
@@ -243,7 +244,9 @@ def near_duplicates(
         .where("own_n > 0 and all_n > 1")
         .select("root", "c", F.greatest(F.ceil(F.col("all_n") / TILE_DOCS), F.ceil(F.col("all_sh") / TILE_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
     )
-    placed = member.join(group, ["root", "c"]).withColumn("b", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
+    # A large cluster's members meet its row in several tasks.
+    salted = group.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = member.withColumn("salt", F.pmod(F.xxhash64("nid"), F.lit(SALTS)).cast("int")).join(salted, ["root", "c", "salt"]).withColumn("b", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
     tiles = placed.select(
         "nid", "b", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"), "root", "c",
     ).select(
