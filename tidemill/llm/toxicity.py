@@ -8,7 +8,7 @@ count. The weights found in a text are summed and normalised by its number of wo
 logistic unit over the total, the density and the heaviest entry found gives the score.
 
 The lexicon is learned: of the word beginnings in a bounded sample of labelled documents
-(SAMPLE_ROWS, a parameter), those are kept that mark toxic documents clearly, the shortest one
+(SAMPLE_ROWS of at most SAMPLE_BYTES each, parameters), those are kept that mark toxic documents clearly, the shortest one
 that is as clear as its extensions, with their log-odds as weights, MAX_ENTRIES at most. A short
 list of common insults is in from the start, for small samples; labels may overrule it. No
 text is cut: each whole text is folded, in pieces if it is long.
@@ -34,6 +34,10 @@ from . import common as C
 from .labels import sample
 
 SAMPLE_ROWS = 8000
+#: Longer labelled documents are not used for the fit; every document is scored whole.
+SAMPLE_BYTES = 200_000
+#: Distinct beginnings that a task holds before it hands them on.
+HELD_TERMS = 200_000
 MAX_ENTRIES = 4000
 SHORTEST, LONGEST = 4, 12
 MOD, HELD_OUT = 5, 0
@@ -188,21 +192,32 @@ def _pieces(text: str):
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Lexicon | None:
     spark = docs.sparkSession
     C.prepare(spark)
-    chosen = sample(docs, labels, label, MOD, HELD_OUT, rows).checkpoint()  # bounded by `rows`
+    chosen = sample(docs, labels, label, MOD, HELD_OUT, rows).where(F.octet_length("body") <= SAMPLE_BYTES).checkpoint()
     if chosen.select((F.col("y") > 0).alias("y")).distinct().count() < 2:
         return None
 
     def terms(batches):
+        docs_, times = Counter(), {True: Counter(), False: Counter()}
+
+        def flush():
+            both = list(times[True].keys() | times[False].keys())
+            out = pa.RecordBatch.from_arrays([pa.array(both, pa.string()), *(pa.array([x[t] for t in both], pa.int64()) for x in (docs_, times[True], times[False]))], names=["term", "t", "k", "c"])
+            for x in (docs_, *times.values()):
+                x.clear()
+            return out
+
         for batch in C.slices(batches, 1):
-            docs_, times = ({True: Counter(), False: Counter()} for _ in range(2))
             for y, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words, _ = beginnings(body.decode())
                 own = Counter(t for w in words for t in prefixes(w))  # distinct words with each beginning
-                docs_[y > 0].update(own.keys())
+                if y > 0:
+                    docs_.update(own.keys())
                 times[y > 0].update(own)
                 times[y > 0][""] += len(words)
-            both = list(times[True].keys() | times[False].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), *(pa.array([x[t] for t in both], pa.int64()) for x in (docs_[True], times[True], times[False]))], names=["term", "t", "k", "c"])
+                if len(times[True]) + len(times[False]) > HELD_TERMS:
+                    yield flush()
+        if times[True] or times[False]:
+            yield flush()
 
     counted = C.arrow_map(chosen, terms, "term string, t long, k long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("k").alias("k"), F.sum("c").alias("c")).where("k > 0").checkpoint()
     every = counted.where("term = ''").first()
