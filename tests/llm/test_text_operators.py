@@ -110,6 +110,31 @@ def test_near_duplicates_odd_rows(spark):
     assert minhash.near_duplicates(frame(spark, rows).limit(0)).collect() == []
 
 
+def test_pipeline_stage_links_at_80_percent(spark):
+    """The stage against brute force, with pairs at 0.80 exactly, just under it, and between 0.80 and 0.85."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    rows = []
+    for n, off in [(36, 4), (36, 4), (35, 4), (38, 4), (42, 4), (30, 1), (50, 6)] * 3:
+        base = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(n + 4)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[: n + 4 - off] + [f"z{len(rows)}y{k}" for k in range(off)]))]
+    rows += [(len(rows) + i, t) for i, (_, t) in enumerate(corpus(3)[:40])]
+    sets = {}
+    for i, t in rows:
+        w = blank_words(t, True)
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    link = [(a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in sets for b in sets if a < b and sets[a] & sets[b]]
+    assert sum(0.8 <= j < 0.85 for _, _, j in link) >= 6 and any(0.75 < j < 0.8 for _, _, j in link)
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a, b, j in link:
+            if j >= 0.8:
+                root[a] = root[b] = min(root[a], root[b])
+    got = corpus_pipeline.keep_one_of_near_copies(spark, frame(spark, rows), "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(i for i in sets if root[i] == i)
+
+
 def brute_repeats(rows):
     first, out = {}, {}
     for i, t in sorted(rows):
