@@ -135,6 +135,22 @@ def test_pipeline_stage_links_at_80_percent(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(i for i in sets if root[i] == i)
 
 
+def test_near_duplicates_are_dropped_by_row(spark):
+    copy = "a b c d e f g h i j k l m n o p q r s t u v w x"
+    rows = [
+        (1, copy), (None, copy), (None, "only one without an id here"), (None, "another one without any id"),
+        (9, copy), (9, "shares its id but not its text with a copy"), (9, "shares its id but not its text with a copy"),
+        (4, "two rows of one id and one set"), (4, "Two rows of ONE id and one set"),
+        (None, "three copies that all lack an id"), (None, "Three copies that all lack an id"), (None, "three copies that all lack an id"),
+        (None, None), (None, None), (1, " "),
+    ]
+    got = [(r.doc_id, (r.text or "").lower()) for r in minhash.drop_near_duplicates(frame(spark, rows)).collect()]
+    want = [rows[k] for k in (0, 2, 3, 5, 7, 9)] + [(None, ""), (None, ""), (1, " ")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert minhash.drop_near_duplicates(frame(spark, rows)).columns == ["doc_id", "text", "score", "n_words"]
+    assert minhash.drop_near_duplicates(frame(spark, rows).limit(0)).collect() == []
+
+
 def brute_repeats(rows):
     first, out = {}, {}
     for i, t in sorted(rows):

@@ -15,7 +15,8 @@ a tile reports a spanning forest of its links, never all pairs.
 
 Defined cases: null or wordless text has an empty set, is linked with nothing and is kept;
 equal sets are one node from the start, however many rows carry them; rows may repeat; a null
-doc_id counts as a row but is never a component's name unless nothing else is there.
+doc_id counts as a row but is never a component's name unless nothing else is there. Dropping
+keeps one row of each component, whatever the ids.
 """
 
 from __future__ import annotations
@@ -93,8 +94,13 @@ def set_key(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, set key (null for empty sets) and band keys of every document."""
+def text_key(text_col: str):
+    """256 bits that name a text; null for null."""
+    return F.unhex(F.sha2(F.col(text_col).cast("binary"), 256))
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int, by_row: bool = False) -> DataFrame:
+    """doc_id, n_shingles, set key (null for empty sets) and band keys of every document; by_row: its text key too."""
 
     def run(batches):
         s = _sketcher(shingle, bands, rows)
@@ -117,12 +123,12 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: i
             flat = s.band_keys(np.array(sigs)).view(np.int64).ravel() if sigs else np.zeros(0, dtype=np.int64)
             counts = np.array([0 if k is None else s.bands for k in keys])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), C.list_array(flat, counts, pa.int64())],
-                names=["doc_id", "n_shingles", "set_key", "bands"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), C.list_array(flat, counts, pa.int64()), *batch.columns[2:]],
+                names=["doc_id", "n_shingles", "set_key", "bands", *batch.schema.names[2:]],
             )
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), C.text_bytes(text_col))
-    return C.arrow_map(picked, run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), C.text_bytes(text_col), *([text_key(text_col).alias("text_key")] if by_row else []))
+    return C.arrow_map(picked, run, "doc_id long, n_shingles long, set_key binary, bands array<long>" + ", text_key binary" * by_row)
 
 
 def forest(sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -213,13 +219,28 @@ def near_duplicates(
     shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
+    sketch, labels = _components(docs, id_col, text_col, percent, shingle, bands, rows)
+    out = sketch.select("doc_id", "n_shingles", "set_key").join(labels, "set_key", "left")
+    component = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def _components(
+    docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: int, bands: int, rows: int, by_row: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """The sketches, and set_key, component_id of every set.
+
+    by_row: also `keeper`, the doc_id and text key of the one row that stays of the component if
+    it is a row of this set, else null. It has the least id, then the least set and text key.
+    """
     spark = docs.sparkSession
     C.prepare(spark)
-    sketch = sketches(docs, id_col, text_col, shingle, bands, rows).checkpoint()
+    sketch = sketches(docs, id_col, text_col, shingle, bands, rows, by_row).checkpoint()
+    first = [F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")] if by_row else []
     nodes = (
         sketch.where("set_key is not null")
         .groupBy("set_key")
-        .agg(F.min("doc_id").alias("label"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        .agg(F.min("doc_id").alias("label"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), *first)
         .withColumn("nid", F.monotonically_increasing_id())
         .checkpoint()
     )
@@ -256,18 +277,39 @@ def near_duplicates(
     sets = shingle_sets(docs, wanted, id_col, text_col, shingle)
     rows_ = tiles.withColumn("tile", F.xxhash64("t.root", "t.c", "t.i", "t.j")).select("nid", "tile", "side").join(sets, "nid")
     found = components(linked(rows_, percent))
-    name = found.withColumnRenamed("node", "nid").join(nodes.select("nid", "label"), "nid").groupBy("root").agg(F.min("label").alias("top"))
-    named = found.join(name, "root").select(F.col("node").alias("nid"), "top")
-    labels = nodes.join(named, "nid", "left").select("set_key", F.coalesce("top", "label").alias("component_id"))
-    out = sketch.select("doc_id", "n_shingles", "set_key").join(labels, "set_key", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    least = [F.min(F.struct(F.col("label").isNull().alias("no_id"), "label", "set_key"))["set_key"].alias("stays")] if by_row else []
+    name = found.withColumnRenamed("node", "nid").join(nodes.select("nid", "label", "set_key"), "nid").groupBy("root").agg(F.min("label").alias("top"), *least)
+    named = found.join(name, "root").select(F.col("node").alias("nid"), "top", *(["stays"] if by_row else []))
+    keeper = [F.when(F.coalesce("stays", "set_key") == F.col("set_key"), F.struct("first.doc_id", "first.text_key")).alias("keeper")] if by_row else []
+    return sketch, nodes.join(named, "nid", "left").select("set_key", F.coalesce("top", "label").alias("component_id"), *keeper)
+
 
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85,
+    shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS,
+) -> DataFrame:
+    """One row of `docs` of each component: one with its smallest id, null ids last; and all rows with an empty set.
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of `docs` whose document has the smallest id of its component; rows that share an id stay or go together."""
-    gone = near_duplicates(docs, id_col, text_col, **how).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    Rows are told apart by id and text, so rows that share an id, or have none, are decided each
+    by its own text; of rows equal in both any one stays.
+    """
+    sketch, labels = _components(docs, id_col, text_col, percent, shingle, bands, rows, True)
+    stays = F.col("keeper").isNotNull() & F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("text_key") == F.col("keeper.text_key"))
+    decided = (
+        sketch.where("set_key is not null")
+        .join(labels, "set_key")
+        .groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+        .agg(F.count("*").alias("_n"), F.first(stays).alias("_stays"))
+        .where("not _stays or _n > 1")
+        .checkpoint()
+    )
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (text_key(text_col) == F.col("_key"))
+    out = docs.join(decided.select("_id", "_key"), same, "left_anti")
+    again = decided.where("_stays").select("_id", "_key")
+    if again.isEmpty():
+        return out
+    one = docs.join(again, same).dropDuplicates(["_id", "_key"]).select(*[docs[f"`{c}`"] for c in docs.columns])
+    return out.union(one)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
