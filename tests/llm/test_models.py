@@ -183,6 +183,32 @@ def test_fingerprints_align(spark):
     assert chroma.align(prints.limit(0), queries).collect() == []
 
 
+def prints_of(spark, rows):
+    return spark.createDataFrame([(i, bytearray(np.asarray(c, dtype="<u4").tobytes())) for i, c in rows.items()], "id long, codes binary")
+
+
+def test_every_query_of_a_recording_is_reported(spark):
+    """Copies and near copies of several queries, equal and not, against brute force over all pairs."""
+    rng = np.random.default_rng(3)
+    song, other = (rng.integers(0, 1 << 32, 40, dtype=np.uint32) for _ in range(2))
+    near = song.copy()
+    near[::4] ^= np.uint32(0b1011)
+    rows = {50: song, 100: song, 150: near, 200: other, 1: song, 2: song[7:], 3: other[3:30], 4: near, 5: song[:10], 6: song[:0], 250: song}
+    prints = prints_of(spark, rows)
+    queries = prints.where("id % 50 = 0")
+    want = {}
+    for i, c in rows.items():
+        for q in (50, 100, 150, 200, 250):
+            if b := brute_align(c, i, {q: rows[q]}):
+                want[i, q] = (b[3], -b[1], b[0])
+    assert len([1 for i, _ in want if i == 1]) == 4
+    for block in (1, 4096):
+        out = chroma.align(prints, queries, block=block)
+        assert {(r.id, r.query_id): (r.match_offset, r.match_overlap, r.bit_error) for r in chroma.matched_pairs(out, queries).collect()} == want
+        got = {r.id: r for r in out.collect()}
+        assert got[1].match_id == 50 and got[50].match_id == 100 and got[200].match_id is None and [m.match_id for m in got[1].matches] == [50, 150]
+
+
 def test_queries_and_pipeline(spark):
     import corpus_pipeline
     from tidemill.llm import queries

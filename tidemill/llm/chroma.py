@@ -6,25 +6,27 @@ rectangle sums in four reads. Sixteen filters compare rectangles inside a slidin
 frames; each difference is quantised to two bits (Gray-coded, so neighbours differ in one bit),
 and the sixteen make one 32-bit integer for each position.
 
-Two recordings are aligned by an offset histogram: equal halves of integers vote for the
-difference of their positions, and every offset with two votes is checked by its bit errors
-over the whole overlap. Queries are gathered in blocks of bounded size and broadcast; every
-recording is matched where it lies.
+Two recordings are aligned by their bit errors over the whole overlap, counted for every offset
+with the least overlap, so no alignment within the limit is missed; the cost is one comparison
+for each pair of integers. Equal queries are one class, aligned once. Classes are gathered in
+blocks of bounded size and broadcast; every recording is matched where it lies.
 
 Defined cases: null or empty media, and media shorter than one window, have no integers and
 match nothing; a recording never matches the query with its own id; equal recordings match at
-offset 0 without errors; of equal matches the least query id, then the least offset, wins.
+offset 0 without errors; of equal matches the least query id, then the least offset, wins. A
+recording lists every class it aligns with; matched_pairs() names every query of a class.
 """
 
 from __future__ import annotations
 
+import hashlib
 import io
 import wave
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -136,67 +138,69 @@ def fingerprints(df: DataFrame, id_col: str, media_col: str, decode: Callable =
     return C.arrow_map(df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")), run, "id long, codes binary")
 
 
-_BITS = np.array([bin(i).count("1") for i in range(1 << 16)], dtype=np.uint8)
+COMPARED = 1 << 18
+MATCHES = "array<struct<match_id: long, match_offset: int, match_overlap: int, bit_error: double, query_sha256: string>>"
 
 
 class Library:
-    """An inverted index over the halves of the integers of some recordings."""
-
-    def __init__(self, rows: list[tuple[int, bytes]]):
-        rows = sorted((i, b) for i, b in rows if b)
-        self.ids = np.array([i for i, _ in rows], dtype=np.int64)
-        parts = [np.frombuffer(b, dtype="<u4") for _, b in rows]
-        self.size = np.array([len(p) for p in parts], dtype=np.int64)
-        self.begin = np.cumsum(self.size) - self.size
-        self.codes = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32)
-        owner = np.repeat(np.arange(len(parts)), self.size)
-        place = np.arange(len(self.codes)) - self.begin[owner] if len(parts) else np.zeros(0, dtype=np.int64)
-        self.halves = []
-        for shift in (0, 16):
-            key = (self.codes >> np.uint32(shift)) & np.uint32(0xFFFF)
-            order = np.argsort(key, kind="stable")
-            self.halves.append((shift, np.searchsorted(key[order], np.arange((1 << 16) + 1)), owner[order], place[order]))
-
-    def best(self, own: int | None, blob: bytes):
-        """(query id, offset, overlap, bit error) of the best alignment, or None."""
+    """The integers of some classes of equal queries, in blocks of one length."""
+
+    def __init__(self, rows: list[tuple[list[int], bytes]]):
+        """rows: (the least id of a class, and the next if there is one; its integers)."""
+        rows = sorted((sorted(ids), b) for ids, b in rows if b)
+        self.ids = [ids for ids, _ in rows]
+        self.names = [hashlib.sha256(b).hexdigest() for _, b in rows]
+        by_size: dict[int, list[int]] = {}
+        for k, (_, b) in enumerate(rows):
+            by_size.setdefault(len(b) // 4, []).append(k)
+        self.blocks = []
+        for size, members in by_size.items():
+            step = max(1, COMPARED // size)
+            for at in range(0, len(members), step):
+                some = members[at : at + step]
+                # A column for each query, last integer first.
+                turned = np.stack([np.frombuffer(rows[k][1], dtype="<u4")[::-1] for k in some], axis=1)
+                self.blocks.append((np.array(some), np.ascontiguousarray(turned)))
+
+    def all(self, own: int | None, blob: bytes) -> list[tuple]:
+        """(query id, offset, overlap, bit error, class) of the best alignment with every class within MAX_ERROR, best first."""
         mine = np.frombuffer(blob, dtype="<u4")
-        if not len(mine) or not len(self.ids):
-            return None
-        span = int(len(mine) + self.size.max()) + 1
-        votes = []
-        for shift, bounds, owner, place in self.halves:
-            key = ((mine >> np.uint32(shift)) & np.uint32(0xFFFF)).astype(np.int64)
-            n = bounds[key + 1] - bounds[key]
-            at = np.repeat(bounds[key] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            votes.append(owner[at] * span + (np.repeat(np.arange(len(mine)), n) - place[at] + int(self.size.max())))
-        pair, count = np.unique(np.concatenate(votes), return_counts=True)
-        pair = pair[count >= 2]
-        query, offset = pair // span, pair % span - int(self.size.max())
-        start, end = np.maximum(offset, 0), np.minimum(offset + self.size[query], len(mine))
-        ok = (end - start >= MIN_OVERLAP) & (self.ids[query] != (own if own is not None else -1 << 62))
-        query, offset, start, end = query[ok], offset[ok], start[ok], end[ok]
-        if not len(query):
-            return None
-        n = end - start
-        which = np.repeat(np.arange(len(n)), n)
-        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        x = mine[start[which] + step] ^ self.codes[self.begin[query][which] + (start - offset)[which] + step]
-        wrong = _BITS[x & np.uint32(0xFFFF)].astype(np.int64) + _BITS[x >> np.uint32(16)]
-        error = np.add.reduceat(wrong, np.cumsum(n) - n) / (32 * n)
-        k = np.lexsort((offset, self.ids[query], -n, error))[0]
-        return (int(self.ids[query[k]]), int(offset[k]), int(n[k]), float(error[k])) if error[k] <= MAX_ERROR else None
+        out = []
+        for members, turned in self.blocks:
+            size = len(turned)
+            offset = np.arange(len(mine) + size - 1) - (size - 1)
+            n = np.minimum(offset + size, len(mine)) - np.maximum(offset, 0)
+            if not len(mine) or n.max() < MIN_OVERLAP:
+                continue
+            wrong = np.zeros((len(offset), len(members)), dtype=np.int32)
+            for i, x in enumerate(mine):  # wrong[i - j + size - 1] takes mine[i] against integer j
+                wrong[i : i + size] += np.bitwise_count(turned ^ x)
+            error = wrong / (32 * n)[:, None]
+            at, which = np.nonzero((error <= MAX_ERROR) & (n >= MIN_OVERLAP)[:, None])
+            order = np.lexsort((offset[at], -n[at], error[at, which], which))
+            _, first = np.unique(which[order], return_index=True)
+            for k in order[first].tolist():
+                c = int(members[which[k]])
+                if ids := [i for i in self.ids[c] if i != own]:
+                    out.append((ids[0], int(offset[at[k]]), int(n[at[k]]), float(error[at[k], which[k]]), self.names[c]))
+        return sorted(out, key=_rank)
+
+
+def _rank(m) -> tuple:
+    return m[3], -m[2], m[0], m[1]
 
 
 def align(prints: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
-    """id, n_codes, codes_sha256 and the best aligned query of every fingerprint row.
+    """id, n_codes, codes_sha256, the best aligned query and all matches of every fingerprint row.
 
-    queries: rows of the same form. A block of at most `block` recordings is broadcast at a
-    time; the best of all blocks is kept for each row, carried along in the row.
+    queries: rows of the same form. `matches` holds the best alignment with each class of equal
+    queries within MAX_ERROR, best first, under the least id of the class (other than the row's
+    own) and the class's codes_sha256. A block of at most `block` classes is broadcast at a time;
+    the matches of all blocks are carried along in the row.
     """
     spark = prints.sparkSession
     C.prepare(spark)
-    none = F.lit(None)
-    out = prints.select("id", "codes", none.cast("long").alias("match_id"), none.cast("int").alias("match_offset"), none.cast("int").alias("match_overlap"), none.cast("double").alias("bit_error"))
+    out = prints.select("id", "codes", F.array().cast(MATCHES).alias("matches"))
     held: list = []
 
     def add(out: DataFrame, rows: list) -> DataFrame:
@@ -204,33 +208,39 @@ def align(prints: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> Da
 
         def run(batches):
             library = Library(shared.value)
-            remembered: dict[tuple, tuple | None] = {}
-            ids = set(library.ids.tolist())
+            remembered: dict[tuple, list] = {}
+            ids = {i for some in library.ids for i in some}
             for batch in batches:
                 found = []
-                for i, blob, *before in zip(*(c.to_pylist() for c in batch.columns)):
+                for i, blob, before in zip(*(c.to_pylist() for c in batch.columns)):
                     key = (i if i in ids else None, blob)  # equal recordings are aligned once
                     if key not in remembered:
                         if len(remembered) > 5000:
                             remembered.clear()
-                        remembered[key] = library.best(i, blob)
-                    now = remembered[key]
-                    rank = lambda m: (m[3], -m[2], m[0], m[1])
-                    if before[0] is not None and (now is None or rank(before) <= rank(now)):
-                        now = before
-                    found.append(now or (None,) * 4)
-                columns = [pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int32(), pa.int32(), pa.float64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "codes", "match_id", "match_offset", "match_overlap", "bit_error"])
+                        remembered[key] = [dict(zip(("match_id", "match_offset", "match_overlap", "bit_error", "query_sha256"), m)) for m in library.all(i, blob or b"")]
+                    found.append(sorted(before + remembered[key], key=lambda m: _rank(tuple(m.values()))) if before else remembered[key])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, batch.schema.field(2).type)], names=["id", "codes", "matches"])
 
         return C.arrow_map(out, run, out.schema)
 
-    for row in queries.select("id", "codes").where("id is not null").toLocalIterator():
-        held.append((row.id, bytes(row.codes)))
+    # The two least ids name a class to every row: to the row with the least id by the other one.
+    nth = F.row_number().over(Window.partitionBy("codes").orderBy("id"))
+    classes = queries.select("id", "codes").where("id is not null and octet_length(codes) > 0").distinct().withColumn("nth", nth).where("nth <= 2").groupBy("codes").agg(F.collect_list("id").alias("ids"))
+    for row in classes.toLocalIterator():
+        held.append((list(row.ids), bytes(row.codes)))
         if len(held) == block:
             out, held = add(out, held), []
     if held:
         out = add(out, held)
-    return out.select("id", (F.octet_length("codes") / 4).cast("long").alias("n_codes"), F.sha2("codes", 256).alias("codes_sha256"), "match_id", "match_offset", "match_overlap", "bit_error")
+    best = [F.get("matches", F.lit(0))[c].alias(c) for c in ("match_id", "match_offset", "match_overlap", "bit_error")]
+    return out.select("id", (F.octet_length("codes") / 4).cast("long").alias("n_codes"), F.sha2("codes", 256).alias("codes_sha256"), *best, "matches")
+
+
+def matched_pairs(aligned: DataFrame, queries: DataFrame) -> DataFrame:
+    """id, query_id, match_offset, match_overlap and bit_error of every recording and query that align: the classes of align() in full."""
+    named = queries.where("id is not null").select(F.col("id").alias("query_id"), F.sha2("codes", 256).alias("query_sha256")).distinct()
+    each = aligned.select("id", F.explode("matches").alias("m")).select("id", "m.match_offset", "m.match_overlap", "m.bit_error", "m.query_sha256")
+    return each.join(named, "query_sha256").where("not id <=> query_id").select("id", "query_id", "match_offset", "match_overlap", "bit_error")
 
 
 def tune(vector: list[float] | None) -> np.ndarray:
