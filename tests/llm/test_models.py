@@ -209,6 +209,26 @@ def test_every_query_of_a_recording_is_reported(spark):
         assert got[1].match_id == 50 and got[50].match_id == 100 and got[200].match_id is None and [m.match_id for m in got[1].matches] == [50, 150]
 
 
+def noisy_recordings(rng, n, wrong_share):
+    """(query, row, offset) of n true alignments of 16 to 40 integers, with as many wrong bits as the share allows."""
+    for _ in range(n):
+        k = int(rng.integers(chroma.MIN_OVERLAP, 41))
+        query = rng.integers(0, 1 << 32, k + int(rng.integers(0, 20)), dtype=np.uint32)
+        at = int(rng.integers(0, len(query) - k + 1))
+        bits = np.unpackbits(query[at : at + k].astype("<u4").view(np.uint8))
+        bits[rng.choice(len(bits), int(wrong_share * len(bits)), replace=False)] ^= 1
+        yield query, np.packbits(bits).view("<u4"), -at
+
+
+@pytest.mark.parametrize("wrong_share", [0.0, 0.0625, 0.1, chroma.MAX_ERROR])
+def test_alignments_up_to_the_limit_are_found(wrong_share):
+    """Recall over rows that all match truly."""
+    rng = np.random.default_rng(12)
+    for query, row, offset in noisy_recordings(rng, 200, wrong_share):
+        found = chroma.Library([([50], query.tobytes())]).all(1, row.tobytes())
+        assert [(m[0], m[1], m[2]) for m in found] == [(50, offset, len(row))] and found[0][3] <= wrong_share
+
+
 def test_queries_and_pipeline(spark):
     import corpus_pipeline
     from tidemill.llm import queries
