@@ -54,6 +54,19 @@ def test_classifiers_without_labels(docs, marks, op):
     assert op.classify(docs.limit(0), marks).collect() == []
 
 
+def test_without_a_model_every_document_stays(docs, marks):
+    few = docs.limit(20)
+    for none in (marks.limit(0), marks.where("quality = 1")):
+        assert sorted(map(str, quality.keep_good(few, none).collect())) == sorted(map(str, few.collect()))
+
+
+def test_a_long_text_is_learned_from(spark):
+    rows = [(i, f"{'good calm prose' if i % 2 else 'bad loud junk'} " * 60) for i in range(40)]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string")
+    marks_ = docs_.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    assert quality.fit(docs_, marks_, most=1) is not None
+
+
 def test_sample_is_bounded(spark):
     df = spark.range(5000).toDF("_id")
     got = sorted(r[0] for r in labels.least(df, 100, "_id").collect())

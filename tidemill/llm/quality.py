@@ -149,9 +149,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
         for batch in C.slices(batches, 1):
             x, counts = passages([t or b"" for t in batch.column(1).to_pylist()], _hasher())
             begin = np.cumsum(counts) - counts
-            keep = np.flatnonzero(counts <= most)
-            blobs = [x[begin[i] : begin[i] + counts[i]].astype(np.float16).tobytes() for i in keep]
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py() for i in keep.tolist()], pa.int32()), pa.array(blobs, pa.binary())], names=["y", "x"])
+            # Of a long text `most` passages, spread evenly.
+            blobs = [x[b + np.arange(min(n, most)) * n // min(n, most)].astype(np.float16).tobytes() if n else b"" for b, n in zip(begin.tolist(), counts.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(blobs, pa.binary())], names=["y", "x"])
 
     got = C.arrow_map(sample(docs, labels, label, MOD, HELD_OUT, rows), run, "y int, x binary").collect()
     got.sort(key=lambda r: (bytes(r.x), r.y))
@@ -196,6 +196,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that the classifier accepts, with their columns."""
-    scored = score(docs, fit(docs, labels), keep=True)
+    """The rows of `docs` that the classifier accepts, with their columns; all rows if no model can be fitted, as nothing was rejected then."""
+    model = fit(docs, labels)
+    if model is None:
+        return docs
+    scored = score(docs, model, keep=True)
     return scored.where(F.col("_score") >= THRESHOLD).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
