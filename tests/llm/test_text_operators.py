@@ -220,7 +220,6 @@ def test_decontamination(spark, limit, monkeypatch):
     long = [t for _, t in rows if t and len(t) > 200][:4]
     items = [(1, long[0][20:150]), (2, "The OF"), (3, None), (4, "..."), (None, long[1]), (5, long[1].upper()), (5, long[1][:100]), (6, "zebra " * 13)]
     monkeypatch.setattr(decontam, "SLICE_BYTES", limit)
-    monkeypatch.setattr(decontam.phrase_slices, "__defaults__", (limit,))
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontam.scan(frame(spark, rows), bench).collect()), key=str)
     expected = brute_hits(rows, items)

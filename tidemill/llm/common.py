@@ -55,14 +55,30 @@ def ship(spark: SparkSession) -> None:
 _BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where all runs on one machine."""
+    sc = spark.sparkContext
+    d = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if d:
+        return d.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not getattr(sc, "_tidemill_local", None):
+        sc._tidemill_local = tempfile.mkdtemp(prefix="tidemill-checkpoint-")
+    return sc._tidemill_local
+
+
 def prepare(spark: SparkSession) -> None:
-    """Ship the package and name a checkpoint folder (the session's, else a local one for tests)."""
+    """Ship the package and name a checkpoint folder (see shared()).
+
+    Texts are long: where the session has Spark's default for the size of Arrow batches, it is
+    set to 16 MB, for this session.
+    """
     ship(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        d = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(d or tempfile.mkdtemp(prefix="tidemill-checkpoint-"))
-    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:  # texts are long: smaller Arrow batches, unless the session has its own
+        sc.setCheckpointDir(shared(spark))
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
         spark.conf.set(_BATCH, "16m")
 
 
@@ -70,6 +86,35 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A key with a HOT-th of all rows is hot; there can be no more than HOT of them. Tables of at most SMALL rows of a few dozen bytes may be broadcast.
+HOT, SMALL = 2000, 50_000
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: str | list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """`left` joined with `right`, without a task that gets all rows of a hot key.
+
+    `right` has one row for each key, with the number of `left` rows that have it in `weight`
+    (left out of the result). It is counted: up to SMALL rows are broadcast whole. Beyond that,
+    keys with a HOT-th of the `total` left rows or more, which are at most HOT, are broadcast,
+    and the rest is an ordinary join. how: inner, left or left_anti; a null key matches nothing,
+    and rows that have one are not shuffled. Keep both sides cheap to read: they are read twice.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    if right.limit(SMALL + 1).count() <= SMALL:
+        return left.join(F.broadcast(right.drop(weight)), keys, how)
+    is_hot = F.col(weight) * HOT >= total
+    hot, cold = right.where(is_hot).drop(weight), right.where(~is_hot).drop(weight)
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    out = left.where(whole).join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
+    if how != "left_anti":
+        out = out.unionByName(left.join(F.broadcast(hot), keys))
+    if how != "inner":
+        out = out.unionByName(left.where(~whole), allowMissingColumns=True)
+    return out
+
+
 def fold_of(doc_id: str, mod: int):
     """crc32 of the decimal doc_id, modulo `mod`; the published train/held-out split."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(mod)

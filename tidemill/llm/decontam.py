@@ -1,35 +1,43 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is partitioned by documents: each block of training texts (a few MB) holds, for
-every term the benchmark uses, the list of positions where the block has it; terms that no
-benchmark item uses can take part in no match and get no list. A window (13 consecutive item
-words, or all words of a shorter item) is matched by taking the list of its rarest term in the
-block, shifting it by the term's place in the window, and intersecting it with the shifted
-lists of the other terms from rare to common. Blocks are searched where they lie, so nothing
-is shuffled and memory does not depend on the corpus.
-
-The benchmark travels to the blocks in slices of at most SLICE_BYTES of item text; a larger
-benchmark takes one pass per slice and the hits of the passes are merged row by row.
+index() stores the postings of all training tokens as a table: a row holds a term and its
+ascending positions, delta-coded, in one block of documents (a few MB of text), so the
+postings of a frequent term lie in as many rows as there are blocks. One row of a block has no
+term and lists where its documents begin; one position stays free between documents.
+
+search() joins the index with the terms of the test items. A window (13 consecutive item
+words, or all words of a shorter item) can only occur in blocks that have its rarest term,
+rarest by counts over the whole index; such pairs of item and block are the candidates. Where
+a block meets its candidates, the list of the rarest term of each window is shifted by the
+term's place and intersected with the shifted lists of the other terms, from rare to common.
+Proximity matches look for the other terms near each position of the rarest one.
+
+Both the index and the benchmark are tables of any size: a task holds the needed postings of
+one block and at most about SLICE_BYTES of item text; a larger benchmark is dealt to several
+such slices. Terms are 64-bit hashes of words: a million different item words meet one wrong
+word among ten billion with probability 0.0005, and a window needs all its words.
 
 Defined cases: null or wordless texts have no words and no hits; items without words have no
 windows; items with a null id are ignored; an item_id that repeats counts once; document rows
-may repeat.
+may repeat; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from . import common as C
+from .minhash import text_key
 
 WINDOW = 13
 SLICE_BYTES = 4 << 20
+BLOCK_BYTES = 4 << 20
+#: Rows of a frequent term meet the items that need it in this many tasks.
+SALTS = 16
 #: Bytes that end a word under [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ once A-Z are lower-cased.
 ENDS = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 
@@ -43,194 +51,331 @@ def hasher() -> C.WordHasher:
 _made: dict = {}
 
 
-class Phrases:
-    """The windows of some items as rows of term numbers, with the items that own each window."""
-
-    def __init__(self, items: list[tuple[int, bytes]], window: int = WINDOW):
-        found: dict[bytes, set] = {}
-        for i, words, first in hasher().many([t for _, t in items]):
-            for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-                n = min(window, b - a)
-                for at in range(a, b - n + 1 if n else a):
-                    found.setdefault(words[at : at + n].tobytes(), set()).add(items[i + k][0])
-        self.terms = np.unique(np.frombuffer(b"".join(found), dtype=np.uint64))
-        by_length: dict[int, list[bytes]] = {}
-        for w in found:
-            by_length.setdefault(len(w) // 8, []).append(w)
-        #: (length, windows as term numbers, owners of each window)
-        self.groups = [
-            (n, np.searchsorted(self.terms, np.frombuffer(b"".join(ws), dtype=np.uint64)).astype(np.int32).reshape(len(ws), n), [sorted(found[w]) for w in ws])
-            for n, ws in sorted(by_length.items())
-        ]
-        bits = 22
-        self.seen = np.zeros(1 << bits, dtype=bool)  # most other words end here
-        self.seen[self.terms >> np.uint64(64 - bits)] = True
-        self.shift = np.uint64(64 - bits)
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of some texts in a row, and how many words each text has."""
+    words, counts = [np.zeros(0, dtype=np.uint64)], []
+    for _, found, first in hasher().many(texts):
+        words.append(found)
+        counts += np.diff(first).tolist()
+    return np.concatenate(words), np.array(counts, dtype=np.int64)
+
+
+def pack(lists: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending lists, one after the other and each from its place in `heads`, as delta-coded bytes of seven bits; and where each list's bytes begin, and the end."""
+    delta = np.diff(lists, prepend=0)
+    delta[heads] = lists[heads]
+    delta = delta.astype(np.uint32)
+    size = 1 + sum((delta >= np.uint32(1 << b)).astype(np.int64) for b in (7, 14, 21, 28))
+    begin = np.concatenate(([0], np.cumsum(size)))
+    out = np.empty(begin[-1], dtype=np.uint8)
+    for k in range(5):
+        which = np.flatnonzero(size > k)
+        if len(which):
+            out[begin[which] + k] = (delta[which] >> np.uint32(7 * k)) & np.uint32(127) | (size[which] > k + 1) * np.uint32(128)
+    return out, np.append(begin[heads], begin[-1])
+
+
+def unpack(data: bytes, counts: np.ndarray) -> np.ndarray:
+    """The lists of pack(), one after the other, given how many entries each has."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    last = np.flatnonzero(raw < 128)
+    first = np.concatenate(([0], last[:-1] + 1))
+    delta = np.zeros(len(last), dtype=np.int64)
+    for k in range(5):
+        which = np.flatnonzero(last - first >= k)
+        delta[which] |= (raw[first[which] + k].astype(np.int64) & 127) << (7 * k)
+    sums = np.cumsum(delta)
+    heads = np.cumsum(counts) - counts
+    return sums - np.repeat(sums[heads] - delta[heads], counts)
+
+
+_INDEX = "block long, row int, doc_id long, key binary, term long, n long, at binary"
+
+
+def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """The positional index of all texts, written to `path` as Parquet, or else to the checkpoint folder.
+
+    Rows of terms: block, term, n (positions in the block) and at (the positions); the row
+    without a term: at has where documents begin. Rows of documents: block, row (its number in
+    the block), doc_id, key (256 bits that name the text) and n (words).
+    """
+    spark = docs.sparkSession
+    C.prepare(spark)
 
-    def numbers(self, words: np.ndarray) -> np.ndarray:
-        """The term number of each word, -1 for words that no item has."""
-        out = np.full(len(words), -1, dtype=np.int32)
-        if len(self.terms):
-            maybe = np.flatnonzero(self.seen[words >> self.shift])
-            at = np.minimum(np.searchsorted(self.terms, words[maybe]), len(self.terms) - 1)
-            same = self.terms[at] == words[maybe]
-            out[maybe[same]] = at[same]
-        return out
-
-
-class Index:
-    """Positional postings of one block of texts: positions of each term, ascending."""
-
-    def __init__(self, words: np.ndarray, first: np.ndarray, phrases: Phrases):
-        self.first, self.size = first, len(words)
-        self.terms = phrases.numbers(words)
-        known = np.flatnonzero(self.terms >= 0)
-        self.positions = known[np.argsort(self.terms[known], kind="stable")]
-        self.count = np.bincount(self.terms[known], minlength=len(phrases.terms))
+    def run(batches):
+        block = (TaskContext.get().partitionId() << 32) - 1
+        for batch in C.slices(batches, 1, BLOCK_BYTES):
+            block += 1
+            n = batch.num_rows
+            words, counts = words_of([t or b"" for t in batch.column(1).to_pylist()])
+            begins = np.cumsum(counts) - counts + np.arange(n)
+            order = np.argsort(words, kind="stable")
+            position = (np.arange(len(words)) + np.repeat(np.arange(n), counts))[order]
+            sorted_ = words[order]
+            heads = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1]))) if len(words) else np.zeros(0, dtype=np.int64)
+            data, bounds = pack(np.concatenate((begins, position)), np.concatenate(([0], n + heads)))
+            k = len(heads)
+            lists = pa.Array.from_buffers(pa.binary(), k + 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
+            none = lambda size, kind: pa.nulls(size, kind)
+            terms = pa.concat_arrays([none(1, pa.int64()), pa.array(sorted_[heads].view(np.int64))])
+            sizes = np.concatenate(([n], np.diff(np.append(heads, len(words)))))
+            yield _batch(block, k + 1, none(k + 1, pa.int32()), none(k + 1, pa.int64()), none(k + 1, pa.binary()), terms, pa.array(sizes, pa.int64()), lists)
+            yield _batch(block, n, pa.array(np.arange(n), pa.int32()), batch.column(0), batch.column(2), none(n, pa.int64()), pa.array(counts, pa.int64()), none(n, pa.binary()))
+
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"), text_key(text_col).alias("key"))
+    made = C.arrow_map(picked, run, _INDEX)
+    if path is None:
+        return made.checkpoint()
+    made.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _batch(block: int, size: int, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(size, block, dtype=np.int64)), *columns], names=["block", "row", "doc_id", "key", "term", "n", "at"])
+
+
+def _windows(words: np.ndarray, window: int) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view(words, min(window, len(words)))
+
+
+class Postings:
+    """The needed lists of one block, as one ascending array of term number and position."""
+
+    def __init__(self, terms: np.ndarray, counts: np.ndarray, data: bytes, begins: np.ndarray):
+        order = np.argsort(terms, kind="stable")
+        self.terms, self.count = terms[order], counts[order]
         self.begin = np.cumsum(self.count) - self.count
-        self.last = np.repeat(first[1:], np.diff(first))  # end of the text that holds each position
+        lists = unpack(data, counts) if len(counts) else np.zeros(0, dtype=np.int64)
+        at = np.cumsum(counts) - counts
+        take = np.repeat(at[order] - self.begin, self.count) + np.arange(len(lists))
+        self.positions = lists[take]
+        self.flat = np.repeat(np.arange(len(terms)) << 32, self.count) + self.positions
+        self.begins = begins
+
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        """The term number of each word, -1 for those that the block lacks."""
+        if not len(self.terms):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
+        return np.where(self.terms[at] == words, at, -1)
+
+    def has(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
+        wanted = (term << 32) + position
+        at = np.minimum(np.searchsorted(self.flat, wanted), len(self.flat) - 1)
+        return (position >= 0) & (self.flat[at] == wanted)
 
     def exact(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, start) of every occurrence of rows of term numbers."""
-        none = np.zeros(0, dtype=np.int64)
-        n = windows.shape[1]
-        count = self.count[windows]
-        live = np.flatnonzero(count.min(axis=1) > 0)
+        live = np.flatnonzero(windows.min(axis=1) >= 0) if len(windows) else np.zeros(0, dtype=np.int64)
         if not len(live):
-            return none, none
-        order = np.argsort(count[live], axis=1, kind="stable")  # rare terms first
+            return live, live
+        count = self.count[windows[live]]
+        order = np.argsort(count, axis=1, kind="stable")  # rare terms first
         place = order[:, 0]
-        length = count[live, place]
         term = windows[live, place]
+        length = self.count[term]
         which = np.repeat(np.arange(len(live)), length)
         offset = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
         start = self.positions[self.begin[term][which] + offset] - place[which]
-        ok = start >= 0
-        which, start = which[ok], start[ok]
-        ok = start + n <= self.size
-        which, start = which[ok], start[ok]
-        # A window that begins before its text does would reach over a boundary too.
-        ok = start + n <= self.last[start]
-        which, start = which[ok], start[ok]
-        for j in range(1, n):
+        for j in range(1, windows.shape[1]):
             if not len(which):
                 break
             at = order[which, j]
-            ok = self.terms[start + at] == windows[live[which], at]
+            ok = self.has(windows[live[which], at], start + at)
             which, start = which[ok], start[ok]
         return live[which], start
 
     def near(self, windows: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, start) where all terms of a window, in any order, lie within its length plus `slop`.
+        """(window, start) where all terms of a window, in any order, lie within its length plus `slop` in one document.
 
         `start` is where the rarest term stands, less its place in the window.
         """
-        n = windows.shape[1]
-        count = self.count[windows]
         found = []
-        for w in np.flatnonzero(count.min(axis=1) > 0).tolist():
-            order = np.argsort(count[w], kind="stable")
-            at = self.positions[self.begin[windows[w, order[0]]] :][: count[w, order[0]]]
-            low, high = at - order[0] - slop, at - order[0] + n + slop
-            text = np.searchsorted(self.first, at, side="right")
-            low, high = np.maximum(low, self.first[text - 1]), np.minimum(high, self.first[text])
+        n = windows.shape[1]
+        for w in np.flatnonzero(windows.min(axis=1) >= 0).tolist():
+            count = self.count[windows[w]]
+            order = np.argsort(count, kind="stable")
+            at = self.positions[self.begin[windows[w, order[0]]] :][: count[order[0]]]
+            doc = self.row(at)
+            low = np.maximum(at - order[0] - slop, self.begins[doc])
+            high = np.minimum(at - order[0] + n + slop, np.append(self.begins, np.iinfo(np.int64).max)[doc + 1])
             ok = np.ones(len(at), dtype=bool)
             for j in order[1:]:
-                own = self.positions[self.begin[windows[w, j]] :][: count[w, j]]
+                own = self.positions[self.begin[windows[w, j]] :][: count[j]]
                 ok &= np.searchsorted(own, high) > np.searchsorted(own, low)
             found += [(w, int(x)) for x in (at - order[0])[ok]]
         return tuple(np.array(found, dtype=np.int64).reshape(-1, 2).T)
 
+    def row(self, position: np.ndarray) -> np.ndarray:
+        """The number of the document that holds each position."""
+        return np.searchsorted(self.begins, position, side="right") - 1
+
+
+def _items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """iid, item and words (hashes) of every item that has words."""
+
+    def run(batches):
+        for batch in C.slices(batches, 2):
+            words, counts = words_of(batch.column(2).to_pylist())
+            ends = np.cumsum(counts)
+            blobs = [words[e - c : e].tobytes() for c, e in zip(counts.tolist(), ends.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["iid", "item", "words"])
+
+    some = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    picked = some.select(F.monotonically_increasing_id().alias("iid"), F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("body"))
+    return C.arrow_map(picked, run, "iid long, item string, words binary").where("octet_length(words) > 0").checkpoint()
+
+
+def _terms(items: DataFrame) -> DataFrame:
+    """iid and term: the different words of every item."""
+
+    def run(batches):
+        for batch in batches:
+            terms = [np.unique(np.frombuffer(b, dtype=np.int64)) for b in batch.column(1).to_pylist()]
+            if terms:
+                iid = np.repeat(batch.column(0).to_numpy(), [len(t) for t in terms])
+                yield pa.RecordBatch.from_arrays([pa.array(iid, pa.int64()), pa.array(np.concatenate(terms), pa.int64())], names=["iid", "term"])
+
+    return C.arrow_map(items.select("iid", "words"), run, "iid long, term long").checkpoint()
+
+
+def _rarest(items: DataFrame, window: int) -> DataFrame:
+    """iid and term: the rarest terms of the windows whose terms all occur, of items (iid, words, known: terms with counts)."""
+
+    def run(batches):
+        for batch in batches:
+            iids, terms = [], []
+            for iid, blob, known in zip(*(c.to_pylist() for c in batch.columns)):
+                words = np.frombuffer(blob, dtype=np.int64)
+                pairs = np.array(sorted((k["term"], k["df"]) for k in known), dtype=np.int64)
+                at = np.minimum(np.searchsorted(pairs[:, 0], words), len(pairs) - 1)
+                df = np.where(pairs[at, 0] == words, pairs[at, 1], 0)
+                views, own = _windows(df, window), _windows(words, window)
+                live = np.flatnonzero(views.min(axis=1) > 0)
+                rare = np.unique(own[live, views[live].argmin(axis=1)])
+                iids += [iid] * len(rare)
+                terms.append(rare)
+            if iids:
+                yield pa.RecordBatch.from_arrays([pa.array(iids, pa.int64()), pa.array(np.concatenate(terms), pa.int64())], names=["iid", "term"])
+
+    return C.arrow_map(items.select("iid", "words", "known"), run, "iid long, term long").checkpoint()
+
+
+_HITS = "block long, row int, item string, kind string, start long, length long"
+_SPANS = "block long, row int, spans array<struct<a: long, b: long>>, items array<string>"
+
+
+def _meet(postings: pa.Table, items: pa.Table, window: int, slop: int | None) -> pa.Table:
+    """What the items of one slice hit in one block: a row for each match if slop is given, else for each document."""
+    names = ["block", "row", "item", "kind", "start", "length"] if slop is not None else ["block", "row", "spans", "items"]
+    terms = postings["term"].to_pylist()
+    if None not in terms or not items.num_rows:
+        return pa.table([pa.array([], t) for t in _arrow(slop)], names=names)
+    counts, lists = postings["n"].to_pylist(), postings["at"].to_pylist()
+    docs = terms.index(None)
+    block, begins = postings["block"][0].as_py(), unpack(lists[docs], np.array([counts[docs]]))
+    for x in (terms, counts, lists):
+        del x[docs]
+    own = Postings(np.array(terms, dtype=np.int64), np.array(counts, dtype=np.int64), b"".join(lists), begins)
+    matches: list[tuple] = []
+    by_length: dict[int, list] = {}
+    for item, blob in zip(items["item"].to_pylist(), items["words"].to_pylist()):
+        views = _windows(own.numbers(np.frombuffer(blob, dtype=np.int64)), window)
+        by_length.setdefault(views.shape[1], []).append((item, views))
+    for n, some in by_length.items():
+        windows = np.concatenate([v for _, v in some])
+        owner = np.repeat(np.arange(len(some)), [len(v) for _, v in some])
+        for kind in ("exact", "proximity")[: 2 if slop else 1]:
+            which, start = own.exact(windows) if kind == "exact" else own.near(windows, slop)
+            if kind == "proximity":
+                fresh = [k for k, pair in enumerate(zip(which.tolist(), start.tolist())) if pair not in known]
+                which, start = which[fresh], start[fresh]
+            known = set(zip(which.tolist(), start.tolist())) if slop else set()
+            matches += [(some[o][0], kind, int(s), n) for o, s in zip(owner[which].tolist(), start.tolist())]
+    start = np.array([m[2] for m in matches], dtype=np.int64)
+    row = own.row(np.maximum(start, 0))
+    if slop is not None:
+        got = [(block, r, i, k, s - int(begins[r]), n) for r, (i, k, s, n) in zip(row.tolist(), matches)]
+        return pa.table([pa.array([g[c] for g in got], t) for c, t in enumerate(_arrow(slop))], names=names)
+    found: dict[int, tuple[set, set]] = {}
+    for r, (item, _, s, n) in zip(row.tolist(), matches):
+        spans, owners = found.setdefault(r, (set(), set()))
+        spans.add((s, s + n))
+        owners.add(item)
+    spans = [[{"a": a, "b": b} for a, b in _merged(sorted(x))] for x, _ in found.values()]
+    columns = [[block] * len(found), list(found), spans, [sorted(x) for _, x in found.values()]]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, _arrow(slop))], names=names)
+
+
+def _arrow(slop: int | None) -> list[pa.DataType]:
+    if slop is not None:
+        return [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+    return [pa.int64(), pa.int32(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.list_(pa.string())]
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
-def phrase_slices(items: DataFrame, id_col: str, text_col: str, window: int, limit: int = SLICE_BYTES) -> Iterator[Phrases]:
-    """The items as Phrases of at most `limit` bytes of text each (one item may exceed it)."""
-    held, total = [], 0
-    rows = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, F.col(text_col).cast("binary"))
-    for item, text in rows.toLocalIterator():
-        if held and total + len(text) > limit:
-            yield Phrases(held, window)
-            held, total = [], 0
-        held.append((item, bytes(text)))
-        total += len(text)
-    yield Phrases(held, window)
 
+def search(table: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int | None = None) -> DataFrame:
+    """What the items hit in the documents of an index: block, row, spans (words hit) and items of every document hit.
 
-def blocks(batches, phrases: Phrases):
-    """(batch, number of the first text, index) for every block of the texts in column 1."""
-    for batch in C.slices(batches, 1):
-        texts = [t or b"" for t in batch.column(1).to_pylist()]
-        for i, words, first in hasher().many(texts):
-            yield batch, i, Index(words, first, phrases)
+    With slop given, a row for every match instead: block, row, item, kind (exact, or proximity
+    within `slop` extra words), start and length.
+    """
+    C.prepare(table.sparkSession)
+    own = _items(items, item_id, item_text)
+    terms = _terms(own)
+    size = own.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    slices = max(1, -(-size // SLICE_BYTES))
+    wanted = terms.groupBy("term").agg(F.count("*").alias("items")).checkpoint()
+    lists = table.where("term is not null").select("block", "term", "n", "at")
+    known = lists.join(wanted, "term").groupBy("term").agg(F.sum("n").alias("df"), F.first("items").alias("items")).checkpoint()
+    counts = C.hot_join(terms, known, "term", "items", terms.count()).groupBy("iid").agg(F.collect_list(F.struct("term", "df")).alias("known"))
+    rare = _rarest(own.join(counts, "iid"), window)
+    # Candidates: items and the blocks that have the rarest term of one of their windows.
+    salted = rare.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    holders = lists.select("block", "term", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int").alias("salt"))
+    pairs = holders.join(salted, ["term", "salt"]).select("block", "iid").distinct().checkpoint()
+    often = pairs.groupBy("iid").agg(F.count("*").alias("_n"))
+    slice_ = F.pmod(F.xxhash64("iid"), F.lit(slices)).cast("int").alias("slice")
+    asked = C.hot_join(pairs, own.join(often, "iid"), "iid", "_n", pairs.count()).select(F.col("block").alias("block"), slice_, "item", "words")
+    # The lists that these blocks need, once for each slice.
+    needs = terms.select("term", slice_).distinct()
+    begins = table.where("term is null and row is null").select("block", "term", "n", "at")
+    every = lists.join(needs, "term").select("block", "slice", "term", "n", "at").union(begins.select("block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "term", "n", "at"))
+    sent = every.join(pairs.select("block", slice_).distinct(), ["block", "slice"], "left_semi")
+    meet = lambda p, i: _meet(p, i, window, slop)
+    return sent.groupBy("block", "slice").cogroup(asked.groupBy("block", "slice")).applyInArrow(C.arrow_cogroups(meet, __name__), _SPANS if slop is None else _HITS)
+
+
+def _documents(table: DataFrame) -> DataFrame:
+    return table.where("row is not null").select("block", "row", "doc_id", "key", F.col("n").alias("n_words"))
 
 
 def scan(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, carry: bool = False,
+    item_id: str = "item_id", item_text: str = "text", window: int = WINDOW,
 ) -> DataFrame:
-    """doc_id, n_words, n_hit and the sorted ids of the items that occur, for every document row.
-
-    With carry=True the columns of `docs` come along, as c0, c1 and so on.
-    """
-    spark = docs.sparkSession
-    C.prepare(spark)
-    others = [c for c in docs.columns if c != text_col]
-    at_text = docs.columns.index(text_col)
-    carried = [F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(others)] if carry else []
-    fields = [StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)] if carry else []
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("body"), F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"), *carried)
-    result = StructType([StructField("doc_id", LongType()), StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("items", ArrayType(StringType())), *fields])
-    extra = len(carried)
-    # One slice at a time is held here; a broadcast one lives in Spark's storage.
-    slices = phrase_slices(items, item_id, item_text, window)
-    number, phrases = 0, next(slices)
-    while phrases is not None:
-        shared = spark.sparkContext.broadcast(phrases)
-        phrases = next(slices, None)
-        last = phrases is None
-
-        def run(batches, shared=shared, first_pass=number == 0, last=last):
-            phrases = shared.value
-            for batch in C.slices(batches, 1):
-                texts = [t or b"" for t in batch.column(1).to_pylist()]
-                before = None if first_pass else list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
-                n_words, n_hit, packed, owners = [], [], [], []
-                for i, words, first in hasher().many(texts):
-                    index = Index(words, first, phrases)
-                    change = np.zeros(len(words) + 1, dtype=np.int32)
-                    items_of: dict[int, set] = {}
-                    for n, windows, own in phrases.groups:
-                        which, start = index.exact(windows)
-                        np.add.at(change, start, 1)
-                        np.add.at(change, start + n, -1)
-                        if len(which):
-                            text = np.searchsorted(first, start, side="right") - 1
-                            for t, w in np.unique(np.stack((text, which)), axis=1).T.tolist():
-                                items_of.setdefault(t, set()).update(own[w])
-                    hit = np.cumsum(change[:-1]) > 0
-                    for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-                        mine, names = hit[a:b], {str(x) for x in items_of.get(k, ())}
-                        if before is not None:
-                            old, old_names = before[i + k]
-                            mine = mine | np.unpackbits(np.frombuffer(old, dtype=np.uint8), count=b - a).astype(bool)
-                            names |= set(old_names)
-                        n_words.append(b - a)
-                        n_hit.append(int(mine.sum()))
-                        owners.append(sorted(names))
-                        packed.append(b"" if last else np.packbits(mine).tobytes())
-                more = [batch.column(4 + i) for i in range(extra)]
-                names = [f"o{i}" for i in range(extra)]
-                if last and carry:
-                    more.insert(at_text, batch.column(1).cast(pa.string()))
-                    names = [f"c{i}" for i in range(extra + 1)]
-                if last:
-                    columns = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(owners, pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns, *more], names=["doc_id", "n_words", "n_hit", "items", *names])
-                else:
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), pa.array(owners, pa.list_(pa.string())), *more], names=["doc_id", "body", "hit", "items", *names])
-
-        out = C.arrow_map(out, run, result if last else out.schema)
-        number += 1
-    return out
+    """doc_id, n_words, n_hit, the sorted ids of the items that occur, and the text's key, for every document row."""
+    table = index(docs, id_col, text_col)
+    hits = search(table, items, item_id, item_text, window)
+    # The slices of a large benchmark may hit the same words.
+    joined = hits.groupBy("block", "row").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    covered = F.aggregate(
+        "spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("end")),
+        lambda s, x: F.struct((s["n"] + F.greatest(x["b"] - F.greatest(x["a"], s["end"]), F.lit(0))).alias("n"), F.greatest(s["end"], x["b"]).alias("end")), lambda s: s["n"],
+    )
+    found = joined.select("block", "row", covered.alias("n_hit"), "items")
+    out = _documents(table).join(found, ["block", "row"], "left")
+    none = F.array().cast("array<string>")
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"), "key")
 
 
 def contaminated():
@@ -238,39 +383,17 @@ def contaminated():
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
-    """The rows of `docs` that are not contaminated, with their columns."""
-    found = scan(docs, items, carry=True, **names)
-    return found.where(~contaminated()).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **names) -> DataFrame:
+    """The rows of `docs` that are not contaminated, with their columns. The text alone decides, so texts are told apart by their keys."""
+    found = scan(docs, items, text_col=text_col, **names)
+    gone = found.where(contaminated()).groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("_n")).checkpoint()
+    named = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    own = named.withColumn("_key", text_key(f"c{docs.columns.index(text_col)}"))
+    return C.hot_join(own, gone, "_key", "_n", docs.count(), "left_anti").drop("_key").toDF(*docs.columns)
 
 
 def matches(docs: DataFrame, items: DataFrame, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """Every match as a row: doc_id, item_id, kind (exact, or proximity within `slop` extra words), start, length."""
-    spark = docs.sparkSession
-    C.prepare(spark)
-    out = None
-    for phrases in phrase_slices(items, item_id, item_text, window):
-        shared = spark.sparkContext.broadcast(phrases)
-
-        def run(batches, shared=shared):
-            phrases = shared.value
-            for batch, i, index in blocks(batches, phrases):
-                ids = batch.column(0).to_pylist()
-                rows = []
-                for n, windows, own in phrases.groups:
-                    exact = list(zip(*(x.tolist() for x in index.exact(windows))))
-                    known = set(exact)
-                    found = [(w, s, "exact") for w, s in exact]
-                    if slop:
-                        found += [(w, s, "proximity") for w, s in zip(*(x.tolist() for x in index.near(windows, slop))) if (w, s) not in known]
-                    for w, s, kind in found:
-                        at = min(max(s, 0), index.size - 1)
-                        text = int(np.searchsorted(index.first, at, side="right")) - 1
-                        rows += [(ids[i + text], str(item), kind, s - int(index.first[text]), n) for item in own[w]]
-                if rows:
-                    cols = list(zip(*rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "kind", "start", "length"])
-
-        one = C.arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body")), run, "doc_id long, item_id string, kind string, start long, length long")
-        out = one if out is None else out.union(one)
-    return out
+    table = index(docs, id_col, text_col)
+    hits = search(table, items, item_id, item_text, window, slop)
+    return hits.join(_documents(table), ["block", "row"]).select("doc_id", F.col("item").alias("item_id"), "kind", "start", "length").distinct()

@@ -5,39 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
 
-def _state(edges: DataFrame) -> tuple:
-    """A fingerprint of an edge set that does not depend on row order."""
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+
+def _with_least(edges: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """(u, m: the least neighbour, deg) of every u; and the edges with m. Hubs don't meet their m in one task."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("deg")).checkpoint()
+    return least, C.hot_join(edges, least, "u", "deg", total)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of `edges` (u, v: long): root is the smallest node reachable.
 
-    Alternates two star contractions until the edges stop changing: each node hands its larger
+    Alternates two star contractions until only stars are left: each node hands its larger
     neighbours to the smallest node it knows, then itself and its smaller neighbours. The number
     of rounds grows with the logarithm of the longest path. Every minimum is a hash aggregate
-    with map-side combining and every hand-over an equi-join, so no neighbour list is gathered
-    in one task; each round is cut off by a checkpoint. Loops and repeated edges do no harm.
+    with map-side combining and every hand-over a join whose hot keys are split off, so no
+    neighbour list is gathered in one task; each step is cut off by a checkpoint. Loops and
+    repeated edges do no harm.
     """
-    now = (
-        edges.where("u <> v")
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .distinct()
-        .checkpoint()
-    )
-    seen = _state(now)
+    now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
     for _ in range(rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = small.select("e.u", "e.v").where("u <> v").distinct().checkpoint()
-        was, seen = seen, _state(now)
-        if was == seen:
+        total = both.count()
+        least, met = _with_least(both, total)
+        # A node without smaller neighbours is a centre; if each other node has one neighbour, all is stars.
+        if least.where("m < u and deg > 1").isEmpty():
             break
+        large = met.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct().checkpoint()
+        _, met = _with_least(large, total)
+        small = met.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        now = small.select("e.u", "e.v").where("u <> v").distinct().checkpoint()
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

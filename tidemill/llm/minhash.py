@@ -7,11 +7,13 @@ and shifted by k, gives signature coordinate k = min over shingles of pi[sigma(s
 shifted readings of one shingle are neighbours in the table, so a signature is the minimum of
 a few contiguous rows.
 
-Bands of the signature only propose: documents that share a band value are put in one
-candidate cluster, and inside a cluster every pair that can still reach the threshold is
-decided on full sets. Clusters are cut by set size (linked sets differ in size by the
-threshold at most) and, when large, into tiles of bounded memory that different tasks compare;
-a tile reports a spanning forest of its links, never all pairs.
+Bands of the signature only propose. The sets that share a band value are a bucket; each is
+compared, as a full set, with the first one of its bucket, and what is linked so far is joined
+into components. Only buckets whose other members still lie in several components need more:
+their members are compared across components, cut by set size (linked sets differ in size by
+the threshold at most) and, when large, into tiles of bounded memory that different tasks
+compare. Links are reported as spanning forests, never as all pairs, and long chains of near
+copies cost no more than their buckets.
 
 Defined cases: null or wordless text has an empty set, is linked with nothing and is kept;
 equal sets are one node from the start, however many rows carry them; rows may repeat; a null
@@ -36,7 +38,6 @@ SHINGLE = 5
 CIRCLE_BITS = 22
 BANDS, ROWS = 32, 6
 TILE_DOCS, TILE_SHINGLES = 1024, 500_000
-SALTS = 8
 _SIZE_CLASSES = 1.0
 
 
@@ -131,12 +132,12 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: i
     return C.arrow_map(picked, run, "doc_id long, n_shingles long, set_key binary, bands array<long>" + ", text_key binary" * by_row)
 
 
-def forest(sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among `sets`: pairs with 100*|A and B| >= percent*|A or B|.
+def forest(sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, group: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between `sets` of different groups: pairs with 100*|A and B| >= percent*|A or B|.
 
     side: 0 or 1 for the two halves of a tile; if both occur only pairs across are compared.
     Counts intersections through one inverted list per shingle, so pairs without a common
-    shingle cost nothing; members already joined are not recounted as links.
+    shingle cost nothing.
     """
     n = len(sets)
     across = bool(side.any() and not side.all())
@@ -149,7 +150,8 @@ def forest(sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent:
     rank = np.empty(len(values), dtype=np.int64)
     rank[order] = np.repeat(np.arange(len(head)), length)
     begin = np.concatenate(([0], np.cumsum(sizes)))
-    parent = list(range(n))
+    _, parent = np.unique(group, return_inverse=True)
+    parent = np.unique(parent, return_index=True)[1][parent].tolist()  # the first of each group
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -167,7 +169,7 @@ def forest(sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent:
         at = np.repeat(head[mine] - np.concatenate(([0], np.cumsum(lens)[:-1])), lens) + np.arange(int(lens.sum()))
         common = np.bincount(owners[at], minlength=n)[:x]  # earlier members only
         union = sizes[x] + sizes[:x] - common
-        hit = (common > 0) & (100 * common >= percent * union)
+        hit = (common > 0) & (100 * common >= percent * union) & (group[:x] != group[x])
         if across:
             hit &= side[:x] != side[x]
         for y in np.flatnonzero(hit).tolist():
@@ -178,8 +180,41 @@ def forest(sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent:
     return edges
 
 
-def linked(rows: DataFrame, percent: int) -> DataFrame:
-    """Edges (u, v) that span, within each tile, the links of rows (tile, side, nid, shingles).
+_EDGES = "u long, v long"
+
+
+def _edges(u: list[int], v: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def linked_to_first(rows: DataFrame, percent: int) -> DataFrame:
+    """Edges (nid, first) of the rows (tile, side, nid, shingles) that are linked to their tile's row of side 0.
+
+    Rows are dealt and sorted by tile and side, so a task holds one set at a time.
+    """
+
+    def run(batches):
+        at, first, name = None, None, None
+        for batch in batches:
+            u, v = [], []
+            for tile, side, nid, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                own = np.frombuffer(blob, dtype=np.uint64)
+                if side == 0:
+                    at, first, name = tile, own, nid
+                elif tile == at:
+                    common = int((first[np.minimum(np.searchsorted(first, own), len(first) - 1)] == own).sum())
+                    if common and 100 * common >= percent * (len(own) + len(first) - common):
+                        u.append(nid)
+                        v.append(name)
+            if u:
+                yield _edges(u, v)
+
+    dealt = rows.select("tile", "side", "nid", "shingles").repartition(C.parts(rows.sparkSession), "tile").sortWithinPartitions("tile", "side")
+    return C.arrow_map(dealt, run, _EDGES)
+
+
+def linked_across(rows: DataFrame, percent: int) -> DataFrame:
+    """Edges between groups that span, within each tile, the links of rows (tile, side, nid, grp, shingles).
 
     Rows are dealt and sorted by tile, so a task holds one tile at a time.
     """
@@ -191,27 +226,24 @@ def linked(rows: DataFrame, percent: int) -> DataFrame:
         def flush():
             if len(held) < 2:
                 return None
-            sets = [np.frombuffer(x[2], dtype=np.uint64) for x in held]
-            nid = np.array([x[1] for x in held])
-            found = forest(np.array([len(s) for s in sets]), sets, np.array([x[0] for x in held]), percent)
-            if not found:
-                return None
-            u, v = np.array(found).T
-            return pa.RecordBatch.from_arrays([pa.array(nid[u]), pa.array(nid[v])], names=["u", "v"])
+            sets = [np.frombuffer(x[3], dtype=np.uint64) for x in held]
+            side, nid, group = (np.array([x[i] for x in held]) for i in range(3))
+            found = forest(np.array([len(s) for s in sets]), sets, side, group, percent)
+            return _edges(*np.array([(nid[x], nid[y]) for x, y in found]).T) if found else None
 
         for batch in batches:
-            for tile, side, nid, blob in zip(*(c.to_pylist() for c in batch.columns)):
+            for tile, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if tile != at:
                     if (out := flush()) is not None:
                         yield out
                     held.clear()
                     at = tile
-                held.append((side, nid, blob))
+                held.append(row)
         if (out := flush()) is not None:
             yield out
 
-    dealt = rows.select("tile", "side", "nid", "shingles").repartition(C.parts(rows.sparkSession), "tile").sortWithinPartitions("tile")
-    return C.arrow_map(dealt, run, "u long, v long")
+    dealt = rows.select("tile", "side", "nid", "grp", "shingles").repartition(C.parts(rows.sparkSession), "tile").sortWithinPartitions("tile")
+    return C.arrow_map(dealt, run, _EDGES)
 
 
 def near_duplicates(
@@ -219,69 +251,86 @@ def near_duplicates(
     shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
-    sketch, labels = _components(docs, id_col, text_col, percent, shingle, bands, rows)
-    out = sketch.select("doc_id", "n_shingles", "set_key").join(labels, "set_key", "left")
+    sketch, labels, total = _components(docs, id_col, text_col, percent, shingle, bands, rows)
+    out = C.hot_join(sketch.select("doc_id", "n_shingles", "set_key"), labels, "set_key", "copies", total, "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def candidates(nodes: DataFrame, bands: int) -> DataFrame:
+    """h, nid, first, size: the members of every band bucket of several sets, with its first member and its size."""
+    bucket = nodes.select(F.explode("bands").alias("h"), "nid")
+    several = bucket.groupBy("h").agg(F.min("nid").alias("first"), F.count("*").alias("size"), F.count("*").alias("_size")).where("size > 1").checkpoint()
+    return C.hot_join(bucket, several, "h", "_size", bands * nodes.count()).checkpoint()
+
+
+def star_tiles(member: DataFrame) -> DataFrame:
+    """tile, side, nid: every member of a bucket with the bucket's first one (side 0), at most about TILE_DOCS members a tile."""
+    pair = member.where("nid <> first").groupBy("first", "nid").agg(F.max("size").alias("size"))
+    tiles = F.pow(F.lit(2), F.ceil(F.log2(F.ceil(F.col("size") / TILE_DOCS)))).cast("long")
+    pair = pair.withColumn("tiles", tiles).withColumn("tile", F.xxhash64("first", "tiles", F.pmod(F.xxhash64("nid"), F.col("tiles"))))
+    return pair.select("tile", F.lit(1).alias("side"), "nid").union(pair.select("tile", F.lit(0), "first").distinct())
+
+
+def cross_tiles(member: DataFrame, nodes: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """tile, side, nid, grp: members of buckets that still lie in several components, to be compared across them.
+
+    A bucket's first member was compared with all others; so only the others count. Buckets of
+    several bands with the same members are one.
+    """
+    others = member.where("size > 2 and nid <> first").join(joined.withColumnRenamed("node", "nid"), "nid", "left").select("h", "nid", F.coalesce("root", "nid").alias("grp")).checkpoint()
+    same = [F.count("*").alias("n"), F.sum(F.xxhash64("nid").cast("decimal(38,0)")).alias("x"), F.expr("bit_xor(xxhash64(nid, 1))").alias("y")]
+    open_ = others.groupBy("h").agg(F.min("grp").alias("a"), F.max("grp").alias("z"), *same).where("a <> z").groupBy("n", "x", "y").agg(F.min("h").alias("h")).select("h", F.col("n").alias("_n")).checkpoint()
+    inside = C.hot_join(others, open_, "h", "_n", others.count())
+    # Linked sets lie within one size class or in neighbouring ones.
+    step = float(np.log(100.0 / percent)) if percent < 100 else _SIZE_CLASSES
+    at = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int")
+    placed = inside.join(nodes.select("nid", "n"), "nid").withColumn("c", at).select(
+        "h", "nid", "grp", "n", F.explode(F.array(F.struct(F.lit(1).alias("own"), F.col("c").alias("c")), F.struct(F.lit(0).alias("own"), (F.col("c") + 1).alias("c")))).alias("p"),
+    ).select("h", "nid", "grp", "n", "p.own", "p.c").checkpoint()
+    cut = (
+        placed.groupBy("h", "c")
+        .agg(F.sum("own").alias("own_n"), F.count("*").alias("_n"), F.sum("n").alias("sh"), F.min("grp").alias("a"), F.max("grp").alias("z"))
+        .where("own_n > 0 and a <> z")
+        .select("h", "c", "_n", F.greatest(F.ceil(F.col("_n") / TILE_DOCS), F.ceil(F.col("sh") / TILE_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
+        .checkpoint()
+    )
+    rows = C.hot_join(placed, cut, ["h", "c"], "_n", placed.count()).withColumn("b", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
+    tiles = rows.select("nid", "grp", "h", "c", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    return tiles.select(F.xxhash64("h", "c", F.least("b", "o"), F.greatest("b", "o")).alias("tile"), (F.col("b") > F.col("o")).cast("int").alias("side"), "nid", "grp")
+
+
 def _components(
     docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: int, bands: int, rows: int, by_row: bool = False,
-) -> tuple[DataFrame, DataFrame]:
-    """The sketches, and set_key, component_id of every set.
+) -> tuple[DataFrame, DataFrame, int]:
+    """The sketches; set_key, component_id and the number of rows (copies) of every set; and the number of rows.
 
     by_row: also `keeper`, the doc_id and text key of the one row that stays of the component if
     it is a row of this set, else null. It has the least id, then the least set and text key.
     """
-    spark = docs.sparkSession
-    C.prepare(spark)
+    C.prepare(docs.sparkSession)
     sketch = sketches(docs, id_col, text_col, shingle, bands, rows, by_row).checkpoint()
     first = [F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")] if by_row else []
     nodes = (
         sketch.where("set_key is not null")
         .groupBy("set_key")
-        .agg(F.min("doc_id").alias("label"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), *first)
+        .agg(F.min("doc_id").alias("label"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), *first)
         .withColumn("nid", F.monotonically_increasing_id())
         .checkpoint()
     )
-    # Candidate clusters: the documents of a bucket all point at its smallest node.
-    bucket = nodes.select("nid", F.explode("bands").alias("h"))
-    centre = bucket.groupBy("h").agg(F.min("nid").alias("v"), F.max("nid").alias("z")).where("v <> z").select("h", "v")
-    star = bucket.join(centre, "h").where("nid <> v").select(F.col("nid").alias("u"), "v").distinct()
-    cluster = components(star)
-    # Sets in one cluster can be linked only within one size class or between neighbouring ones.
-    step = float(np.log(100.0 / percent)) if percent < 100 else _SIZE_CLASSES
-    member = (
-        nodes.select("nid", "label", "n", "set_key")
-        .join(cluster.withColumnRenamed("node", "nid"), "nid")
-        .withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int"))
-        .withColumn("place", F.explode(F.array(F.struct(F.lit(1).alias("own"), F.col("size_class").alias("c")), F.struct(F.lit(0).alias("own"), (F.col("size_class") + 1).alias("c")))))
-        .select("nid", "label", "n", "set_key", "root", "place.own", "place.c")
-        .checkpoint()
-    )
-    group = (
-        member.groupBy("root", "c")
-        .agg(F.sum("own").alias("own_n"), F.count("*").alias("all_n"), F.sum("n").alias("all_sh"))
-        .where("own_n > 0 and all_n > 1")
-        .select("root", "c", F.greatest(F.ceil(F.col("all_n") / TILE_DOCS), F.ceil(F.col("all_sh") / TILE_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
-    )
-    # A large cluster's members meet its row in several tasks.
-    salted = group.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    placed = member.withColumn("salt", F.pmod(F.xxhash64("nid"), F.lit(SALTS)).cast("int")).join(salted, ["root", "c", "salt"]).withColumn("b", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
-    tiles = placed.select(
-        "nid", "b", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"), "root", "c",
-    ).select(
-        "nid", F.struct("root", "c", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")).alias("t"), (F.col("b") > F.col("o")).cast("int").alias("side"),
-    )
-    wanted = placed.select("nid", F.col("label").alias("_label"), F.col("set_key").alias("_key")).distinct()
-    sets = shingle_sets(docs, wanted, id_col, text_col, shingle)
-    rows_ = tiles.withColumn("tile", F.xxhash64("t.root", "t.c", "t.i", "t.j")).select("nid", "tile", "side").join(sets, "nid")
-    found = components(linked(rows_, percent))
+    member = candidates(nodes, bands)
+    wanted = member.select("nid").distinct().join(nodes.select("nid", F.col("label").alias("_label"), F.col("set_key").alias("_key")), "nid")
+    sets = shingle_sets(docs, wanted, id_col, text_col, shingle).checkpoint()
+    found = components(linked_to_first(star_tiles(member).join(sets, "nid"), percent)).checkpoint()
+    more = linked_across(cross_tiles(member, nodes, found, percent).join(sets, "nid"), percent).checkpoint()
+    if not more.isEmpty():
+        found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)).checkpoint()
     least = [F.min(F.struct(F.col("label").isNull().alias("no_id"), "label", "set_key"))["set_key"].alias("stays")] if by_row else []
-    name = found.withColumnRenamed("node", "nid").join(nodes.select("nid", "label", "set_key"), "nid").groupBy("root").agg(F.min("label").alias("top"), *least)
-    named = found.join(name, "root").select(F.col("node").alias("nid"), "top", *(["stays"] if by_row else []))
+    name = found.withColumnRenamed("node", "nid").join(nodes.select("nid", "label", "set_key"), "nid").groupBy("root").agg(F.min("label").alias("top"), F.count("*").alias("_n"), *least).checkpoint()
+    named = C.hot_join(found, name, "root", "_n", found.count()).select(F.col("node").alias("nid"), "top", *(["stays"] if by_row else []))
     keeper = [F.when(F.coalesce("stays", "set_key") == F.col("set_key"), F.struct("first.doc_id", "first.text_key")).alias("keeper")] if by_row else []
-    return sketch, nodes.join(named, "nid", "left").select("set_key", F.coalesce("top", "label").alias("component_id"), *keeper)
+    labels = nodes.join(named, "nid", "left").select("set_key", F.coalesce("top", "label").alias("component_id"), "copies", *keeper).checkpoint()
+    return sketch, labels, sketch.count()
 
 
 def drop_near_duplicates(
@@ -293,23 +342,29 @@ def drop_near_duplicates(
     Rows are told apart by id and text, so rows that share an id, or have none, are decided each
     by its own text; of rows equal in both any one stays.
     """
-    sketch, labels = _components(docs, id_col, text_col, percent, shingle, bands, rows, True)
+    sketch, labels, total = _components(docs, id_col, text_col, percent, shingle, bands, rows, True)
     stays = F.col("keeper").isNotNull() & F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("text_key") == F.col("keeper.text_key"))
     decided = (
-        sketch.where("set_key is not null")
-        .join(labels, "set_key")
-        .groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-        .agg(F.count("*").alias("_n"), F.first(stays).alias("_stays"))
-        .where("not _stays or _n > 1")
+        C.hot_join(sketch.where("set_key is not null"), labels, "set_key", "copies", total)
+        .groupBy("doc_id", "text_key")
+        .agg(F.count("*").alias("n"), F.first(stays).alias("stays"))
+        .where("not stays or n > 1")
+        .select(_row_key("doc_id", F.col("text_key")).alias("_row"), F.col("n").alias("_n"), F.col("stays").alias("_stays"))
         .checkpoint()
     )
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (text_key(text_col) == F.col("_key"))
-    out = docs.join(decided.select("_id", "_key"), same, "left_anti")
-    again = decided.where("_stays").select("_id", "_key")
-    if again.isEmpty():
-        return out
-    one = docs.join(again, same).dropDuplicates(["_id", "_key"]).select(*[docs[f"`{c}`"] for c in docs.columns])
-    return out.union(one)
+    named = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    at = lambda c: f"c{docs.columns.index(c)}"
+    own = named.withColumn("_row", _row_key(at(id_col), text_key(at(text_col))))
+    out = C.hot_join(own, decided.select("_row", "_n"), "_row", "_n", total, "left_anti").drop("_row")
+    again = decided.where("_stays").select("_row", "_n")
+    if not again.isEmpty():
+        out = out.union(C.hot_join(own, again, "_row", "_n", total).dropDuplicates(["_row"]).drop("_row"))
+    return out.toDF(*docs.columns)
+
+
+def _row_key(id_col: str, key):
+    """One string that names a row by its id, which may be null, and its text; null for a null text."""
+    return F.concat(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("-")), F.lit(":"), F.hex(key))
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -326,8 +381,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
             yield pa.RecordBatch.from_arrays([pa.array([nids[i] for i in keep], pa.int64()), pa.array([sets[i] for i in keep], pa.binary())], names=["nid", "shingles"])
 
     # A label may be null; such a node's rows all have a null id, and any of them will do.
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), C.text_bytes(text_col))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**62))).alias("_id"), C.text_bytes(text_col).alias("_text"))
     some = wanted.withColumn("_id", F.coalesce("_label", F.lit(-(2**62))))
-    texts = texts.withColumn("_id", F.coalesce("_id", F.lit(-(2**62))))
-    picked = texts.join(some.hint("shuffle_hash"), "_id").select("nid", "_key", text_col)
+    picked = texts.join(some.hint("shuffle_hash"), "_id").select("nid", "_key", "_text")
     return C.arrow_map(picked, run, "nid long, shingles binary").dropDuplicates(["nid"])
