@@ -265,6 +265,33 @@ def test_transducer_survives_a_full_memory():
         assert small.encode(piece).split() == [str(ranks[p]) for p in ([piece] if piece in ranks else bpe.merge(piece, ranks))]
 
 
+def test_a_long_pre_token_stays_within_the_states():
+    ranks, rng = bpe.read_ranks(RANKS), random.Random(5)
+    piece = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    machine = bpe.Transducer(ranks, max_states=2000)
+    got = machine.encode(piece.encode()).split()
+    assert len(machine.states) <= 2000 + bpe.LOOK + 1
+    library = tiktoken.Encoding("own", pat_str=r"\w+", mergeable_ranks=ranks, special_tokens={})
+    assert list(map(int, got)) == library.encode_ordinary(piece)
+
+
+def test_ranks_need_every_byte(tmp_path):
+    with open(RANKS, "rb") as f:
+        lines = f.read().splitlines()
+    (tmp_path / "few.tiktoken").write_bytes(b"\n".join(x for x in lines if not x.startswith(b"QQ== ")))
+    with pytest.raises(ValueError, match="65"):
+        bpe.read_ranks(str(tmp_path / "few.tiktoken"))
+
+
+def test_bytes_that_are_no_utf8(spark):
+    """Such strings come from other writers; every operator takes them."""
+    rows = spark.createDataFrame([(1, bytearray(b"ab \xff\xfe cd")), (2, bytearray(b"\xc3"))], "doc_id long, raw binary").select("doc_id", F.col("raw").cast("string").alias("text"))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert [r.decoded_sha256 for r in bpe.digests(rows, RANKS, public_tokenizers.PATTERN).orderBy("doc_id").collect()] == [hashlib.sha256(t.encode()).hexdigest() for t in ("ab \ufffd\ufffd cd", "\ufffd")]
+    assert token_count.count_tokens(rows, path).count() == 2
+    assert substring.drop_repeats(rows).count() == 2 and minhash.drop_near_duplicates(rows).count() == 2
+
+
 def test_utf8_machine():
     m, rng = bpe.Utf8Machine(), random.Random(3)
     for _ in range(2000):

@@ -7,14 +7,16 @@ together. A byte string has exactly one path of such pairs, and it is what the m
 Guesses differ for a few bytes at most (no longer than the longest token), so the transducer
 is made deterministic as it runs: a state holds the live guesses with the tokens that not all
 of them agree on yet; a token is emitted as soon as all live guesses agree. States and
-transitions are built when first met and thrown away together when there are too many.
+transitions are built when first met and thrown away together when there are too many, inside
+a long pre-token too: the live guesses alone are enough to go on.
 
 Decoding keeps the unfinished bytes of a UTF-8 sequence as its state; (state, token) steps are
 remembered, so a stream is decoded token by token with at most three pending bytes. Malformed
 sequences become U+FFFD, one for each maximal broken part.
 
 Defined cases: null text is encoded as empty text (no ids); empty input decodes to ''. Rows
-may repeat. Special tokens are never produced; their strings are ordinary text.
+may repeat. Special tokens are never produced; their strings are ordinary text. Bytes of a text
+that are no UTF-8 count as U+FFFD. A rank file without a token for each single byte is refused.
 """
 
 from __future__ import annotations
@@ -34,11 +36,16 @@ from . import common as C
 #: Bounds of what one Python process remembers: about 150 MB of states and 60 MB of pieces.
 MAX_STATES = 250_000
 MAX_PIECES = 250_000
+#: Bytes of a pre-token between two looks at the number of states; each byte makes one state at most.
+LOOK = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    if missing := [b for b in range(256) if bytes([b]) not in ranks]:
+        raise ValueError(f"{path} has no token for the bytes {missing}")
+    return ranks
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
@@ -165,11 +172,17 @@ class Transducer:
             return f" {whole}"
         if len(self.states) > self.max_states:
             self._reset()
-        state, out = self.start, ""
-        for b in piece:
-            state, ids = state[b]
-            out += ids
-        return out + state.rest
+        state, out = self.start, []
+        for at in range(0, len(piece), LOOK):
+            if at and len(self.states) > self.max_states:
+                guesses = state.guesses
+                self._reset()
+                state = self._state(guesses)
+            for b in piece[at : at + LOOK]:
+                state, ids = state[b]
+                if ids:
+                    out.append(ids)
+        return "".join(out) + state.rest
 
 
 #: A text without this has no space that stands before white space or at the end; it falls apart at its spaces.
@@ -337,7 +350,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
         for batch in C.slices(batches, 1):
             n, ids_sha, text_sha = [], [], []
             for body in batch.column(1):
-                ids = encoder.encode(body.as_py().decode())
+                ids = encoder.encode(body.as_py().decode("utf-8", "replace"))
                 tokens = ids.split(" ") if ids else []
                 n.append(len(tokens))
                 ids_sha.append(sha(ids.encode()))
@@ -359,7 +372,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         for batch in C.slices(batches, 1, 2 << 20):
             flat, counts, same = [], [], []
             for body in batch.column(1):
-                text = body.as_py().decode()
+                text = body.as_py().decode("utf-8", "replace")
                 tokens = encoder.encode(text).split()
                 same.append(decoder.decode(tokens) == text)
                 flat.append(np.array(tokens, dtype=np.int32))

@@ -6,27 +6,34 @@ rectangle sums in four reads. Sixteen filters compare rectangles inside a slidin
 frames; each difference is quantised to two bits (Gray-coded, so neighbours differ in one bit),
 and the sixteen make one 32-bit integer for each position.
 
-Two recordings are aligned by their bit errors over the whole overlap, counted for every offset
-with the least overlap, so no alignment within the limit is missed; the cost is one comparison
-for each pair of integers. Equal queries are one class, aligned once. Classes are gathered in
-blocks of bounded size and broadcast; every recording is matched where it lies.
+Two recordings are aligned by offset histograms: every integer is posted under each pair of its
+four bytes, so two integers of which two bytes agree vote for their offset, and offsets with
+VOTES votes or more are decided by their bit errors over the whole overlap. With 15 % of the bits
+wrong, by chance and independently, two bytes of an integer survive with probability 0.30, so an
+overlap of 16 integers gets two votes with probability 0.98 and longer ones almost always.
+
+Recordings with equal integers are one class, aligned once, and so are equal queries. Classes are
+dealt to chunks and query classes to blocks; a task holds one chunk and one block, with the
+block's inverted lists. A recording's row appears once for each class it aligns with;
+matched_pairs() names every query of a class.
 
 Defined cases: null or empty media, and media shorter than one window, have no integers and
-match nothing; a recording never matches the query with its own id; equal recordings match at
-offset 0 without errors; of equal matches the least query id, then the least offset, wins. A
-recording lists every class it aligns with; matched_pairs() names every query of a class.
+match nothing; so have media that can't be decoded; a recording never matches the query with its
+own id; equal recordings match at offset 0 without errors; of the offsets of a pair the one with
+the least bit error counts, then the longest overlap, then the least offset. Rows may repeat and
+ids too; rows without an id are aligned, but are no queries. A task decodes one recording at a
+time.
 """
 
 from __future__ import annotations
 
-import hashlib
 import io
 import wave
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -37,7 +44,11 @@ WIDTH = 16
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 MAX_ERROR = 0.15
 MIN_OVERLAP = 16
-QUERY_BLOCK = 4096
+VOTES = 2
+#: Query classes of a block, recording classes of a chunk, and votes that are counted at a time.
+QUERY_BLOCK, CHUNK, AT_ONCE = 4096, 20_000, 2_000_000
+#: The pairs of an integer's bytes.
+BYTE_PAIRS = [(i, j) for i in range(4) for j in range(i)]
 
 
 def _filters() -> list[tuple[int, int, int, int]]:
@@ -50,15 +61,24 @@ STEP = 0.12
 
 
 def wav_samples(blob: bytes | None) -> np.ndarray:
-    """Mono samples of a 16-bit PCM WAV file at RATE (channels averaged, other rates interpolated)."""
+    """Mono samples of a PCM WAV file of 8, 16, 24 or 32 bits at RATE (channels averaged, other rates interpolated); none if it is no such file."""
+    none = np.zeros(0, dtype=np.float32)
     if not blob:
-        return np.zeros(0, dtype=np.float32)
-    with wave.open(io.BytesIO(blob)) as w:
-        raw = np.frombuffer(w.readframes(w.getnframes()), dtype="<i2").astype(np.float32) / 32768
-        raw, rate = raw.reshape(-1, w.getnchannels()).mean(axis=1), w.getframerate()
-    if rate != RATE and len(raw):
-        raw = np.interp(np.arange(int(len(raw) * RATE / rate)) * (rate / RATE), np.arange(len(raw)), raw).astype(np.float32)
-    return raw
+        return none
+    try:
+        with wave.open(io.BytesIO(blob)) as w:
+            size, channels, rate, data = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.readframes(w.getnframes())
+    except (wave.Error, EOFError):
+        return none
+    if rate <= 0 or not 1 <= size <= 4:
+        return none
+    raw = np.frombuffer(data, dtype=np.uint8, count=len(data) // (size * channels) * size * channels).reshape(-1, channels, size)
+    wide = np.zeros((*raw.shape[:2], 4), dtype=np.uint8)
+    wide[:, :, 4 - size :] = raw ^ np.uint8(128) if size == 1 else raw  # eight bits are unsigned
+    samples = (wide.view("<i4")[:, :, 0].astype(np.float32) / 2**31).mean(axis=1)
+    if rate != RATE and len(samples):
+        samples = np.interp(np.arange(int(len(samples) * RATE / rate)) * (rate / RATE), np.arange(len(samples)), samples).astype(np.float32)
+    return samples
 
 
 def _pitch_classes() -> np.ndarray:
@@ -138,108 +158,156 @@ def fingerprints(df: DataFrame, id_col: str, media_col: str, decode: Callable =
     return C.arrow_map(df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")), run, "id long, codes binary")
 
 
-COMPARED = 1 << 18
-MATCHES = "array<struct<match_id: long, match_offset: int, match_overlap: int, bit_error: double, query_sha256: string>>"
+class Recordings:
+    """The integers of some recordings, one after the other, and their postings."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.size = np.array([len(b) // 4 for b in blobs], dtype=np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.codes = np.frombuffer(b"".join(blobs), dtype="<u4")
+
+    def keys(self, first: int, last: int) -> np.ndarray:
+        """A row of keys for every integer of the recordings from `first` to before `last`: each pair of bytes, with its number."""
+        codes = self.codes[self.begin[first] : self.begin[last - 1] + self.size[last - 1]] if last > first else self.codes[:0]
+        part = [(codes >> np.uint32(8 * i)) & np.uint32(255) for i in range(4)]
+        return np.stack([np.uint32(k << 16) | part[i] << np.uint32(8) | part[j] for k, (i, j) in enumerate(BYTE_PAIRS)], axis=1)
+
+    def owners(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """The recording and the place of every such integer."""
+        size = self.size[first:last]
+        return np.repeat(np.arange(first, last), size), np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
 
 
 class Library:
-    """The integers of some classes of equal queries, in blocks of one length."""
-
-    def __init__(self, rows: list[tuple[list[int], bytes]]):
-        """rows: (the least id of a class, and the next if there is one; its integers)."""
-        rows = sorted((sorted(ids), b) for ids, b in rows if b)
-        self.ids = [ids for ids, _ in rows]
-        self.names = [hashlib.sha256(b).hexdigest() for _, b in rows]
-        by_size: dict[int, list[int]] = {}
-        for k, (_, b) in enumerate(rows):
-            by_size.setdefault(len(b) // 4, []).append(k)
-        self.blocks = []
-        for size, members in by_size.items():
-            step = max(1, COMPARED // size)
-            for at in range(0, len(members), step):
-                some = members[at : at + step]
-                # A column for each query, last integer first.
-                turned = np.stack([np.frombuffer(rows[k][1], dtype="<u4")[::-1] for k in some], axis=1)
-                self.blocks.append((np.array(some), np.ascontiguousarray(turned)))
-
-    def all(self, own: int | None, blob: bytes) -> list[tuple]:
-        """(query id, offset, overlap, bit error, class) of the best alignment with every class within MAX_ERROR, best first."""
-        mine = np.frombuffer(blob, dtype="<u4")
-        out = []
-        for members, turned in self.blocks:
-            size = len(turned)
-            offset = np.arange(len(mine) + size - 1) - (size - 1)
-            n = np.minimum(offset + size, len(mine)) - np.maximum(offset, 0)
-            if not len(mine) or n.max() < MIN_OVERLAP:
-                continue
-            wrong = np.zeros((len(offset), len(members)), dtype=np.int32)
-            for i, x in enumerate(mine):  # wrong[i - j + size - 1] takes mine[i] against integer j
-                wrong[i : i + size] += np.bitwise_count(turned ^ x)
-            error = wrong / (32 * n)[:, None]
-            at, which = np.nonzero((error <= MAX_ERROR) & (n >= MIN_OVERLAP)[:, None])
-            order = np.lexsort((offset[at], -n[at], error[at, which], which))
-            _, first = np.unique(which[order], return_index=True)
-            for k in order[first].tolist():
-                c = int(members[which[k]])
-                if ids := [i for i in self.ids[c] if i != own]:
-                    out.append((ids[0], int(offset[at[k]]), int(n[at[k]]), float(error[at[k], which[k]]), self.names[c]))
-        return sorted(out, key=_rank)
-
-
-def _rank(m) -> tuple:
-    return m[3], -m[2], m[0], m[1]
+    """Inverted lists over the queries of a block."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.of = Recordings(blobs)
+        keys = self.of.keys(0, len(blobs)) if blobs else np.zeros((0, len(BYTE_PAIRS)), dtype=np.uint32)
+        query, place = self.of.owners(0, len(blobs))
+        order = np.argsort(keys.ravel(), kind="stable")
+        self.keys = keys.ravel()[order]
+        self.query, self.place = (np.repeat(x, len(BYTE_PAIRS))[order] for x in (query, place))
+
+    def align(self, rows: Recordings):
+        """(row, query, offset, overlap, bit error) of the best alignment of every pair within MAX_ERROR, in lots of rows."""
+        n = len(rows.size)
+        each = np.zeros(n, dtype=np.int64)  # votes of each row
+        for a in range(0, n, 1000):
+            b = min(n, a + 1000)
+            keys = rows.keys(a, b).ravel()
+            found = np.searchsorted(self.keys, keys, "right") - np.searchsorted(self.keys, keys, "left")
+            owner, _ = rows.owners(a, b)
+            np.add.at(each, owner, found.reshape(-1, len(BYTE_PAIRS)).sum(axis=1))
+        a = 0
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(np.cumsum(each[a:]), AT_ONCE, "right")) + a)
+            yield self._lot(rows, a, b)
+            a = b
+
+    def _lot(self, rows: Recordings, a: int, b: int):
+        keys = rows.keys(a, b).ravel()
+        owner, place = (np.repeat(x, len(BYTE_PAIRS)) for x in rows.owners(a, b))
+        low = np.searchsorted(self.keys, keys, "left")
+        count = np.searchsorted(self.keys, keys, "right") - low
+        at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        row, query, offset = np.repeat(owner, count), self.query[at], np.repeat(place, count) - self.place[at]
+        # The histogram: votes for each row, query and offset.
+        order = np.lexsort((offset, query, row))
+        row, query, offset = row[order], query[order], offset[order]
+        new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (query[1:] != query[:-1]) | (offset[1:] != offset[:-1])))) if len(row) else np.zeros(0, dtype=np.int64)
+        new = new[np.diff(np.append(new, len(row))) >= VOTES]
+        row, query, offset = row[new], query[new], offset[new]
+        begin, end = np.maximum(offset, 0), np.minimum(offset + self.of.size[query], rows.size[row])
+        ok = end - begin >= MIN_OVERLAP
+        row, query, offset, begin, n = row[ok], query[ok], offset[ok], begin[ok], (end - begin)[ok]
+        wrong = np.zeros(len(n), dtype=np.int64)
+        edges = np.cumsum(n) // AT_ONCE  # bits are compared in lots too
+        for lot in np.unique(edges):
+            some = np.flatnonzero(edges == lot)
+            heads = np.cumsum(n[some]) - n[some]
+            step = np.arange(int(n[some].sum())) - np.repeat(heads, n[some])
+            mine = rows.codes[np.repeat(rows.begin[row[some]] + begin[some], n[some]) + step]
+            theirs = self.of.codes[np.repeat(self.of.begin[query[some]] + begin[some] - offset[some], n[some]) + step]
+            wrong[some] = np.add.reduceat(np.bitwise_count(mine ^ theirs).astype(np.int64), heads)
+        error = wrong / (32 * n)
+        ok = error <= MAX_ERROR
+        row, query, offset, n, error = row[ok], query[ok], offset[ok], n[ok], error[ok]
+        order = np.lexsort((offset, -n, error, query, row))
+        row, query, offset, n, error = row[order], query[order], offset[order], n[order], error[order]
+        best = np.concatenate(([True], (row[1:] != row[:-1]) | (query[1:] != query[:-1]))) if len(row) else np.zeros(0, dtype=bool)
+        return row[best], query[best], offset[best], n[best], error[best]
+
+
+_ALIGNED = "cid long, qid long, match_offset int, match_overlap int, bit_error double"
+
+
+def _meet(classes: pa.Table, queries: pa.Table) -> pa.Table:
+    """A chunk of recording classes against a block of query classes."""
+    library, rows = Library(queries["codes"].to_pylist()), Recordings(classes["codes"].to_pylist())
+    cid, qid = classes["cid"].to_numpy(), queries["qid"].to_numpy()
+    found = list(library.align(rows)) if queries.num_rows and classes.num_rows else []
+    columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in range(5)]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
+    columns[:2] = [cid[columns[0].astype(np.int64)], qid[columns[1].astype(np.int64)]]
+    return pa.table([pa.array(c).cast(t) for c, t in zip(columns, kinds)], names=[c.split()[0] for c in _ALIGNED.split(", ")])
 
 
 def align(prints: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
-    """id, n_codes, codes_sha256, the best aligned query and all matches of every fingerprint row.
+    """A row for every fingerprint row and every class of equal queries that it aligns with; one without a match if there is none.
 
-    queries: rows of the same form. `matches` holds the best alignment with each class of equal
-    queries within MAX_ERROR, best first, under the least id of the class (other than the row's
-    own) and the class's codes_sha256. A block of at most `block` classes is broadcast at a time;
-    the matches of all blocks are carried along in the row.
+    Columns: id, n_codes, codes_sha256; match_id, the least id of the query class other than the
+    row's own; match_offset, match_overlap, bit_error, and the class's query_sha256.
+    queries: rows of the same form as `prints`.
     """
     spark = prints.sparkSession
     C.prepare(spark)
-    out = prints.select("id", "codes", F.array().cast(MATCHES).alias("matches"))
-    held: list = []
-
-    def add(out: DataFrame, rows: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(rows)
-
-        def run(batches):
-            library = Library(shared.value)
-            remembered: dict[tuple, list] = {}
-            ids = {i for some in library.ids for i in some}
-            for batch in batches:
-                found = []
-                for i, blob, before in zip(*(c.to_pylist() for c in batch.columns)):
-                    key = (i if i in ids else None, blob)  # equal recordings are aligned once
-                    if key not in remembered:
-                        if len(remembered) > 5000:
-                            remembered.clear()
-                        remembered[key] = [dict(zip(("match_id", "match_offset", "match_overlap", "bit_error", "query_sha256"), m)) for m in library.all(i, blob or b"")]
-                    found.append(sorted(before + remembered[key], key=lambda m: _rank(tuple(m.values()))) if before else remembered[key])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, batch.schema.field(2).type)], names=["id", "codes", "matches"])
-
-        return C.arrow_map(out, run, out.schema)
-
+    rows = prints.select("id", "codes", F.xxhash64("id", F.spark_partition_id()).alias("spread")).checkpoint()
+    total = rows.count()
+    some = F.octet_length("codes") > 0
+    classes = rows.where(some).groupBy("codes").agg(F.count("*").alias("n")).withColumn("cid", F.monotonically_increasing_id()).checkpoint()
+    asked = queries.where(F.col("id").isNotNull() & some).select("id", "codes").distinct().checkpoint()
+    least = asked.groupBy("codes").agg(F.min("id").alias("least"), F.count("*").alias("n")).checkpoint()
     # The two least ids name a class to every row: to the row with the least id by the other one.
-    nth = F.row_number().over(Window.partitionBy("codes").orderBy("id"))
-    classes = queries.select("id", "codes").where("id is not null and octet_length(codes) > 0").distinct().withColumn("nth", nth).where("nth <= 2").groupBy("codes").agg(F.collect_list("id").alias("ids"))
-    for row in classes.toLocalIterator():
-        held.append((list(row.ids), bytes(row.codes)))
-        if len(held) == block:
-            out, held = add(out, held), []
-    if held:
-        out = add(out, held)
-    best = [F.get("matches", F.lit(0))[c].alias(c) for c in ("match_id", "match_offset", "match_overlap", "bit_error")]
-    return out.select("id", (F.octet_length("codes") / 4).cast("long").alias("n_codes"), F.sha2("codes", 256).alias("codes_sha256"), *best, "matches")
+    second = C.hot_join(asked, least, "codes", "n", asked.count()).where("id > least").groupBy("codes").agg(F.min("id").alias("second"))
+    named = least.join(second, "codes", "left").select("codes", "least", "second", F.sha2("codes", 256).alias("query_sha256")).withColumn("qid", F.monotonically_increasing_id()).checkpoint()
+    blocks, chunks = -(-named.count() // block), max(C.parts(spark), -(-classes.count() // CHUNK))
+    spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    if not blocks:
+        found = spark.createDataFrame([], _ALIGNED)
+    else:
+        left = classes.select("cid", "codes", spread("cid", chunks).alias("chunk"), every(blocks).alias("block"))
+        right = named.select("qid", "codes", spread("qid", blocks).alias("block"), every(chunks).alias("chunk"))
+        found = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInArrow(C.arrow_cogroups(_meet, __name__), _ALIGNED)
+    # Rows of a class with many copies meet its matches in several tasks.
+    salts = F.greatest(F.lit(1), F.ceil(F.col("n") * C.HOT / F.lit(max(total, 1)))).cast("int")
+    sized = classes.select("codes", "cid", "n", salts.alias("salts"))
+    mine = C.hot_join(rows, sized, "codes", "n", total, "left").withColumn("salt", F.pmod("spread", "salts").cast("int"))
+    matches = found.join(named.drop("codes"), "qid").join(sized.select("cid", "salts"), "cid").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts", "qid").checkpoint()
+    out = mine.where("cid is not null").join(matches, ["cid", "salt"]).withColumn("match_id", F.when(F.col("least").eqNullSafe(F.col("id")), F.col("second")).otherwise(F.col("least"))).where("match_id is not null")
+    known = ["id", (F.octet_length("codes") / 4).cast("long").alias("n_codes"), F.sha2("codes", 256).alias("codes_sha256")]
+    matched = out.select(*known, "match_id", "match_offset", "match_overlap", "bit_error", "query_sha256")
+    # A row is without a match if its class has none, or only the query that is the row itself.
+    classwise = matches.where("salt = 0").groupBy("cid").agg(F.count("*").alias("m"), F.max(F.when(F.col("second").isNull(), F.col("least"))).alias("only"))
+    counted = C.hot_join(mine.where("cid is not null").select("id", "codes", "cid"), classwise.join(classes.select("cid", "n"), "cid").checkpoint(), "cid", "n", total, "left")
+    alone = counted.where("m is null or (m = 1 and only <=> id)").select("id", "codes").union(mine.where("cid is null").select("id", "codes"))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("match_id", "long"), ("match_offset", "int"), ("match_overlap", "int"), ("bit_error", "double"), ("query_sha256", "string"))]
+    return matched.union(alone.select(*known, *nothing))
+
+
+def best(aligned: DataFrame) -> DataFrame:
+    """One row of align() for every id and codes_sha256: the best match, or the row without one."""
+    order = F.struct("bit_error", (-F.col("match_overlap")).alias("o"), "match_id", "match_offset")
+    return aligned.groupBy("id", "n_codes", "codes_sha256").agg(F.min(F.when(F.col("match_id").isNotNull(), order)).alias("b")).select(
+        "id", "n_codes", "codes_sha256", "b.match_id", "b.match_offset", (-F.col("b.o")).alias("match_overlap"), "b.bit_error",
+    )
 
 
 def matched_pairs(aligned: DataFrame, queries: DataFrame) -> DataFrame:
     """id, query_id, match_offset, match_overlap and bit_error of every recording and query that align: the classes of align() in full."""
     named = queries.where("id is not null").select(F.col("id").alias("query_id"), F.sha2("codes", 256).alias("query_sha256")).distinct()
-    each = aligned.select("id", F.explode("matches").alias("m")).select("id", "m.match_offset", "m.match_overlap", "m.bit_error", "m.query_sha256")
+    each = aligned.where("match_id is not null").select("id", "match_offset", "match_overlap", "bit_error", "query_sha256")
     return each.join(named, "query_sha256").where("not id <=> query_id").select("id", "query_id", "match_offset", "match_overlap", "bit_error")
 
 

@@ -90,6 +90,16 @@ def parts(spark: SparkSession) -> int:
 HOT, SMALL = 2000, 50_000
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether a table of narrow rows may be broadcast: it is counted, up to SMALL."""
+    return df.limit(SMALL + 1).count() <= SMALL
+
+
+def small_join(left: DataFrame, right: DataFrame, keys: str | list[str]) -> DataFrame:
+    """An inner join with a table that is often small: broadcast if it is, else an ordinary join."""
+    return left.join(F.broadcast(right) if is_small(right) else right, keys)
+
+
 def hot_join(left: DataFrame, right: DataFrame, keys: str | list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
     """`left` joined with `right`, without a task that gets all rows of a hot key.
 
@@ -100,7 +110,7 @@ def hot_join(left: DataFrame, right: DataFrame, keys: str | list[str], weight: s
     and rows that have one are not shuffled. Keep both sides cheap to read: they are read twice.
     """
     keys = [keys] if isinstance(keys, str) else keys
-    if right.limit(SMALL + 1).count() <= SMALL:
+    if is_small(right):
         return left.join(F.broadcast(right.drop(weight)), keys, how)
     is_hot = F.col(weight) * HOT >= total
     hot, cold = right.where(is_hot).drop(weight), right.where(~is_hot).drop(weight)
@@ -284,38 +294,49 @@ class WordHasher:
 
     def one(self, text: bytes) -> np.ndarray:
         """Word hashes of a text of any length, in order."""
+        return self.placed(text)[0]
+
+    def placed(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Word hashes of a text of any length, in order, and the byte at which each word begins."""
         if len(text) <= self.PIECE:
-            _, lengths, raw = self._piece(np.frombuffer(text, dtype=np.uint8))
-            return self._finish(raw, lengths)
-        raws, sizes, carry = [], [], None
+            starts, lengths, raw = self._piece(np.frombuffer(text, dtype=np.uint8))
+            return self._finish(raw, lengths), starts
+        raws, sizes, places, carry = [], [], [], None
         for at in range(0, len(text), self.PIECE):
             data = np.frombuffer(text, dtype=np.uint8, count=min(self.PIECE, len(text) - at), offset=at)
             starts, lengths, raw = self._piece(data)
-            lengths = lengths.astype(np.int64)
+            lengths, begins = lengths.astype(np.int64), starts.astype(np.int64) + at
             if carry is not None:
                 if len(starts) and starts[0] == 0:  # the word goes on from the piece before
                     raw[0] = np.uint64((carry[0] + int(raw[0]) * pow(self.base, carry[1], 1 << 64)) & M64)
                     lengths[0] += carry[1]
+                    begins[0] = carry[2]
                     whole = len(starts) == 1 and len(data) == lengths[0] - carry[1]
                 else:
                     raws.append(np.array([carry[0]], dtype=np.uint64))
                     sizes.append(np.array([carry[1]]))
+                    places.append(np.array([carry[2]]))
                     whole = False
                 carry = None
             else:
                 whole = False
             if len(starts) and (whole or starts[-1] + lengths[-1] == len(data) or not self.sep[data[-1]]):
-                carry = (int(raw[-1]), int(lengths[-1]))
-                raw, lengths = raw[:-1], lengths[:-1]
+                carry = (int(raw[-1]), int(lengths[-1]), int(begins[-1]))
+                raw, lengths, begins = raw[:-1], lengths[:-1], begins[:-1]
             raws.append(raw)
             sizes.append(lengths)
+            places.append(begins)
         if carry is not None:
             raws.append(np.array([carry[0]], dtype=np.uint64))
             sizes.append(np.array([carry[1]]))
-        return self._finish(np.concatenate(raws), np.concatenate(sizes))
+            places.append(np.array([carry[2]]))
+        return self._finish(np.concatenate(raws), np.concatenate(sizes)), np.concatenate(places)
+
+    def many(self, texts: list[bytes], placed: bool = False) -> Iterator[tuple]:
+        """Blocks (number of the first text, word hashes of the block, first word of each text and the end).
 
-    def many(self, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Blocks (number of the first text, word hashes of the block, first word of each text and the end)."""
+        placed: also the byte of its text at which each word begins.
+        """
         glue = bytes([int(np.flatnonzero(self.sep)[0])])
         i = 0
         while i < len(texts):
@@ -324,13 +345,15 @@ class WordHasher:
                 total += len(texts[j]) + 1
                 j += 1
             if total - 1 > self.PIECE:
-                hashes = self.one(texts[i])
-                yield i, hashes, np.array([0, len(hashes)])
+                hashes, places = self.placed(texts[i])
+                yield (i, hashes, np.array([0, len(hashes)]), places)[: 3 + placed]
             else:
                 starts, lengths, raw = self._piece(np.frombuffer(glue.join(texts[i:j]), dtype=np.uint8))
                 sizes = np.fromiter((len(t) + 1 for t in texts[i:j]), dtype=np.int64, count=j - i)
                 begins = np.concatenate(([0], np.cumsum(sizes)))
-                yield i, self._finish(raw, lengths), np.searchsorted(starts, begins)
+                first = np.searchsorted(starts, begins)
+                out = i, self._finish(raw, lengths), first
+                yield (*out, starts - np.repeat(begins[:-1], np.diff(first))) if placed else out
             i = j
 
 

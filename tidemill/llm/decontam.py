@@ -336,20 +336,24 @@ def search(table: DataFrame, items: DataFrame, item_id: str = "item_id", item_te
     slices = max(1, -(-size // SLICE_BYTES))
     wanted = terms.groupBy("term").agg(F.count("*").alias("items")).checkpoint()
     lists = table.where("term is not null").select("block", "term", "n", "at")
-    known = lists.join(wanted, "term").groupBy("term").agg(F.sum("n").alias("df"), F.first("items").alias("items")).checkpoint()
+    known = C.small_join(lists, wanted, "term").groupBy("term").agg(F.sum("n").alias("df"), F.first("items").alias("items")).checkpoint()
     counts = C.hot_join(terms, known, "term", "items", terms.count()).groupBy("iid").agg(F.collect_list(F.struct("term", "df")).alias("known"))
     rare = _rarest(own.join(counts, "iid"), window)
     # Candidates: items and the blocks that have the rarest term of one of their windows.
-    salted = rare.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    holders = lists.select("block", "term", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int").alias("salt"))
-    pairs = holders.join(salted, ["term", "salt"]).select("block", "iid").distinct().checkpoint()
+    holders = lists.select("block", "term")
+    if C.is_small(rare):
+        found = holders.join(F.broadcast(rare), "term")
+    else:
+        salted = rare.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = holders.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"])
+    pairs = found.select("block", "iid").distinct().checkpoint()
     often = pairs.groupBy("iid").agg(F.count("*").alias("_n"))
     slice_ = F.pmod(F.xxhash64("iid"), F.lit(slices)).cast("int").alias("slice")
     asked = C.hot_join(pairs, own.join(often, "iid"), "iid", "_n", pairs.count()).select(F.col("block").alias("block"), slice_, "item", "words")
     # The lists that these blocks need, once for each slice.
-    needs = terms.select("term", slice_).distinct()
+    needs = terms.select("term", slice_).distinct().checkpoint()
     begins = table.where("term is null and row is null").select("block", "term", "n", "at")
-    every = lists.join(needs, "term").select("block", "slice", "term", "n", "at").union(begins.select("block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "term", "n", "at"))
+    every = C.small_join(lists, needs, "term").select("block", "slice", "term", "n", "at").union(begins.select("block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "term", "n", "at"))
     sent = every.join(pairs.select("block", slice_).distinct(), ["block", "slice"], "left_semi")
     meet = lambda p, i: _meet(p, i, window, slop)
     return sent.groupBy("block", "slice").cogroup(asked.groupBy("block", "slice")).applyInArrow(C.arrow_cogroups(meet, __name__), _SPANS if slop is None else _HITS)

@@ -38,6 +38,8 @@ SHINGLE = 5
 CIRCLE_BITS = 22
 BANDS, ROWS = 32, 6
 TILE_DOCS, TILE_SHINGLES = 1024, 500_000
+#: Members of a bucket that one task compares with its first one.
+STAR = 64
 _SIZE_CLASSES = 1.0
 
 
@@ -265,9 +267,9 @@ def candidates(nodes: DataFrame, bands: int) -> DataFrame:
 
 
 def star_tiles(member: DataFrame) -> DataFrame:
-    """tile, side, nid: every member of a bucket with the bucket's first one (side 0), at most about TILE_DOCS members a tile."""
+    """tile, side, nid: every member of a bucket with the bucket's first one (side 0), at most about STAR members a tile."""
     pair = member.where("nid <> first").groupBy("first", "nid").agg(F.max("size").alias("size"))
-    tiles = F.pow(F.lit(2), F.ceil(F.log2(F.ceil(F.col("size") / TILE_DOCS)))).cast("long")
+    tiles = F.pow(F.lit(2), F.ceil(F.log2(F.ceil(F.col("size") / STAR)))).cast("long")
     pair = pair.withColumn("tiles", tiles).withColumn("tile", F.xxhash64("first", "tiles", F.pmod(F.xxhash64("nid"), F.col("tiles"))))
     return pair.select("tile", F.lit(1).alias("side"), "nid").union(pair.select("tile", F.lit(0), "first").distinct())
 

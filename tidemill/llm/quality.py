@@ -1,9 +1,9 @@
 """Document quality by attention-based multiple-instance learning.
 
 A document is a bag of passages of PASSAGE bytes. A passage is encoded by how its characters
-follow one another (frequencies of pairs of character classes), by its word lengths, and by
-how much of it repeats the word before or word triples met earlier in the document. A learned
-layer embeds passages; gated attention, tanh(Vh) * sigmoid(Uh), weighs them; the weighted sum
+follow one another (frequencies of pairs of character classes), by its own length and word
+lengths, and by how many of the words that begin in it repeat the word before or end a triple
+met earlier in the document. A learned layer embeds passages; gated attention, tanh(Vh) * sigmoid(Uh), weighs them; the weighted sum
 of a document is scored by a logistic unit. All weights are learned together from document
 labels; no passage has a label.
 
@@ -53,32 +53,34 @@ def passages(texts: list[bytes], hasher: C.WordHasher) -> tuple[np.ndarray, np.n
     begin = np.cumsum(counts) - counts
     x = np.zeros((int(counts.sum()), SIZE), dtype=np.float32)
     pairs = _CLASSES * _CLASSES
-    for first, words, bounds in hasher.many(texts):
+    for first, words, bounds, places in hasher.many(texts, placed=True):
         for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
             text = texts[first + k]
             if not text:
                 continue
-            rows = x[begin[first + k] : begin[first + k] + counts[first + k]]
+            size = int(counts[first + k])
+            rows = x[begin[first + k] : begin[first + k] + size]
             for at in range(0, len(text), 64 * PASSAGE):  # whole passages at a time
                 piece = CLASS[np.frombuffer(text, dtype=np.uint8, count=min(64 * PASSAGE, len(text) - at), offset=at)]
                 code = piece[:-1] * _CLASSES + piece[1:] + (np.arange(len(piece) - 1) // PASSAGE) * pairs
                 n = -(-len(piece) // PASSAGE)
                 rows[at // PASSAGE : at // PASSAGE + n, :pairs] = np.bincount(code, minlength=n * pairs)[: n * pairs].reshape(n, pairs)
             rows[:, :pairs] /= np.maximum(rows[:, :pairs].sum(axis=1, keepdims=True), 1)
-            w = words[a:b]
-            if len(w):  # words are spread over passages in order
-                where = np.minimum(np.arange(len(w)) * counts[first + k] // len(w), counts[first + k] - 1)
-                n = np.maximum(np.bincount(where, minlength=counts[first + k]), 1)
-                rows[:, pairs] = np.log1p(len(text) / len(w))
-                again = np.zeros(len(w))
-                again[1:] = w[1:] == w[:-1]
-                rows[:, pairs + 1] = np.bincount(where, weights=again, minlength=counts[first + k]) / n
-                if len(w) >= 3:
-                    triple = w[:-2] * np.uint64(3) + w[1:-1] * np.uint64(5) + w[2:] * np.uint64(7)
-                    seen = np.ones(len(triple))
-                    seen[np.unique(triple, return_index=True)[1]] = 0
-                    rows[:, pairs + 2] = np.bincount(where[2:], weights=seen, minlength=counts[first + k]) / n
-            rows[:, pairs + 3] = np.log1p(len(text)) / 16
+            held = np.full(size, PASSAGE)
+            held[-1] = len(text) - (size - 1) * PASSAGE
+            w, where = words[a:b], places[a:b] // PASSAGE
+            n = np.bincount(where, minlength=size)
+            rows[:, pairs] = np.log1p(held / np.maximum(n, 1))
+            rows[:, pairs + 3] = held / PASSAGE
+            n = np.maximum(n, 1)
+            again = np.zeros(len(w))
+            again[1:] = w[1:] == w[:-1]
+            rows[:, pairs + 1] = np.bincount(where, weights=again, minlength=size) / n
+            if len(w) >= 3:
+                triple = w[:-2] * np.uint64(3) + w[1:-1] * np.uint64(5) + w[2:] * np.uint64(7)
+                seen = np.ones(len(triple))
+                seen[np.unique(triple, return_index=True)[1]] = 0
+                rows[:, pairs + 2] = np.bincount(where[2:], weights=seen, minlength=size) / n
     return x, counts
 
 
@@ -109,20 +111,24 @@ class Bag:
         z = np.add.reduceat(weight[:, None] * h, at, axis=0)
         return at, h, t, s, weight, z, 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"], -30, 30)))
 
+    def gradient(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss, by every weight."""
+        p = self.p
+        at, h, t, s, weight, z, score = self._forward(x, counts)
+        error = (score - y) / len(y)
+        dz = np.repeat(error[:, None] * p["c"], counts, axis=0)
+        dw = (dz * h).sum(axis=1)
+        de = weight * (dw - np.repeat(np.add.reduceat(weight * dw, at), counts))
+        dts = de[:, None] * p["a"]
+        dt, ds = dts * s * (1 - t * t), dts * t * s * (1 - s)
+        dh = (weight[:, None] * dz + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
+        return {"W": x.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ ds, "a": (t * s).T @ de, "c": z.T @ error, "d": np.array([error.sum()])}
+
     def _fit(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int) -> None:
-        p, n = self.p, len(y)
+        p = self.p
         m, v = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}
         for step in range(1, epochs + 1):
-            at, h, t, s, weight, z, score = self._forward(x, counts)
-            error = (score - y) / n
-            dz = np.repeat(error[:, None] * p["c"], counts, axis=0)
-            dw = (dz * h).sum(axis=1)
-            de = weight * (dw - np.repeat(np.add.reduceat(weight * dw, at), counts))
-            dts = de[:, None] * p["a"]
-            dt, ds = dts * s * (1 - t * t), dts * t * s * (1 - s)
-            dh = (weight[:, None] * dz + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
-            grad = {"W": x.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ ds, "a": (t * s).T @ de, "c": z.T @ error, "d": np.array([error.sum()])}
-            for k, g in grad.items():
+            for k, g in self.gradient(x, counts, y).items():
                 g = g + 1e-5 * p[k]
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g

@@ -1,38 +1,41 @@
 """Substring deduplication over a compacted de Bruijn graph of word k-mers.
 
-An edge of the graph is a window of 13 consecutive words. Every window belongs to the path
-piece named by its minimiser (the smallest hashed 6-word run inside it); consecutive windows
-of a text with one minimiser form one piece, so a text becomes about a fifth as many pieces
-as it has windows, and equal windows always meet under equal names.
-
-1. Texts are dealt to blocks of bounded size. A block reports each piece name once, with the
-   smallest document that has it and a fingerprint of the piece's windows.
-2. Reports of one name are joined. A name with one document is dropped. If all reports agree
-   on the fingerprint the path does not branch there: the whole piece is repeated, and its
-   smallest document answers for all its windows. If they differ, paths branch (a copied span
-   begins or ends inside the piece) and the block is asked for that piece's windows.
-3. Windows of branching pieces are joined the same way, one by one.
-4. Blocks join the answers with their texts: a window is a repeat if the answer names a
-   smaller document; its coordinates in the text mark the words that go. A repeat counts only
-   if two independent 64-bit hashes, of the same span at the coordinates in both documents,
-   agree: name and fingerprint for pieces, two hashes for windows.
-
-A name that a third of all documents share is reported once by each block, so no task gets a
-row for each document. Words are the runs of non-white-space bytes, unchanged.
+An edge of the graph is a window of 13 consecutive words; it leads from the node of its first
+12 words to the node of its last 12. Only edges that occur in several documents matter, and the
+graph is built of these alone.
+
+1. Which edges repeat. Texts are dealt to blocks of bounded size. Consecutive windows of a text
+   that share a minimiser (the smallest hashed 6-word run inside the window) form a piece, and
+   equal windows always have equal minimisers; so a block reports the minimisers of its pieces,
+   each once, with the smallest document and a fingerprint of the piece's windows. Reports are
+   combined in a tree: FAN blocks at a time, then FAN of these, each level with finer parts, so
+   no task grows with the corpus, even if a passage is in every block. Where all fingerprints of
+   a minimiser agree the piece is one chain of edges; where they differ, paths branch inside it,
+   and its windows are reported and combined in the same way, one by one.
+2. The graph. The smallest document that has a repeated edge (or chain) is its source; the
+   source's block gives its coordinates, its two nodes and its words. Edges are joined with the
+   degrees of their nodes, and edges that meet at a node which only one edge enters and only one
+   leaves, one behind the other in the same source, are compacted into a path.
+3. Verification. Blocks get the words of the paths they hold edges of, with the paths' source
+   coordinates. A window of a text is a repeat if its words are those that stand at these
+   coordinates in a smaller document; consecutive ones are compared as one span.
+
+Words are the runs of non-white-space bytes, unchanged.
 
 Defined cases: null or wordless text keeps nothing and loses nothing; texts under 13 words
 lose nothing; rows with one doc_id count as one document; a null doc_id is neither a source
-nor ever shortened; repeats inside one document alone stay.
+nor ever shortened; repeats inside one document alone stay; equal rows each stay a row.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -41,15 +44,17 @@ from . import common as C
 WINDOW = 13
 MINIMISER = 6
 BLOCK_BYTES = 4 << 20
+#: Reports that meet in one task, and parts that a block's report is dealt to; each level of the tree has FAN times as many.
+FAN, PARTS = 128, 64
 
 
 class Windows:
-    """Window hashes, piece names and piece fingerprints of texts; one per Python process."""
+    """Window hashes, nodes, piece names and piece fingerprints of texts; one per Python process."""
 
     def __init__(self, window: int, run: int):
         self.k, self.m = window, run
         self.hasher = C.WordHasher(C.WHITE)
-        self.edge, self.name, self.twin = C.odd_constants(window, 31), C.odd_constants(run, 37), C.odd_constants(window, 41)
+        self.edge, self.name, self.twin, self.node = (C.odd_constants(n, seed) for n, seed in ((window, 31), (run, 37), (window, 41), (window - 1, 43)))
 
     def _hash(self, words: np.ndarray, factors: np.ndarray) -> np.ndarray:
         n = len(words) - len(factors) + 1
@@ -66,6 +71,20 @@ class Windows:
             out *= f
         return C.mix64(out)
 
+    def nodes(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The nodes whose words begin at some starts."""
+        out = np.zeros(len(starts), dtype=np.uint64)
+        for j, f in enumerate(self.node):
+            out += words[starts + j] * f
+        return C.mix64(out)
+
+    def edges(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """The window hashes of each text."""
+        for _, words, first in self.hasher.many(texts):
+            own = self._hash(words, self.edge) if len(words) >= self.k else words[:0]
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+                yield own[a : max(a, b - self.k + 1)]
+
     def of(self, texts: list[bytes]):
         """For each text: word hashes, window hashes, and the piece name of each window."""
         none = np.zeros(0, dtype=np.uint64)
@@ -87,20 +106,32 @@ def _windows(window: int, run: int) -> Windows:
 
 
 def _groups(sorted_keys: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1])))
+    return np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))) if len(sorted_keys) else np.zeros(0, dtype=np.int64)
 
 
-def pieces(edges: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the pieces of one text, and a fingerprint of each piece's window sequence."""
+def pieces(edges: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and sizes of the pieces of one text, and a fingerprint of each piece's window sequence."""
     starts = _groups(names)
-    place = np.arange(len(edges), dtype=np.uint64) - np.repeat(starts, np.diff(np.append(starts, len(edges)))).astype(np.uint64)
-    return starts, np.add.reduceat(C.mix64(edges ^ (place * np.uint64(0x9E3779B97F4A7C15))), starts)
+    sizes = np.diff(np.append(starts, len(edges)))
+    place = np.arange(len(edges), dtype=np.uint64) - np.repeat(starts, sizes).astype(np.uint64)
+    return starts, sizes, np.add.reduceat(C.mix64(edges ^ (place * np.uint64(0x9E3779B97F4A7C15))), starts)
+
+
+# --- reports and answers, packed -----------------------------------------------------------------
 
+#: One report: the part of the keys, the block (or, higher in the tree, the group of blocks), and its columns as raw arrays.
+_REPORT = "part long, block long, keys binary, marks binary, docs binary, which binary, flags binary"
+_ANSWER = "part long, block long, keys binary, marks binary, docs binary, kinds binary"
+_EMPTY = {"part": pa.int64(), "block": pa.int64()}
+SEVERAL_DOCS, SEVERAL_MARKS = 1, 2
+#: Of an answer: paths branch inside the piece; the block has the key in other documents than its source.
+BRANCHES, ELSEWHERE = 1, 2
 
-#: One report: which block, to which part, and its columns as raw arrays.
-_REPORT = "part int, block int, keys binary, marks binary, docs binary, which binary, flags binary"
-_ANSWER = "block int, kind int, keys binary, marks binary, docs binary"
-_NO_DOC = np.iinfo(np.int64).max
+
+def _table(rows, names: str) -> pa.Table:
+    rows = list(rows)
+    columns = [c.strip().split()[0] for c in names.split(",")]
+    return pa.table([pa.array([r[i] for r in rows], _EMPTY.get(n, pa.binary())) for i, n in enumerate(columns)], names=columns)
 
 
 def _order(keys: np.ndarray, marks: np.ndarray, single: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -110,104 +141,276 @@ def _order(keys: np.ndarray, marks: np.ndarray, single: bool) -> tuple[np.ndarra
         return order, _groups(keys[order])
     order = np.lexsort((marks, keys))
     k, m = keys[order], marks[order]
-    return order, np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (m[1:] != m[:-1]))))
+    return order, np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (m[1:] != m[:-1])))) if len(k) else np.zeros(0, dtype=np.int64)
 
 
-def _report(block: int, parts: int, keys: np.ndarray, docs: np.ndarray, marks: np.ndarray, single: bool):
-    """Rows for _REPORT: every key of the block once, with its smallest document.
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
 
-    flags: 1 if the block has it in several documents, 2 if with several marks.
-    """
+
+def _summed(keys, docs, marks, flags, single: bool):
+    """Every key once, with its smallest document and mark; flags say if it has several documents or marks."""
     order, at = _order(keys, marks, single)
-    keys, docs, marks = keys[order], docs[order], marks[order]
-    low, high = np.minimum.reduceat(docs, at), np.maximum.reduceat(docs, at)
-    least = np.minimum.reduceat(marks, at)
-    flags = (low != high).astype(np.uint8) | (least != np.maximum.reduceat(marks, at)).astype(np.uint8) << 1
-    keys = keys[at]
-    part = (keys >> np.uint64(32)) % np.uint64(parts)
+    keys, docs, marks, flags = keys[order], docs[order], marks[order], flags[order]
+    if not len(at):
+        return keys, docs, marks, flags
+    low, least = np.minimum.reduceat(docs, at), np.minimum.reduceat(marks, at)
+    either = np.bitwise_or.reduceat(flags, at)
+    either |= (low != np.maximum.reduceat(docs, at)).astype(np.uint8) * np.uint8(SEVERAL_DOCS)
+    either |= (least != np.maximum.reduceat(marks, at)).astype(np.uint8) * np.uint8(SEVERAL_MARKS)
+    return keys[at], low, least, either
+
+
+def _reports(block: int, parts: int, keys, docs, marks, flags, single: bool):
+    """Rows for _REPORT, a row for each part."""
+    keys, docs, marks, flags = _summed(keys, docs, marks, flags, single)
+    part = _part(keys, parts)
     order = np.argsort(part, kind="stable")
-    bounds = np.append(_groups(part[order]), len(order))
+    bounds = np.append(_groups(part[order]), len(order)).astype(np.int64)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         i = order[a:b]
-        table, which = np.unique(low[i], return_inverse=True)
+        table, which = np.unique(docs[i], return_inverse=True)
         yield (
-            int(part[i[0]]), block, keys[i].tobytes(), least[i].tobytes(), table.tobytes(),
+            int(part[i[0]]), block, keys[i].tobytes(), marks[i].tobytes(), table.tobytes(),
             which.astype(np.uint16 if len(table) < 1 << 16 else np.uint32).tobytes(), flags[i].tobytes(),
         )
 
 
-def _table(rows, schema: list[tuple[str, pa.DataType]]) -> pa.Table:
-    rows = list(rows)
-    return pa.table([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(schema)], names=[n for n, _ in schema])
+def _unpacked(table: pa.Table):
+    """Keys, documents, marks and flags of all reports of a table, and the number of keys of each."""
+    c = {n: table[n].to_pylist() for n in ("keys", "marks", "docs", "which", "flags")}
+    join = lambda name, kind: np.frombuffer(b"".join(c[name]), dtype=kind)
+    docs = [np.frombuffer(t, dtype=np.int64)[np.frombuffer(w, dtype=np.uint16 if len(t) < 8 << 16 else np.uint32)] for t, w in zip(c["docs"], c["which"])]
+    return join("keys", np.uint64), np.concatenate(docs), join("marks", np.uint64), join("flags", np.uint8), np.array([len(x) // 8 for x in c["keys"]])
+
+
+def _combine(table: pa.Table, parts: int, fan: int, single: bool) -> pa.Table:
+    """The reports of FAN blocks and one part as one, dealt to finer parts."""
+    keys, docs, marks, flags, _ = _unpacked(table)
+    return _table(_reports(table["block"][0].as_py() // fan, parts, keys, docs, marks, flags, single), _REPORT)
 
 
-_REPORT_ARROW = [("part", pa.int32()), ("block", pa.int32())] + [(n, pa.binary()) for n in ("keys", "marks", "docs", "which", "flags")]
-_ANSWER_ARROW = [("block", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("marks", pa.binary()), ("docs", pa.binary())]
+def _answer(table: pa.Table, keys, marks, docs, kinds, single: bool) -> pa.Table:
+    """The reports of a table, cut down to the repeated keys (sorted), with their sources."""
+    own_keys, own_docs, own_marks, flags, sizes = _unpacked(table)
+    at, hit = _find(keys, marks, own_keys, own_marks, single)
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    rows = []
+    for r, (part, block) in enumerate(zip(table["part"].to_pylist(), table["block"].to_pylist())):
+        own = np.flatnonzero((which == r) & hit)
+        if len(own):
+            mine = at[own]
+            elsewhere = (own_docs[own] != docs[mine]) | (flags[own] & SEVERAL_DOCS > 0)
+            kind = (kinds[mine] & BRANCHES) | elsewhere.astype(np.uint8) * np.uint8(ELSEWHERE)
+            rows.append((part, block, keys[mine].tobytes(), own_marks[own].tobytes(), docs[mine].tobytes(), kind.tobytes()))
+    return _table(rows, _ANSWER)
 
 
 def _meet(table: pa.Table, single: bool) -> pa.Table:
-    """All reports of one part: answers to the blocks that hold repeated keys.
+    """All reports of one part, at the top of the tree: answers to those that hold repeated keys."""
+    keys, docs, marks, flags, _ = _unpacked(table)
+    keys, low, marks, flags = _summed(keys, docs, marks, flags, single)
+    keep = flags & SEVERAL_DOCS > 0
+    kinds = (flags & SEVERAL_MARKS > 0).astype(np.uint8) * np.uint8(BRANCHES)
+    return _answer(table, keys[keep], marks[keep], low[keep], kinds[keep], single)
 
-    kind 0: the key's windows are repeated as a whole and `docs` has the smallest document;
-    kind 1: the paths branch there, send the windows; kind 2: an answer for a single window.
-    """
-    columns = table.to_pydict()
-    keys = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in columns["keys"]])
-    flags = np.concatenate([np.frombuffer(x, dtype=np.uint8) for x in columns["flags"]])
-    docs = np.concatenate([
-        np.frombuffer(t, dtype=np.int64)[np.frombuffer(w, dtype=np.uint16 if len(t) < 8 << 16 else np.uint32)]
-        for t, w in zip(columns["docs"], columns["which"])
-    ])
-    blocks = np.repeat(np.array(columns["block"]), [len(x) // 8 for x in columns["keys"]])
-    marks = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in columns["marks"]])
-    order, at = _order(keys, marks, single)
-    keys, marks, flags, docs, blocks = keys[order], marks[order], flags[order], docs[order], blocks[order]
-    size = np.diff(np.append(at, len(keys)))
-    low = np.minimum.reduceat(docs, at)
-    either = np.bitwise_or.reduceat(flags, at)
-    repeated = (low != np.maximum.reduceat(docs, at)) | (either & 1 > 0)
-    branch = (either & 2 > 0) | (np.minimum.reduceat(marks, at) != np.maximum.reduceat(marks, at))
-    low, branch, repeated = np.repeat(low, size), np.repeat(branch, size), np.repeat(repeated, size)
-    asked = repeated & (branch | (docs != low) | (flags & 1 > 0))
-    keys, marks, docs, blocks, branch = keys[asked], marks[asked], low[asked], blocks[asked], branch[asked]
-    kind = np.full(len(keys), 2, dtype=np.int32) if single else branch.astype(np.int32)
-    order = np.lexsort((keys, kind, blocks))
-    group = _groups(blocks[order].astype(np.int64) * 4 + kind[order]) if len(order) else np.zeros(0, dtype=np.int64)
-    bounds = np.append(group, len(order)).astype(np.int64)
-    return _table(
-        ((int(blocks[i[0]]), int(kind[i[0]]), keys[i].tobytes(), marks[i].tobytes() if single else b"", docs[i].tobytes()) for a, b in zip(bounds[:-1], bounds[1:]) for i in (order[a:b],)),
-        _ANSWER_ARROW,
-    )
-
-
-def _answers(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, marks and smallest documents of one kind of answers, by key."""
-    rows = [r[1:] for r in zip(table["kind"].to_pylist(), *(table[c].to_pylist() for c in ("keys", "marks", "docs"))) if r[0] == kind]
-    keys, marks, docs = (np.frombuffer(b"".join(r[i] for r in rows), dtype=t) for i, t in enumerate((np.uint64, np.uint64, np.int64)))
-    order = np.argsort(keys, kind="stable")
-    return keys[order], marks[order] if len(marks) else marks, docs[order]
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Position in sorted `keys` of each wanted key, and whether it is there."""
+
+def _hand_down(table: pa.Table, answers: pa.Table, single: bool) -> pa.Table:
+    """Answers to a group of blocks, handed on to its blocks."""
+    if not answers.num_rows or not table.num_rows:
+        return _table([], _ANSWER)
+    return _answer(table, *_known(answers), single)
+
+
+def _known(answers: pa.Table):
+    """Keys, marks, sources and kinds of all answers of a table, by key and mark."""
+    columns = [np.frombuffer(b"".join(answers[n].to_pylist()), dtype=t) for n, t in (("keys", np.uint64), ("marks", np.uint64), ("docs", np.int64), ("kinds", np.uint8))]
+    order = np.lexsort((columns[1], columns[0]))
+    return [c[order] for c in columns]
+
+
+def _find(keys, marks, wanted, wanted_marks, single: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Place among sorted keys (single: keys and marks) of each wanted key, and whether it is there."""
     if not len(keys):
         return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+    if single:  # one name from both hashes
+        both, want = C.mix64(keys ^ C.mix64(marks)), C.mix64(wanted ^ C.mix64(wanted_marks))
+        order = np.argsort(both, kind="stable")
+        at = order[np.minimum(np.searchsorted(both, want, sorter=order), len(both) - 1)]
+        return at, (keys[at] == wanted) & (marks[at] == wanted_marks)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     return at, keys[at] == wanted
 
 
+def repeated(reports: DataFrame, blocks: int, single: bool) -> DataFrame:
+    """Answers (block, keys, marks, docs: the smallest, kinds) to the blocks that hold keys of several documents."""
+    levels, parts = [(reports, PARTS)], PARTS
+    group = F.floor(F.col("block") / F.lit(FAN))
+    while blocks > FAN:
+        up = lambda t, parts=parts * FAN: _combine(t, parts, FAN, single)
+        below, parts = levels[-1][0], parts * FAN
+        levels.append((below.groupBy("part", group).applyInArrow(C.arrow_groups(up, __name__), _REPORT), parts))
+        blocks = -(-blocks // FAN)
+    out = levels[-1][0].groupBy("part").applyInArrow(C.arrow_groups(lambda t: _meet(t, single), __name__), _ANSWER)
+    for below, parts in reversed(levels[:-1]):
+        down = C.arrow_cogroups(lambda t, a: _hand_down(t, a, single), __name__)
+        out = below.groupBy("part", group).cogroup(out.groupBy(F.pmod("part", F.lit(parts)), "block")).applyInArrow(down, _ANSWER)
+    return out.drop("part")
+
+
+# --- texts ------------------------------------------------------------------------------------------
+
+_EDGE = "key long, mark long, doc long, pos int, n int, a long, b long, head binary, tail binary"
+_EDGE_ARROW = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+
+
 def _bodies(table: pa.Table) -> list[bytes]:
     return [x or b"" for x in table["body"].to_pylist()]
 
 
+def _piece_report(table: pa.Table, w: Windows) -> pa.Table:
+    """Step 1: the pieces of one block."""
+    found = []
+    for doc, (_, edges, names) in zip(table["doc"].to_pylist(), w.of(_bodies(table))):
+        if len(edges) and doc is not None:
+            starts, _, mark = pieces(edges, names)
+            found.append((names[starts], np.full(len(starts), doc, dtype=np.int64), mark))
+    if not found:
+        return _table([], _REPORT)
+    keys, docs, marks = (np.concatenate(x) for x in zip(*found))
+    return _table(_reports(table["block"][0].as_py(), PARTS, keys, docs, marks, np.zeros(len(keys), dtype=np.uint8), False), _REPORT)
+
+
+def _window_report(table: pa.Table, answers: pa.Table, w: Windows) -> pa.Table:
+    """Step 1: the windows of one block's branching pieces."""
+    if not table.num_rows or not answers.num_rows:
+        return _table([], _REPORT)
+    keys, _, _, kinds = _known(answers)
+    branching = keys[kinds & BRANCHES > 0]
+    found = []
+    for doc, (words, edges, names) in zip(table["doc"].to_pylist(), w.of(_bodies(table))):
+        if len(edges) and doc is not None and len(branching):
+            starts = np.flatnonzero(_find(branching, None, names, None, False)[1])
+            found.append((edges[starts], np.full(len(starts), doc, dtype=np.int64), w.twins(words, starts)))
+    if not sum(len(x[0]) for x in found):
+        return _table([], _REPORT)
+    keys, docs, marks = (np.concatenate(x) for x in zip(*found))
+    return _table(_reports(table["block"][0].as_py(), PARTS, keys, docs, marks, np.zeros(len(keys), dtype=np.uint8), True), _REPORT)
+
+
+def _source_edges(table: pa.Table, answers: pa.Table, w: Windows) -> pa.Table:
+    """Step 2: the repeated edges and chains whose source is in this block, with coordinates, nodes and words."""
+    out: list[tuple] = []
+    if table.num_rows and answers.num_rows:
+        kind = np.array(answers["single"].to_pylist(), dtype=bool)
+        chain, chain_mark, chain_doc, how = _known(answers.filter(pa.array(~kind)))
+        chain, chain_mark, chain_doc = (x[how & BRANCHES == 0] for x in (chain, chain_mark, chain_doc))
+        single, single_mark, single_doc, _ = _known(answers.filter(pa.array(kind)))
+        maybe = np.unique(single)
+        sources = set(chain_doc.tolist()) | set(single_doc.tolist())
+        bodies = _bodies(table)
+        for doc, body, (words, edges, names) in zip(table["doc"].to_pylist(), bodies, w.of(bodies)):
+            if not len(edges) or doc not in sources:
+                continue
+            starts, sizes, _ = pieces(edges, names)
+            at, hit = _find(chain, None, names[starts], None, False)
+            hit &= chain_doc[at] == doc if len(chain) else hit
+            one = np.flatnonzero(_find(maybe, None, edges, None, False)[1])
+            at1, hit1 = _find(single, single_mark, edges[one], w.twins(words, one), True)
+            hit1 &= single_doc[at1] == doc if len(single) else hit1
+            pos = np.concatenate((starts[hit], one[hit1]))
+            n = np.concatenate((sizes[hit], np.ones(int(hit1.sum()), dtype=np.int64)))
+            key = np.concatenate((chain[at[hit]] if len(chain) else chain, single[at1[hit1]] if len(single) else single))
+            mark = np.concatenate((chain_mark[at[hit]] if len(chain) else chain, single_mark[at1[hit1]] if len(single) else single))
+            _, once = np.unique(np.stack((key, mark)), axis=1, return_index=True)  # the first place of each
+            pos, n, key, mark = pos[once], n[once], key[once], mark[once]
+            a, b = w.nodes(words, pos), w.nodes(words, pos + n)
+            text = body.split()
+            k = w.k - 1
+            for row in zip(key.view(np.int64).tolist(), mark.view(np.int64).tolist(), pos.tolist(), n.tolist(), a.view(np.int64).tolist(), b.view(np.int64).tolist()):
+                p, m = row[2], row[3]
+                out.append((*row[:2], doc, *row[2:], b" ".join(text[p : p + k]), b" ".join(text[p + k : p + k + m])))
+    names = [c.strip().split()[0] for c in _EDGE.split(",")]
+    return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(_EDGE_ARROW)], names=names)
+
+
+def compact(edges: DataFrame) -> DataFrame:
+    """Edges joined into paths: key, mark, doc, path (the place and name of its first edge), pos, head and tail.
+
+    Two edges that follow each other in their source are of one path if no other repeated edge
+    enters or leaves the node between them.
+    """
+    none = "struct<doc: long, pos: int>", "struct<key: long, mark: long>"
+    leaving = edges.select(F.col("a").alias("node"), F.lit(None).cast(none[0]).alias("before"), F.struct("key", "mark").alias("after"))
+    entering = edges.select(F.col("b").alias("node"), F.struct("doc", (F.col("pos") + F.col("n")).alias("pos")).alias("before"), F.lit(None).cast(none[1]).alias("after"))
+    node = leaving.union(entering).groupBy("node").agg(F.count("before").alias("enter"), F.count("after").alias("leave"), F.max("before").alias("before"), F.max("after").alias("after"))
+    link = node.where("enter = 1 and leave = 1").select("after.key", "after.mark", F.col("before.doc").alias("from"), F.col("before.pos").alias("end"))
+    goes_on = F.coalesce((F.col("from") == F.col("doc")) & (F.col("end") == F.col("pos")), F.lit(False))
+    marked = edges.join(link, ["key", "mark"], "left").withColumn("first", F.when(~goes_on, F.struct("pos", "key", "mark")))
+    along = Window.partitionBy("doc").orderBy("pos", "key", "mark")
+    return marked.select("key", "mark", "doc", F.max("first").over(along).alias("path"), "pos", "head", "tail")
+
+
+def path_texts(paths: DataFrame) -> DataFrame:
+    """doc, path and the words of every path."""
+    text = lambda c: F.col(c).cast("string").alias(c)
+    items = F.array_sort(F.collect_list(F.struct("pos", text("head"), text("tail"))))
+    joined = paths.groupBy("doc", "path").agg(items.alias("i"))
+    return joined.select("doc", "path", F.concat(F.col("i")[0]["head"], F.lit(" "), F.array_join(F.transform("i", lambda x: x["tail"]), " ")).cast("binary").alias("words"))
+
+
+def _spans(paths: pa.Table, w: Windows):
+    """A function from (document, words, window hashes) to the spans (start, windows, source, source's start) that stand in paths of smaller documents."""
+    docs, begins = (np.array(paths[c].to_pylist(), dtype=np.int64) for c in ("doc", "pos"))
+    texts = paths["words"].to_pylist()
+    found = list(w.edges(texts))
+    sizes = np.array([len(x) for x in found], dtype=np.int64)
+    edges = np.concatenate([*found, np.zeros(0, dtype=np.uint64)])
+    which = np.repeat(np.arange(len(found)), sizes)
+    offset = np.arange(len(edges)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    order = np.lexsort((offset, docs[which] if len(which) else which, edges))
+    edges, which, offset = edges[order], which[order], offset[order]
+    split: dict[int, list[bytes]] = {}
+
+    def run(doc: int, words: list[bytes], own: np.ndarray) -> list[tuple[int, int, int, int]]:
+        if not len(edges):
+            return []
+        at = np.minimum(np.searchsorted(edges, own), len(edges) - 1)
+        hit = np.flatnonzero((edges[at] == own) & (docs[which[at]] < doc))
+        if not len(hit):
+            return []
+        path, place = which[at[hit]], offset[at[hit]]
+        new = np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (path[1:] != path[:-1]) | (place[1:] != place[:-1] + 1)))
+        starts = np.flatnonzero(new)
+        out = []
+        for s, size in zip(starts.tolist(), np.diff(np.append(starts, len(hit))).tolist()):
+            p, i, o = int(path[s]), int(hit[s]), int(place[s])
+            theirs = split.get(p)
+            if theirs is None:
+                theirs = split[p] = texts[p].split(b" ")
+            k = w.k - 1
+            if words[i : i + size + k] == theirs[o : o + size + k]:
+                out.append((i, size, int(docs[p]), int(begins[p]) + o))
+            else:  # a hash has misled: window by window
+                out += [(i + x, 1, int(docs[p]), int(begins[p]) + o + x) for x in range(size) if words[i + x : i + x + w.k] == theirs[o + x : o + x + w.k]]
+        return out
+
+    return run
+
+
+DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+SPANS = "doc_id long, start int, length int, source_id long, source_start int"
+
+
 def drop_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, run: int = MINIMISER, digest: bool = False,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, run: int = MINIMISER, digest: bool = False, spans: bool = False,
 ) -> DataFrame:
     """Remove every word covered by a window that also starts in a document with a smaller id.
 
     Returns the columns of `docs` with the text shortened (kept words joined by one space; a
     text that loses nothing stays as it is). With digest=True returns doc_id, n_words,
-    n_removed and kept_sha256 instead.
+    n_removed and kept_sha256 instead; with spans=True the verified spans, in words: doc_id,
+    start, length, source_id and source_start (a span that covers several paths is several rows).
     """
     spark = docs.sparkSession
     C.prepare(spark)
@@ -215,96 +418,70 @@ def drop_repeats(
     size = docs.select(F.sum(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"))).first()[0] or 0
     parts = max(C.parts(spark), -(-size // (8 * BLOCK_BYTES)))
     blocks = max(2 * parts, -(-size // BLOCK_BYTES))
-    carried = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)] if not digest else [F.col(f"`{id_col}`").alias("c0"), F.col(f"`{text_col}`").alias("c1")]
-    at_text = names.index(text_col) if not digest else 1
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(int(_NO_DOC)))
+    short = digest or spans
+    carried = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)] if not short else [F.col(f"`{id_col}`").alias("c0"), F.col(f"`{text_col}`").alias("c1")]
+    at_text = names.index(text_col) if not short else 1
+    # The number of the input partition spreads rows that are equal in all, without regard to their order.
+    place = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.spark_partition_id()), F.lit(blocks))
     dealt = docs.select(
-        F.pmod(F.xxhash64(key, F.col(text_col)), F.lit(blocks)).cast("int").alias("block"), key.alias("doc"), F.col(text_col).cast("binary").alias("body"), *[c for i, c in enumerate(carried) if i != at_text],
+        place.alias("block"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("body"), *[c for i, c in enumerate(carried) if i != at_text],
     ).repartition(parts, "block")
     others = [c for c in dealt.columns if c not in ("block", "doc", "body")]
-    if digest:
-        schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    else:
-        schema = StructType([StructField(f"c{i}", f.dataType, True) for i, f in enumerate(docs.schema.fields)])
-
-    def report(table: pa.Table) -> pa.Table:
-        """Step 1: the pieces of one block."""
-        w = _windows(window, run)
-        doc_ids = table["doc"].to_pylist()
-        keys, marks, ids = [], [], []
-        for doc, (_, edges, names_) in zip(doc_ids, w.of(_bodies(table))):
-            if len(edges) and doc != _NO_DOC:
-                starts, mark = pieces(edges, names_)
-                keys.append(names_[starts])
-                marks.append(mark)
-                ids.append(np.full(len(starts), doc, dtype=np.int64))
-        if not keys:
-            return _table([], _REPORT_ARROW)
-        return _table(_report(table["block"][0].as_py(), parts, np.concatenate(keys), np.concatenate(ids), np.concatenate(marks), False), _REPORT_ARROW)
-
-    def resolve(table: pa.Table, answers: pa.Table) -> pa.Table:
-        """Step 3: the windows of one block's branching pieces."""
-        branching, _, _ = _answers(answers, 1)
-        if not table.num_rows or not len(branching):
-            return _table([], _REPORT_ARROW)
-        w = _windows(window, run)
-        keys, marks, ids = [], [], []
-        for doc, (words, edges, names_) in zip(table["doc"].to_pylist(), w.of(_bodies(table))):
-            if len(edges) and doc != _NO_DOC:
-                starts = np.flatnonzero(_find(branching, names_)[1])
-                keys.append(edges[starts])
-                marks.append(w.twins(words, starts))
-                ids.append(np.full(len(starts), doc, dtype=np.int64))
-        if not sum(map(len, keys)):
-            return _table([], _REPORT_ARROW)
-        return _table(_report(table["block"][0].as_py(), parts, np.concatenate(keys), np.concatenate(ids), np.concatenate(marks), True), _REPORT_ARROW)
-
-    def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
-        """Step 4: the texts of one block without their repeats."""
-        w = _windows(window, run)
-        whole, _, whole_doc = _answers(answers, 0)
-        single, single_mark, single_doc = _answers(answers, 2)
-        both = C.mix64(single ^ C.mix64(single_mark))  # one name from both hashes of a window
-        order = np.argsort(both, kind="stable")
-        both, both_key, both_doc = both[order], single[order], single_doc[order]
+    schema = DIGEST if digest else SPANS if spans else StructType([StructField(f"c{i}", f.dataType, True) for i, f in enumerate(docs.schema.fields)])
+    w = lambda: _windows(window, run)
+
+    def finish(table: pa.Table, paths: pa.Table) -> pa.Table:
+        """Step 3: the texts of one block without their repeats."""
+        spans_of = _spans(paths, w())
         bodies = _bodies(table)
-        counts, gone, kept = [], [], []
-        for doc, body, (words, edges, names_) in zip(table["doc"].to_pylist(), bodies, w.of(bodies)):
-            cover, n = None, len(words)
-            if len(edges) and doc != _NO_DOC:
-                at, hit = _find(whole, names_)
-                repeat = hit & (whole_doc[at] < doc) if len(whole) else hit
-                maybe = np.flatnonzero(_find(single, edges)[1])
-                if len(maybe):
-                    at, hit = _find(both, C.mix64(edges[maybe] ^ C.mix64(w.twins(words, maybe))))
-                    repeat[maybe] |= hit & (both_key[at] == edges[maybe]) & (both_doc[at] < doc)
-                if repeat.any():
-                    starts = np.flatnonzero(repeat)
-                    change = np.zeros(n + 1, dtype=np.int32)
-                    np.add.at(change, starts, 1)
-                    np.add.at(change, starts + window, -1)
-                    cover = np.cumsum(change[:-1]) > 0
-            counts.append(n)
-            gone.append(int(cover.sum()) if cover is not None else 0)
-            if cover is not None:
-                kept.append(b" ".join(compress(body.split(), (~cover).tolist())))
+        counts, gone, kept, rows = [], [], [], []
+        for doc, body, edges in zip(table["doc"].to_pylist(), bodies, w().edges(bodies)):
+            words = body.split() if len(edges) or short else []
+            found = spans_of(doc, words, edges) if len(edges) and doc is not None else []
+            cover = np.zeros(len(words), dtype=bool)
+            for i, n, source, start in found:
+                cover[i : i + n + window - 1] = True
+                rows.append((doc, i, n + window - 1, source, start))
+            counts.append(len(words))
+            gone.append(int(cover.sum()))
+            if found:
+                kept.append(b" ".join(compress(words, (~cover).tolist())))
             else:
-                kept.append(b" ".join(body.split()) if digest else body)
+                kept.append(b" ".join(words) if digest else body)
+        if spans:
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+            return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[c.strip().split()[0] for c in SPANS.split(",")])
         if digest:
             sha = [hashlib.sha256(x).hexdigest() for x in kept]
             return pa.table([table["c0"].cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
         null = table["body"].is_null().to_pylist()
         columns = [table[c] for c in others]
-        columns.insert(at_text, pa.array([None if x else t.decode() for x, t in zip(null, kept)], pa.string()))
+        columns.insert(at_text, pa.array([None if x else t.decode("utf-8", "replace") for x, t in zip(null, kept)], pa.string()))
         return pa.table(columns, names=[f"c{i}" for i in range(len(columns))])
 
-    def meet(reports: DataFrame, single: bool) -> DataFrame:
-        return reports.groupBy("part").applyInArrow(C.arrow_groups(lambda t: _meet(t, single), __name__), _ANSWER).repartition(parts, "block")
-
-    first = meet(dealt.groupBy("block").applyInArrow(C.arrow_groups(report, __name__), _REPORT), False)
-    asked = dealt.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(C.arrow_cogroups(resolve, __name__), _REPORT)
-    second = meet(asked, True)
-    done = dealt.groupBy("block").cogroup(first.union(second).groupBy("block")).applyInArrow(C.arrow_cogroups(finish, __name__), schema)
-    if digest:
-        return done
-    return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    def with_blocks(f, answers: DataFrame, out) -> DataFrame:
+        return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(C.arrow_cogroups(f, __name__), out)
+
+    # One job: the dealt texts, the reports and the answers are shuffled once each and read again.
+    chains = repeated(dealt.groupBy("block").applyInArrow(C.arrow_groups(lambda t: _piece_report(t, w()), __name__), _REPORT), blocks, False).repartition(parts, "block")
+    ones = repeated(with_blocks(lambda t, a: _window_report(t, a, w()), chains, _REPORT), blocks, True).repartition(parts, "block")
+    answers = chains.withColumn("single", F.lit(False)).union(ones.withColumn("single", F.lit(True)))
+    edges = with_blocks(lambda t, a: _source_edges(t, a, w()), answers, _EDGE)
+    first = F.min(F.struct("doc", "pos", "n", "a", "b", "head", "tail")).alias("e")  # rows of one id may give an edge twice
+    paths = compact(edges.groupBy("key", "mark").agg(first).select("key", "mark", "e.*"))
+    held = C.arrow_map(answers.select("block", "keys", "marks", "kinds"), _held, "block long, key long, mark long")
+    pairs = held.join(paths.select("key", "mark", F.struct("doc", "path").alias("at")), ["key", "mark"]).select("block", "at").distinct()
+    texts = path_texts(paths).select(F.struct("doc", "path").alias("at"), "words")
+    sent = pairs.join(texts, "at").select(F.col("block").alias("block"), "at.doc", "at.path.pos", "words")
+    done = with_blocks(finish, sent, schema)
+    return done if short else done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+
+
+def _held(batches):
+    """The repeated keys that each block has in other documents than their sources."""
+    for batch in batches:
+        for block, keys, marks, kinds in zip(*(c.to_pylist() for c in batch.columns)):
+            some = np.frombuffer(kinds, dtype=np.uint8) == ELSEWHERE
+            key, mark = (np.frombuffer(x, dtype=np.int64)[some] for x in (keys, marks))
+            if len(key):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block, dtype=np.int64)), pa.array(key), pa.array(mark)], names=["block", "key", "mark"])

@@ -201,7 +201,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         counter = C.resident(("counter", path), lambda: Counter(*shared.value))
         for batch in C.slices(batches, 1):
             bodies = [x.as_py() for x in batch.column(1)]
-            n = [counter.count(b.decode()) for b in bodies]
+            n = [counter.count(b.decode("utf-8", "replace")) for b in bodies]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(b) for b in bodies], pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     counted = C.arrow_map(docs.select(F.col(id_col).alias("doc_id"), C.text_bytes(text_col)), run, "doc_id long, n_bytes long, n_tokens long")

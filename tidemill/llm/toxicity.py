@@ -9,18 +9,22 @@ logistic unit over the total, the density and the heaviest entry found gives the
 
 The lexicon is learned: of the word beginnings in a bounded sample of labelled documents
 (SAMPLE_ROWS of at most SAMPLE_BYTES each, parameters), those are kept that mark toxic documents clearly, the shortest one
-that is as clear as its extensions, with their log-odds as weights, MAX_ENTRIES at most. A short
-list of common insults is in from the start, for small samples; labels may overrule it. No
-text is cut: each whole text is folded, in pieces if it is long.
+that is as clear as its extensions, with their log-odds as weights, MAX_ENTRIES at most. No
+word is in it that labels of the training fold did not put there. Each whole text is folded and
+searched in one go.
+
+Exception phrases are a parameter. One counts only where its last word ends there, or in a plural
+s ("trash can" excuses neither "trash can't" nor "trash canoe").
 
 Defined cases: null and empty texts have no words and get the score of a text without hits;
 without labels of both classes every score is 0.5. Rows may repeat; a null doc_id
-is not held out.
+is not held out. Bytes of a text that are no UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 
@@ -42,7 +46,6 @@ MAX_ENTRIES = 4000
 SHORTEST, LONGEST = 4, 12
 MOD, HELD_OUT = 5, 0
 THRESHOLD = 0.5
-PIECE = 1 << 20
 #: Letters that look like others, and signs that stand for letters.
 ALIKE = {
     "а": "a", "в": "b", "е": "e", "ё": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ї": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h", "ӏ": "l", "г": "r", "п": "n",
@@ -52,11 +55,8 @@ ALIKE = {
 }
 #: Fixed value: benign phrases around words that may be insults.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clownfish", "scum line", "pond scum")
-
-
-#: Fixed value: common English insults, entries with weight SEED_WEIGHT until labels say more.
-SEEDS = ("asshole", "bastard", "clown", "cretin", "disgusting", "dumbass", "filth", "garbage", "idiot", "imbecile", "jerk", "loser", "lowlife", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
-SEED_WEIGHT = 3.0
+#: n't at the end of a word is part of it.
+_NOT = re.compile("(?i)n['\u2019]t\\b")
 
 
 class _Fold(dict):
@@ -88,25 +88,27 @@ _LOOSE, _KEPT = _Fold(False), _Fold(True)
 
 
 def fold(text: str) -> str:
-    return text.translate(_LOOSE)
+    return _NOT.sub("nt", text).translate(_LOOSE)
 
 
 def fold_kept(text: str) -> str:
     """As fold(), but accents that belong to a language's spelling stay."""
-    return text.translate(_KEPT)
+    return _NOT.sub("nt", text).translate(_KEPT)
+
+
+def word_count(folded: str) -> int:
+    """How many words a folded text has; blanks are all that is between them."""
+    blank = np.frombuffer(b" " + folded.encode("utf-8", "replace"), dtype=np.uint8) == 32
+    return int((blank[:-1] & ~blank[1:]).sum())
 
 
 def beginnings(text: str) -> tuple[set[str], int]:
     """Distinct words of a text (loose, and kept if they have accents), and the number of words."""
-    words: set[str] = set()
-    n = 0
-    for piece in _pieces(text):
-        loose = fold(piece).split()
-        n += len(loose)
-        words.update(loose)
-        if not piece.isascii():
-            words.update(w for w in fold_kept(piece).split() if not w.isascii())
-    return words, n
+    loose = fold(text)
+    words = set(loose.split())
+    if not text.isascii():
+        words.update(w for w in fold_kept(text).split() if not w.isascii())
+    return words, word_count(loose)
 
 
 def prefixes(word: str):
@@ -130,43 +132,44 @@ class Lexicon:
         return self.__dict__ | {"_machine": None}
 
     def machine(self) -> ahocorasick.Automaton:
+        """Entries and exceptions by their length, weight (none: an exception) and whether they have accents."""
         if self._machine is None:
             a = ahocorasick.Automaton()
             for entry, w in self.weights.items():
                 a.add_word(" " + entry, (len(entry), w, not entry.isascii()))
             for phrase in self.exceptions:
-                a.add_word(" " + fold(phrase), (len(fold(phrase)), 0.0, False))
+                a.add_word(" " + fold(phrase), (len(fold(phrase)), None, False))
             a.make_automaton()
             self._machine = a
         return self._machine
 
     def measure(self, text: str) -> tuple[float, int, float]:
-        """Sum of the weights of the entries found (at each place the longest one, each word once in a piece), the number of words, and the greatest weight."""
-        total, words, top = 0.0, 0, 0.0
-        machine = self.machine() if self.weights else None
-        for piece in _pieces(text):
-            folded = " " + fold(piece)
-            words += len(folded.split())
-            if machine is not None:
-                weights = self._found(machine, folded, False)
-                if self.accents and not piece.isascii():
-                    weights += self._found(machine, " " + fold_kept(piece), True)
-                total += sum(weights)
-                top = max([top, *weights])
-        return total, words, top
+        """Sum of the weights of the entries found (at each place the longest one, each word once), the number of words, and the greatest weight."""
+        folded = " " + fold(text)
+        words = word_count(folded)
+        if not self.weights:
+            return 0.0, words, 0.0
+        weights = self._found(self.machine(), folded, False)
+        if self.accents and not text.isascii():
+            weights += self._found(self.machine(), " " + fold_kept(text), True)
+        return float(sum(weights)), words, max([0.0, *weights])
 
     @staticmethod
     def _found(machine: ahocorasick.Automaton, folded: str, accented: bool) -> list[float]:
         """accented: count only entries with accents; the others were counted in the loose folding."""
-        found: dict[int, tuple[int, float, bool]] = {}
+        found: dict[int, tuple[int, float | None, bool]] = {}
         for end, hit in machine.iter(folded):
+            if hit[1] is None:
+                after = folded[end + 1 : end + 3]
+                if after[:1] not in ("", " ") and after not in ("s", "s "):
+                    continue
             start = end - hit[0]
             if hit[2] == accented and (start not in found or hit[0] > found[start][0]):
                 found[start] = hit
         reach, words = -1, {}
         for start in sorted(found):
             length, w, _ = found[start]
-            if w == 0.0:
+            if w is None:
                 reach = max(reach, start + length)
             elif start > reach:  # a word that recurs counts once
                 end = folded.find(" ", start + 1)
@@ -178,18 +181,7 @@ def features(total: np.ndarray, words: np.ndarray, top: np.ndarray) -> np.ndarra
     return np.stack([np.log1p(total), np.log1p(1000 * total / np.maximum(words, 1)), top], axis=1)
 
 
-def _pieces(text: str):
-    """The text in pieces of about PIECE characters, cut at spaces where there are any."""
-    at = 0
-    while len(text) - at > PIECE:
-        cut = text.rfind(" ", at, at + PIECE)
-        cut = cut if cut > at else at + PIECE
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Lexicon | None:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon | None:
     spark = docs.sparkSession
     C.prepare(spark)
     chosen = sample(docs, labels, label, MOD, HELD_OUT, rows).where(F.octet_length("body") <= SAMPLE_BYTES).checkpoint()
@@ -208,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
 
         for batch in C.slices(batches, 1):
             for y, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words, _ = beginnings(body.decode())
+                words, _ = beginnings(body.decode("utf-8", "replace"))
                 own = Counter(t for w in words for t in prefixes(w))  # distinct words with each beginning
                 if y > 0:
                     docs_.update(own.keys())
@@ -240,16 +232,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
         shorter = max((kept[r.term[:k]] for k in range(SHORTEST - 1, len(r.term)) if r.term[:k] in kept), default=-1.0)
         if r.w > shorter + 0.7 and len(kept) < MAX_ENTRIES:
             kept[r.term] = float(r.w)
-    seen = {r.term: r for r in counted.where(F.col("term").isin([fold(w)[:LONGEST] for w in SEEDS])).withColumn("w", odds).collect()}
-    for word in map(fold, SEEDS):
-        got = seen.get(word[:LONGEST])
-        if word not in kept and (got is None or got.w > 1):  # labels may overrule a seed
-            kept[word] = SEED_WEIGHT if got is None else max(SEED_WEIGHT, float(got.w))
-    lexicon = Lexicon(kept)
+    lexicon = Lexicon(kept, exceptions)
 
     def measures(batches):
         for batch in batches:
-            got = [lexicon.measure(b.decode()) for b in batch.column(1).to_pylist()]
+            got = [lexicon.measure(b.decode("utf-8", "replace")) for b in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _, _ in got], pa.float64()), pa.array([b for _, b, _ in got], pa.int64()), pa.array([c for _, _, c in got], pa.float64())], names=["y", "total", "words", "top"])
 
     rows_ = sorted(C.arrow_map(chosen, measures, "y int, total double, words long, top double").collect())
@@ -272,9 +259,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60)
     return tuple(w.tolist())
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:
     """doc_id, held_out, score and predicted of every document row, with total weight and word count."""
-    lexicon = fit(docs, labels)
+    lexicon = fit(docs, labels, exceptions=exceptions)
 
     def run(batches):
         for batch in C.slices(batches, 1):
@@ -282,7 +269,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             if lexicon is None:
                 total, words, score = np.zeros(n), np.zeros(n, dtype=np.int64), np.full(n, 0.5)
             else:
-                got = [lexicon.measure(b.decode()) for b in batch.column(1).to_pylist()]
+                got = [lexicon.measure(b.decode("utf-8", "replace")) for b in batch.column(1).to_pylist()]
                 total, words, top = (np.array(x) for x in zip(*got))
                 *w, c = lexicon.unit
                 score = 1 / (1 + np.exp(-np.clip(features(total, words, top) @ np.array(w) + c, -30, 30)))

@@ -5,10 +5,11 @@ subdomains too, and the beginning of a path; of the rules that fit, the longest
 a rule judges are the labelled ones. From a bounded sample of them (SAMPLE_ROWS, a parameter)
 boosted trees are fitted on the driver over quantile bins of lexical features: lengths, path
 depth, digit ratio, character entropy, numbers of parameters, host labels and hyphens, and two
-statistics of the host's suffix. Suffix statistics (share blocked among the labelled, number of
-URLs) are counted over all rows, in SUFFIX_BUCKETS hash buckets, so their table has a fixed
-bound and can be broadcast. The fitted trees become CASE expressions: scoring is one projection
-inside whole-stage code, without Python, and no URL is ever shuffled.
+statistics of the host's suffix. Suffix statistics (share blocked among the other labelled rows,
+number of URLs) are counted over all rows, in SUFFIX_BUCKETS hash buckets, so their table has a
+fixed bound and can be broadcast; suffixes that share a bucket share its statistics. The fitted
+trees become CASE expressions: scoring is one projection inside whole-stage code, without Python,
+and no URL is ever shuffled. Of rules of one length that fit, the last one given wins.
 
 Defined cases: a null URL, or one without '://', has an empty host and path; an empty host has
 an empty suffix; an empty URL has zero features; without labels of both kinds the verdict of
@@ -128,12 +129,13 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     read = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     base = lexical(read.withColumns({"rule": name, "ruled": verdict}), "url")
-    known = F.col("ruled").isNotNull().cast("double")
-    blocked = (F.col("ruled") == "block").cast("double")
+    base = base.withColumns({"known": F.col("ruled").isNotNull().cast("double"), "blocked": F.col("ruled").eqNullSafe("block").cast("double")})
     suffix = base.groupBy("suffix_bucket").agg(  # at most SUFFIX_BUCKETS rows
-        ((F.coalesce(F.sum(blocked), F.lit(0.0)) + 1) / (F.sum(known) + 2)).alias("f_suffix_block"), F.log1p(F.count("*")).alias("f_suffix_count"),
+        F.sum("blocked").alias("all_blocked"), F.sum("known").alias("all_known"), F.log1p(F.count("*")).alias("f_suffix_count"),
     )
-    full = base.join(F.broadcast(suffix), "suffix_bucket", "left")
+    # A labelled row doesn't see its own label.
+    others = (F.col("all_blocked") - F.col("blocked") + 1) / (F.col("all_known") - F.col("known") + 2)
+    full = base.join(F.broadcast(suffix), "suffix_bucket", "left").withColumn("f_suffix_block", others)
     labelled = full.where("ruled is not null").withColumn("y", (F.col("ruled") == "block").cast("int"))
     sample = least(labelled, rows, "url", "page_id").select("y", *FEATURES).collect()
     y = np.array([r.y for r in sample], dtype=float)
