@@ -103,6 +103,85 @@ def test_near_duplicates_tiles(spark, monkeypatch):
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+def test_a_chain_of_near_copies_costs_its_length(spark, monkeypatch):
+    """Each text is linked with the next ones only; the copied sets grow with the chain, not with its square."""
+    copied = {}
+    for n in (150, 300):
+        words = [f"w{i}" for i in range(60 + 2 * n)]
+        rows = [(i, " ".join(words[2 * i : 2 * i + 60])) for i in range(n)]  # neighbours have 54 of 58 shingles in common
+        copied[n] = 0
+
+        def counted(rows_, percent, f, n=n):
+            copied[n] += rows_.count()
+            return f(rows_, percent)
+
+        for name in ("linked_to_first", "linked_across"):
+            real = getattr(minhash, name)
+            monkeypatch.setattr(minhash, name, lambda r, p, f=real: counted(r, p, f))
+        got = minhash.near_duplicates(frame(spark, rows)).collect()
+        assert {r.component_id for r in got} == {0} and len(got) == n
+        monkeypatch.undo()
+    assert copied[300] < 3 * copied[150]
+
+
+def test_near_duplicates_without_broadcasts(spark, monkeypatch):
+    """The way beyond small tables, with hot keys and without."""
+    rows = corpus(1, 30) + [(5000 + i, "a copy that is met " * 5) for i in range(40)]
+    want = sorted(minhash.near_duplicates(frame(spark, rows)).collect())
+    for hot in (5, 10**9):
+        monkeypatch.setattr(common, "SMALL", 0)
+        monkeypatch.setattr(common, "HOT", hot)
+        assert sorted(minhash.near_duplicates(frame(spark, rows)).collect()) == want
+        monkeypatch.undo()
+
+
+def test_hot_join(spark, monkeypatch):
+    left = spark.createDataFrame([(1, "a")] * 50 + [(2, "b"), (3, "c"), (None, "d")], "k int, x string")
+    right = spark.createDataFrame([(1, "one", 50), (2, "two", 1), (4, "four", 0)], "k int, y string, n int")
+    for small in (0, 100):
+        monkeypatch.setattr(common, "SMALL", small)
+        monkeypatch.setattr(common, "HOT", 10)
+        for how in ("inner", "left", "left_anti"):
+            got = common.hot_join(left, right, "k", "n", 53, how)
+            plain = left.join(right.drop("n"), "k", how)
+            assert sorted(got.select(plain.columns).collect(), key=str) == sorted(plain.collect(), key=str)
+
+
+def test_components_of_a_star_and_a_chain(spark, monkeypatch):
+    from tidemill.llm import graph
+
+    edges = [(900, i) for i in range(200)] + [(i, i + 1) for i in range(1000, 1040)] + [(7, 7)]
+    for small in (0, 100_000):
+        monkeypatch.setattr(common, "SMALL", small)
+        common.prepare(spark)
+        got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+        assert got == {**{i: 0 for i in range(200)}, 900: 0, **{i: 1000 for i in range(1000, 1041)}}
+
+
+def test_recall_of_bands():
+    """Pairs just over the limits, also of short documents: how many share no band."""
+    s = minhash.Sketcher()
+    rng = np.random.default_rng(5)
+    missed = {}
+    for low, n, common_ in [(0.85, 300, 276), (0.85, 20, 19), (0.85, 100, 92), (0.80, 90, 80), (0.80, 18, 16)]:
+        lost = 0
+        for _ in range(400):
+            pool = rng.integers(0, 1 << 63, 2 * n - common_, dtype=np.uint64)
+            pair = np.array([s.signature(pool[:n]), s.signature(pool[n - common_ :])])
+            assert common_ / (2 * n - common_) >= low
+            lost += not np.intersect1d(*s.band_keys(pair)).size
+        missed[low, n] = lost
+    assert all(v == 0 for (low, _), v in missed.items() if low == 0.85) and all(v <= 1 for v in missed.values()), missed
+
+
+def test_columns_may_have_any_name(spark):
+    copy = "a b c d e f g h i j k l m n o p q r s t u v w x"
+    rows = spark.createDataFrame([(1, copy, 5, 6, 7, 8), (2, copy, 5, 6, 7, 8), (3, "of its own", 1, 2, 3, 4)], "doc_id long, text string, _key int, _row int, c1 int, `a.b` int")
+    bench = spark.createDataFrame([(1, copy)], "item_id long, text string")
+    for got, ids in ((minhash.drop_near_duplicates(rows), [1, 3]), (substring.drop_repeats(rows), [1, 2, 3]), (decontam.drop_contaminated(rows, bench), [3])):
+        assert got.columns == rows.columns and sorted(r.doc_id for r in got.collect()) == ids
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (None, None), (7, None)]
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(frame(spark, rows)).collect()), key=str)
@@ -179,6 +258,72 @@ def test_substring_dedup(spark, seed):
     assert texts == {i: keep[i].decode() if any(gone) else original[i] for i, (w, gone) in expected.items()}
 
 
+def test_substring_dedup_in_a_tree_of_reports(spark, monkeypatch):
+    """Two reports meet at a time, so the tree has several levels; one passage is in every block."""
+    rng = random.Random(11)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, " ".join(f"{rng.choice(WORDS)}{rng.randint(0, 50)}" for _ in range(30)) + " " + passage) for i in range(40)] + corpus(7, 20)[:30]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    expected = brute_repeats(rows)
+    monkeypatch.setattr(substring, "FAN", 2)
+    got = {r.doc_id: r.n_removed for r in substring.drop_repeats(frame(spark, rows), digest=True).collect()}
+    assert got == {i: sum(gone) for i, (_, gone) in expected.items()}
+
+
+def test_spans_stand_at_their_source(spark):
+    """Each span's words are those at the source's coordinates, and the spans cover what is removed."""
+    rows = corpus(3)
+    words = {i: blank_words(t) for i, t in rows}
+    cover = {i: set() for i, _ in rows}
+    for r in substring.drop_repeats(frame(spark, rows), spans=True).collect():
+        assert r.source_id < r.doc_id and r.length >= 13
+        assert words[r.doc_id][r.start : r.start + r.length] == words[r.source_id][r.source_start : r.source_start + r.length]
+        cover[r.doc_id] |= set(range(r.start, r.start + r.length))
+    assert cover == {i: {k for k, g in enumerate(gone) if g} for i, (_, gone) in brute_repeats(rows).items()}
+
+
+def test_paths_end_where_they_branch():
+    """Runs of repeated edges are one path up to a node that another repeated edge leaves."""
+    import pyarrow as pa
+
+    w = substring.Windows(13, 6)
+    text = [b"w%d" % i for i in range(30)]
+    hashes, _ = w.hasher.placed(b" ".join(text))
+    cuts = np.array([5, 9], dtype=np.int32)
+    nodes = w.nodes(hashes, cuts.astype(np.int64))
+    runs = pa.table({"doc": [4], "pos": [100], "words": [b" ".join(text)], "cuts": [cuts.tobytes()], "nodes": [nodes.tobytes()]})
+    answer = lambda keys: pa.table({"keys": [np.array(keys, dtype=np.uint64).tobytes()], "marks": [b""], "docs": [np.zeros(len(keys), dtype=np.int64).tobytes()], "kinds": [np.zeros(len(keys), dtype=np.uint8).tobytes()]})
+    whole = substring._compact(runs, answer([1, 2]), 13).to_pylist()
+    assert whole == [{"doc": 4, "pos": 100, "words": b" ".join(text)}]
+    for branching in (nodes[1:], common.mix64(nodes[1:] ^ substring.ENTERED)):
+        cut = substring._compact(runs, answer(branching), 13).to_pylist()
+        assert [(c["pos"], c["words"]) for c in cut] == [(100, b" ".join(text[:21])), (109, b" ".join(text[9:]))]
+
+
+def test_words_decide_not_hashes():
+    """If hashes mislead, nothing is taken for a repeat that is none."""
+    import pyarrow as pa
+
+    class Blind(substring.Windows):
+        def edges(self, texts):
+            for e in super().edges(texts):
+                yield e * np.uint64(0)
+
+    text = [b"w%d" % i for i in range(20)]
+    paths = pa.table({"doc": [1], "pos": [0], "words": [b" ".join(text)]})
+    blind, seeing = Blind(13, 6), substring.Windows(13, 6)
+    other = [b"v%d" % i for i in range(20)]
+    assert substring._spans(paths, blind)(2, other, next(blind.edges([b" ".join(other)]))) == []
+    assert substring._spans(paths, seeing)(2, other[:3] + text, next(seeing.edges([b" ".join(other[:3] + text)]))) == [(3, 8, 1, 0)]
+    assert substring._spans(paths, seeing)(1, text, next(seeing.edges([b" ".join(text)]))) == []
+
+
+def test_the_largest_doc_id_is_an_id(spark):
+    t = " ".join(f"w{i}" for i in range(20))
+    got = substring.drop_repeats(frame(spark, [(2**63 - 1, t), (-5, t), (None, t)]), digest=True).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {2**63 - 1: 20, -5: 0, None: 0}
+
+
 def test_substring_odd_rows(spark):
     t = " ".join(f"w{i}" for i in range(20))
     rows = [(1, t), (1, t), (None, t), (2, t + " more")]
@@ -232,6 +377,41 @@ def test_decontamination(spark, limit, monkeypatch):
     assert none == 0
 
 
+def test_lists_come_back(spark):
+    rng = np.random.default_rng(2)
+    lists = [np.sort(rng.choice(1 << rng.integers(4, 31), rng.integers(1, 9), replace=False)) for _ in range(200)] + [np.array([0]), np.array([2**31 - 1])]
+    counts = np.array([len(x) for x in lists])
+    data, bounds = decontam.pack(np.concatenate(lists).astype(np.int64), np.cumsum(counts) - counts)
+    assert bounds[-1] == len(data) and (decontam.unpack(data.tobytes(), counts) == np.concatenate(lists)).all()
+
+
+def test_index_holds_every_token(spark, tmp_path):
+    """All tokens of all texts, not only those that a benchmark asks for, from a stored table."""
+    rows = corpus(5, 20)
+    table = decontam.index(frame(spark, rows), path=str(tmp_path / "index"))
+    docs = table.where("row is not null").collect()
+    assert sorted((r.doc_id, r.n) for r in docs) == sorted((i, len(bench_words(t))) for i, t in rows)
+    n, = table.where("term is not null").agg(F.sum("n")).first()
+    assert n == sum(len(bench_words(t)) for _, t in rows)
+    block = table.where("term is not null").first()
+    positions = decontam.unpack(bytes(block["at"]), np.array([block.n]))
+    assert len(positions) == block.n and (np.diff(positions) > 0).all()
+    again = spark.read.parquet(str(tmp_path / "index"))
+    found = decontam.search(again, spark.createDataFrame([(1, rows[9][1])], "item_id long, text string"))
+    assert found.count() >= 1
+
+
+def test_decontamination_without_broadcasts(spark, monkeypatch):
+    rows = corpus(5, 20)
+    long = [t for _, t in rows if t and len(t) > 200][:6]
+    bench = spark.createDataFrame([(k, t[10:300]) for k, t in enumerate(long)], "item_id long, text string")
+    want = brute_hits(rows, [(k, t[10:300]) for k, t in enumerate(long)])
+    for small, size in ((0, 200), (0, 4 << 20), (50_000, 64)):
+        monkeypatch.setattr(common, "SMALL", small)
+        monkeypatch.setattr(decontam, "SLICE_BYTES", size)
+        assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontam.scan(frame(spark, rows), bench).collect()), key=str) == want
+
+
 def test_phrase_and_proximity_matches(spark):
     rows = [(1, "alpha beta gamma delta"), (2, "gamma x beta alpha y delta"), (3, "alpha beta"), (4, None)]
     items = spark.createDataFrame([(9, "beta gamma delta")], "item_id long, text string")
@@ -326,19 +506,89 @@ def test_proof_is_right():
         token_count.load(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def plain_pack(weights, shards):
+    """The packing rule, one group at a time, in plain numbers."""
+    mean = [max(sum(w[d] for w in weights) / shards, 1e-9) for d in range(3)]
+    scaled = [[w[d] / mean[d] for d in range(3)] for w in weights]
+    room = [[1.0] * 3 for _ in range(shards)]
+    out = [0] * len(weights)
+    for i in sorted(range(len(weights)), key=lambda i: (-max(scaled[i]), -scaled[i][0], i)):
+        w = scaled[i]
+        dot = lambda s: sum(room[s][d] * w[d] for d in range(3))
+        fit = [s for s in range(shards) if all(room[s][d] >= w[d] for d in range(3))]
+        out[i] = max(fit, key=lambda s: (dot(s), -s)) if fit else max(range(shards), key=lambda s: (room[s][0], dot(s), -s))
+        for d in range(3):
+            room[out[i]][d] -= w[d]
+    return out
+
+
+def test_packing_follows_the_rule(monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(sharding, "settle", lambda scaled, out, residual: out)
+    for n in (3, 40, 300):
+        weights = rng.integers(1, 4000, (n, 3)).astype(float)
+        assert sharding.pack(weights, 16).tolist() == plain_pack(weights.tolist(), 16)
+
+
+def test_settling_keeps_the_balance():
+    rng = np.random.default_rng(9)
+    size = rng.integers(50, 5000, 1000).astype(float)
+    weights = np.column_stack([size, np.round(size / rng.uniform(4, 8, 1000)), np.ones(1000)])
+    load = np.zeros((16, 3))
+    np.add.at(load, sharding.pack(weights, 16), weights)
+    off = (load.max(axis=0) - load.min(axis=0)) / load.mean(axis=0)
+    assert off[0] < 2e-3 and off[1] < 0.05 and off[2] < 0.1, off
+
+
+def check_shards(rows, got, shards=16):
+    """Sizes, checksums, slots and whole groups of any outcome; returns the bytes of each shard."""
+    import zlib
+    from collections import Counter
+
+    data = [(i, (t or "").encode()) for i, t in rows]
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len(b) + 1, zlib.crc32(b)) for i, b in data)
+    slots, load = {}, [0] * shards
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+        load[r.shard] += r.size
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(shards))
+    return load
+
+
 def test_sharding(spark):
-    rows = corpus(10) + [(5000 + i, "the same text over and over " * 4) for i in range(200)] + [(1, "x"), (1, "x")]
+    same = "the same text over and over " * 4
+    rows = corpus(10) + [(5000 + i, same) for i in range(200)] + [(1, "x"), (1, "x"), (None, "y"), (None, None)]
     got = sharding.assign(frame(spark, rows)).collect()
-    assert len(got) == len(rows)
-    texts = sorted((i if i is not None else -1, len((t or "").encode()) + 1) for i, t in rows)
-    assert sorted((r.doc_id, r.size) for r in got) == texts
-    slots = {}
+    check_shards(rows, got)
+    words = {(t or ""): len(blank_words(t)) for _, t in rows}
+    assert sorted(r.n_tokens for r in got) == sorted(words[t or ""] for _, t in rows)
+    # A group of a third of all rows goes to the least number of shards; all others stay whole.
+    where = {}
     for r in got:
-        slots.setdefault(r.shard, []).append(r.slot)
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(16))
+        where.setdefault((r.size, r.text_crc32), set()).add(r.shard)
+    big = [k for k, v in where.items() if len(v) > 1]
+    assert {k[0] for k in big} <= {len(same) + 1, max(len(t or "") for _, t in rows) + 1} | {k[0] for k in big if k[0] > sum(k2[0] for k2 in where) / 16}
     assert sharding.assign(frame(spark, rows).limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("per_slice", [50_000, 200])
+def test_shards_are_even(spark, monkeypatch, per_slice):
+    """Also if the groups of a level are dealt to many slices and levels."""
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice("ab c") for _ in range(rng.randint(100, 900)))) for i in range(1500)] + [(2000 + i, "again " * 30) for i in range(60)]
+    monkeypatch.setattr(sharding, "SLICE", per_slice)
+    if per_slice == 200:
+        monkeypatch.setattr(sharding, "TOP", 100)
+        monkeypatch.setattr(sharding, "STEP", 8)
+    got = sharding.assign(frame(spark, rows)).collect()
+    load = check_shards(rows, got)
+    assert (max(load) - min(load)) / (sum(load) / 16) < (0.002 if per_slice > 200 else 0.02), load
+    where = {}
+    for r in got:
+        where.setdefault((r.size, r.text_crc32), set()).add(r.shard)
+    assert max(map(len, where.values())) == 1  # no group outweighs a shard
+
+
 def test_packing():
     rng = np.random.default_rng(1)
     weights = rng.integers(1, 1000, (3000, 3)).astype(float)

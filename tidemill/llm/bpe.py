@@ -330,14 +330,14 @@ class Decoder:
         return "".join(text) + ("�" if pending else "")
 
 
-def coders(path: str, pattern: str, max_states: int = MAX_STATES) -> tuple[Encoder, Decoder]:
+def coders(path: str, pattern: str, max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES) -> tuple[Encoder, Decoder]:
     """The coders of one rank file, one pair per Python process."""
 
     def make():
         ranks = read_ranks(path)
-        return Encoder(ranks, pattern, max_states), Decoder(ranks)
+        return Encoder(ranks, pattern, max_states, max_pieces), Decoder(ranks)
 
-    return C.resident(("coders", path, pattern, max_states), make)
+    return C.resident(("coders", path, pattern, max_states, max_pieces), make)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -360,15 +360,15 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     return C.arrow_map(docs.select(F.col(id_col).alias("doc_id"), C.text_bytes(text_col)), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_states: int = MAX_STATES) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES) -> DataFrame:
     """doc_id, n_tokens, the token ids of every text, and whether they decode to the same text.
 
-    max_states: how much a worker remembers; fewer states take less memory and more time.
+    max_states, max_pieces: how much a worker remembers; less takes less memory and more time.
     """
     C.prepare(docs.sparkSession)
 
     def run(batches):
-        encoder, decoder = coders(path, pattern, max_states)
+        encoder, decoder = coders(path, pattern, max_states, max_pieces)
         for batch in C.slices(batches, 1, 2 << 20):
             flat, counts, same = [], [], []
             for body in batch.column(1):

@@ -10,6 +10,7 @@ import ctypes
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -82,6 +83,18 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, "16m")
 
 
+def stored(df: DataFrame, name: str) -> str:
+    """Writes a table to a new place in the shared folder, and returns the place."""
+    at = f"{shared(df.sparkSession)}/tidemill-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

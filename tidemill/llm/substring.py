@@ -8,17 +8,19 @@ graph is built of these alone.
    that share a minimiser (the smallest hashed 6-word run inside the window) form a piece, and
    equal windows always have equal minimisers; so a block reports the minimisers of its pieces,
    each once, with the smallest document and a fingerprint of the piece's windows. Reports are
-   combined in a tree: FAN blocks at a time, then FAN of these, each level with finer parts, so
+   joined in a tree: FAN blocks at a time, then FAN of these, each level with finer parts, so
    no task grows with the corpus, even if a passage is in every block. Where all fingerprints of
    a minimiser agree the piece is one chain of edges; where they differ, paths branch inside it,
-   and its windows are reported and combined in the same way, one by one.
-2. The graph. The smallest document that has a repeated edge (or chain) is its source; the
-   source's block gives its coordinates, its two nodes and its words. Edges are joined with the
-   degrees of their nodes, and edges that meet at a node which only one edge enters and only one
-   leaves, one behind the other in the same source, are compacted into a path.
-3. Verification. Blocks get the words of the paths they hold edges of, with the paths' source
-   coordinates. A window of a text is a repeat if its words are those that stand at these
-   coordinates in a smaller document; consecutive ones are compared as one span.
+   and its windows are reported and joined in the same way, one by one. The smallest document
+   that has a repeated edge or chain is its source.
+2. Compaction. A source's block reports the nodes between its repeated edges, with the edges that
+   enter and leave them; the joined reports tell which nodes branch, that is, have two different
+   repeated edges on one side. Edges that follow each other in their source are compacted into
+   one path where the node between them does not branch.
+3. Verification. A block gets the words of the paths of the sources it shares edges with, and
+   their source coordinates. A window of a text is a repeat if its words are those that stand at
+   these coordinates in a smaller document; consecutive ones are compared as one span, word by
+   word.
 
 Words are the runs of non-white-space bytes, unchanged.
 
@@ -35,7 +37,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -45,7 +47,7 @@ WINDOW = 13
 MINIMISER = 6
 BLOCK_BYTES = 4 << 20
 #: Reports that meet in one task, and parts that a block's report is dealt to; each level of the tree has FAN times as many.
-FAN, PARTS = 128, 64
+FAN, PARTS = 512, 64
 
 
 class Windows:
@@ -191,7 +193,7 @@ def _combine(table: pa.Table, parts: int, fan: int, single: bool) -> pa.Table:
 
 
 def _answer(table: pa.Table, keys, marks, docs, kinds, single: bool) -> pa.Table:
-    """The reports of a table, cut down to the repeated keys (sorted), with their sources."""
+    """The reports of a table, cut down to the keys asked for (sorted), with their sources; marks only for single windows."""
     own_keys, own_docs, own_marks, flags, sizes = _unpacked(table)
     at, hit = _find(keys, marks, own_keys, own_marks, single)
     which = np.repeat(np.arange(len(sizes)), sizes)
@@ -202,15 +204,15 @@ def _answer(table: pa.Table, keys, marks, docs, kinds, single: bool) -> pa.Table
             mine = at[own]
             elsewhere = (own_docs[own] != docs[mine]) | (flags[own] & SEVERAL_DOCS > 0)
             kind = (kinds[mine] & BRANCHES) | elsewhere.astype(np.uint8) * np.uint8(ELSEWHERE)
-            rows.append((part, block, keys[mine].tobytes(), own_marks[own].tobytes(), docs[mine].tobytes(), kind.tobytes()))
+            rows.append((part, block, keys[mine].tobytes(), marks[mine].tobytes() if single else b"", docs[mine].tobytes(), kind.tobytes()))
     return _table(rows, _ANSWER)
 
 
-def _meet(table: pa.Table, single: bool) -> pa.Table:
-    """All reports of one part, at the top of the tree: answers to those that hold repeated keys."""
+def _meet(table: pa.Table, single: bool, wanted: int) -> pa.Table:
+    """All reports of one part, at the top of the tree: answers to those that hold keys with the wanted flag."""
     keys, docs, marks, flags, _ = _unpacked(table)
     keys, low, marks, flags = _summed(keys, docs, marks, flags, single)
-    keep = flags & SEVERAL_DOCS > 0
+    keep = flags & wanted > 0
     kinds = (flags & SEVERAL_MARKS > 0).astype(np.uint8) * np.uint8(BRANCHES)
     return _answer(table, keys[keep], marks[keep], low[keep], kinds[keep], single)
 
@@ -219,14 +221,14 @@ def _hand_down(table: pa.Table, answers: pa.Table, single: bool) -> pa.Table:
     """Answers to a group of blocks, handed on to its blocks."""
     if not answers.num_rows or not table.num_rows:
         return _table([], _ANSWER)
-    return _answer(table, *_known(answers), single)
+    return _answer(table, *_known(answers, single), single)
 
 
-def _known(answers: pa.Table):
-    """Keys, marks, sources and kinds of all answers of a table, by key and mark."""
-    columns = [np.frombuffer(b"".join(answers[n].to_pylist()), dtype=t) for n, t in (("keys", np.uint64), ("marks", np.uint64), ("docs", np.int64), ("kinds", np.uint8))]
-    order = np.lexsort((columns[1], columns[0]))
-    return [c[order] for c in columns]
+def _known(answers: pa.Table, single: bool):
+    """Keys, marks (of single windows), sources and kinds of all answers of a table, by key and mark."""
+    keys, marks, docs, kinds = (np.frombuffer(b"".join(answers[n].to_pylist()), dtype=t) for n, t in (("keys", np.uint64), ("marks", np.uint64), ("docs", np.int64), ("kinds", np.uint8)))
+    order = np.lexsort((marks, keys)) if single else np.argsort(keys, kind="stable")
+    return keys[order], marks[order] if single else marks, docs[order], kinds[order]
 
 
 def _find(keys, marks, wanted, wanted_marks, single: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -242,8 +244,8 @@ def _find(keys, marks, wanted, wanted_marks, single: bool) -> tuple[np.ndarray,
     return at, keys[at] == wanted
 
 
-def repeated(reports: DataFrame, blocks: int, single: bool) -> DataFrame:
-    """Answers (block, keys, marks, docs: the smallest, kinds) to the blocks that hold keys of several documents."""
+def joined(reports: DataFrame, blocks: int, single: bool = False, wanted: int = SEVERAL_DOCS) -> DataFrame:
+    """Answers (block, keys, marks, docs: the smallest, kinds) to the blocks that hold keys with the wanted flag."""
     levels, parts = [(reports, PARTS)], PARTS
     group = F.floor(F.col("block") / F.lit(FAN))
     while blocks > FAN:
@@ -251,7 +253,7 @@ def repeated(reports: DataFrame, blocks: int, single: bool) -> DataFrame:
         below, parts = levels[-1][0], parts * FAN
         levels.append((below.groupBy("part", group).applyInArrow(C.arrow_groups(up, __name__), _REPORT), parts))
         blocks = -(-blocks // FAN)
-    out = levels[-1][0].groupBy("part").applyInArrow(C.arrow_groups(lambda t: _meet(t, single), __name__), _ANSWER)
+    out = levels[-1][0].groupBy("part").applyInArrow(C.arrow_groups(lambda t: _meet(t, single, wanted), __name__), _ANSWER)
     for below, parts in reversed(levels[:-1]):
         down = C.arrow_cogroups(lambda t, a: _hand_down(t, a, single), __name__)
         out = below.groupBy("part", group).cogroup(out.groupBy(F.pmod("part", F.lit(parts)), "block")).applyInArrow(down, _ANSWER)
@@ -260,8 +262,11 @@ def repeated(reports: DataFrame, blocks: int, single: bool) -> DataFrame:
 
 # --- texts ------------------------------------------------------------------------------------------
 
-_EDGE = "key long, mark long, doc long, pos int, n int, a long, b long, head binary, tail binary"
-_EDGE_ARROW = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+#: A run of repeated edges in their source: where it begins, its words, and at which windows of it another edge begins, with the nodes there.
+_RUN = "block long, doc long, pos int, words binary, cuts binary, nodes binary"
+_PATH = "doc long, pos int, words binary"
+#: Nodes that edges enter are told apart from nodes that edges leave.
+ENTERED = np.uint64(0xD1B54A32D192ED03)
 
 
 def _bodies(table: pa.Table) -> list[bytes]:
@@ -285,7 +290,7 @@ def _window_report(table: pa.Table, answers: pa.Table, w: Windows) -> pa.Table:
     """Step 1: the windows of one block's branching pieces."""
     if not table.num_rows or not answers.num_rows:
         return _table([], _REPORT)
-    keys, _, _, kinds = _known(answers)
+    keys, _, _, kinds = _known(answers, False)
     branching = keys[kinds & BRANCHES > 0]
     found = []
     for doc, (words, edges, names) in zip(table["doc"].to_pylist(), w.of(_bodies(table))):
@@ -298,65 +303,77 @@ def _window_report(table: pa.Table, answers: pa.Table, w: Windows) -> pa.Table:
     return _table(_reports(table["block"][0].as_py(), PARTS, keys, docs, marks, np.zeros(len(keys), dtype=np.uint8), True), _REPORT)
 
 
-def _source_edges(table: pa.Table, answers: pa.Table, w: Windows) -> pa.Table:
-    """Step 2: the repeated edges and chains whose source is in this block, with coordinates, nodes and words."""
-    out: list[tuple] = []
-    if table.num_rows and answers.num_rows:
-        kind = np.array(answers["single"].to_pylist(), dtype=bool)
-        chain, chain_mark, chain_doc, how = _known(answers.filter(pa.array(~kind)))
-        chain, chain_mark, chain_doc = (x[how & BRANCHES == 0] for x in (chain, chain_mark, chain_doc))
-        single, single_mark, single_doc, _ = _known(answers.filter(pa.array(kind)))
-        maybe = np.unique(single)
-        sources = set(chain_doc.tolist()) | set(single_doc.tolist())
-        bodies = _bodies(table)
-        for doc, body, (words, edges, names) in zip(table["doc"].to_pylist(), bodies, w.of(bodies)):
-            if not len(edges) or doc not in sources:
-                continue
-            starts, sizes, _ = pieces(edges, names)
-            at, hit = _find(chain, None, names[starts], None, False)
-            hit &= chain_doc[at] == doc if len(chain) else hit
-            one = np.flatnonzero(_find(maybe, None, edges, None, False)[1])
-            at1, hit1 = _find(single, single_mark, edges[one], w.twins(words, one), True)
-            hit1 &= single_doc[at1] == doc if len(single) else hit1
-            pos = np.concatenate((starts[hit], one[hit1]))
-            n = np.concatenate((sizes[hit], np.ones(int(hit1.sum()), dtype=np.int64)))
-            key = np.concatenate((chain[at[hit]] if len(chain) else chain, single[at1[hit1]] if len(single) else single))
-            mark = np.concatenate((chain_mark[at[hit]] if len(chain) else chain, single_mark[at1[hit1]] if len(single) else single))
-            _, once = np.unique(np.stack((key, mark)), axis=1, return_index=True)  # the first place of each
-            pos, n, key, mark = pos[once], n[once], key[once], mark[once]
-            a, b = w.nodes(words, pos), w.nodes(words, pos + n)
-            text = body.split()
-            k = w.k - 1
-            for row in zip(key.view(np.int64).tolist(), mark.view(np.int64).tolist(), pos.tolist(), n.tolist(), a.view(np.int64).tolist(), b.view(np.int64).tolist()):
-                p, m = row[2], row[3]
-                out.append((*row[:2], doc, *row[2:], b" ".join(text[p : p + k]), b" ".join(text[p + k : p + k + m])))
-    names = [c.strip().split()[0] for c in _EDGE.split(",")]
-    return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(_EDGE_ARROW)], names=names)
-
-
-def compact(edges: DataFrame) -> DataFrame:
-    """Edges joined into paths: key, mark, doc, path (the place and name of its first edge), pos, head and tail.
-
-    Two edges that follow each other in their source are of one path if no other repeated edge
-    enters or leaves the node between them.
-    """
-    none = "struct<doc: long, pos: int>", "struct<key: long, mark: long>"
-    leaving = edges.select(F.col("a").alias("node"), F.lit(None).cast(none[0]).alias("before"), F.struct("key", "mark").alias("after"))
-    entering = edges.select(F.col("b").alias("node"), F.struct("doc", (F.col("pos") + F.col("n")).alias("pos")).alias("before"), F.lit(None).cast(none[1]).alias("after"))
-    node = leaving.union(entering).groupBy("node").agg(F.count("before").alias("enter"), F.count("after").alias("leave"), F.max("before").alias("before"), F.max("after").alias("after"))
-    link = node.where("enter = 1 and leave = 1").select("after.key", "after.mark", F.col("before.doc").alias("from"), F.col("before.pos").alias("end"))
-    goes_on = F.coalesce((F.col("from") == F.col("doc")) & (F.col("end") == F.col("pos")), F.lit(False))
-    marked = edges.join(link, ["key", "mark"], "left").withColumn("first", F.when(~goes_on, F.struct("pos", "key", "mark")))
-    along = Window.partitionBy("doc").orderBy("pos", "key", "mark")
-    return marked.select("key", "mark", "doc", F.max("first").over(along).alias("path"), "pos", "head", "tail")
+def _source_runs(table: pa.Table, answers: pa.Table, w: Windows):
+    """For each text that is a source: its document, words, word hashes, window hashes, owned windows, and where its owned edges begin and how many windows they have."""
+    if not table.num_rows or not answers.num_rows:
+        return
+    kind = np.array(answers["single"].to_pylist(), dtype=bool)
+    chain, _, chain_doc, how = _known(answers.filter(pa.array(~kind)), False)
+    chain, chain_doc = chain[how & BRANCHES == 0], chain_doc[how & BRANCHES == 0]
+    single, single_mark, single_doc, _ = _known(answers.filter(pa.array(kind)), True)
+    maybe = np.unique(single)
+    sources = set(chain_doc.tolist()) | set(single_doc.tolist())
+    some = [(doc, body) for doc, body in zip(table["doc"].to_pylist(), _bodies(table)) if doc in sources]
+    for (doc, body), (words, edges, names) in zip(some, w.of([b for _, b in some])):
+        if not len(edges):
+            continue
+        starts, sizes, _ = pieces(edges, names)
+        at, hit = _find(chain, None, names[starts], None, False)
+        if len(chain):
+            hit &= chain_doc[at] == doc
+        one = np.flatnonzero(_find(maybe, None, edges, None, False)[1])
+        at, alone = _find(single, single_mark, edges[one], w.twins(words, one), True)
+        if len(single):
+            alone &= single_doc[at] == doc
+        begin = np.concatenate((starts[hit], one[alone]))
+        size = np.concatenate((sizes[hit], np.ones(int(alone.sum()), dtype=np.int64)))
+        order = np.argsort(begin, kind="stable")
+        if len(begin):
+            yield doc, body.split(), words, edges, begin[order], size[order]
+
+
+def _node_report(table: pa.Table, answers: pa.Table, w: Windows) -> pa.Table:
+    """Step 2: the nodes at both ends of the repeated edges and chains whose source is in this block, with the edge that leaves or enters."""
+    found = []
+    for _, _, words, edges, begin, size in _source_runs(table, answers, w):
+        end = begin + size
+        keys = np.concatenate((w.nodes(words, begin), C.mix64(w.nodes(words, end) ^ ENTERED)))
+        found.append((keys, np.concatenate((edges[begin], edges[end - 1]))))
+    if not found:
+        return _table([], _REPORT)
+    keys, marks = (np.concatenate(x) for x in zip(*found))
+    return _table(_reports(table["block"][0].as_py(), PARTS, keys, np.zeros(len(keys), dtype=np.int64), marks, np.zeros(len(keys), dtype=np.uint8), False), _REPORT)
 
 
-def path_texts(paths: DataFrame) -> DataFrame:
-    """doc, path and the words of every path."""
-    text = lambda c: F.col(c).cast("string").alias(c)
-    items = F.array_sort(F.collect_list(F.struct("pos", text("head"), text("tail"))))
-    joined = paths.groupBy("doc", "path").agg(items.alias("i"))
-    return joined.select("doc", "path", F.concat(F.col("i")[0]["head"], F.lit(" "), F.array_join(F.transform("i", lambda x: x["tail"]), " ")).cast("binary").alias("words"))
+def _runs(table: pa.Table, answers: pa.Table, w: Windows) -> pa.Table:
+    """Step 2: the runs of repeated edges and chains whose source is in this block."""
+    rows = []
+    for doc, text, words, _, begin, size in _source_runs(table, answers, w):
+        new = np.concatenate(([True], begin[1:] != begin[:-1] + size[:-1]))
+        heads = np.flatnonzero(new)
+        for a, b in zip(heads.tolist(), np.append(heads[1:], len(begin)).tolist()):
+            pos, end = int(begin[a]), int(begin[b - 1] + size[b - 1])
+            cuts = begin[a + 1 : b]
+            rows.append((table["block"][0].as_py(), doc, pos, b" ".join(text[pos : end + w.k - 1]), (cuts - pos).astype(np.int32).tobytes(), w.nodes(words, cuts).tobytes()))
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in _RUN.split(", ")])
+
+
+def _compact(runs: pa.Table, answers: pa.Table, window: int) -> pa.Table:
+    """Step 2: the runs of a block as paths, cut where their nodes branch."""
+    branching = _known(answers, False)[0]
+    rows = []
+    for doc, pos, words, cuts, nodes in zip(*(runs[c].to_pylist() for c in ("doc", "pos", "words", "cuts", "nodes"))):
+        nodes = np.frombuffer(nodes, dtype=np.uint64)
+        branch = _find(branching, None, nodes, None, False)[1] | _find(branching, None, C.mix64(nodes ^ ENTERED), None, False)[1]
+        at = np.frombuffer(cuts, dtype=np.int32)[branch].tolist()
+        if not at:
+            rows.append((doc, pos, words))
+            continue
+        text = words.split(b" ")
+        for a, b in zip([0, *at], [*at, len(text) - window + 1]):
+            rows.append((doc, pos + a, b" ".join(text[a : b + window - 1])))
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["doc", "pos", "words"])
 
 
 def _spans(paths: pa.Table, w: Windows):
@@ -463,25 +480,22 @@ def drop_repeats(
         return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(C.arrow_cogroups(f, __name__), out)
 
     # One job: the dealt texts, the reports and the answers are shuffled once each and read again.
-    chains = repeated(dealt.groupBy("block").applyInArrow(C.arrow_groups(lambda t: _piece_report(t, w()), __name__), _REPORT), blocks, False).repartition(parts, "block")
-    ones = repeated(with_blocks(lambda t, a: _window_report(t, a, w()), chains, _REPORT), blocks, True).repartition(parts, "block")
-    answers = chains.withColumn("single", F.lit(False)).union(ones.withColumn("single", F.lit(True)))
-    edges = with_blocks(lambda t, a: _source_edges(t, a, w()), answers, _EDGE)
-    first = F.min(F.struct("doc", "pos", "n", "a", "b", "head", "tail")).alias("e")  # rows of one id may give an edge twice
-    paths = compact(edges.groupBy("key", "mark").agg(first).select("key", "mark", "e.*"))
-    held = C.arrow_map(answers.select("block", "keys", "marks", "kinds"), _held, "block long, key long, mark long")
-    pairs = held.join(paths.select("key", "mark", F.struct("doc", "path").alias("at")), ["key", "mark"]).select("block", "at").distinct()
-    texts = path_texts(paths).select(F.struct("doc", "path").alias("at"), "words")
-    sent = pairs.join(texts, "at").select(F.col("block").alias("block"), "at.doc", "at.path.pos", "words")
+    chains = joined(dealt.groupBy("block").applyInArrow(C.arrow_groups(lambda t: _piece_report(t, w()), __name__), _REPORT), blocks)
+    ones = joined(with_blocks(lambda t, a: _window_report(t, a, w()), chains, _REPORT), blocks, single=True)
+    answers = chains.withColumn("single", F.lit(False)).union(ones.withColumn("single", F.lit(True))).repartition(parts, "block")
+    branching = joined(with_blocks(lambda t, a: _node_report(t, a, w()), answers, _REPORT), blocks, wanted=SEVERAL_MARKS)
+    runs = with_blocks(lambda t, a: _runs(t, a, w()), answers, _RUN)
+    paths = runs.groupBy("block").cogroup(branching.groupBy("block")).applyInArrow(C.arrow_cogroups(lambda r, a: _compact(r, a, window), __name__), _PATH)
+    shared = C.arrow_map(answers.select("block", "docs", "kinds"), _sources, "block long, doc long").distinct()
+    sent = shared.join(paths, "doc").select(F.col("block").alias("block"), "doc", "pos", "words")
     done = with_blocks(finish, sent, schema)
     return done if short else done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
-def _held(batches):
-    """The repeated keys that each block has in other documents than their sources."""
+def _sources(batches):
+    """The documents that are sources of what each block has in others too."""
     for batch in batches:
-        for block, keys, marks, kinds in zip(*(c.to_pylist() for c in batch.columns)):
-            some = np.frombuffer(kinds, dtype=np.uint8) == ELSEWHERE
-            key, mark = (np.frombuffer(x, dtype=np.int64)[some] for x in (keys, marks))
-            if len(key):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block, dtype=np.int64)), pa.array(key), pa.array(mark)], names=["block", "key", "mark"])
+        for block, docs, kinds in zip(*(c.to_pylist() for c in batch.columns)):
+            found = np.unique(np.frombuffer(docs, dtype=np.int64)[np.frombuffer(kinds, dtype=np.uint8) == ELSEWHERE])
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block, dtype=np.int64)), pa.array(found)], names=["block", "doc"])
