@@ -292,12 +292,24 @@ def test_paths_end_where_they_branch():
     cuts = np.array([5, 9], dtype=np.int32)
     nodes = w.nodes(hashes, cuts.astype(np.int64))
     runs = pa.table({"doc": [4], "pos": [100], "words": [b" ".join(text)], "cuts": [cuts.tobytes()], "nodes": [nodes.tobytes()]})
-    answer = lambda keys: pa.table({"keys": [np.array(keys, dtype=np.uint64).tobytes()], "marks": [b""], "docs": [np.zeros(len(keys), dtype=np.int64).tobytes()], "kinds": [np.zeros(len(keys), dtype=np.uint8).tobytes()]})
+    places = lambda *at: np.array(at, dtype=np.int32).tobytes()
+
+    def answer(keys):
+        docs, which = substring._packed_docs(np.zeros(len(keys), dtype=np.int64))
+        return pa.table({"keys": [np.array(keys, dtype=np.uint64).tobytes()], "marks": [b""], "docs": [docs], "which": [which], "kinds": [np.zeros(len(keys), dtype=np.uint8).tobytes()]})
+
     whole = substring._compact(runs, answer([1, 2]), 13).to_pylist()
-    assert whole == [{"doc": 4, "pos": 100, "words": b" ".join(text)}]
+    assert whole == [{"doc": 4, "pos": places(100), "words": b" ".join(text)}]
     for branching in (nodes[1:], common.mix64(nodes[1:] ^ substring.ENTERED)):
         cut = substring._compact(runs, answer(branching), 13).to_pylist()
-        assert [(c["pos"], c["words"]) for c in cut] == [(100, b" ".join(text[:21])), (109, b" ".join(text[9:]))]
+        assert cut == [{"doc": 4, "pos": places(100, 109), "words": b" ".join(text[:21]) + b"\n" + b" ".join(text[9:])}]
+
+
+def test_packed_documents():
+    rng = np.random.default_rng(3)
+    for docs in ([5], [-7, 2**63 - 1, -(2**63), 0, 5, 5], rng.integers(0, 300, 50), rng.integers(-(2**62), 2**62, 70_000), rng.integers(0, 10**6, 1000)):
+        docs = np.array(docs, dtype=np.int64)
+        assert (substring._docs(*substring._packed_docs(docs), len(docs)) == docs).all()
 
 
 def test_words_decide_not_hashes():
@@ -310,7 +322,7 @@ def test_words_decide_not_hashes():
                 yield e * np.uint64(0)
 
     text = [b"w%d" % i for i in range(20)]
-    paths = pa.table({"doc": [1], "pos": [0], "words": [b" ".join(text)]})
+    paths = pa.table({"doc": [1], "pos": [np.zeros(1, dtype=np.int32).tobytes()], "words": [b" ".join(text)]})
     blind, seeing = Blind(13, 6), substring.Windows(13, 6)
     other = [b"v%d" % i for i in range(20)]
     assert substring._spans(paths, blind)(2, other, next(blind.edges([b" ".join(other)]))) == []

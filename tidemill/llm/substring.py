@@ -123,7 +123,7 @@ def pieces(edges: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 #: One report: the part of the keys, the block (or, higher in the tree, the group of blocks), and its columns as raw arrays.
 _REPORT = "part long, block long, keys binary, marks binary, docs binary, which binary, flags binary"
-_ANSWER = "part long, block long, keys binary, marks binary, docs binary, kinds binary"
+_ANSWER = "part long, block long, keys binary, marks binary, docs binary, which binary, kinds binary"
 _EMPTY = {"part": pa.int64(), "block": pa.int64()}
 SEVERAL_DOCS, SEVERAL_MARKS = 1, 2
 #: Of an answer: paths branch inside the piece; the block has the key in other documents than its source.
@@ -136,6 +136,25 @@ def _table(rows, names: str) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], _EMPTY.get(n, pa.binary())) for i, n in enumerate(columns)], names=columns)
 
 
+def _packed_docs(docs: np.ndarray) -> tuple[bytes, bytes]:
+    """Some documents as a table of the different ones (the first, then steps) and the place of each in it."""
+    table, which = np.unique(docs, return_inverse=True)
+    steps = np.diff(table.view(np.uint64))
+    width = next(w for w in (1, 2, 4, 8) if not len(steps) or int(steps.max()) < 1 << (8 * w))
+    return table[:1].tobytes() + steps.astype(f"<u{width}").tobytes(), which.astype(np.uint16 if len(table) < 1 << 16 else np.uint32).tobytes()
+
+
+def _docs(table: bytes, which: bytes, n: int) -> np.ndarray:
+    """The n documents of _packed_docs()."""
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    at = np.frombuffer(which, dtype=np.uint16 if len(which) == 2 * n else np.uint32)
+    different = int(at.max()) + 1
+    width = (len(table) - 8) // max(1, different - 1) or 1
+    first, steps = np.frombuffer(table[:8], dtype=np.uint64), np.frombuffer(table[8:], dtype=f"<u{width}")
+    return np.concatenate((first, first + np.cumsum(steps, dtype=np.uint64))).view(np.int64)[at]
+
+
 def _order(keys: np.ndarray, marks: np.ndarray, single: bool) -> tuple[np.ndarray, np.ndarray]:
     """Sorting order, and the starts of groups in it: by key, for single windows by key and mark."""
     if not single:
@@ -171,19 +190,16 @@ def _reports(block: int, parts: int, keys, docs, marks, flags, single: bool):
     bounds = np.append(_groups(part[order]), len(order)).astype(np.int64)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         i = order[a:b]
-        table, which = np.unique(docs[i], return_inverse=True)
-        yield (
-            int(part[i[0]]), block, keys[i].tobytes(), marks[i].tobytes(), table.tobytes(),
-            which.astype(np.uint16 if len(table) < 1 << 16 else np.uint32).tobytes(), flags[i].tobytes(),
-        )
+        yield int(part[i[0]]), block, keys[i].tobytes(), marks[i].tobytes(), *_packed_docs(docs[i]), flags[i].tobytes()
 
 
 def _unpacked(table: pa.Table):
     """Keys, documents, marks and flags of all reports of a table, and the number of keys of each."""
     c = {n: table[n].to_pylist() for n in ("keys", "marks", "docs", "which", "flags")}
     join = lambda name, kind: np.frombuffer(b"".join(c[name]), dtype=kind)
-    docs = [np.frombuffer(t, dtype=np.int64)[np.frombuffer(w, dtype=np.uint16 if len(t) < 8 << 16 else np.uint32)] for t, w in zip(c["docs"], c["which"])]
-    return join("keys", np.uint64), np.concatenate(docs), join("marks", np.uint64), join("flags", np.uint8), np.array([len(x) // 8 for x in c["keys"]])
+    sizes = [len(x) // 8 for x in c["keys"]]
+    docs = [_docs(*x) for x in zip(c["docs"], c["which"], sizes)]
+    return join("keys", np.uint64), np.concatenate(docs), join("marks", np.uint64), join("flags", np.uint8), np.array(sizes)
 
 
 def _combine(table: pa.Table, parts: int, fan: int, single: bool) -> pa.Table:
@@ -195,16 +211,16 @@ def _combine(table: pa.Table, parts: int, fan: int, single: bool) -> pa.Table:
 def _answer(table: pa.Table, keys, marks, docs, kinds, single: bool) -> pa.Table:
     """The reports of a table, cut down to the keys asked for (sorted), with their sources; marks only for single windows."""
     own_keys, own_docs, own_marks, flags, sizes = _unpacked(table)
-    at, hit = _find(keys, marks, own_keys, own_marks, single)
-    which = np.repeat(np.arange(len(sizes)), sizes)
+    at, hit = Finder(keys, marks if single else None).find(own_keys, own_marks)
+    ends = np.cumsum(sizes)
     rows = []
-    for r, (part, block) in enumerate(zip(table["part"].to_pylist(), table["block"].to_pylist())):
-        own = np.flatnonzero((which == r) & hit)
+    for part, block, end, size in zip(table["part"].to_pylist(), table["block"].to_pylist(), ends.tolist(), sizes.tolist()):
+        own = np.flatnonzero(hit[end - size : end]) + end - size
         if len(own):
             mine = at[own]
             elsewhere = (own_docs[own] != docs[mine]) | (flags[own] & SEVERAL_DOCS > 0)
             kind = (kinds[mine] & BRANCHES) | elsewhere.astype(np.uint8) * np.uint8(ELSEWHERE)
-            rows.append((part, block, keys[mine].tobytes(), marks[mine].tobytes() if single else b"", docs[mine].tobytes(), kind.tobytes()))
+            rows.append((part, block, keys[mine].tobytes(), marks[mine].tobytes() if single else b"", *_packed_docs(docs[mine]), kind.tobytes()))
     return _table(rows, _ANSWER)
 
 
@@ -226,22 +242,29 @@ def _hand_down(table: pa.Table, answers: pa.Table, single: bool) -> pa.Table:
 
 def _known(answers: pa.Table, single: bool):
     """Keys, marks (of single windows), sources and kinds of all answers of a table, by key and mark."""
-    keys, marks, docs, kinds = (np.frombuffer(b"".join(answers[n].to_pylist()), dtype=t) for n, t in (("keys", np.uint64), ("marks", np.uint64), ("docs", np.int64), ("kinds", np.uint8)))
+    c = {n: answers[n].to_pylist() for n in ("keys", "marks", "docs", "which", "kinds")}
+    keys, marks, kinds = (np.frombuffer(b"".join(c[n]), dtype=t) for n, t in (("keys", np.uint64), ("marks", np.uint64), ("kinds", np.uint8)))
+    docs = np.concatenate([np.zeros(0, dtype=np.int64), *(_docs(t, w, len(k) // 8) for t, w, k in zip(c["docs"], c["which"], c["keys"]))])
     order = np.lexsort((marks, keys)) if single else np.argsort(keys, kind="stable")
     return keys[order], marks[order] if single else marks, docs[order], kinds[order]
 
 
-def _find(keys, marks, wanted, wanted_marks, single: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Place among sorted keys (single: keys and marks) of each wanted key, and whether it is there."""
-    if not len(keys):
-        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
-    if single:  # one name from both hashes
-        both, want = C.mix64(keys ^ C.mix64(marks)), C.mix64(wanted ^ C.mix64(wanted_marks))
-        order = np.argsort(both, kind="stable")
-        at = order[np.minimum(np.searchsorted(both, want, sorter=order), len(both) - 1)]
-        return at, (keys[at] == wanted) & (marks[at] == wanted_marks)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
+class Finder:
+    """Where keys stand among known ones; with marks, where pairs of key and mark do."""
+
+    def __init__(self, keys: np.ndarray, marks: np.ndarray | None = None):
+        self.keys, self.marks = keys, marks
+        names = keys if marks is None else C.mix64(keys ^ C.mix64(marks))
+        self.order = np.argsort(names, kind="stable")
+        self.names = names[self.order]
+
+    def find(self, keys: np.ndarray, marks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each wanted key, and whether it is there."""
+        if not len(self.names):
+            return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+        wanted = keys if self.marks is None else C.mix64(keys ^ C.mix64(marks))
+        at = self.order[np.minimum(np.searchsorted(self.names, wanted), len(self.names) - 1)]
+        return at, (self.keys[at] == keys) if self.marks is None else (self.keys[at] == keys) & (self.marks[at] == marks)
 
 
 def joined(reports: DataFrame, blocks: int, single: bool = False, wanted: int = SEVERAL_DOCS) -> DataFrame:
@@ -264,7 +287,7 @@ def joined(reports: DataFrame, blocks: int, single: bool = False, wanted: int =
 
 #: A run of repeated edges in their source: where it begins, its words, and at which windows of it another edge begins, with the nodes there.
 _RUN = "block long, doc long, pos int, words binary, cuts binary, nodes binary"
-_PATH = "doc long, pos int, words binary"
+_PATH = "doc long, pos binary, words binary"
 #: Nodes that edges enter are told apart from nodes that edges leave.
 ENTERED = np.uint64(0xD1B54A32D192ED03)
 
@@ -291,11 +314,11 @@ def _window_report(table: pa.Table, answers: pa.Table, w: Windows) -> pa.Table:
     if not table.num_rows or not answers.num_rows:
         return _table([], _REPORT)
     keys, _, _, kinds = _known(answers, False)
-    branching = keys[kinds & BRANCHES > 0]
+    branching = Finder(keys[kinds & BRANCHES > 0])
     found = []
     for doc, (words, edges, names) in zip(table["doc"].to_pylist(), w.of(_bodies(table))):
-        if len(edges) and doc is not None and len(branching):
-            starts = np.flatnonzero(_find(branching, None, names, None, False)[1])
+        if len(edges) and doc is not None and len(branching.keys):
+            starts = np.flatnonzero(branching.find(names)[1])
             found.append((edges[starts], np.full(len(starts), doc, dtype=np.int64), w.twins(words, starts)))
     if not sum(len(x[0]) for x in found):
         return _table([], _REPORT)
@@ -311,25 +334,25 @@ def _source_runs(table: pa.Table, answers: pa.Table, w: Windows):
     chain, _, chain_doc, how = _known(answers.filter(pa.array(~kind)), False)
     chain, chain_doc = chain[how & BRANCHES == 0], chain_doc[how & BRANCHES == 0]
     single, single_mark, single_doc, _ = _known(answers.filter(pa.array(kind)), True)
-    maybe = np.unique(single)
+    chains, ones, maybe = Finder(chain), Finder(single, single_mark), Finder(np.unique(single))
     sources = set(chain_doc.tolist()) | set(single_doc.tolist())
     some = [(doc, body) for doc, body in zip(table["doc"].to_pylist(), _bodies(table)) if doc in sources]
     for (doc, body), (words, edges, names) in zip(some, w.of([b for _, b in some])):
         if not len(edges):
             continue
         starts, sizes, _ = pieces(edges, names)
-        at, hit = _find(chain, None, names[starts], None, False)
+        at, hit = chains.find(names[starts])
         if len(chain):
             hit &= chain_doc[at] == doc
-        one = np.flatnonzero(_find(maybe, None, edges, None, False)[1])
-        at, alone = _find(single, single_mark, edges[one], w.twins(words, one), True)
+        one = np.flatnonzero(maybe.find(edges)[1])
+        at, alone = ones.find(edges[one], w.twins(words, one))
         if len(single):
             alone &= single_doc[at] == doc
         begin = np.concatenate((starts[hit], one[alone]))
         size = np.concatenate((sizes[hit], np.ones(int(alone.sum()), dtype=np.int64)))
         order = np.argsort(begin, kind="stable")
         if len(begin):
-            yield doc, body.split(), words, edges, begin[order], size[order]
+            yield doc, body, words, edges, begin[order], size[order]
 
 
 def _node_report(table: pa.Table, answers: pa.Table, w: Windows) -> pa.Table:
@@ -348,7 +371,8 @@ def _node_report(table: pa.Table, answers: pa.Table, w: Windows) -> pa.Table:
 def _runs(table: pa.Table, answers: pa.Table, w: Windows) -> pa.Table:
     """Step 2: the runs of repeated edges and chains whose source is in this block."""
     rows = []
-    for doc, text, words, _, begin, size in _source_runs(table, answers, w):
+    for doc, body, words, _, begin, size in _source_runs(table, answers, w):
+        text = body.split()
         new = np.concatenate(([True], begin[1:] != begin[:-1] + size[:-1]))
         heads = np.flatnonzero(new)
         for a, b in zip(heads.tolist(), np.append(heads[1:], len(begin)).tolist()):
@@ -360,26 +384,32 @@ def _runs(table: pa.Table, answers: pa.Table, w: Windows) -> pa.Table:
 
 
 def _compact(runs: pa.Table, answers: pa.Table, window: int) -> pa.Table:
-    """Step 2: the runs of a block as paths, cut where their nodes branch."""
-    branching = _known(answers, False)[0]
-    rows = []
+    """Step 2: the runs of a block as paths, cut where their nodes branch; all paths of a document in one row, one a line."""
+    branching = Finder(_known(answers, False)[0])
+    found: dict[int, tuple[list[int], list[bytes]]] = {}
     for doc, pos, words, cuts, nodes in zip(*(runs[c].to_pylist() for c in ("doc", "pos", "words", "cuts", "nodes"))):
         nodes = np.frombuffer(nodes, dtype=np.uint64)
-        branch = _find(branching, None, nodes, None, False)[1] | _find(branching, None, C.mix64(nodes ^ ENTERED), None, False)[1]
+        branch = branching.find(nodes)[1] | branching.find(C.mix64(nodes ^ ENTERED))[1]
         at = np.frombuffer(cuts, dtype=np.int32)[branch].tolist()
+        places, texts = found.setdefault(doc, ([], []))
         if not at:
-            rows.append((doc, pos, words))
+            places.append(pos)
+            texts.append(words)
             continue
         text = words.split(b" ")
         for a, b in zip([0, *at], [*at, len(text) - window + 1]):
-            rows.append((doc, pos + a, b" ".join(text[a : b + window - 1])))
-    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["doc", "pos", "words"])
+            places.append(pos + a)
+            texts.append(b" ".join(text[a : b + window - 1]))
+    columns = list(found), [np.array(p, dtype=np.int32).tobytes() for p, _ in found.values()], [b"\n".join(t) for _, t in found.values()]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], names=["doc", "pos", "words"])
 
 
 def _spans(paths: pa.Table, w: Windows):
     """A function from (document, words, window hashes) to the spans (start, windows, source, source's start) that stand in paths of smaller documents."""
-    docs, begins = (np.array(paths[c].to_pylist(), dtype=np.int64) for c in ("doc", "pos"))
-    texts = paths["words"].to_pylist()
+    begins = [np.frombuffer(p, dtype=np.int32) for p in paths["pos"].to_pylist()]
+    docs = np.repeat(np.array(paths["doc"].to_pylist(), dtype=np.int64), [len(p) for p in begins])
+    begins = np.concatenate([np.zeros(0, dtype=np.int32), *begins])
+    texts = [t for joined_ in paths["words"].to_pylist() for t in joined_.split(b"\n")]
     found = list(w.edges(texts))
     sizes = np.array([len(x) for x in found], dtype=np.int64)
     edges = np.concatenate([*found, np.zeros(0, dtype=np.uint64)])
@@ -486,7 +516,7 @@ def drop_repeats(
     branching = joined(with_blocks(lambda t, a: _node_report(t, a, w()), answers, _REPORT), blocks, wanted=SEVERAL_MARKS)
     runs = with_blocks(lambda t, a: _runs(t, a, w()), answers, _RUN)
     paths = runs.groupBy("block").cogroup(branching.groupBy("block")).applyInArrow(C.arrow_cogroups(lambda r, a: _compact(r, a, window), __name__), _PATH)
-    shared = C.arrow_map(answers.select("block", "docs", "kinds"), _sources, "block long, doc long").distinct()
+    shared = C.arrow_map(answers.select("block", "docs", "which", "kinds"), _sources, "block long, doc long").distinct()
     sent = shared.join(paths, "doc").select(F.col("block").alias("block"), "doc", "pos", "words")
     done = with_blocks(finish, sent, schema)
     return done if short else done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
@@ -495,7 +525,7 @@ def drop_repeats(
 def _sources(batches):
     """The documents that are sources of what each block has in others too."""
     for batch in batches:
-        for block, docs, kinds in zip(*(c.to_pylist() for c in batch.columns)):
-            found = np.unique(np.frombuffer(docs, dtype=np.int64)[np.frombuffer(kinds, dtype=np.uint8) == ELSEWHERE])
+        for block, docs, which, kinds in zip(*(c.to_pylist() for c in batch.columns)):
+            found = np.unique(_docs(docs, which, len(kinds))[np.frombuffer(kinds, dtype=np.uint8) == ELSEWHERE])
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block, dtype=np.int64)), pa.array(found)], names=["block", "doc"])
