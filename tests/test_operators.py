@@ -1,4 +1,5 @@
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -19,11 +20,29 @@ def test_rules_and_policies(spark):
     assert kept.count() == 1 and dead.count() == 0
     kept, dead = rules.apply_rules(df, checks, rules.TO_DEAD_LETTERS)
     assert kept.count() == 1 and dead.count() == 2
-    with pytest.raises(Exception, match="rule broken: positive"):
-        rules.apply_rules(df, checks)[0].collect()
+    for n, rule in ((-1, "positive"), (2, "text")):  # one row that breaks a rule: which of several stops the job first is open
+        with pytest.raises(Exception, match=f"rule broken: {rule}"):
+            rules.apply_rules(df.where(F.col("n") == n), checks)[0].collect()
     assert rules.apply_rules(df, [])[0].count() == 3
 
 
+def test_policies_lose_no_rows_in_silence(spark):
+    df = spark.createDataFrame([(1,), (-1,), (2,)], "n int")
+    checks = [rules.Rule("positive", F.col("n") > 0, "n")]
+    for wrong in ("dead-letter", "ignore", None):
+        with pytest.raises(ValueError, match="unknown actions"):
+            rules.Policy({"validation": wrong})
+        with pytest.raises(ValueError, match="unknown actions"):
+            rules.Policy().on("validation", wrong)
+    with pytest.raises(ValueError, match="unknown actions"):
+        rules.Policy(otherwise="retry twice")
+    with pytest.raises(ValueError, match="can't be retried"):
+        rules.apply_rules(df, checks, rules.Policy({"validation": rules.RETRY}))
+    for action in (rules.SKIP, rules.DEAD_LETTER):
+        kept, dead = rules.apply_rules(df, checks, rules.Policy({"validation": action}))
+        assert kept.count() + dead.count() == (2 if action == rules.SKIP else 3)
+
+
 def dictionaries(left, right, how, capacity=None):
     """The one-to-one join as two dictionaries."""
     wait_l, wait_r, out = {}, {}, []
@@ -215,12 +234,22 @@ def test_resilience():
 
 def test_lineage_and_metrics(spark):
     df = lineage.start(spark.range(10).toDF("i"), "src", ["i"])
-    kept, dead = rules.split(df, [rules.Rule("small", F.col("i") < 6)])
-    got = lineage.outcomes(df, "n", kept, dead.where("i < 8")).groupBy("outcome").count().collect()
-    assert {r.outcome: r["count"] for r in got} == {"Emitted": 6, "DeadLettered": 2, "FilteredOut": 2}
+    checks = [rules.Rule("small", F.col("i") < 6), rules.filter_rule(F.col("i") != 3)]
+    got = lineage.outcomes(df, "n", checks, rules.Policy({"validation": rules.DEAD_LETTER, "filter": rules.SKIP})).groupBy("_outcome").count().collect()
+    assert {r._outcome: r["count"] for r in got} == {"Emitted": 5, "DeadLettered": 4, "FilteredOut": 1}
+    twice = lineage.start(spark.createDataFrame([(1, 5), (1, 50)], "k int, v int"), "src", ["k"])  # two rows of one key
+    got = lineage.outcomes(twice, "n", [rules.Rule("small", F.col("v") < 9)], rules.TO_DEAD_LETTERS).select("v", "_outcome")
+    assert {r.v: r._outcome for r in got.collect()} == {5: "Emitted", 50: "DeadLettered"}
+    assert {r._outcome for r in lineage.outcomes(twice, "n", [rules.Rule("small", F.col("v") < 0)], rules.Policy()).collect()} == {"Error"}
+    hops = lineage.exploded(df, df.where("i > 2").withColumn("x", F.explode(F.array(F.lit(1), F.lit(2)))), "twice")
+    assert sorted((r.hop.outcome, r.hop.took_in, r.hop.gave) for r in hops.collect()) == [("ConsumedWithoutEmission", 1, 0)] * 3 + [("Emitted", 1, 2)] * 7
+    with pytest.raises(ValueError):
+        lineage.hop("n", "Emitted", "2:3")
     m = metrics.Metrics()
-    m.timed("run", lambda: m.node("half", lambda d: d.where("i < 5"))(spark.range(10).toDF("i")).collect())
-    assert m.report()["half"]["processed"] == 10 and m.report()["half"]["emitted"] == 5
+    m.timed("half", lambda: m.node("half", lambda d: d.where("i < 5"))(spark.range(10).toDF("i")).collect())
+    got = m.report()["half"]
+    assert got["processed"] == 10 and got["emitted"] == 5 and got["retries"] == 0 and got["rows_per_second"] > 0
+    assert m.totals()["processed"] == 10 and m.totals()["seconds"] == m.durations["half"]
 
 
 def test_per_item(spark):
@@ -234,6 +263,77 @@ def test_per_item(spark):
         transforms.per_item(df, inverse, "y double").collect()
 
 
+def test_per_item_by_policy(spark):
+    df = spark.createDataFrame([(1,), (0,), (2,)], "x int")
+
+    def work(row, tries={}):  # noqa: B006
+        tries[row["x"]] = tries.get(row["x"], 0) + 1
+        if row["x"] == 2 and tries[2] < 3:
+            raise TimeoutError("busy")
+        return {"y": 1 / row["x"]}
+
+    policy = rules.Policy({"TimeoutError": rules.RETRY, "ArithmeticError": rules.SKIP})
+    began = time.monotonic()
+    done = transforms.per_item(df.coalesce(1), work, "y double", 2, policy=policy, backoff=resilience.fixed(0.3), jitter=resilience.Jitter("none"))
+    assert sorted(r.y for r in done.collect()) == [0.5, 1.0] and time.monotonic() - began >= 0.6
+    with pytest.raises(Exception, match="TimeoutError"):  # too few tries
+        transforms.per_item(df.coalesce(1), lambda r: (_ for _ in ()).throw(TimeoutError("busy")), "y double", 1, policy=policy).collect()
+    with pytest.raises(Exception, match="ZeroDivisionError"):  # not named: fail
+        transforms.per_item(df, lambda r: {"y": 1 / r["x"]}, "y double", policy=rules.Policy({"TimeoutError": rules.RETRY})).collect()
+    letters = transforms.per_item(df, lambda r: {"y": 1 / r["x"]}, "y double", policy=rules.Policy(otherwise=rules.DEAD_LETTER))
+    assert letters.where("_error is not null").count() == 1
+
+
+def test_nodes_that_fail_while_they_run(spark):
+    broken = lambda: spark.range(3).withColumn("x", F.raise_error(F.lit("broken")).cast("int"))
+    assert resilience.or_empty(broken, "id long, x int", spark).collect() == []
+    assert resilience.or_empty(lambda: spark.range(3), "id long", spark).count() == 3
+    runs = []
+
+    def twice():
+        runs.append(1)
+        return broken() if len(runs) < 3 else spark.range(2)
+
+    assert resilience.restarted(twice, 2).count() == 2 and len(runs) == 3
+    with pytest.raises(Exception, match="broken"):
+        resilience.restarted(broken, 1)
+    p = lambda **how: Pipeline().source("s", lambda c: c.spark.range(2)).transform("t", lambda df: broken(), **how).sink("o", lambda df: df.count()).connect("s", "t", "o").build()
+    assert p(or_schema="id long, x int").run(Context(spark)) == {"o": 0}
+    with pytest.raises(Exception, match="broken"):
+        p(restarts=1).run(Context(spark))
+
+
+def test_a_source_of_several_nodes_is_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    p = Pipeline().source("s", lambda c: c.spark.range(10).mapInPandas(count, "id long"))
+    for n in "abc":
+        p.sink(n, lambda df: df.agg(F.sum("id")).first()[0]).connect("s", n)
+    assert p.build().run(Context(spark)) == {"a": 45, "b": 45, "c": 45} and seen.value == 10
+
+
+def test_timed_batches(spark):
+    t = lambda m: datetime(2024, 1, 1, 0, m)
+    df = spark.createDataFrame([(i, t(m)) for i, m in enumerate([0, 1, 2, 3, 11, 12, 21])], "i int, t timestamp")
+    got = ordering.timed_batches(df, 3, timedelta(minutes=10), "t", ["i"]).collect()
+    assert sorted([x.i for x in r["items"]] for r in got) == [[0, 1, 2], [3], [4, 5], [6]]
+
+
+def test_exact_percentile_of_many_rows(spark):
+    rng = random.Random(1)
+    rows = [(rng.randint(0, 2), None if rng.random() < 0.1 else rng.randint(0, 9) / 2) for _ in range(500)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    for p in (0.0, 0.37, 0.5, 1.0):
+        want = {r.k: r.p for r in df.groupBy("k").agg(F.percentile("v", p).alias("p")).collect()}
+        got = {r.k: r.percentile for r in aggregates.exact_percentile(df, ["k"], "v", p).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_testing_kit(spark):
     from tidemill import testing
 

@@ -1,4 +1,5 @@
 import os
+import time
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -15,8 +16,9 @@ def test_storage():
     u = StorageUri.parse("s3://bucket/a%20b?region=eu")
     assert (u.spark_path(), u.options) == ("s3a://bucket/a b", {"region": "eu"})
     assert StorageUri.parse("/x/y").spark_path() == "file:///x/y"
+    assert StorageUri.parse("sftp://u@h/x").spark_path() == "sftp://u@h/x"
     with pytest.raises(ValueError):
-        StorageUri.parse("sftp://h/x").spark_path()
+        StorageUri.parse("ftp://h/x").spark_path()
 
 
 def test_files(spark, tmp_path):
@@ -38,6 +40,27 @@ def test_files(spark, tmp_path):
     assert files.rename(df, "pascal").columns == ["OrderId", "ItemName"]
 
 
+def test_files_with_other_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text("y,x\n20,10\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_csv(spark, str(tmp_path), "x int, y int").collect()
+    (tmp_path / "b.csv").write_text("x,y\n10,20\n")
+    assert sorted(map(tuple, files.read_csv(spark, str(tmp_path), "Y int, x int").collect())) == [(2, 1), (20, 10)]
+
+
+def test_json_arrays(spark, tmp_path):
+    import json
+
+    df = spark.createDataFrame([(i, None if i == 2 else f'a "{i}",\n') for i in range(5)], "id int, name string").coalesce(2)
+    files.write_json(df, str(tmp_path / "out"), lines=False)
+    parts = [json.loads(p.read_text()) for p in (tmp_path / "out").glob("part-*")]
+    assert sorted(x["id"] for p in parts for x in p) == list(range(5)) and all(isinstance(p, list) for p in parts)
+    assert sorted(map(tuple, files.read_json(spark, str(tmp_path / "out"), "id int, name string").collect())) == sorted(map(tuple, df.collect()))
+    files.write_json(df.limit(0), str(tmp_path / "none"), lines=False)
+    assert files.read_json(spark, str(tmp_path / "none"), "id int").count() == 0
+
+
 def test_lake(spark, tmp_path):
     t = LakeTable(spark, str(tmp_path / "lake"), ["Region"])
     rows = lambda a, b: spark.createDataFrame([(i, "EU west" if i % 2 else None) for i in range(a, b)], "id long, Region string")
@@ -50,10 +73,222 @@ def test_lake(spark, tmp_path):
     assert any("p_region=EU west" in e.path for e in t._entries())
     assert len(t.compact(at_least=2, dry_run=True)) == 2
     t.compact(at_least=2)
+    assert t.read(as_of=now - timedelta(minutes=30)).count() == 5  # the state before the compaction
     assert sorted(r.id for r in t.read().select("id").collect()) == [0, 1, 2, 3, 4]
     t.upsert(spark.createDataFrame([(1, "new"), (9, "new")], "id long, Region string"), ["id"], "id")
     got = {r.id: r.Region for r in t.read().collect()}
     assert got[1] == "new" and got[9] == "new" and len(got) == 6
+    kept = {e.path for e in t._entries()}
+    t.upsert(spark.createDataFrame([(9, "newer"), (None, "no key"), (None, "no key")], "id long, Region string"), ["id"], "id")
+    assert len(kept - {e.path for e in t._entries()}) == 1  # only the file with key 9 was written again
+    assert sorted(((r.id, r.Region) for r in t.read().collect() if r.id in (None, 9)), key=str) == [(9, "newer"), (None, "no key"), (None, "no key")]
+    assert t.expire(datetime.now(timezone.utc) + timedelta(hours=1)) >= 3 and t.read().count() == 8
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        t.read(as_of=now - timedelta(minutes=30)).count()
+
+
+def test_a_manifest_that_is_not_put_in_place_is_an_error(spark, tmp_path):
+    t = LakeTable(spark, str(tmp_path / "lake"))
+    os.makedirs(tmp_path / "lake" / "_manifest")
+    target = tmp_path / "lake" / "_manifest" / "x.ndjson"
+    os.makedirs(target / "in the way")
+    with pytest.raises(Exception):
+        t._write_text(str(target), "text")
+        assert target.is_file()
+
+
+def test_a_hot_partition_is_written_by_several_tasks(spark, tmp_path):
+    t = LakeTable(spark, str(tmp_path / "lake"), ["p"])
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        t.append(spark.range(0, 200_000, 1, 4).select(F.lit("hot").alias("p"), F.col("id"), F.sha2(F.col("id").cast("string"), 256).alias("x")))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(t._entries()) > 1 and t.read().count() == 200_000
+
+
+def test_upsert_goes_on_after_errors(spark, tmp_path):
+    import sqlite3
+
+    at = str(tmp_path / "own.db")
+    with sqlite3.connect(at) as c:
+        c.execute("CREATE TABLE t (a INTEGER PRIMARY KEY, b TEXT NOT NULL)")
+    df = spark.createDataFrame([(1, "x"), (2, None), (3, "z")], "a int, b string").coalesce(1)
+    statement = databases.upsert_statement("postgres", "t", ["a", "b"], ["a"])
+    with pytest.raises(Exception, match="NOT NULL"):
+        databases.upsert(df, lambda: sqlite3.connect(at), statement)
+    failed = spark.sparkContext.accumulator(0)
+    databases.upsert(df, lambda: sqlite3.connect(at), statement, on_error=lambda row, message: failed.add(row["a"]))
+    with sqlite3.connect(at) as c:
+        assert c.execute("SELECT a FROM t ORDER BY a").fetchall() == [(1,), (3,)] and failed.value == 2
+
+
+def test_bulk_load(spark, tmp_path):
+    at = str(tmp_path)
+
+    def load(statement, file):
+        with open(f"{at}/{os.path.basename(file.name)}.loaded", "w") as f:
+            f.write(statement + "\n" + file.read())
+
+    databases.bulk_load(spark.createDataFrame([(1, 'a "q", b'), (2, None)], "a int, b string").coalesce(1), "postgres", "t", load)
+    (done,) = tmp_path.glob("*.loaded")
+    assert done.read_text() == 'COPY t ("a", "b") FROM STDIN WITH (FORMAT csv, NULL \'\\N\')\n1,"a ""q"", b"\n2,\\N\n'
+
+
+def test_changes(spark, tmp_path):
+    log = [("insert", 1, "a"), ("update", 1, "b"), ("insert", 2, "c"), ("delete", 2, None), ("insert", 3, "d")]
+    feed = [{"operation": o, "key": str(k), "document": v, "at": i, "token": str(i)} for i, (o, k, v) in enumerate(log)]
+    saved = checkpoints.Checkpoints(spark, str(tmp_path), checkpoints.CDC)
+    watch = lambda token: iter(feed[int(token) + 1 if token else 0 :])
+    first = databases.read_changes(spark, watch, saved, "s", 2)
+    assert databases.last_token(first) == "1"
+    saved.save("s", databases.last_token(first))
+    rest = databases.read_changes(spark, watch, saved, "s")
+    table = spark.createDataFrame([("1", "old"), ("2", "old"), ("9", "old")], "key string, document string")
+    for changes in (first, rest):
+        table = databases.apply_changes(table, changes.select("key", "document", "operation", "at"), ["key"], "at")
+    assert sorted(map(tuple, table.collect())) == [("1", "b"), ("3", "d"), ("9", "old")]
+
+
+def shelf(at):
+    """A queue for tests: files in a folder; those received are not given again by this object."""
+
+    class Shelf:
+        def __init__(self):
+            self.given = set()
+
+        def receive(self, n):
+            names = sorted(set(os.listdir(at)) - self.given)[:n]
+            self.given |= set(names)
+            return [{"message_id": x, "body": x.upper(), "receipt": x, "session": x[0], "sequence": -int(x[1:])} for x in names]
+
+        def ack(self, receipts):
+            for r in receipts:
+                os.remove(f"{at}/{r}")
+
+    return lambda i: Shelf()
+
+
+def test_queues(spark, tmp_path):
+    def fill():
+        for x in ("a1", "a2", "b1", "b2", "b3"):
+            (tmp_path / x).write_text("")
+
+    at = str(tmp_path)
+    connect = shelf(at)
+    fill()
+    rows = brokers.process(spark, connect, lambda df: df.count(), brokers.ACK_MANUAL)
+    assert [r.message_id for r in rows.collect()] == ["a2", "a1", "b3", "b2", "b1"]  # each session by its own order
+    assert len(os.listdir(at)) == 5
+    brokers.acknowledge(rows, connect)
+    assert os.listdir(at) == []
+    fill()
+    with pytest.raises(ZeroDivisionError):
+        brokers.process(spark, connect, lambda df: 1 / 0)
+    assert len(os.listdir(at)) == 5  # delivered again
+    with pytest.raises(ZeroDivisionError):
+        brokers.process(spark, connect, lambda df: 1 / 0, brokers.ACK_NONE)
+    assert os.listdir(at) == []  # at most once
+    fill()
+    waits = []
+    brokers.process(spark, connect, lambda df: None, brokers.ACK_DELAYED, delay_s=5, sleep=waits.append, most=2)
+    assert waits == [5] and sorted(os.listdir(at)) == ["b1", "b2", "b3"]
+    with pytest.raises(ValueError):
+        brokers.process(spark, connect, print, "sometimes")
+
+
+def test_queue_clients():
+    class Sqs:
+        def receive_message(self, **how):
+            assert how["MaxNumberOfMessages"] == 10
+            return {"Messages": [{"MessageId": "m", "Body": "b", "ReceiptHandle": "r", "Attributes": {"MessageGroupId": "g", "SequenceNumber": "7"}}]}
+
+        def delete_message_batch(self, **how):
+            self.gone = [len(how["Entries"]), *getattr(self, "gone", [])]
+
+    client = Sqs()
+    q = brokers.SqsQueue(client, "u")
+    assert q.receive(50) == [{"message_id": "m", "body": "b", "receipt": "r", "session": "g", "sequence": "7"}]
+    q.ack(["r"] * 13)
+    assert client.gone == [3, 10]
+
+
+def test_kafka_formats(spark):
+    df = spark.createDataFrame([(1, "x")], "a int, b string")
+    assert brokers.decode(brokers.encode(df, "json", "a"), "json", "a int, b string").select("parsed.b").first()[0] == "x"
+    with pytest.raises(ValueError):
+        brokers.decode(df, "xml", "")
+
+
+def test_checkpoint_flushing(spark, tmp_path):
+    now = [0.0]
+    c = checkpoints.Checkpoints(spark, str(tmp_path), every_rows=10, every_s=60, clock=lambda: now[0])
+    assert [c.note("s", i, 4) for i in range(3)] == [False, False, True] and c.load("s") == 2
+    assert not c.note("s", 9, 1)
+    now[0] = 100
+    assert c.note("s", 10, 1) and c.load("s") == 10
+    c.note("s", 11, 1)
+    c.flush()
+    assert c.load("s") == 11
+    with pytest.raises(ValueError):
+        checkpoints.Checkpoints(spark, str(tmp_path), "sometimes")
+
+
+def test_http_auth_and_retries():
+    seen, waits = [], []
+
+    def fetch(url, params, headers):
+        seen.append((params, headers))
+        return (429, {"Retry-After": "2"}, None) if len(seen) == 1 else (503, {}, None) if len(seen) == 2 else (200, {}, [1])
+
+    tokens = iter("abc")
+    got = list(http.pages(fetch, "u", auth=http.bearer(lambda: next(tokens)), backoff=lambda n: n / 2, sleep=waits.append))
+    assert got == [[1]] and waits == [2.0, 1.0] and [h["Authorization"] for _, h in seen] == ["Bearer a", "Bearer b", "Bearer c"]
+    assert http.basic("u", "p")() == ({"Authorization": "Basic dTpw"}, {}) and http.api_key("k", "v", True)() == ({}, {"k": "v"})
+    with pytest.raises(OSError, match="401"):
+        http.request(lambda *a: (401, {}, None), "u", {}, {}, sleep=waits.append)
+
+
+def test_shared_folders_on_a_cluster(spark, monkeypatch):
+    from tidemill import session
+
+    class Cluster:
+        class sparkContext:
+            master = "spark://h:7077"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+            @staticmethod
+            def getCheckpointDir():
+                return None
+
+            @staticmethod
+            def setCheckpointDir(folder):
+                raise AssertionError(folder)
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    for f in (session.shared_folder, session.with_checkpoints):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            f(Cluster)
+
+
+def test_a_waiting_row_keeps_its_types(spark, tmp_path):
+    from decimal import Decimal
+
+    schema = "k int, side string, s string, t timestamp, d decimal(10,2), b binary, l array<int>, r string"
+    left = (1, "left", "007", datetime(2024, 2, 3, 4, 5, 6, 789), Decimal("1.50"), bytearray(b"\x00\xff"), [1, 2], None)
+    for rows in ([left, (2, "left", "1e5", None, None, None, None, None)], [(1, "right", None, None, None, None, None, "x"), (2, "right", None, None, None, None, None, "y")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = streams.keyed_join(streams.read_files(spark, str(tmp_path / "in"), schema, max_files=1), "k", ["s", "t", "d", "b", "l"], ["r"])
+    found = []
+    streams.write_batches(out, lambda b, i: found.extend(b.collect()), str(tmp_path / "c")).awaitTermination()
+    got = {r.k: r for r in found}
+    assert (got[1].s, got[1].t, got[1].d, bytes(got[1].b), got[1].l, got[1].r) == ("007", left[3], left[4], b"\x00\xff", [1, 2], "x")
+    assert (got[2].s, got[2].t, got[2].r) == ("1e5", None, "y")
 
 
 def test_databases(spark, tmp_path):
@@ -152,3 +387,21 @@ def test_skip_read(spark, tmp_path):
     c.save("s", n)
     rows, n = checkpoints.skip_read(spark.range(8).toDF("i"), ["i"], c, "s")
     assert sorted(r.i for r in rows.collect()) == [5, 6, 7] and n == 8
+
+
+def test_a_waiting_row_may_be_forgotten(spark, tmp_path):
+    schema = "k int, side string, l string, r string"
+    found = []
+    for name, expire in (("kept", timedelta(days=1)), ("gone", timedelta(milliseconds=1))):
+        put = lambda row, at=str(tmp_path / f"in {name}"): spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(at)
+        put((1, "left", "a", None))
+        out = streams.keyed_join(streams.read_files(spark, str(tmp_path / f"in {name}"), schema, max_files=1), "k", ["l"], ["r"], expire=expire)
+        q = streams.write_batches(out, lambda b, i, name=name: found.extend((name, r.l, r.r) for r in b.collect()), str(tmp_path / name), once=False, every="500 milliseconds")
+        for batch in (2, 5):
+            end = time.monotonic() + 15
+            while time.monotonic() < end and (not q.lastProgress or q.lastProgress["batchId"] < batch):
+                time.sleep(0.1)
+            if batch == 2:
+                put((1, "right", None, "x"))
+        q.stop()
+    assert found == [("kept", "a", "x")]

@@ -5,6 +5,7 @@ Pair a converter with failed() to send the failures to a reject frame.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -54,8 +55,27 @@ def to_bool(c: Column | str) -> Column:
     return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
 
 
+#: Custom date letters whose meaning is another in Spark's patterns.
+LETTERS = {"dddd": "EEEE", "ddd": "EEE", "tt": "a", "t": "a", "fffffff": "SSSSSS", "ffffff": "SSSSSS", "fffff": "SSSSS", "ffff": "SSSS", "fff": "SSS", "ff": "SS", "f": "S", "FFF": "SSS", "zzz": "xxx", "zz": "x", "K": "XXX", "gg": "G"}
+
+
+def spark_pattern(pattern: str) -> str:
+    """A custom date pattern (yyyy-MM-dd HH:mm:ss.fff tt, quoted text, escaped letters) as Spark writes it."""
+    out, rest = [], pattern
+    while rest:
+        if m := re.match(r"'([^']*)'|\"([^\"]*)\"|\\\\(.)", rest):
+            text = next(x for x in m.groups() if x is not None)
+            out.append("'" + text.replace("'", "''") + "'")
+        else:
+            m = re.match(r"([A-Za-z])\1*|[^A-Za-z]", rest)
+            letters = m[0]
+            out.append(LETTERS.get(letters, letters) if not letters.isalpha() or letters in LETTERS or letters[0] in "yMdHhms" else f"'{letters}'")
+        rest = rest[m.end() :]
+    return "".join(out)
+
+
 def to_timestamp(c: Column | str, pattern: str | None = None) -> Column:
-    """By an exact Spark pattern, or ISO forms without one."""
+    """By an exact Spark pattern (see spark_pattern() for others), or ISO forms without one."""
     text = F.when(~is_blank(_c(c)), trim(_c(c)))
     return F.try_to_timestamp(text, F.lit(pattern)) if pattern else F.try_to_timestamp(text)
 

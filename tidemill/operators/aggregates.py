@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .windows import end_of, tumbling, windows_of
 
-#: Named aggregates over one column.
+#: Named aggregates over one column. median and count_distinct hold a group's different values, collect all of them;
+#: for groups of any size take approx_median, approx_count_distinct, or exact_percentile().
 NAMED = {
     "count": lambda c: F.count(c),
     "sum": lambda c: F.sum(c),
@@ -19,12 +20,35 @@ NAMED = {
     "max": lambda c: F.max(c),
     "stddev": lambda c: F.stddev(c),
     "median": lambda c: F.percentile(c, 0.5),
+    "approx_median": lambda c: F.approx_percentile(c, 0.5),
     "count_distinct": lambda c: F.countDistinct(c),
     "approx_count_distinct": lambda c: F.approx_count_distinct(c),
     "collect": lambda c: F.sort_array(F.collect_list(c)),
 }
 
 
+def percentile(p: float, accuracy: int = 10_000):
+    """The p-th percentile of a column by a sketch of fixed size, which suits groups of any size."""
+    return lambda c: F.approx_percentile(c, p, accuracy)
+
+
+def exact_percentile(df: DataFrame, keys: Sequence[str], column: str, p: float, name: str = "percentile") -> DataFrame:
+    """keys and the exact p-th percentile, between neighbours by distance, for groups too large for memory.
+
+    Equal values are counted before the shuffle; a group's distinct values are then read in
+    order, from sorted runs that may spill, and never held together.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    along = Window.partitionBy(*keys).orderBy("_v")
+    whole = Window.partitionBy(*keys)
+    at = (F.sum("_c").over(whole) - 1) * F.lit(p)
+    seen = counts.withColumns({"_upto": F.sum("_c").over(along.rowsBetween(Window.unboundedPreceding, 0)), "_at": at})
+    low = F.min(F.when(F.col("_upto") > F.floor("_at"), F.col("_v")))
+    high = F.min(F.when(F.col("_upto") > F.ceil("_at"), F.col("_v")))
+    share = F.first("_at") - F.floor(F.first("_at"))
+    return seen.groupBy(*keys).agg((low + (high - low) * share).alias(name))
+
+
 def first_by(value: str, order: str) -> Column:
     """The value of the earliest row."""
     return F.min_by(value, order)

@@ -70,6 +70,22 @@ def _ordered(side: str, names: Sequence[str]) -> list[Column]:
     return [F.when(F.col(side).isNotNull(), F.struct(*[F.col(f"{side}.{c}") for c in names])).alias(side)]
 
 
+def projected(joined: DataFrame, keys: Sequence[str], both: dict[str, Column], left_only: dict[str, Column] | None = None, right_only: dict[str, Column] | None = None) -> DataFrame:
+    """The result of keyed_join() through projections of its own for matches and for unmatched rows of either side; a row without one for its case is left out."""
+    cases = [(F.col("l").isNotNull() & F.col("r").isNotNull(), both), (F.col("r").isNull(), left_only), (F.col("l").isNull(), right_only)]
+    given = [(test, columns) for test, columns in cases if columns is not None]
+    out = []
+    for name in both:
+        value = None
+        for test, columns in given:
+            value = F.when(test, columns[name]) if value is None else value.when(test, columns[name])
+        out.append(value.alias(name))
+    kept = None
+    for test, _ in given:
+        kept = test if kept is None else kept | test
+    return joined.where(kept).select(*keys, *out)
+
+
 def flat(joined: DataFrame, keys: Sequence[str], left_prefix: str = "", right_prefix: str = "") -> DataFrame:
     """The structs of keyed_join as plain columns; unmatched sides are null by name."""
     names = lambda s: joined.schema[s].dataType.names
@@ -78,15 +94,15 @@ def flat(joined: DataFrame, keys: Sequence[str], left_prefix: str = "", right_pr
 
 def windowed_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, size: timedelta, slide: timedelta | None = None,
-    left_arrival: Sequence[str] | None = None, right_arrival: Sequence[str] | None = None, how: str = INNER,
+    left_arrival: Sequence[str] | None = None, right_arrival: Sequence[str] | None = None, how: str = INNER, max_capacity: int | None = None,
 ) -> DataFrame:
-    """The keyed join inside every time window: a pair comes once for each window both rows lie in."""
+    """The keyed join inside every time window: a pair comes once for each window both rows lie in. max_capacity counts pairs of window and key."""
     def put(df: DataFrame, time: str) -> DataFrame:
         if slide is None:
             return df.withColumn("window_start", tumbling(F.col(time), size))
         return df.withColumn("window_start", F.explode(windows_of(F.col(time), size, slide)))
 
-    return keyed_join(put(left, left_time), put(right, right_time), ["window_start", *keys], left_arrival or [left_time], right_arrival or [right_time], how)
+    return keyed_join(put(left, left_time), put(right, right_time), ["window_start", *keys], left_arrival or [left_time], right_arrival or [right_time], how, max_capacity)
 
 
 def equi_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = INNER) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import with_checkpoints
+from .windows import tumbling
 
 
 def ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -54,6 +56,17 @@ def batches(df: DataFrame, size: int, order: Sequence[str], keys: Sequence[str]
     return out.withColumn("items", F.transform("_items", lambda x: F.struct(*[x[c].alias(c) for c in df.columns]))).drop("_items")
 
 
+def timed_batches(df: DataFrame, size: int, every: timedelta, time: str, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Rows gathered by size or time, whichever is full first: batches of at most `size` rows that never cross a multiple of `every`.
+
+    Time is the rows' own, so the outcome can be repeated. Columns: keys, window_start, batch (from 0 in its window), n and items.
+    """
+    if size <= 0:
+        raise ValueError("the batch size must be positive")
+    put = df.withColumn("window_start", tumbling(F.col(time), every))
+    return batches(put, size, order, [*keys, "window_start"])
+
+
 def unbatch(df: DataFrame, column: str = "items") -> DataFrame:
     """The elements of each batch as rows, with their position; empty and null batches give none."""
     return df.select(*[c for c in df.columns if c != column], F.posexplode(column).alias("position", "item")).select("*", "item.*").drop("item")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FAIL, SKIP, DEAD_LETTER, RETRY = "fail", "skip", "dead_letter", "retry"
+ACTIONS = (FAIL, SKIP, DEAD_LETTER, RETRY)
 #: Fixed value: the reason of a filter without one of its own.
 FILTER_REASON = "Item did not meet filter criteria."
 
@@ -49,12 +50,20 @@ class Policy:
     actions: dict[str, str] = field(default_factory=dict)
     otherwise: str = FAIL
 
+    def __post_init__(self):
+        if wrong := [a for a in (*self.actions.values(), self.otherwise) if a not in ACTIONS]:
+            raise ValueError(f"unknown actions {wrong}; there are {ACTIONS}")
+
     def on(self, kind: str, action: str) -> Policy:
         return Policy(self.actions | {kind: action}, self.otherwise)
 
     def action(self, kind: str) -> str:
         return self.actions.get(kind, self.otherwise)
 
+    def action_for(self, error: BaseException) -> str:
+        """For user code: the action named for the class of an error, or for the nearest of its base classes."""
+        return next((self.actions[c.__name__] for c in type(error).__mro__ if c.__name__ in self.actions), self.otherwise)
+
 
 #: Drops what filters, validations or conversions refuse, and fails on anything else.
 SKIP_REFUSED = Policy({"filter": SKIP, "validation": SKIP, "conversion": SKIP})
@@ -90,10 +99,13 @@ def split(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
 def apply_rules(df: DataFrame, rules: Sequence[Rule], policy: Policy = Policy()) -> tuple[DataFrame, DataFrame]:
     """Rows that stay and dead letters, by the policy. A row whose failure means Fail stops the job when it is read.
 
-    No rules: everything passes.
+    No rules: everything passes. Retry is refused: a rule gives a row the same answer every
+    time; transforms.per_item() retries work that may go better the next time.
     """
     if not rules:
         return df, df.limit(0)
+    if again := sorted({r.name for r in rules if policy.action(r.kind) == RETRY}):
+        raise ValueError(f"rules can't be retried: {again}")
     marked = with_failure(df, rules, "_failure")
     fatal = [r.kind for r in rules if policy.action(r.kind) == FAIL]
     letters = [r.kind for r in rules if policy.action(r.kind) == DEAD_LETTER]

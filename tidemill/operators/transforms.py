@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .rules import DEAD_LETTER, FAIL, RETRY, SKIP, Policy
+
 
 def project(df: DataFrame, **columns: Column) -> DataFrame:
     """Exactly the named outputs, one row for each row."""
@@ -55,37 +58,48 @@ def fold(key: Sequence[str], order: str, value: str, start: Column, step: Callab
     return run
 
 
-def per_item(df: DataFrame, f: Callable[[dict], dict], schema: str, retries: int = 0, on_error: str = "fail") -> DataFrame:
+def per_item(
+    df: DataFrame, f: Callable[[dict], dict], schema: str, retries: int = 0, on_error: str = FAIL, policy: Policy | None = None,
+    backoff: Callable[[int], float] | None = None, jitter: Callable[[float], float] | None = None,
+) -> DataFrame:
     """A Python function from row to row, for work such as calls to services.
 
-    A row that still fails after `retries` more tries stops the job (fail), is left out (skip),
-    or comes out with null columns, the error and the row as JSON (dead_letter): the result
-    then has the columns _error and _item, both null for good rows.
+    policy: the action for each class of error (by its name, or that of a base class). Retry
+    tries up to `retries` more times, after the delays that backoff(1), backoff(2), ... and
+    jitter give (see plans.resilience), and then stops the job; Fail stops it at once; Skip
+    leaves the row out; DeadLetter gives null columns, the error and the row as JSON: the result
+    then has the columns _error and _item, both null for good rows. Without a policy every error
+    is retried, and on_error says what becomes of a row that still fails.
     """
-    if on_error not in ("fail", "skip", "dead_letter"):
+    if on_error not in (FAIL, SKIP, DEAD_LETTER):
         raise ValueError(f"unknown action {on_error}")
     names = StructType.fromDDL(schema).names
+    letters = on_error == DEAD_LETTER if policy is None else DEAD_LETTER in (*policy.actions.values(), policy.otherwise)
+
+    def tried(row: dict) -> list | None:
+        for attempt in range(retries + 1):
+            try:
+                got = f(row)
+                return [*[got.get(n) for n in names], None, None]
+            except Exception as e:  # the policy decides about user code
+                action = RETRY if policy is None else policy.action_for(e)
+                if action == RETRY and attempt < retries:
+                    if backoff:
+                        time.sleep((jitter or float)(backoff(attempt + 1)))
+                    continue
+                if policy is None:
+                    action = on_error
+                if action in (FAIL, RETRY):
+                    raise
+                return None if action == SKIP else [*[None] * len(names), f"{type(e).__name__}: {e}", json.dumps(row, default=str)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for row in frame.to_dict("records"):
-                for attempt in range(retries + 1):
-                    try:
-                        got = f(row)
-                        out.append([*[got.get(n) for n in names], None, None])
-                        break
-                    except Exception as e:  # the policy decides about user code
-                        if attempt < retries:
-                            continue
-                        if on_error == "fail":
-                            raise
-                        if on_error == "dead_letter":
-                            out.append([*[None] * len(names), f"{type(e).__name__}: {e}", json.dumps(row, default=str)])
+            out = [x for x in map(tried, frame.to_dict("records")) if x is not None]
             made = pd.DataFrame(out, columns=[*names, "_error", "_item"], dtype=object)
-            yield made if on_error == "dead_letter" else made[names]
+            yield made if letters else made[names]
 
-    return df.mapInPandas(run, f"{schema}, _error string, _item string" if on_error == "dead_letter" else schema)
+    return df.mapInPandas(run, f"{schema}, _error string, _item string" if letters else schema)
 
 
 def dead_letters(rejected: DataFrame, most: int = 1000) -> list[dict]:

@@ -13,6 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.routing import Router, concatenate
+from .resilience import or_empty, restarted
 
 SOURCE, TRANSFORM, JOIN, MERGE, ROUTE, SINK = "source", "transform", "join", "merge", "route", "sink"
 
@@ -37,6 +38,26 @@ class Node:
     work: Callable
     options: dict = field(default_factory=dict)
 
+    def made(self, context: Context, came: list) -> Any:
+        """What the node gives for its inputs."""
+        if self.kind == SOURCE:
+            build = lambda: self.work(context)
+        elif self.kind == JOIN:
+            build = lambda: self.work(*came)
+        elif self.kind == ROUTE:
+            return self.work.split(_one(came))
+        elif self.kind == MERGE:
+            build = lambda: self.work(came)
+        elif self.options.get("in_context"):
+            build = lambda: self.work(_one(came), context)
+        else:
+            build = lambda: self.work(_one(came))
+        restarts, instead = self.options.get("restarts", 0), self.options.get("or_schema")
+        work = (lambda: restarted(build, restarts)) if restarts else build
+        if instead is not None:
+            return or_empty(work, instead, context.spark)
+        return work()
+
 
 @dataclass(frozen=True)
 class Edge:
@@ -90,27 +111,32 @@ class Graph:
         return "\n".join(f"{n.name} ({n.kind})" + "".join(f"\n  -> {e.target}" + (f" [{e.port}]" if e.port else "") for e in self.outputs(n.name)) for n in self.nodes.values())
 
     def run(self, context: Context) -> dict[str, Any]:
-        """Builds all plans and runs the sinks; returns what the sinks return."""
+        """Builds all plans and runs the sinks; returns what the sinks return.
+
+        A dataset that several nodes take is computed once and kept until the sinks are done. A
+        node with restarts or a substitute schema (see Pipeline.transform) is computed at once.
+        """
         made: dict[str, Any] = {}
         results = {}
-        for name in self.order():
-            node = self.nodes[name]
-            came = []
-            for e in self.inputs(name):
-                x = made[e.source]
-                came.append(x[e.port] if isinstance(x, dict) else x)
-            if node.kind == SOURCE:
-                made[name] = node.work(context)
-            elif node.kind == JOIN:
-                made[name] = node.work(*came)
-            elif node.kind == ROUTE:
-                made[name] = node.work.split(_one(came))
-            elif node.kind == MERGE:
-                made[name] = node.work(came)
-            elif node.kind == SINK:
-                results[name] = node.work(_one(came))
-            else:
-                made[name] = node.work(_one(came))
+        kept: list[DataFrame] = []
+        try:
+            for name in self.order():
+                node = self.nodes[name]
+                came = []
+                for e in self.inputs(name):
+                    x = made[e.source]
+                    came.append(x[e.port] if isinstance(x, dict) else x)
+                if node.kind == SINK:
+                    results[name] = node.work(_one(came))
+                    continue
+                out = node.made(context, came)
+                if isinstance(out, DataFrame) and len(self.outputs(name)) > 1:
+                    out = out.persist()
+                    kept.append(out)
+                made[name] = out
+        finally:
+            for df in kept:
+                df.unpersist()
         return results
 
 
@@ -132,9 +158,13 @@ class Pipeline:
     def source(self, name: str, read: Callable[[Context], DataFrame]) -> Pipeline:
         return self._add(name, SOURCE, read)
 
-    def transform(self, name: str, f: Callable[[DataFrame], DataFrame]) -> Pipeline:
-        """Any step from one dataset to one dataset: map, filter, aggregate, batch, lookup, enrich."""
-        return self._add(name, TRANSFORM, f)
+    def transform(self, name: str, f: Callable[[DataFrame], DataFrame], restarts: int = 0, or_schema: Any = None) -> Pipeline:
+        """Any step from one dataset to one dataset: map, filter, aggregate, batch, lookup, enrich.
+
+        restarts: how often the step is built and computed again if it fails. or_schema: go on
+        without the node if it still fails, with an empty dataset of this schema.
+        """
+        return self._add(name, TRANSFORM, f, **({"restarts": restarts} if restarts else {}), **({"or_schema": or_schema} if or_schema is not None else {}))
 
     def join(self, name: str, f: Callable[[DataFrame, DataFrame], DataFrame]) -> Pipeline:
         """Inputs arrive in the order of their edges: left, then right."""
@@ -146,8 +176,9 @@ class Pipeline:
     def route(self, name: str, router: Router) -> Pipeline:
         return self._add(name, ROUTE, router)
 
-    def composite(self, name: str, child: Callable[[DataFrame], DataFrame]) -> Pipeline:
-        return self.transform(name, child)
+    def composite(self, name: str, child: Callable[[DataFrame, Context], DataFrame], inherit_parameters: bool = True, inherit_items: bool = False) -> Pipeline:
+        """A nested pipeline as one step; it gets a context of its own with what it inherits."""
+        return self._add(name, TRANSFORM, lambda df, context: child(df, context.child(inherit_parameters, inherit_items)), in_context=True)
 
     def sink(self, name: str, write: Callable[[DataFrame], Any]) -> Pipeline:
         return self._add(name, SINK, write)

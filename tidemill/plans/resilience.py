@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import with_checkpoints
+
 
 def exponential(first: float = 1.0, factor: float = 2.0, most: float = 60.0) -> Callable[[int], float]:
     """Delay before attempt n = 1, 2, ...: first, first*factor, ..."""
@@ -44,14 +46,16 @@ class Jitter:
         return delay
 
 
-def retry(work: Callable[[], object], retries: int = 3, backoff: Callable[[int], float] = exponential(), jitter: Callable[[float], float] = Jitter(), only: type[Exception] = Exception, sleep: Callable[[float], None] = time.sleep):
+def retry(work: Callable[[], object], retries: int = 3, backoff: Callable[[int], float] = exponential(), jitter: Callable[[float], float] = Jitter(), only: type[Exception] = Exception, sleep: Callable[[float], None] = time.sleep, on_retry: Callable[[Exception], object] | None = None):
     """Runs work, again up to `retries` times after failures of kind `only`; the last failure is raised."""
     for n in range(retries + 1):
         try:
             return work()
-        except only:
+        except only as e:
             if n == retries:
                 raise
+            if on_retry:
+                on_retry(e)
             sleep(jitter(backoff(n + 1)))
 
 
@@ -121,9 +125,21 @@ def guard_reject_rate(accepted: DataFrame, rejected: DataFrame, most: float) ->
         raise CircuitOpen(f"{bad} of {bad + good} rows were rejected; at most {most:.0%} may be")
 
 
+def settled(work: Callable[[], DataFrame]) -> DataFrame:
+    """The dataset, computed and written to the checkpoint folder: what fails, fails here and not in a later action."""
+    made = work()
+    with_checkpoints(made.sparkSession)
+    return made.checkpoint()
+
+
+def restarted(work: Callable[[], DataFrame], restarts: int = 3, backoff: Callable[[int], float] = fixed(0.0), sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """The dataset of a node that is built and computed again, up to `restarts` times, if it fails; nothing of a failed run is kept."""
+    return retry(lambda: settled(work), restarts, backoff, sleep=sleep)
+
+
 def or_empty(work: Callable[[], DataFrame], schema, spark) -> DataFrame:
-    """The dataset, or an empty one of the given schema if it cannot be built: go on without a node."""
+    """The dataset, or an empty one of the given schema if it cannot be built or computed: go on without a node."""
     try:
-        return work()
+        return settled(work)
     except Exception:  # the caller asked to continue without this node
         return spark.createDataFrame([], schema)

@@ -40,19 +40,28 @@ HIGH_THROUGHPUT = {
 }
 
 
-def with_checkpoints(spark: SparkSession) -> None:
-    """Name a checkpoint folder: spark.checkpoint.dir, or a local one where that is unset."""
+def _shared(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a local folder only where all runs on one machine."""
     import tempfile
 
+    sc = spark.sparkContext
+    top = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if top:
+        return top.rstrip("/")
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tidemill-")
+
+
+def with_checkpoints(spark: SparkSession) -> None:
+    """Name a checkpoint folder: spark.checkpoint.dir, or a local one in local mode."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemill-checkpoint-"))
+        sc.setCheckpointDir(_shared(spark))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one where that is unset."""
-    import tempfile
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one in local mode."""
     import uuid
 
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{top.rstrip('/')}/tidemill-{uuid.uuid4().hex}" if top else tempfile.mkdtemp(prefix="tidemill-")
+    return f"{_shared(spark)}/tidemill-{uuid.uuid4().hex}"

@@ -3,22 +3,53 @@
 from __future__ import annotations
 
 import json
+import time
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.ordering import numbered
 
-NONE, OFFSET, KEY, CURSOR, MEMORY = "none", "offset", "key", "cursor", "memory"
+NONE, OFFSET, KEY, CURSOR, MEMORY, CDC = "none", "offset", "key", "cursor", "memory", "cdc"
+STRATEGIES = (NONE, OFFSET, KEY, CURSOR, MEMORY, CDC)
 
 
 class Checkpoints:
-    """The last value read for each source; memory: nothing is written."""
+    """The last value read for each source; memory: nothing is written.
 
-    def __init__(self, spark: SparkSession, folder: str, strategy: str = KEY):
+    offset: how many rows of a total order were read; key: the greatest value of a growing
+    column; cursor: the opaque token of a paged source; cdc: the place in a change feed.
+    every_rows, every_s: note() writes only after so many rows, or so much time, since the
+    last write; flush() writes what it holds back.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, strategy: str = KEY, every_rows: int = 0, every_s: float = 0.0, clock: Callable[[], float] = time.monotonic):
+        if strategy not in STRATEGIES:
+            raise ValueError(f"a strategy is one of {STRATEGIES}")
         self.spark, self.folder, self.strategy = spark, folder.rstrip("/"), strategy
+        self.every_rows, self.every_s, self.clock = every_rows, every_s, clock
         self.held: dict[str, Any] = {}
+        self.waiting: dict[str, tuple[Any, int]] = {}
+        self.written: dict[str, float] = {}
+
+    def note(self, source: str, value: Any, rows: int = 1) -> bool:
+        """Remembers progress, and says whether it was written now."""
+        rows += self.waiting.get(source, (None, 0))[1]
+        self.waiting[source] = (value, rows)
+        since = self.clock() - self.written.setdefault(source, self.clock())
+        if (self.every_rows and rows < self.every_rows) and not (self.every_s and since >= self.every_s) or (not self.every_rows and self.every_s and since < self.every_s):
+            return False
+        self.flush(source)
+        return True
+
+    def flush(self, source: str | None = None) -> None:
+        for s in [source] if source else list(self.waiting):
+            if s in self.waiting:
+                self.save(s, self.waiting.pop(s)[0])
+                self.written[s] = self.clock()
 
     def _path(self, source: str):
         jvm = self.spark.sparkContext._jvm
@@ -59,3 +90,20 @@ def skip_read(df: DataFrame, order: list[str], checkpoints: Checkpoints, source:
     done = int(checkpoints.load(source) or 0)
     rows = numbered(df, order, "_n").where(F.col("_n") > done).drop("_n")
     return rows, done + rows.count()
+
+
+def read_pages(spark: SparkSession, page: Callable[[str | None], tuple[list[dict], str | None]], schema: str, checkpoints: Checkpoints, source: str, most: int = 1000) -> tuple[DataFrame, str | None]:
+    """The cursor strategy: pages from the saved token on, and the token to save once the rows are processed.
+
+    page(token) gives (items, next token); a cursor leads from page to page, so the driver walks
+    it, for at most `most` pages.
+    """
+    names = StructType.fromDDL(schema).names
+    token, rows = checkpoints.load(source), []
+    for _ in range(most):
+        items, following = page(token)
+        rows += [[i.get(n) for n in names] for i in items]
+        token = following or token
+        if not following:
+            break
+    return spark.createDataFrame(rows, schema), token

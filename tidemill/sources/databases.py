@@ -6,10 +6,15 @@ statements, which is what can be tested without a server.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import shared_folder, with_checkpoints
+from .storage import StorageUri
 
 #: Kind -> (JDBC address, driver class).
 JDBC = {
@@ -91,38 +96,103 @@ def upsert_statement(kind: str, table: str, columns: Sequence[str], keys: Sequen
     return f"MERGE INTO {table} t USING (SELECT {source}) s ON {on}{matched} WHEN NOT MATCHED THEN INSERT ({names}) VALUES ({', '.join(f's.{q(c)}' for c in columns)})" + (";" if kind == "sqlserver" else "")
 
 
-def upsert(df: DataFrame, connect: Callable[[], object], statement: str, batch: int = 100) -> None:
-    """Runs the statement for every row from the executors, one transaction a batch; connect: a DB-API connection factory."""
+def upsert(df: DataFrame, connect: Callable[[], object], statement: str, batch: int = 100, on_error: Callable[[dict, str], None] | None = None) -> None:
+    """Runs the statement for every row from the executors, one transaction a batch; connect: a DB-API connection factory.
+
+    on_error: go on after errors. A batch that fails is rolled back and sent row by row, and
+    each row that fails alone is handed to on_error(row, message) instead of stopping the job.
+    """
     columns = df.columns
 
     def send(rows: Iterator) -> None:
         connection = connect()
         try:
             cursor, held = connection.cursor(), []
+
+            def flush() -> None:
+                try:
+                    cursor.executemany(statement, held)
+                    connection.commit()
+                except Exception:  # the driver's own error classes are not known here
+                    connection.rollback()
+                    if on_error is None:
+                        raise
+                    for row in held:
+                        try:
+                            cursor.execute(statement, row)
+                            connection.commit()
+                        except Exception as e:
+                            connection.rollback()
+                            on_error(dict(zip(columns, row)), f"{type(e).__name__}: {e}")
+                held.clear()
+
             for r in rows:
                 held.append(tuple(r[c] for c in columns))
                 if len(held) == batch:
-                    cursor.executemany(statement, held)
-                    connection.commit()
-                    held = []
+                    flush()
             if held:
-                cursor.executemany(statement, held)
-                connection.commit()
+                flush()
         finally:
             connection.close()
 
     df.foreachPartition(send)
 
 
-def read_duckdb(spark: SparkSession, query: str, database: str = ":memory:", chunk: int = 100_000) -> DataFrame:
-    """The result of a DuckDB query, for results that fit the driver."""
+#: The statement that loads a file of comma-separated rows, by kind of database.
+BULK_LOAD = {
+    "postgres": "COPY {table} ({columns}) FROM STDIN WITH (FORMAT csv, NULL '\\N')",
+    "mysql": "LOAD DATA LOCAL INFILE '{file}' INTO TABLE {table} FIELDS TERMINATED BY ',' OPTIONALLY ENCLOSED BY '\"' ESCAPED BY '' ({columns})",
+    "snowflake": "PUT file://{file} @%{table}",
+    "sqlserver": "BULK INSERT {table} FROM '{file}' WITH (FORMAT = 'CSV')",
+}
+
+
+def bulk_load(df: DataFrame, kind: str, table: str, load: Callable[[str, object], None]) -> None:
+    """Each task writes its rows as one CSV file of its own and hands (statement, file object) to load(), which runs it.
+
+    load opens the connection; it runs on the executor. Values are text as Spark casts them to
+    strings, nulls are \\N; a task that is retried loads its rows again, so load into a staging
+    table and merge from there where that matters.
+    """
+    import csv
+    import tempfile
+
+    statement, names = BULK_LOAD[kind], ", ".join(_quoted(kind, c) for c in df.columns)
+
+    def send(rows: Iterator) -> None:
+        with tempfile.NamedTemporaryFile("w+", suffix=".csv", newline="", encoding="utf-8") as f:
+            out, any_row = csv.writer(f), False
+            for r in rows:
+                out.writerow(["\\N" if v is None else v for v in r])
+                any_row = True
+            f.flush()
+            f.seek(0)
+            if any_row:
+                load(statement.format(table=table, columns=names, file=f.name), f)
+
+    df.select(*[df[f"`{c}`"].cast("string").alias(c) for c in df.columns]).foreachPartition(send)
+
+
+def read_duckdb(spark: SparkSession, query: str, database: str = ":memory:", folder: str | None = None) -> DataFrame:
+    """The result of a DuckDB query. DuckDB writes it to Parquet files in `folder`, which must be shared, and Spark reads those; the driver never holds the rows.
+
+    Without a folder: a new one below the shared folder of the session.
+    """
     import duckdb
-    import pyarrow as pa
 
+    where = folder or shared_folder(spark)
     with duckdb.connect(database, read_only=database != ":memory:") as c:
-        reader = c.sql(query).to_arrow_reader(chunk)
-        found = pa.Table.from_batches(list(reader), reader.schema)
-    return spark.createDataFrame(found)
+        os.makedirs(local_path(where), exist_ok=True)
+        c.execute(f"COPY ({query}) TO '{local_path(where)}' (FORMAT parquet, PER_THREAD_OUTPUT true, OVERWRITE_OR_IGNORE true)")
+    return spark.read.parquet(where)
+
+
+def local_path(folder: str) -> str:
+    """A shared folder as the driver's own file system sees it."""
+    uri = StorageUri.parse(folder)
+    if uri.scheme != "file":
+        raise ValueError(f"DuckDB writes to file systems only, not to {folder}")
+    return uri.path
 
 
 def write_duckdb(df: DataFrame, database: str, table: str, folder: str, mode: str = "create") -> None:
@@ -162,3 +232,49 @@ def cosmos_options(endpoint: str, key: str, database: str, container: str, chang
     if query:
         out["spark.cosmos.read.customQuery"] = query
     return out
+
+
+#: Kinds of change, as document stores name them.
+INSERT, UPDATE, REPLACE, DELETE = "insert", "update", "replace", "delete"
+CHANGE = "operation string, key string, document string, at long, token string"
+
+
+def read_changes(spark: SparkSession, watch: Callable[[str | None], Iterator[dict]], saved, source: str, most: int = 10_000) -> DataFrame:
+    """Up to `most` changes after the saved resume token, as rows of CHANGE, written to the checkpoint folder.
+
+    watch(token) is called in one task and gives dictionaries with these fields (key and document
+    as JSON text), in order; a change feed is one ordered log, so one task reads it. Save
+    the last token (see last_token) with the Checkpoints `saved` once the rows are processed.
+    """
+    import pandas as pd
+
+    token = saved.load(source)
+    names = [c.split()[0] for c in CHANGE.split(", ")]
+
+    def run(frames):
+        for _ in frames:
+            got = []
+            for i, change in enumerate(watch(token)):
+                got.append([change.get(n) for n in names])
+                if i + 1 == most:
+                    break
+            yield pd.DataFrame(got, columns=names)
+
+    with_checkpoints(spark)
+    return spark.range(1).repartition(1).mapInPandas(run, CHANGE).checkpoint()
+
+
+def last_token(changes: DataFrame) -> str | None:
+    return changes.agg(F.max_by("token", "at")).first()[0]
+
+
+def apply_changes(current: DataFrame, changes: DataFrame, keys: Sequence[str], order: str, operation: str = "operation") -> DataFrame:
+    """The table after a change feed: of each key the latest change wins, by `order`, and a deleted key goes.
+
+    changes: the columns of `current`, `operation` and `order`. One aggregate with map-side
+    combining and one join; keys without changes keep their rows.
+    """
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(operation, *[c for c in current.columns if c not in keys]), order).alias("_last"))
+    kept = current.join(last.select(*keys), list(keys), "left_anti")
+    new = last.where(F.col(f"_last.{operation}") != DELETE).select(*[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in current.columns])
+    return kept.unionByName(new)

@@ -25,7 +25,11 @@ def _schema(schema: StructType | str, errors: str) -> StructType:
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, header: bool = True, delimiter: str = ",", errors: str = FAIL, match_header: bool = True, **options) -> DataFrame:
-    """match_header: columns are found by their header names without case, blank headers skipped; the file's order is free."""
+    """match_header: columns are found by their header names without case, blank headers skipped; the order is free.
+
+    All files of a folder must have the header of the first one: another one stops the job
+    rather than fill columns with each other's values.
+    """
     where = StorageUri.parse(path).spark_path()
     wanted = _schema(schema, errors)
     reader = spark.read.options(header=header, sep=delimiter, mode=_MODES[errors], columnNameOfCorruptRecord=CORRUPT, **options)
@@ -34,7 +38,8 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, header: b
     names = spark.read.options(header=True, sep=delimiter, **options).csv(where).columns  # first line only
     own = {f.name.lower(): f for f in wanted.fields}
     read = StructType([StructField(n, own[n.strip().lower()].dataType if n.strip().lower() in own else StringType()) for n in names] + [f for f in wanted.fields if f.name == CORRUPT])
-    df = reader.schema(read).csv(where)
+    named = all(n.strip() and not n.startswith("_c") for n in names)  # blank headers can't be checked by name
+    df = reader.option("enforceSchema", not named).schema(read).csv(where)
     at = {n.strip().lower(): n for n in names if n.strip()} | {CORRUPT: CORRUPT}
     return df.select(*[(F.col(f"`{at[f.name.lower()]}`") if f.name.lower() in at else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted.fields])
 
@@ -97,9 +102,30 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", header: boo
     df.write.mode(mode).options(header=header, sep=delimiter, **options).csv(StorageUri.parse(path).spark_path())
 
 
-def write_json(df: DataFrame, path: str, mode: str = "errorifexists", naming: str = "as_is", **options) -> None:
-    """One record a line."""
-    rename(df, naming).write.mode(mode).options(**options).json(StorageUri.parse(path).spark_path())
+def write_json(df: DataFrame, path: str, mode: str = "errorifexists", naming: str = "as_is", lines: bool = True, **options) -> None:
+    """One record a line; with lines=False each file is one JSON array, written row by row."""
+    named, where = rename(df, naming), StorageUri.parse(path).spark_path()
+    if lines:
+        named.write.mode(mode).options(**options).json(where)
+        return
+    record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in named.columns]), options) if options else F.to_json(F.struct(*[F.col(f"`{c}`") for c in named.columns]))
+    named.select(record.alias("value")).mapInArrow(_as_array, "value string").write.mode(mode).text(where)
+
+
+def _as_array(batches):
+    """The records of a task with what makes them one array; each line but the first begins with a comma."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    began = False
+    for batch in batches:
+        if batch.num_rows:
+            value = pc.binary_join_element_wise(pa.scalar(","), batch.column(0), "")
+            if not began:
+                value = pa.concat_arrays([pc.binary_join_element_wise(pa.scalar("["), batch.column(0).slice(0, 1), ""), value.slice(1)])
+            began = True
+            yield pa.RecordBatch.from_arrays([value], names=["value"])
+    yield pa.RecordBatch.from_arrays([pa.array(["]" if began else "[]"])], names=["value"])
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", compression: str = "snappy", partition_by: Sequence[str] = (), max_rows_per_file: int = 0, row_group_bytes: int = 128 << 20) -> None:

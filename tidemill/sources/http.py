@@ -5,6 +5,7 @@ fetch(url, params, headers) returns (status, headers, body) with the body parsed
 
 from __future__ import annotations
 
+import base64
 import re
 import time
 from collections.abc import Callable, Iterator
@@ -35,18 +36,50 @@ class RateLimit:
         self.next = max(now, self.next) + self.gap
 
 
-def pages(fetch: Fetch, url: str, paging: str = "none", path: str | None = None, size: int = 100, cursor_path: str = "next_cursor", cursor_param: str = "cursor", headers: dict | None = None, limit: RateLimit | None = None, retries: int = 3) -> Iterator[list]:
+#: What a request needs to be let in: (headers, query parameters) to add to it.
+Auth = Callable[[], tuple[dict, dict]]
+
+
+def bearer(token: str | Callable[[], str]) -> Auth:
+    """A token, or a function that gives a fresh one for each request."""
+    return lambda: ({"Authorization": f"Bearer {token() if callable(token) else token}"}, {})
+
+
+def api_key(name: str, key: str, in_query: bool = False) -> Auth:
+    return lambda: ({}, {name: key}) if in_query else ({name: key}, {})
+
+
+def basic(user: str, password: str) -> Auth:
+    text = base64.b64encode(f"{user}:{password}".encode()).decode()
+    return lambda: ({"Authorization": f"Basic {text}"}, {})
+
+
+#: Answers after which a request may go better the next time.
+PASSING = (408, 429, 500, 502, 503, 504)
+
+
+def request(fetch: Fetch, url: str, params: dict, headers: dict, auth: Auth | None = None, limit: RateLimit | None = None, retries: int = 3, backoff: Callable[[int], float] = lambda n: 0.0, sleep=time.sleep) -> tuple[int, dict, Any]:
+    """One answered request: tried again after passing failures, when the server says (Retry-After, in seconds) or after backoff(attempt)."""
+    for attempt in range(retries + 1):
+        if limit:
+            limit.wait()
+        more_headers, more_params = auth() if auth else ({}, {})
+        status, got, body = fetch(url, params | more_params, headers | more_headers)
+        if status < 400:
+            return status, got, body
+        if attempt == retries or status not in PASSING:
+            break
+        said = str(got.get("Retry-After", got.get("retry-after", "")))
+        if (wait := float(said) if said.isdigit() else backoff(attempt + 1)) > 0:
+            sleep(wait)
+    raise OSError(f"{url}: HTTP {status}")
+
+
+def pages(fetch: Fetch, url: str, paging: str = "none", path: str | None = None, size: int = 100, cursor_path: str = "next_cursor", cursor_param: str = "cursor", headers: dict | None = None, limit: RateLimit | None = None, retries: int = 3, auth: Auth | None = None, backoff: Callable[[int], float] = lambda n: 0.0, sleep=time.sleep) -> Iterator[list]:
     """Lists of items page by page; paging: none, offset, cursor or link (the Link header's rel="next")."""
     params: dict[str, Any] = {"offset": 0, "limit": size} if paging == "offset" else {}
     while True:
-        for attempt in range(retries + 1):
-            if limit:
-                limit.wait()
-            status, got, body = fetch(url, params, headers or {})
-            if status < 400:
-                break
-            if attempt == retries or status not in (408, 429) and status < 500:
-                raise OSError(f"{url}: HTTP {status}")
+        _, got, body = request(fetch, url, params, headers or {}, auth, limit, retries, backoff, sleep)
         items = items_at(body, path)
         yield items
         if paging == "offset" and len(items) == size:
@@ -60,7 +93,7 @@ def pages(fetch: Fetch, url: str, paging: str = "none", path: str | None = None,
 
 
 def read_http(spark: SparkSession, fetch: Fetch, urls: list[str], schema: str, **how) -> DataFrame:
-    """Items of all pages of all addresses; each address is read by one task."""
+    """Items of all pages of all addresses; each address is read by one task, which keeps its own rate limit."""
     import pandas as pd
     from pyspark.sql.types import StructType
 
@@ -76,8 +109,8 @@ def read_http(spark: SparkSession, fetch: Fetch, urls: list[str], schema: str, *
     return spark.createDataFrame([(u,) for u in urls], "url string").repartition(len(urls), "url").mapInPandas(run, schema)
 
 
-def http_sink(post: Callable[[list[dict]], int], batch: int = 100) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that posts rows in batches; a status of 400 or more fails the task, which Spark retries."""
+def http_sink(post: Callable[[list[dict]], int], batch: int = 100, retries: int = 0, backoff: Callable[[int], float] = lambda n: 0.0) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that posts rows in batches; a status of 400 or more is tried again if it may pass, then fails the task, which Spark retries."""
 
     def write(df: DataFrame, batch_id: int) -> None:
         columns = df.columns
@@ -86,8 +119,8 @@ def http_sink(post: Callable[[list[dict]], int], batch: int = 100) -> Callable[[
             held = []
 
             def flush() -> None:
-                if held and (status := post(list(held))) >= 400:
-                    raise OSError(f"HTTP {status}")
+                if held:
+                    request(lambda *_: (post(list(held)), {}, None), "sink", {}, {}, retries=retries, backoff=backoff)
                 held.clear()
 
             for r in rows:

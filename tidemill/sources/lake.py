@@ -61,14 +61,20 @@ class LakeTable:
         out = fs.create(at(path + ".tmp"), True)
         out.write(bytearray(text.encode()))
         out.close()
-        fs.rename(at(path + ".tmp"), at(path))
+        if not fs.rename(at(path + ".tmp"), at(path)):
+            fs.delete(at(path + ".tmp"), False)
+            raise OSError(f"{path} could not be put in place; the snapshot is not committed")
 
     @staticmethod
     def new_snapshot_id(now: datetime) -> str:
         return now.strftime("%Y%m%d%H%M%S") + f"{now.microsecond // 1000:03d}-" + secrets.token_hex(4)
 
     def append(self, df: DataFrame, max_rows_per_file: int = 0, compression: str = "snappy", now: datetime | None = None, replaces: Sequence[str] = ()) -> str:
-        """Adds the rows as one snapshot and returns its id. Rows of a partition go to few files: they are dealt by partition first."""
+        """Adds the rows as one snapshot and returns its id.
+
+        Rows are dealt by partition first, so that each goes to few files; a partition larger
+        than the advisory size is written by several tasks.
+        """
         now = now or datetime.now(timezone.utc)
         snapshot = self.new_snapshot_id(now)
         folder = f"{self.path}/data/{snapshot}"
@@ -76,7 +82,7 @@ class LakeTable:
         names = {c: f"p_{snake_case(c)}" for c in self.partitions}
         out = df.withColumns({n: partition_text(c, kinds[c], c in self.enums) for c, n in names.items()}) if names else df
         if names:
-            out = out.repartition(*names.values())
+            out = out.hint("rebalance", *names.values())
         w = out.write.options(maxRecordsPerFile=max_rows_per_file, compression=compression)
         (w.partitionBy(*names.values()) if names else w).parquet(folder)
         kinds = {n: F.col(n).cast("string").alias(n) for n in names.values()}
@@ -88,6 +94,8 @@ class LakeTable:
              "snapshot_id": snapshot, "format_version": 1, "file_format": "parquet", "compression": compression, "replaces": list(replaces)}
             for r in sorted(rows, key=lambda r: r.file_path)
         ]
+        if not entries and replaces:  # a snapshot without rows may still replace files
+            entries = [{"path": "", "row_count": 0, "written_at": now.isoformat(timespec="microseconds"), "file_size_bytes": 0, "partition_values": {}, "snapshot_id": snapshot, "format_version": 1, "file_format": "parquet", "compression": compression, "replaces": list(replaces)}]
         self._write_text(f"{self.path}/{MANIFEST}/{snapshot}.ndjson", "".join(json.dumps(e) + "\n" for e in entries))
         return snapshot
 
@@ -101,14 +109,16 @@ class LakeTable:
         """Newest first."""
         return [r[0] for r in self.manifest().select("snapshot_id").distinct().orderBy(F.desc("snapshot_id")).collect()]
 
-    def _entries(self, as_of: datetime | None = None, snapshot: str | None = None) -> list:
+    def _entries(self, as_of: datetime | None = None, snapshot: str | None = None, partition: dict[str, str] | None = None) -> list:
         m = self.manifest()
         if snapshot:
             m = m.where(F.col("snapshot_id") == snapshot)
         if as_of:
             m = m.where(F.to_timestamp("written_at") <= F.lit(as_of))
         gone = m.select(F.explode("replaces").alias("path")).distinct() if not snapshot else None
-        live = m.join(gone, "path", "left_anti") if gone is not None else m
+        for k, v in (partition or {}).items():
+            m = m.where(F.col("partition_values")[k] == v)
+        live = m.where(F.col("path") != "").join(gone, "path", "left_anti") if gone is not None else m.where(F.col("path") != "")
         return live.orderBy("path").collect()
 
     def read(self, as_of: datetime | None = None, snapshot: str | None = None, partition: dict[str, str] | None = None, schema=None) -> DataFrame:
@@ -116,7 +126,9 @@ class LakeTable:
 
         partition: {snake-case column: text}; files of other partitions are never opened.
         """
-        paths = [e.path for e in self._entries(as_of, snapshot) if not partition or all((e.partition_values or {}).get(k) == v for k, v in partition.items())]
+        return self._read([e.path for e in self._entries(as_of, snapshot, partition)], schema)
+
+    def _read(self, paths: list[str], schema=None) -> DataFrame:
         if not paths:
             if schema is None:
                 raise ValueError("no files and no schema")
@@ -125,15 +137,29 @@ class LakeTable:
         return reader.parquet(*paths)
 
     def upsert(self, df: DataFrame, keys: Sequence[str], order: str) -> str:
-        """The table with new rows winning over old ones of their key: the latest by `order`, new before old in ties."""
-        old = self._entries()
-        now = self.read() if old else df.limit(0)
-        both = now.withColumn("_new", F.lit(0)).unionByName(df.withColumn("_new", F.lit(1)))
+        """The table with new rows winning over old ones of their key: the latest by `order`, new before old in ties.
+
+        Only files that hold a key of the new rows are rewritten; the others are looked at by
+        their key columns alone. Rows with a null key match nothing and are added.
+        """
+        whole = " and ".join(f"`{k}` is not null" for k in keys)
+        old = [e.path for e in self._entries()]
+        new = df.where(whole)
+        touched: list[str] = []
+        if old:
+            held = self._read(old).select(*keys, F.col("_metadata.file_path").alias("_path"))
+            touched = [unquote(r[0]) for r in held.join(new.select(*keys).distinct(), list(keys), "left_semi").select("_path").distinct().collect()]
+        now = self._read(touched, df.schema).select(*df.columns)
+        both = now.where(whole).withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
         best = both.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.struct(F.col(order), F.col("_new"))).alias("r")).select("r.*")
-        return self.append(best, replaces=[e.path for e in old])
+        rest = now.unionByName(df).where(f"not ({whole})")
+        return self.append(best.unionByName(rest), replaces=touched)
 
-    def compact(self, small: int = SMALL_FILE, at_least: int = MIN_FILES, at_most: int = MAX_FILES, dry_run: bool = False, delete: bool = True) -> dict[str, int]:
-        """Rewrites the small files of each partition as few; returns {partition: number of files}."""
+    def compact(self, small: int = SMALL_FILE, at_least: int = MIN_FILES, at_most: int = MAX_FILES, dry_run: bool = False) -> dict[str, int]:
+        """Rewrites the small files of each partition as few; returns {partition: number of files}.
+
+        The files replaced stay, so that earlier states can be read, until expire().
+        """
         groups: dict[str, list] = {}
         for e in self._entries():
             if e.file_size_bytes < small:
@@ -141,14 +167,15 @@ class LakeTable:
         chosen = {k: v[:at_most] for k, v in groups.items() if len(v) >= at_least}
         if not dry_run:
             for files in chosen.values():
-                paths = [e.path for e in files]
                 total = sum(e.file_size_bytes for e in files)
-                merged = self.spark.read.parquet(*paths)
+                merged = self._read([e.path for e in files])
                 if not self.partitions:
                     merged = merged.coalesce(max(1, total // (4 * small)))
-                self.append(merged, replaces=paths)
-                if delete:
-                    jvm, fs = self._fs()
-                    for p in paths:
-                        fs.delete(jvm.org.apache.hadoop.fs.Path(p), False)
+                self.append(merged, replaces=[e.path for e in files])
         return {k: len(v) for k, v in chosen.items()}
+
+    def expire(self, before: datetime) -> int:
+        """Deletes the files that snapshots written before a time have replaced; states before them can't be read any more."""
+        old = self.manifest().where(F.to_timestamp("written_at") < F.lit(before)).select(F.explode("replaces").alias("path")).distinct()
+        jvm, fs = self._fs()
+        return sum(bool(fs.delete(jvm.org.apache.hadoop.fs.Path(r.path), False)) for r in old.toLocalIterator())

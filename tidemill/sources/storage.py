@@ -6,7 +6,9 @@ from dataclasses import dataclass, field
 from urllib.parse import parse_qsl, unquote, urlsplit
 
 #: Scheme -> the scheme Spark reads it by.
-SCHEMES = {"file": "file", "s3": "s3a", "s3a": "s3a", "azure": "abfss", "abfs": "abfss", "abfss": "abfss", "adls": "abfss", "wasbs": "wasbs", "gs": "gs", "gcs": "gs", "hdfs": "hdfs", "viewfs": "viewfs"}
+SCHEMES = {"file": "file", "s3": "s3a", "s3a": "s3a", "azure": "abfss", "abfs": "abfss", "abfss": "abfss", "adls": "abfss", "wasbs": "wasbs", "gs": "gs", "gcs": "gs", "hdfs": "hdfs", "viewfs": "viewfs", "sftp": "sftp"}
+#: Fixed value: what Hadoop needs to know for sftp addresses, as Spark settings.
+SFTP_SETTINGS = {"spark.hadoop.fs.sftp.impl": "org.apache.hadoop.fs.sftp.SFTPFileSystem"}
 
 
 @dataclass(frozen=True)

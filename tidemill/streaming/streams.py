@@ -77,45 +77,64 @@ def drop_late(df: DataFrame, time: str, key: str, delay: timedelta = OUT_OF_ORDE
     return df.groupBy(key).applyInPandasWithState(run, schema, "top long", "append", GroupStateTimeout.NoTimeout)
 
 
-def keyed_join(df: DataFrame, key: str, left_columns: Sequence[str], right_columns: Sequence[str], side: str = "side") -> DataFrame:
+def keyed_join(df: DataFrame, key: str, left_columns: Sequence[str], right_columns: Sequence[str], side: str = "side", expire: timedelta | None = None) -> DataFrame:
     """The one-to-one inner join over a merged stream whose `side` column says left or right.
 
     Per key at most one row waits, of either side; a row of the other side takes it and both
     are gone; a second waiting row of the same side is dropped. Output: key, left columns,
-    right columns.
+    right columns. The waiting row is kept as an Arrow record, so every column keeps its type.
+    expire: a row that waits longer (by the clock) is forgotten, which bounds the state. Such a
+    stream goes on to look after its clocks, so it is for streams that run until they are
+    stopped, not for write_batches(once=True).
     """
     kinds = dict(zip(df.columns, df.schema.fields))
     fields = [kinds[key], *[kinds[c] for c in left_columns], *[kinds[c] for c in right_columns]]
-    out = StructType(fields)
-    names = [f.name for f in fields]
 
     def run(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting = pd.read_json(_text(state.get[1]), orient="records").iloc[0].to_dict() if state.exists else None
-        held_side = state.get[0] if state.exists else None
-        found = []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = _thawed(state.get[0]) if state.exists else None
         for frame in frames:
-            for row in frame.to_dict("records"):
+            rows = frame.reset_index(drop=True) if held is None else pd.concat([held, frame], ignore_index=True)
+            sides, waiting, pairs = rows[side].tolist(), None, []
+            for i, s in enumerate(sides):
                 if waiting is None:
-                    waiting, held_side = row, row[side]
-                elif row[side] != held_side:
-                    l, r = (waiting, row) if held_side == "left" else (row, waiting)  # noqa: E741
-                    found.append([k[0], *[l[c] for c in left_columns], *[r[c] for c in right_columns]])
+                    waiting = i
+                elif s != sides[waiting]:
+                    pairs.append((waiting, i) if s == "right" else (i, waiting))
                     waiting = None
-        if waiting is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((held_side, pd.DataFrame([waiting]).to_json(orient="records", date_format="iso", date_unit="us")))
-        if found:
-            yield pd.DataFrame(found, columns=names)
+            held = rows.iloc[[waiting]] if waiting is not None else None
+            if pairs:
+                left, right = ([p[i] for p in pairs] for i in (0, 1))
+                taken = [(left, key), *((left, c) for c in left_columns), *((right, c) for c in right_columns)]
+                yield pd.concat([rows[c].iloc[i].reset_index(drop=True) for i, c in taken], axis=1, keys=[f.name for f in fields])
+        if held is not None:
+            state.update((_frozen(held),))
+            if expire:
+                state.setTimeoutDuration(expire // timedelta(milliseconds=1))
+        elif state.exists:
+            state.remove()
 
-    return df.groupBy(key).applyInPandasWithState(run, out, "side string, row string", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout
+    return df.groupBy(key).applyInPandasWithState(run, StructType(fields), "waiting binary", "append", timeout)
 
 
-def _text(s: str):
-    import io
+def _frozen(rows: pd.DataFrame) -> bytes:
+    import pyarrow as pa
 
-    return io.StringIO(s)
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as w:
+        w.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _thawed(data: bytes) -> pd.DataFrame:
+    import pyarrow as pa
+
+    with pa.ipc.open_stream(pa.py_buffer(bytes(data))) as r:
+        return r.read_all().to_pandas()
 
 
 def write_batches(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, every: str | None = None, mode: str = "append", name: str | None = None) -> StreamingQuery:
