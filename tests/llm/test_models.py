@@ -348,3 +348,72 @@ def test_queries_and_pipeline(spark):
     out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert out.count() == n[4] and out.where("not round_trip").count() == 0
     assert docs.where("n_chars <> length(text)").count() == 0
+
+
+def words_of(text, lower=False):
+    data = (text or "").encode()
+    return re.findall(rb"[^\x20\x09-\x0D]+", bytes(c + 32 if 65 <= c <= 90 else c for c in data) if lower else data)
+
+
+def brute_pipeline(rows, items):
+    """All stages after the classifier, one document at a time: {doc_id: token ids}."""
+    import public_tokenizers
+    import tiktoken
+
+    from tidemill.llm import bpe
+    from tests.llm.test_text_operators import brute_hits, brute_repeats
+
+    sets = {}
+    for i, t in rows:
+        w = words_of(t, True)
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    kept = [(i, t) for i, t in rows if root[i] == i]
+    short = [(i, b" ".join(x for x, g in zip(w, gone) if not g).decode() if any(gone) else dict(kept)[i]) for i, (w, gone) in brute_repeats(kept).items()]
+    clean = {i for i, n, hit, _ in brute_hits(short, items) if not (hit and 20 * hit >= n)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    return {i: library.encode_ordinary(t or "") for i, t in short if i in clean}
+
+
+def test_pipeline_is_the_stages_by_hand(spark, monkeypatch):
+    """Every row of run(); and each stage reads what the one before has written, so nothing is computed twice."""
+    import corpus_pipeline
+
+    sf, plans = "/root/testdata/sf0.001", []
+
+    def seen(f):
+        def run(spark, docs, sf_dir):
+            plans.append(docs._jdf.queryExecution().toString())
+            return f(spark, docs, sf_dir)
+
+        return run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, seen(f)) for n, f in corpus_pipeline.STAGES])
+    got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, sf).collect()}
+    monkeypatch.undo()
+    assert len(plans) == 5 and not any("MapInArrow" in p or "Exchange" in p for p in plans)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = corpus_pipeline.keep_quality(spark, docs, sf).select("doc_id", "text").collect()
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    assert 0 < len(good) < docs.count()
+    assert got == brute_pipeline([tuple(r) for r in good], items)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_takes_odd_tables(spark, tmp_path, empty):
+    """Nulls in every column, empty and repeated rows, no labels and an empty table, through all stages."""
+    import corpus_pipeline
+
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "en", None, 5), (1, text, "en", None, 5), (None, None, None, None, None), (2, "", None, "s", 0), (3, text + " more", None, None, None), (None, "one of its own", None, None, None), (4, "asked " * 20, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    tables = {"documents": docs, "labels": spark.createDataFrame([(None, 1, None)], "doc_id long, quality int, toxic int"), "benchmark": spark.createDataFrame([(1, "asked " * 13), (None, text), (2, None)], "item_id long, text string")}
+    for name, df in tables.items():
+        (df.limit(0) if empty else df).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # 3 is a near copy of 1, one row of which stays; 4 is from the benchmark.
+    assert sorted((str(r.doc_id), r.n_tokens > 0, r.round_trip) for r in got) == ([] if empty else [("1", True, True), ("2", False, True), ("None", False, True), ("None", True, True)])

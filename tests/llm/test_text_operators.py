@@ -296,7 +296,7 @@ def test_paths_end_where_they_branch():
 
     def answer(keys):
         docs, which = substring._packed_docs(np.zeros(len(keys), dtype=np.int64))
-        return pa.table({"keys": [np.array(keys, dtype=np.uint64).tobytes()], "marks": [b""], "docs": [docs], "which": [which], "kinds": [np.zeros(len(keys), dtype=np.uint8).tobytes()]})
+        return pa.table({"keys": [substring._bytes(substring.short(np.array(keys, dtype=np.uint64)))], "marks": [b""], "docs": [docs], "which": [which], "kinds": [np.zeros(len(keys), dtype=np.uint8).tobytes()]})
 
     whole = substring._compact(runs, answer([1, 2]), 13).to_pylist()
     assert whole == [{"doc": 4, "pos": places(100), "words": b" ".join(text)}]
@@ -310,6 +310,8 @@ def test_packed_documents():
     for docs in ([5], [-7, 2**63 - 1, -(2**63), 0, 5, 5], rng.integers(0, 300, 50), rng.integers(-(2**62), 2**62, 70_000), rng.integers(0, 10**6, 1000)):
         docs = np.array(docs, dtype=np.int64)
         assert (substring._docs(*substring._packed_docs(docs), len(docs)) == docs).all()
+    numbers = substring.short(rng.integers(0, 2**63, 1000, dtype=np.uint64) * np.uint64(2))
+    assert (substring._numbers([substring._bytes(numbers[:3]), substring._bytes(numbers[3:])]) == numbers).all()
 
 
 def test_words_decide_not_hashes():

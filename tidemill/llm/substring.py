@@ -130,6 +130,22 @@ SEVERAL_DOCS, SEVERAL_MARKS = 1, 2
 BRANCHES, ELSEWHERE = 1, 2
 
 
+def short(hashes: np.ndarray) -> np.ndarray:
+    """Keys and marks are the upper 48 bits of hashes: they only propose, and two of them together name a window."""
+    return hashes >> np.uint64(16)
+
+
+def _bytes(numbers: np.ndarray) -> bytes:
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _numbers(blobs: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw), 8), dtype=np.uint8)
+    out[:, :6] = raw
+    return out.view(np.uint64).ravel()
+
+
 def _table(rows, names: str) -> pa.Table:
     rows = list(rows)
     columns = [c.strip().split()[0] for c in names.split(",")]
@@ -166,7 +182,7 @@ def _order(keys: np.ndarray, marks: np.ndarray, single: bool) -> tuple[np.ndarra
 
 
 def _part(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
+    return (keys % np.uint64(parts)).astype(np.int64)
 
 
 def _summed(keys, docs, marks, flags, single: bool):
@@ -190,16 +206,15 @@ def _reports(block: int, parts: int, keys, docs, marks, flags, single: bool):
     bounds = np.append(_groups(part[order]), len(order)).astype(np.int64)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         i = order[a:b]
-        yield int(part[i[0]]), block, keys[i].tobytes(), marks[i].tobytes(), *_packed_docs(docs[i]), flags[i].tobytes()
+        yield int(part[i[0]]), block, _bytes(keys[i]), _bytes(marks[i]), *_packed_docs(docs[i]), flags[i].tobytes()
 
 
 def _unpacked(table: pa.Table):
     """Keys, documents, marks and flags of all reports of a table, and the number of keys of each."""
     c = {n: table[n].to_pylist() for n in ("keys", "marks", "docs", "which", "flags")}
-    join = lambda name, kind: np.frombuffer(b"".join(c[name]), dtype=kind)
-    sizes = [len(x) // 8 for x in c["keys"]]
+    sizes = [len(x) // 6 for x in c["keys"]]
     docs = [_docs(*x) for x in zip(c["docs"], c["which"], sizes)]
-    return join("keys", np.uint64), np.concatenate(docs), join("marks", np.uint64), join("flags", np.uint8), np.array(sizes)
+    return _numbers(c["keys"]), np.concatenate(docs), _numbers(c["marks"]), np.frombuffer(b"".join(c["flags"]), dtype=np.uint8), np.array(sizes)
 
 
 def _combine(table: pa.Table, parts: int, fan: int, single: bool) -> pa.Table:
@@ -220,7 +235,7 @@ def _answer(table: pa.Table, keys, marks, docs, kinds, single: bool) -> pa.Table
             mine = at[own]
             elsewhere = (own_docs[own] != docs[mine]) | (flags[own] & SEVERAL_DOCS > 0)
             kind = (kinds[mine] & BRANCHES) | elsewhere.astype(np.uint8) * np.uint8(ELSEWHERE)
-            rows.append((part, block, keys[mine].tobytes(), marks[mine].tobytes() if single else b"", *_packed_docs(docs[mine]), kind.tobytes()))
+            rows.append((part, block, _bytes(keys[mine]), _bytes(marks[mine]) if single else b"", *_packed_docs(docs[mine]), kind.tobytes()))
     return _table(rows, _ANSWER)
 
 
@@ -243,8 +258,8 @@ def _hand_down(table: pa.Table, answers: pa.Table, single: bool) -> pa.Table:
 def _known(answers: pa.Table, single: bool):
     """Keys, marks (of single windows), sources and kinds of all answers of a table, by key and mark."""
     c = {n: answers[n].to_pylist() for n in ("keys", "marks", "docs", "which", "kinds")}
-    keys, marks, kinds = (np.frombuffer(b"".join(c[n]), dtype=t) for n, t in (("keys", np.uint64), ("marks", np.uint64), ("kinds", np.uint8)))
-    docs = np.concatenate([np.zeros(0, dtype=np.int64), *(_docs(t, w, len(k) // 8) for t, w, k in zip(c["docs"], c["which"], c["keys"]))])
+    keys, marks, kinds = _numbers(c["keys"]), _numbers(c["marks"]), np.frombuffer(b"".join(c["kinds"]), dtype=np.uint8)
+    docs = np.concatenate([np.zeros(0, dtype=np.int64), *(_docs(t, w, len(k) // 6) for t, w, k in zip(c["docs"], c["which"], c["keys"]))])
     order = np.lexsort((marks, keys)) if single else np.argsort(keys, kind="stable")
     return keys[order], marks[order] if single else marks, docs[order], kinds[order]
 
@@ -302,7 +317,7 @@ def _piece_report(table: pa.Table, w: Windows) -> pa.Table:
     for doc, (_, edges, names) in zip(table["doc"].to_pylist(), w.of(_bodies(table))):
         if len(edges) and doc is not None:
             starts, _, mark = pieces(edges, names)
-            found.append((names[starts], np.full(len(starts), doc, dtype=np.int64), mark))
+            found.append((short(names[starts]), np.full(len(starts), doc, dtype=np.int64), short(mark)))
     if not found:
         return _table([], _REPORT)
     keys, docs, marks = (np.concatenate(x) for x in zip(*found))
@@ -318,8 +333,8 @@ def _window_report(table: pa.Table, answers: pa.Table, w: Windows) -> pa.Table:
     found = []
     for doc, (words, edges, names) in zip(table["doc"].to_pylist(), w.of(_bodies(table))):
         if len(edges) and doc is not None and len(branching.keys):
-            starts = np.flatnonzero(branching.find(names)[1])
-            found.append((edges[starts], np.full(len(starts), doc, dtype=np.int64), w.twins(words, starts)))
+            starts = np.flatnonzero(branching.find(short(names))[1])
+            found.append((short(edges[starts]), np.full(len(starts), doc, dtype=np.int64), short(w.twins(words, starts))))
     if not sum(len(x[0]) for x in found):
         return _table([], _REPORT)
     keys, docs, marks = (np.concatenate(x) for x in zip(*found))
@@ -341,11 +356,11 @@ def _source_runs(table: pa.Table, answers: pa.Table, w: Windows):
         if not len(edges):
             continue
         starts, sizes, _ = pieces(edges, names)
-        at, hit = chains.find(names[starts])
+        at, hit = chains.find(short(names[starts]))
         if len(chain):
             hit &= chain_doc[at] == doc
-        one = np.flatnonzero(maybe.find(edges)[1])
-        at, alone = ones.find(edges[one], w.twins(words, one))
+        one = np.flatnonzero(maybe.find(short(edges))[1])
+        at, alone = ones.find(short(edges[one]), short(w.twins(words, one)))
         if len(single):
             alone &= single_doc[at] == doc
         begin = np.concatenate((starts[hit], one[alone]))
@@ -361,7 +376,7 @@ def _node_report(table: pa.Table, answers: pa.Table, w: Windows) -> pa.Table:
     for _, _, words, edges, begin, size in _source_runs(table, answers, w):
         end = begin + size
         keys = np.concatenate((w.nodes(words, begin), C.mix64(w.nodes(words, end) ^ ENTERED)))
-        found.append((keys, np.concatenate((edges[begin], edges[end - 1]))))
+        found.append((short(keys), short(np.concatenate((edges[begin], edges[end - 1])))))
     if not found:
         return _table([], _REPORT)
     keys, marks = (np.concatenate(x) for x in zip(*found))
@@ -389,7 +404,7 @@ def _compact(runs: pa.Table, answers: pa.Table, window: int) -> pa.Table:
     found: dict[int, tuple[list[int], list[bytes]]] = {}
     for doc, pos, words, cuts, nodes in zip(*(runs[c].to_pylist() for c in ("doc", "pos", "words", "cuts", "nodes"))):
         nodes = np.frombuffer(nodes, dtype=np.uint64)
-        branch = branching.find(nodes)[1] | branching.find(C.mix64(nodes ^ ENTERED))[1]
+        branch = branching.find(short(nodes))[1] | branching.find(short(C.mix64(nodes ^ ENTERED)))[1]
         at = np.frombuffer(cuts, dtype=np.int32)[branch].tolist()
         places, texts = found.setdefault(doc, ([], []))
         if not at:
