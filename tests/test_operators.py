@@ -155,6 +155,8 @@ def test_merge_and_branch(spark):
     said = []
     routing.branch(a, [lambda df: 1 / 0], routing.LOG_AND_CONTINUE, said.append)
     assert len(said) == 1
+    routing.branch(a, [lambda df: 1 / 0, lambda df: df.count()], lambda e, df: said.append((type(e), df)))
+    assert said[1] == (ZeroDivisionError, a)
 
 
 def test_batches(spark):
@@ -317,6 +319,15 @@ def test_a_source_of_several_nodes_is_read_once(spark):
     assert p.build().run(Context(spark)) == {"a": 45, "b": 45, "c": 45} and seen.value == 10
 
 
+def test_lint():
+    from tidemill.plans import lint
+
+    assert lint.check_resumable("SELECT * FROM t") and lint.check_resumable("SELECT * FROM (SELECT * FROM t ORDER BY a)")
+    assert lint.check_resumable("SELECT * FROM t ORDER BY t.a, b DESC LIMIT 5", ("B",)) == [] and lint.check_resumable("SELECT * FROM t ORDER BY a", ("id",))
+    p = Pipeline().source("s", None).transform("t", None, or_schema="x int").transform("idle", None).sink("o", None).connect("s", "t", "o").connect("s", "idle").build()
+    assert len(lint.check_graph(p)) == 3
+
+
 def test_timed_batches(spark):
     t = lambda m: datetime(2024, 1, 1, 0, m)
     df = spark.createDataFrame([(i, t(m)) for i, m in enumerate([0, 1, 2, 3, 11, 12, 21])], "i int, t timestamp")

@@ -380,6 +380,15 @@ def test_stateful_streams(spark, tmp_path):
     assert os.path.exists(tmp_path / "c2")
 
 
+def test_batches_know_their_watermark(spark, tmp_path):
+    for h in (10, 12, 11):
+        spark.createDataFrame([(datetime(2024, 1, 1, h),)], "t timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    seen = []
+    handle = streams.with_watermark_known(lambda df, i, mark: seen.append((df.first().t.hour, mark and mark.hour)), "t", timedelta(hours=1))
+    streams.write_batches(streams.read_files(spark, str(tmp_path / "in"), "t timestamp", max_files=1), handle, str(tmp_path / "c")).awaitTermination()
+    assert seen == [(10, None), (12, 9), (11, 11)]
+
+
 def test_skip_read(spark, tmp_path):
     c = checkpoints.Checkpoints(spark, str(tmp_path), checkpoints.OFFSET)
     rows, n = checkpoints.skip_read(spark.range(5).toDF("i"), ["i"], c, "s")

@@ -54,14 +54,20 @@ class Router:
             raise ValueError(f"outputs without a consumer: {missing}")
 
 
-def branch(df: DataFrame, handlers: Sequence[Callable[[DataFrame], object]], errors: str = COLLECT_AND_THROW, log: Callable[[str], None] = print) -> DataFrame:
-    """Runs each handler (an action such as a write) on the dataset and returns the dataset unchanged."""
+def branch(df: DataFrame, handlers: Sequence[Callable[[DataFrame], object]], errors: str | Callable[[Exception, DataFrame], object] = COLLECT_AND_THROW, log: Callable[[str], None] = print) -> DataFrame:
+    """Runs each handler (an action such as a write) on the dataset and returns the dataset unchanged.
+
+    errors: collect (all handlers run, then their errors are raised together), log, or a
+    function that gets each error with the dataset.
+    """
     found = []
     for h in handlers:
         try:
             h(df)
         except Exception as e:  # handlers are user code; the mode decides
-            if errors == LOG_AND_CONTINUE:
+            if callable(errors):
+                errors(e, df)
+            elif errors == LOG_AND_CONTINUE:
                 log(f"branch handler failed: {e}")
             else:
                 found.append(e)

@@ -218,6 +218,30 @@ def mongo_options(uri: str, database: str, collection: str, pipeline: str | None
     return out
 
 
+def read_mongo(spark: SparkSession, uri: str, database: str, collection: str, **how) -> DataFrame:
+    """A collection, or the result of an aggregation pipeline. Needs MongoDB's Spark connector."""
+    return spark.read.format("mongodb").options(**mongo_options(uri, database, collection, **how)).load()
+
+
+def write_mongo(df: DataFrame, uri: str, database: str, collection: str, write_mode: str = "insert", keys: Sequence[str] = (), mode: str = "append") -> None:
+    df.write.format("mongodb").mode(mode).options(**mongo_options(uri, database, collection, None, write_mode, keys)).save()
+
+
+#: The Spark format of each Cosmos API.
+COSMOS_FORMATS = {"sql": "cosmos.oltp", "mongo": "mongodb", "cassandra": "org.apache.spark.sql.cassandra"}
+
+
+def read_cosmos(spark: SparkSession, *place: str, api: str = "sql", change_feed: bool = False, **how) -> DataFrame:
+    """A container, a query over it, or its change feed. Needs the connector of the API."""
+    name = "cosmos.oltp.changeFeed" if change_feed and api == "sql" else COSMOS_FORMATS[api]
+    return spark.read.format(name).options(**cosmos_options(*place, api=api, change_feed=change_feed, **how)).load()
+
+
+def write_cosmos(df: DataFrame, *place: str, api: str = "sql", upsert: bool = True, mode: str = "append") -> None:
+    more = {"spark.cosmos.write.strategy": "ItemOverwrite" if upsert else "ItemAppend"} if api == "sql" else {}
+    df.write.format(COSMOS_FORMATS[api]).mode(mode).options(**cosmos_options(*place, api=api), **more).save()
+
+
 def cosmos_options(endpoint: str, key: str, database: str, container: str, change_feed: bool = False, query: str | None = None, api: str = "sql") -> dict[str, str]:
     """Options for the Cosmos DB APIs: sql (with change feed), mongo and cassandra."""
     if api == "mongo":

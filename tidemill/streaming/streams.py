@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -161,6 +161,26 @@ def idempotent(write: Callable[[DataFrame], None], done: Callable[[int], bool],
     return run
 
 
+def with_watermark_known(handle: Callable[[DataFrame, int, datetime | None], None], time: str, delay: timedelta = OUT_OF_ORDER, top: datetime | None = None) -> Callable[[DataFrame, int], None]:
+    """A batch function that hands each batch on with the watermark at its beginning: the greatest time of all batches before, less the delay.
+
+    It never goes back. top: the greatest time known from an earlier run (None: none yet).
+    """
+    held = [top]
+
+    def run(df: DataFrame, batch_id: int) -> None:
+        df = df.persist()
+        try:
+            handle(df, batch_id, held[0] - delay if held[0] is not None else None)
+            last = df.agg(F.max(time)).first()[0]
+            if last is not None and (held[0] is None or last > held[0]):
+                held[0] = last
+        finally:
+            df.unpersist()
+
+    return run
+
+
 def with_dead_letters(rules: Sequence[Rule], policy: Policy, good: Callable[[DataFrame, int], None], dead: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """A batch function that applies rules and sends both outcomes on; the batch is read once."""
 
