@@ -142,7 +142,7 @@ def test_hot_join(spark, monkeypatch):
         monkeypatch.setattr(common, "SMALL", small)
         monkeypatch.setattr(common, "HOT", 10)
         for how in ("inner", "left", "left_anti"):
-            got = common.hot_join(left, right, "k", "n", 53, how)
+            got = common.hot_join(left, right, "k", "n", left.count, how)
             plain = left.join(right.drop("n"), "k", how)
             assert sorted(got.select(plain.columns).collect(), key=str) == sorted(plain.collect(), key=str)
 

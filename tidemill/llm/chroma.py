@@ -262,15 +262,15 @@ def align(prints: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> Da
     """
     spark = prints.sparkSession
     C.prepare(spark)
-    rows = prints.select("id", "codes", F.xxhash64("id", F.spark_partition_id()).alias("spread")).checkpoint()
+    name = F.when(F.octet_length("codes") > 0, F.unhex(F.sha2("codes", 256))).alias("name")  # of equal integers; null without any
+    rows = prints.select("id", "codes", name, F.xxhash64("id", F.spark_partition_id()).alias("spread")).checkpoint()
     total = rows.count()
-    some = F.octet_length("codes") > 0
-    classes = rows.where(some).groupBy("codes").agg(F.count("*").alias("n")).withColumn("cid", F.monotonically_increasing_id()).checkpoint()
-    asked = queries.where(F.col("id").isNotNull() & some).select("id", "codes").distinct().checkpoint()
-    least = asked.groupBy("codes").agg(F.min("id").alias("least"), F.count("*").alias("n")).checkpoint()
+    classes = rows.where("name is not null").groupBy("name").agg(F.count("*").alias("n"), F.first("codes").alias("codes")).withColumn("cid", F.monotonically_increasing_id()).checkpoint()
+    asked = queries.select("id", "codes", name).where("id is not null and name is not null").checkpoint()
+    least = asked.groupBy("name").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("codes").alias("codes")).checkpoint()
     # The two least ids name a class to every row: to the row with the least id by the other one.
-    second = C.hot_join(asked, least, "codes", "n", asked.count()).where("id > least").groupBy("codes").agg(F.min("id").alias("second"))
-    named = least.join(second, "codes", "left").select("codes", "least", "second", F.sha2("codes", 256).alias("query_sha256")).withColumn("qid", F.monotonically_increasing_id()).checkpoint()
+    second = C.hot_join(asked.select("id", "name"), least.select("name", "least", "n"), "name", "n", asked.count).where("id > least").groupBy("name").agg(F.min("id").alias("second"))
+    named = least.join(second, "name", "left").select("codes", "least", "second", F.lower(F.hex("name")).alias("query_sha256")).withColumn("qid", F.monotonically_increasing_id()).checkpoint()
     blocks, chunks = -(-named.count() // block), max(C.parts(spark), -(-classes.count() // CHUNK))
     spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -281,16 +281,16 @@ def align(prints: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> Da
         right = named.select("qid", "codes", spread("qid", blocks).alias("block"), every(chunks).alias("chunk"))
         found = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInArrow(C.arrow_cogroups(_meet, __name__), _ALIGNED)
     # Rows of a class with many copies meet its matches in several tasks.
-    salts = F.greatest(F.lit(1), F.ceil(F.col("n") * C.HOT / F.lit(max(total, 1)))).cast("int")
-    sized = classes.select("codes", "cid", "n", salts.alias("salts"))
-    mine = C.hot_join(rows, sized, "codes", "n", total, "left").withColumn("salt", F.pmod("spread", "salts").cast("int"))
+    salts = F.least(F.col("n"), F.ceil(F.col("n") * C.HOT / F.lit(max(total, 1)))).cast("int")
+    sized = classes.select("name", "cid", "n", salts.alias("salts"))
+    mine = C.hot_join(rows, sized, "name", "n", lambda: total, "left").withColumn("salt", F.pmod("spread", "salts").cast("int"))
     matches = found.join(named.drop("codes"), "qid").join(sized.select("cid", "salts"), "cid").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts", "qid").checkpoint()
     out = mine.where("cid is not null").join(matches, ["cid", "salt"]).withColumn("match_id", F.when(F.col("least").eqNullSafe(F.col("id")), F.col("second")).otherwise(F.col("least"))).where("match_id is not null")
     known = ["id", (F.octet_length("codes") / 4).cast("long").alias("n_codes"), F.sha2("codes", 256).alias("codes_sha256")]
     matched = out.select(*known, "match_id", "match_offset", "match_overlap", "bit_error", "query_sha256")
     # A row is without a match if its class has none, or only the query that is the row itself.
     classwise = matches.where("salt = 0").groupBy("cid").agg(F.count("*").alias("m"), F.max(F.when(F.col("second").isNull(), F.col("least"))).alias("only"))
-    counted = C.hot_join(mine.where("cid is not null").select("id", "codes", "cid"), classwise.join(classes.select("cid", "n"), "cid").checkpoint(), "cid", "n", total, "left")
+    counted = C.hot_join(mine.where("cid is not null").select("id", "codes", "cid"), classwise.join(classes.select("cid", "n"), "cid").checkpoint(), "cid", "n", lambda: total, "left")
     alone = counted.where("m is null or (m = 1 and only <=> id)").select("id", "codes").union(mine.where("cid is null").select("id", "codes"))
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("match_id", "long"), ("match_offset", "int"), ("match_overlap", "int"), ("bit_error", "double"), ("query_sha256", "string"))]
     return matched.union(alone.select(*known, *nothing))

@@ -104,8 +104,8 @@ HOT, SMALL = 2000, 50_000
 
 
 def is_small(df: DataFrame) -> bool:
-    """Whether a table of narrow rows may be broadcast: it is counted, up to SMALL."""
-    return df.limit(SMALL + 1).count() <= SMALL
+    """Whether a table of narrow rows may be broadcast: it is counted."""
+    return df.count() <= SMALL
 
 
 def small_join(left: DataFrame, right: DataFrame, keys: str | list[str]) -> DataFrame:
@@ -113,19 +113,19 @@ def small_join(left: DataFrame, right: DataFrame, keys: str | list[str]) -> Data
     return left.join(F.broadcast(right) if is_small(right) else right, keys)
 
 
-def hot_join(left: DataFrame, right: DataFrame, keys: str | list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, keys: str | list[str], weight: str, total: Callable[[], int], how: str = "inner") -> DataFrame:
     """`left` joined with `right`, without a task that gets all rows of a hot key.
 
     `right` has one row for each key, with the number of `left` rows that have it in `weight`
     (left out of the result). It is counted: up to SMALL rows are broadcast whole. Beyond that,
-    keys with a HOT-th of the `total` left rows or more, which are at most HOT, are broadcast,
+    keys with a HOT-th of the total() left rows or more, which are at most HOT, are broadcast,
     and the rest is an ordinary join. how: inner, left or left_anti; a null key matches nothing,
     and rows that have one are not shuffled. Keep both sides cheap to read: they are read twice.
     """
     keys = [keys] if isinstance(keys, str) else keys
     if is_small(right):
         return left.join(F.broadcast(right.drop(weight)), keys, how)
-    is_hot = F.col(weight) * HOT >= total
+    is_hot = F.col(weight) * HOT >= total()
     hot, cold = right.where(is_hot).drop(weight), right.where(~is_hot).drop(weight)
     whole = F.lit(True)
     for k in keys:

@@ -334,10 +334,10 @@ def search(table: DataFrame, items: DataFrame, item_id: str = "item_id", item_te
     terms = _terms(own)
     size = own.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     slices = max(1, -(-size // SLICE_BYTES))
-    wanted = terms.groupBy("term").agg(F.count("*").alias("items")).checkpoint()
+    wanted = terms.groupBy("term").agg(F.count("*").alias("items"))
     lists = table.where("term is not null").select("block", "term", "n", "at")
     known = C.small_join(lists, wanted, "term").groupBy("term").agg(F.sum("n").alias("df"), F.first("items").alias("items")).checkpoint()
-    counts = C.hot_join(terms, known, "term", "items", terms.count()).groupBy("iid").agg(F.collect_list(F.struct("term", "df")).alias("known"))
+    counts = C.hot_join(terms, known, "term", "items", terms.count).groupBy("iid").agg(F.collect_list(F.struct("term", "df")).alias("known"))
     rare = _rarest(own.join(counts, "iid"), window)
     # Candidates: items and the blocks that have the rarest term of one of their windows.
     holders = lists.select("block", "term")
@@ -347,11 +347,14 @@ def search(table: DataFrame, items: DataFrame, item_id: str = "item_id", item_te
         salted = rare.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         found = holders.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"])
     pairs = found.select("block", "iid").distinct().checkpoint()
-    often = pairs.groupBy("iid").agg(F.count("*").alias("_n"))
     slice_ = F.pmod(F.xxhash64("iid"), F.lit(slices)).cast("int").alias("slice")
-    asked = C.hot_join(pairs, own.join(often, "iid"), "iid", "_n", pairs.count()).select(F.col("block").alias("block"), slice_, "item", "words")
+    if size <= SLICE_BYTES:
+        named = pairs.join(F.broadcast(own), "iid")
+    else:  # an item that is a candidate everywhere meets its blocks in several tasks
+        named = pairs.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int")).join(own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["iid", "salt"])
+    asked = named.select(F.col("block").alias("block"), slice_, "item", "words")
     # The lists that these blocks need, once for each slice.
-    needs = terms.select("term", slice_).distinct().checkpoint()
+    needs = terms.select("term", slice_).distinct()
     begins = table.where("term is null and row is null").select("block", "term", "n", "at")
     every = C.small_join(lists, needs, "term").select("block", "slice", "term", "n", "at").union(begins.select("block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "term", "n", "at"))
     sent = every.join(pairs.select("block", slice_).distinct(), ["block", "slice"], "left_semi")
@@ -393,7 +396,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
     gone = found.where(contaminated()).groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("_n")).checkpoint()
     named = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
     own = named.withColumn("_key", text_key(f"c{docs.columns.index(text_col)}"))
-    return C.hot_join(own, gone, "_key", "_n", docs.count(), "left_anti").drop("_key").toDF(*docs.columns)
+    return C.hot_join(own, gone, "_key", "_n", docs.count, "left_anti").drop("_key").toDF(*docs.columns)
 
 
 def matches(docs: DataFrame, items: DataFrame, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:

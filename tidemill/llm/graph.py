@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
 
-def _with_least(edges: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+def _with_least(edges: DataFrame, total: Callable[[], int]) -> tuple[DataFrame, DataFrame]:
     """(u, m: the least neighbour, deg) of every u; and the edges with m. Hubs don't meet their m in one task."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("deg")).checkpoint()
     return least, C.hot_join(edges, least, "u", "deg", total)
@@ -27,13 +29,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
     for _ in range(rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        total = both.count()
-        least, met = _with_least(both, total)
+        least, met = _with_least(both, both.count)
         # A node without smaller neighbours is a centre; if each other node has one neighbour, all is stars.
         if least.where("m < u and deg > 1").isEmpty():
             break
         large = met.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct().checkpoint()
-        _, met = _with_least(large, total)
+        _, met = _with_least(large, large.count)
         small = met.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         now = small.select("e.u", "e.v").where("u <> v").distinct().checkpoint()
     else:

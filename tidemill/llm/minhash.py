@@ -253,8 +253,8 @@ def near_duplicates(
     shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
-    sketch, labels, total = _components(docs, id_col, text_col, percent, shingle, bands, rows)
-    out = C.hot_join(sketch.select("doc_id", "n_shingles", "set_key"), labels, "set_key", "copies", total, "left")
+    sketch, labels = _components(docs, id_col, text_col, percent, shingle, bands, rows)
+    out = C.hot_join(sketch.select("doc_id", "n_shingles", "set_key"), labels, "set_key", "copies", sketch.count, "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -263,7 +263,7 @@ def candidates(nodes: DataFrame, bands: int) -> DataFrame:
     """h, nid, first, size: the members of every band bucket of several sets, with its first member and its size."""
     bucket = nodes.select(F.explode("bands").alias("h"), "nid")
     several = bucket.groupBy("h").agg(F.min("nid").alias("first"), F.count("*").alias("size"), F.count("*").alias("_size")).where("size > 1").checkpoint()
-    return C.hot_join(bucket, several, "h", "_size", bands * nodes.count()).checkpoint()
+    return C.hot_join(bucket, several, "h", "_size", lambda: bands * nodes.count()).checkpoint()
 
 
 def star_tiles(member: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def cross_tiles(member: DataFrame, nodes: DataFrame, joined: DataFrame, percent:
     others = member.where("size > 2 and nid <> first").join(joined.withColumnRenamed("node", "nid"), "nid", "left").select("h", "nid", F.coalesce("root", "nid").alias("grp")).checkpoint()
     same = [F.count("*").alias("n"), F.sum(F.xxhash64("nid").cast("decimal(38,0)")).alias("x"), F.expr("bit_xor(xxhash64(nid, 1))").alias("y")]
     open_ = others.groupBy("h").agg(F.min("grp").alias("a"), F.max("grp").alias("z"), *same).where("a <> z").groupBy("n", "x", "y").agg(F.min("h").alias("h")).select("h", F.col("n").alias("_n")).checkpoint()
-    inside = C.hot_join(others, open_, "h", "_n", others.count())
+    inside = C.hot_join(others, open_, "h", "_n", others.count)
     # Linked sets lie within one size class or in neighbouring ones.
     step = float(np.log(100.0 / percent)) if percent < 100 else _SIZE_CLASSES
     at = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int")
@@ -297,15 +297,15 @@ def cross_tiles(member: DataFrame, nodes: DataFrame, joined: DataFrame, percent:
         .select("h", "c", "_n", F.greatest(F.ceil(F.col("_n") / TILE_DOCS), F.ceil(F.col("sh") / TILE_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
         .checkpoint()
     )
-    rows = C.hot_join(placed, cut, ["h", "c"], "_n", placed.count()).withColumn("b", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
+    rows = C.hot_join(placed, cut, ["h", "c"], "_n", placed.count).withColumn("b", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
     tiles = rows.select("nid", "grp", "h", "c", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
     return tiles.select(F.xxhash64("h", "c", F.least("b", "o"), F.greatest("b", "o")).alias("tile"), (F.col("b") > F.col("o")).cast("int").alias("side"), "nid", "grp")
 
 
 def _components(
     docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: int, bands: int, rows: int, by_row: bool = False,
-) -> tuple[DataFrame, DataFrame, int]:
-    """The sketches; set_key, component_id and the number of rows (copies) of every set; and the number of rows.
+) -> tuple[DataFrame, DataFrame]:
+    """The sketches; and set_key, component_id and the number of rows (copies) of every set.
 
     by_row: also `keeper`, the doc_id and text key of the one row that stays of the component if
     it is a row of this set, else null. It has the least id, then the least set and text key.
@@ -329,10 +329,10 @@ def _components(
         found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)).checkpoint()
     least = [F.min(F.struct(F.col("label").isNull().alias("no_id"), "label", "set_key"))["set_key"].alias("stays")] if by_row else []
     name = found.withColumnRenamed("node", "nid").join(nodes.select("nid", "label", "set_key"), "nid").groupBy("root").agg(F.min("label").alias("top"), F.count("*").alias("_n"), *least).checkpoint()
-    named = C.hot_join(found, name, "root", "_n", found.count()).select(F.col("node").alias("nid"), "top", *(["stays"] if by_row else []))
+    named = C.hot_join(found, name, "root", "_n", found.count).select(F.col("node").alias("nid"), "top", *(["stays"] if by_row else []))
     keeper = [F.when(F.coalesce("stays", "set_key") == F.col("set_key"), F.struct("first.doc_id", "first.text_key")).alias("keeper")] if by_row else []
     labels = nodes.join(named, "nid", "left").select("set_key", F.coalesce("top", "label").alias("component_id"), "copies", *keeper).checkpoint()
-    return sketch, labels, sketch.count()
+    return sketch, labels
 
 
 def drop_near_duplicates(
@@ -344,10 +344,10 @@ def drop_near_duplicates(
     Rows are told apart by id and text, so rows that share an id, or have none, are decided each
     by its own text; of rows equal in both any one stays.
     """
-    sketch, labels, total = _components(docs, id_col, text_col, percent, shingle, bands, rows, True)
+    sketch, labels = _components(docs, id_col, text_col, percent, shingle, bands, rows, True)
     stays = F.col("keeper").isNotNull() & F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("text_key") == F.col("keeper.text_key"))
     decided = (
-        C.hot_join(sketch.where("set_key is not null"), labels, "set_key", "copies", total)
+        C.hot_join(sketch.where("set_key is not null"), labels, "set_key", "copies", sketch.count)
         .groupBy("doc_id", "text_key")
         .agg(F.count("*").alias("n"), F.first(stays).alias("stays"))
         .where("not stays or n > 1")
@@ -357,10 +357,10 @@ def drop_near_duplicates(
     named = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
     at = lambda c: f"c{docs.columns.index(c)}"
     own = named.withColumn("_row", _row_key(at(id_col), text_key(at(text_col))))
-    out = C.hot_join(own, decided.select("_row", "_n"), "_row", "_n", total, "left_anti").drop("_row")
+    out = C.hot_join(own, decided.select("_row", "_n"), "_row", "_n", sketch.count, "left_anti").drop("_row")
     again = decided.where("_stays").select("_row", "_n")
     if not again.isEmpty():
-        out = out.union(C.hot_join(own, again, "_row", "_n", total).dropDuplicates(["_row"]).drop("_row"))
+        out = out.union(C.hot_join(own, again, "_row", "_n", sketch.count).dropDuplicates(["_row"]).drop("_row"))
     return out.toDF(*docs.columns)
 
 

@@ -149,7 +149,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
         for r in load:
             room[r[0]] -= np.array(r[1:], dtype=np.float64)
         done = packed if done is None else done.union(packed)
-    out = C.hot_join(placed, done, ["g", "piece"], "n", total.r).withColumn("bucket", F.pmod(F.xxhash64("spread", "g"), F.lit(BUCKETS)).cast("int")).checkpoint()
+    out = C.hot_join(placed, done, ["g", "piece"], "n", lambda: total.r).withColumn("bucket", F.pmod(F.xxhash64("spread", "g"), F.lit(BUCKETS)).cast("int")).checkpoint()
     sizes = out.groupBy("shard", "bucket").agg(F.count("*").alias("n"))  # at most shards * BUCKETS rows
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
