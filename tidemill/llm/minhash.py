@@ -190,20 +190,20 @@ def _edges(u: list[int], v: list[int]) -> pa.RecordBatch:
 
 
 def linked_to_first(rows: DataFrame, percent: int) -> DataFrame:
-    """Edges (nid, first) of the rows (tile, side, nid, shingles) that are linked to their tile's row of side 0.
+    """Edges (nid, first) of the rows (tile, first, side, nid, shingles) that are linked to their `first`, the row of side 0.
 
-    Rows are dealt and sorted by tile and side, so a task holds one set at a time.
+    Rows are dealt by tile and sorted, so a task holds one set at a time.
     """
 
     def run(batches):
-        at, first, name = None, None, None
+        first, name = None, None
         for batch in batches:
             u, v = [], []
-            for tile, side, nid, blob in zip(*(c.to_pylist() for c in batch.columns)):
+            for _, of, side, nid, blob in zip(*(c.to_pylist() for c in batch.columns)):
                 own = np.frombuffer(blob, dtype=np.uint64)
                 if side == 0:
-                    at, first, name = tile, own, nid
-                elif tile == at:
+                    first, name = own, nid
+                elif of == name:
                     common = int((first[np.minimum(np.searchsorted(first, own), len(first) - 1)] == own).sum())
                     if common and 100 * common >= percent * (len(own) + len(first) - common):
                         u.append(nid)
@@ -211,7 +211,7 @@ def linked_to_first(rows: DataFrame, percent: int) -> DataFrame:
             if u:
                 yield _edges(u, v)
 
-    dealt = rows.select("tile", "side", "nid", "shingles").repartition(C.parts(rows.sparkSession), "tile").sortWithinPartitions("tile", "side")
+    dealt = rows.select("tile", "first", "side", "nid", "shingles").repartition(C.parts(rows.sparkSession), "tile").sortWithinPartitions("tile", "first", "side")
     return C.arrow_map(dealt, run, _EDGES)
 
 
@@ -267,11 +267,11 @@ def candidates(nodes: DataFrame, bands: int) -> DataFrame:
 
 
 def star_tiles(member: DataFrame) -> DataFrame:
-    """tile, side, nid: every member of a bucket with the bucket's first one (side 0), at most about STAR members a tile."""
+    """tile, first, side, nid: every member of a bucket with the bucket's first one (side 0), at most about STAR members a tile."""
     pair = member.where("nid <> first").groupBy("first", "nid").agg(F.max("size").alias("size"))
     tiles = F.pow(F.lit(2), F.ceil(F.log2(F.ceil(F.col("size") / STAR)))).cast("long")
     pair = pair.withColumn("tiles", tiles).withColumn("tile", F.xxhash64("first", "tiles", F.pmod(F.xxhash64("nid"), F.col("tiles"))))
-    return pair.select("tile", F.lit(1).alias("side"), "nid").union(pair.select("tile", F.lit(0), "first").distinct())
+    return pair.select("tile", "first", F.lit(1).alias("side"), "nid").union(pair.select("tile", "first", F.lit(0), F.col("first").alias("nid")).distinct())
 
 
 def cross_tiles(member: DataFrame, nodes: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
