@@ -5,6 +5,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill import queries
 from tidemill.operators import rules
 from tidemill.sources import brokers, checkpoints, databases, files, http
 from tidemill.sources.lake import LakeTable
@@ -150,6 +151,26 @@ def test_changes(spark, tmp_path):
     assert sorted(map(tuple, table.collect())) == [("1", "b"), ("3", "d"), ("9", "old")]
 
 
+def test_pages_to_the_last(spark, tmp_path):
+    n = 1_500
+    page = lambda token: ([{"id": int(token or 0)}], str(int(token or 0) + 1) if int(token or 0) + 1 < n else None)
+    saved = checkpoints.Checkpoints(spark, str(tmp_path), checkpoints.CURSOR)
+    some, token = checkpoints.read_pages(spark, page, "id long", saved, "s", most=2)
+    assert sorted(r.id for r in some.collect()) == [0, 1] and token == "2"
+    saved.save("s", token)
+    for held in (10_000, 400):
+        rest, token = checkpoints.read_pages(spark, page, "id long", saved, "s", held=held)
+        assert sorted(r.id for r in rest.collect()) == list(range(2, n)) and token == str(n - 1)
+    with pytest.raises(ValueError):
+        checkpoints.read_pages(spark, lambda token: ([], "same"), "id long", saved, "t")
+
+
+@pytest.mark.parametrize("n", [0, 5, 7, 8, 7_100])
+def test_cursor_pages_gives_every_row(spark, tmp_path, n):
+    spark.range(n).withColumnRenamed("id", "s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    assert sorted(r.id for r in queries.QUERIES["cursor_pages"](spark, str(tmp_path)).collect()) == list(range(n))
+
+
 def shelf(at):
     """A queue for tests: files in a folder; those received are not given again by this object."""
 

@@ -524,6 +524,8 @@ def cursor_pages(spark, sf):
 
     saved = checkpoints.Checkpoints(spark, shared_folder(spark), checkpoints.CURSOR)
     first, token = checkpoints.read_pages(spark, page, "id long", saved, "suppliers", most=1)
+    if token is None:  # there was one page
+        return first
     saved.save("suppliers", token)
     rest, _ = checkpoints.read_pages(spark, page, "id long", saved, "suppliers")
     return first.union(rest)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable
+from itertools import count
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.ordering import numbered
+from ..session import shared_folder
 
 NONE, OFFSET, KEY, CURSOR, MEMORY, CDC = "none", "offset", "key", "cursor", "memory", "cdc"
 STRATEGIES = (NONE, OFFSET, KEY, CURSOR, MEMORY, CDC)
@@ -92,18 +94,27 @@ def skip_read(df: DataFrame, order: list[str], checkpoints: Checkpoints, source:
     return rows, done + rows.count()
 
 
-def read_pages(spark: SparkSession, page: Callable[[str | None], tuple[list[dict], str | None]], schema: str, checkpoints: Checkpoints, source: str, most: int = 1000) -> tuple[DataFrame, str | None]:
+def read_pages(spark: SparkSession, page: Callable[[str | None], tuple[list[dict], str | None]], schema: str, checkpoints: Checkpoints, source: str, most: int | None = None, held: int = 10_000) -> tuple[DataFrame, str | None]:
     """The cursor strategy: pages from the saved token on, and the token to save once the rows are processed.
 
     page(token) gives (items, next token); a cursor leads from page to page, so the driver walks
-    it, for at most `most` pages.
+    it: to the last page, or for at most `most` pages, after which the token leads to the next
+    one. The last page has no token after it, so its own is given and a later read begins with it
+    again (None if it is the first). From `held` rows on, rows go to the checkpoint folder.
     """
     names = StructType.fromDDL(schema).names
-    token, rows = checkpoints.load(source), []
-    for _ in range(most):
+    token, rows, at = checkpoints.load(source), [], None
+    for _ in count() if most is None else range(most):
         items, following = page(token)
         rows += [[i.get(n) for n in names] for i in items]
+        if following and following == token:
+            raise ValueError(f"{source}: cursor {token} leads to itself")
         token = following or token
+        if len(rows) >= held:
+            at = at or shared_folder(spark)
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(at)
+            rows = []
         if not following:
             break
-    return spark.createDataFrame(rows, schema), token
+    rest = spark.createDataFrame(rows, schema)
+    return (rest if at is None else spark.read.schema(schema).parquet(at).unionByName(rest)), token
