@@ -218,6 +218,24 @@ def test_queues(spark, tmp_path):
         brokers.process(spark, connect, print, "sometimes")
 
 
+def test_a_queue_is_emptied(spark, tmp_path):
+    at, got = tmp_path / "q", []
+    at.mkdir()
+    for i in range(7):
+        (at / f"a{i}").write_text("")
+    assert brokers.drain(spark, shelf(str(at)), lambda df: got.append([r.message_id for r in df.collect()]), most=3) == 7
+    assert os.listdir(at) == [] and [len(x) for x in got] == [3, 3, 1, 0] and len(set(sum(got, []))) == 7
+    with pytest.raises(ValueError):
+        brokers.drain(spark, shelf(str(at)), print, brokers.ACK_MANUAL)
+
+
+@pytest.mark.parametrize("n", [0, 3_100])
+def test_queue_messages_gives_every_row(spark, tmp_path, n):
+    spark.range(n).withColumnRenamed("id", "s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    rows = queries.QUERIES["queue_messages"](spark, str(tmp_path)).collect()
+    assert sorted((int(r.body), r.consumer) for r in rows) == [(i, i % 3) for i in range(n)]
+
+
 def test_queue_clients():
     class Sqs:
         def receive_message(self, **how):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sqlite3
 from datetime import datetime, timedelta, timezone
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -471,32 +472,37 @@ def http_pages(spark, sf):
 @query("SELECT s_suppkey % 3 AS consumer, CAST(s_suppkey AS VARCHAR) AS body FROM supplier")
 def queue_messages(spark, sf):
     """Three consumers of a queue, acknowledged after the sink has them; the queue is a folder of files."""
-    at = databases.local_path(shared_folder(spark))
+    top = shared_folder(spark)
+    at, out = databases.local_path(top), f"{top}-out"
     for i in range(3):
         os.makedirs(f"{at}/{i}")
-    for r in read_table(spark, sf, "supplier").select("s_suppkey").collect():
-        with open(f"{at}/{r.s_suppkey % 3}/{r.s_suppkey:08d}", "w") as f:
-            f.write(str(r.s_suppkey))
+
+    def fill(part):
+        for r in part:
+            with open(f"{at}/{r.s_suppkey % 3}/{r.s_suppkey:08d}", "w") as f:
+                f.write(str(r.s_suppkey))
+
+    read_table(spark, sf, "supplier").select("s_suppkey").foreachPartition(fill)
 
     class Folder:
         def __init__(self, i):
-            self.at, self.given = f"{at}/{i}", set()
+            self.at, self.names = f"{at}/{i}", None
 
         def receive(self, n):
+            self.names = self.names or iter(sorted(os.listdir(self.at)))
             out = []
-            for name in sorted(set(os.listdir(self.at)) - self.given)[:n]:
+            for name in islice(self.names, n):
                 with open(f"{self.at}/{name}") as f:
                     out.append({"message_id": name, "body": f.read(), "receipt": name, "sequence": int(name)})
-            self.given |= {m["message_id"] for m in out}
             return out
 
         def ack(self, receipts):
             for r in receipts:
                 os.remove(f"{self.at}/{r}")
 
-    done = brokers.process(spark, Folder, lambda df: df.write.format("noop").mode("overwrite").save(), consumers=3)
+    brokers.drain(spark, Folder, lambda df: df.write.mode("append").parquet(out), consumers=3)
     assert not any(os.listdir(f"{at}/{i}") for i in range(3))
-    return done.select(F.col("consumer").cast("long").alias("consumer"), "body")
+    return spark.read.parquet(out).select(F.col("consumer").cast("long").alias("consumer"), "body")
 
 
 @query("SELECT 'before' AS state, count(*) AS n FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT 'now', count(*) FROM orders UNION ALL SELECT 'one status', count(*) FROM orders WHERE o_orderstatus = 'F'")

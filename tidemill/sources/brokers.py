@@ -209,7 +209,7 @@ def receive(spark: SparkSession, connect: Callable[[int], object], consumers: in
 
 
 def process(spark: SparkSession, connect: Callable[[int], object], write: Callable[[DataFrame], object], ack: str = ACK_ON_SINK_SUCCESS, consumers: int = 1, most: int = 1000, delay_s: float = 0.0, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """Reads a round of messages, writes them, and acknowledges by strategy.
+    """Reads a round of messages (see receive(); drain() empties a queue), writes them, and acknowledges by strategy.
 
     auto_on_sink_success: after write() has returned, so a failed round is delivered again (at
     least once). delayed: the same, `delay_s` later. none: on receipt (at most once). manual:
@@ -226,6 +226,21 @@ def process(spark: SparkSession, connect: Callable[[int], object], write: Callab
     return rows
 
 
+def drain(spark: SparkSession, connect: Callable[[int], object], write: Callable[[DataFrame], object], ack: str = ACK_ON_SINK_SUCCESS, consumers: int = 1, most: int = 1000, delay_s: float = 0.0, sleep: Callable[[float], None] = time.sleep) -> int:
+    """Rounds of process() until one finds no message; returns how many messages were written.
+
+    write() gets the rows of each round, and those of the last, which are none. A round holds at
+    most `most` messages for a consumer, however many the queue has. Messages that stay in the
+    queue would come again, so they can't be acknowledged by hand.
+    """
+    if ack == ACK_MANUAL:
+        raise ValueError("a queue isn't emptied without acknowledgements")
+    n = 0
+    while got := process(spark, connect, write, ack, consumers, most, delay_s, sleep).count():
+        n += got
+    return n
+
+
 def acknowledge(rows: DataFrame, connect: Callable[[int], object], batch: int = 100) -> None:
     """Tells the queues that messages are done; consumers are called under the numbers that received them."""
 
