@@ -151,6 +151,27 @@ def test_changes(spark, tmp_path):
     assert sorted(map(tuple, table.collect())) == [("1", "b"), ("3", "d"), ("9", "old")]
 
 
+def test_changes_to_the_end(spark, tmp_path):
+    feed = [{"operation": "insert", "key": str(i), "document": "x", "at": i, "token": str(i)} for i in range(25)]
+    saved = checkpoints.Checkpoints(spark, str(tmp_path), checkpoints.CDC)
+    watch = lambda token: iter(feed[int(token) + 1 if token else 0 :])
+    for most, n in ((None, 25), (20, 20), (3, 3)):
+        changes = databases.read_changes(spark, watch, saved, "s", most, held=10)
+        assert sorted(r["at"] for r in changes.collect()) == list(range(n)) and databases.last_token(changes) == str(n - 1)
+    saved.save("s", "24")
+    assert databases.last_token(databases.read_changes(spark, watch, saved, "s", None)) is None
+
+
+@pytest.mark.parametrize("n", [0, 3, 600])
+def test_change_feed_rounds_do_not_grow(spark, tmp_path, monkeypatch, n):
+    read, rounds = databases.read_changes, []
+    monkeypatch.setattr(databases, "read_changes", lambda *args: rounds.append(args) or read(*args))
+    spark.range(n).select(F.col("id").alias("s_suppkey"), (F.col("id") / 4).alias("s_acctbal")).write.parquet(str(tmp_path / "supplier.parquet"))
+    rows = sorted(map(tuple, queries.QUERIES["change_feed"](spark, str(tmp_path)).collect()))
+    assert rows == [(k, 0.0 if k % 5 == 0 else k / 4) for k in range(n) if k % 3] + [(k + 1_000_000, 1.0) for k in range(n) if k % 4 == 0]
+    assert len(rounds) <= 2
+
+
 def test_pages_to_the_last(spark, tmp_path):
     n = 1_500
     page = lambda token: ([{"id": int(token or 0)}], str(int(token or 0) + 1) if int(token or 0) + 1 < n else None)

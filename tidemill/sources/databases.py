@@ -263,11 +263,12 @@ INSERT, UPDATE, REPLACE, DELETE = "insert", "update", "replace", "delete"
 CHANGE = "operation string, key string, document string, at long, token string"
 
 
-def read_changes(spark: SparkSession, watch: Callable[[str | None], Iterator[dict]], saved, source: str, most: int = 10_000) -> DataFrame:
+def read_changes(spark: SparkSession, watch: Callable[[str | None], Iterator[dict]], saved, source: str, most: int | None = 10_000, held: int = 10_000) -> DataFrame:
     """Up to `most` changes after the saved resume token, as rows of CHANGE, written to the checkpoint folder.
 
     watch(token) is called in one task and gives dictionaries with these fields (key and document
-    as JSON text), in order; a change feed is one ordered log, so one task reads it. Save
+    as JSON text), in order; a change feed is one ordered log, so one task reads it, and holds
+    `held` changes at a time. most=None: all until watch() ends, for feeds that do. Save
     the last token (see last_token) with the Checkpoints `saved` once the rows are processed.
     """
     import pandas as pd
@@ -282,6 +283,9 @@ def read_changes(spark: SparkSession, watch: Callable[[str | None], Iterator[dic
                 got.append([change.get(n) for n in names])
                 if i + 1 == most:
                     break
+                if len(got) == held:
+                    yield pd.DataFrame(got, columns=names)
+                    got = []
             yield pd.DataFrame(got, columns=names)
 
     with_checkpoints(spark)
